@@ -129,7 +129,7 @@ def event_window(
         by,
         "event_date",
         "date",
-        (F.col("rn") - F.col("start")).alias("offset"),
+        (F.col("rn") - F.col("start")).alias("day_no"),
         "idx",
         "drawdown",
         (F.last("idx").over(whole) / F.max(at_anchor).over(whole) - 1).alias("event_return"),

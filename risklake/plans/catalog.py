@@ -6,7 +6,7 @@ import importlib
 
 from risklake.plans.registry import REGISTRY
 
-MODULES = ["catalog_series"]
+MODULES = ["catalog_series", "catalog_indicators", "catalog_metrics"]
 
 for _name in MODULES:
     importlib.import_module(f"risklake.plans.{_name}")

@@ -91,7 +91,7 @@ def _(t: Tables):
 
 @register(
     "join_12_event_window",
-    "portfolio_id:i event_date:t date:t offset:i idx:d4 drawdown:d4 event_return:d6 drawdown_peak:d6 status:s",
+    "portfolio_id:i event_date:t date:t day_no:i idx:d4 drawdown:d4 event_return:d6 drawdown_peak:d6 status:s",
     """WITH n AS (SELECT portfolio_id, date, price, row_number() OVER (PARTITION BY portfolio_id ORDER BY date)-1 AS rn FROM ixw),
        ev AS (SELECT CAST(n_nationkey AS BIGINT) AS portfolio_id, DATE '1995-07-01' + CAST(120*n_nationkey AS INTEGER) AS event_date FROM nation),
        a AS (SELECT n.portfolio_id, event_date, min(rn) FILTER (date >= event_date) AS pos, min(date) AS lo, max(date) AS hi
@@ -100,7 +100,7 @@ def _(t: Tables):
              WHERE event_date BETWEEN lo AND hi AND rn BETWEEN greatest(0,pos-15) AND pos+15),
        i AS (SELECT *, price/first_value(price) OVER (PARTITION BY portfolio_id,event_date ORDER BY date)*100 AS idx FROM k),
        d AS (SELECT *, (idx/max(idx) OVER (PARTITION BY portfolio_id,event_date ORDER BY date ROWS UNBOUNDED PRECEDING)-1)*100 AS dd FROM i)
-       SELECT portfolio_id, event_date, date, rn-st AS "offset", idx, dd AS drawdown,
+       SELECT portfolio_id, event_date, date, rn-st AS day_no, idx, dd AS drawdown,
          last_value(idx) OVER w / max(CASE WHEN rn=greatest(st,pos-1) THEN idx END) OVER w - 1 AS event_return,
          min(dd) OVER w / 100 AS drawdown_peak, 'ok' AS status FROM d
          WINDOW w AS (PARTITION BY portfolio_id,event_date ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)

@@ -2,7 +2,9 @@
 
 ``columns`` is a compact result contract, ``"name:type …"``, applied to both engines so that a
 comparison sees the same types: ``s`` string, ``i`` bigint, ``b`` boolean, ``t`` date as
-``yyyy-MM-dd``, ``ts`` timestamp to the second, ``dN`` double rounded to N decimals.
+``yyyy-MM-dd``, ``ts`` timestamp to the second, ``dN`` double rounded half up to N decimals. The
+rounding adds a guard far above float noise and far below the last digit kept, because prices are
+ratios of cents and exact ties do occur.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from risklake.session import tune
 from risklake.sources.testdata import Tables
 
 
+ROUND_GUARD = 0.500001
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
@@ -53,7 +58,8 @@ def _spark_cell(name: str, kind: str) -> Column:
     elif kind == "ts":
         col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
     else:
-        col = F.round(col.cast("double"), int(kind[1:])) + F.lit(0.0)
+        scale = float(10 ** int(kind[1:]))
+        col = F.floor(col.cast("double") * scale + ROUND_GUARD).cast("double") / scale
     return col.alias(name)
 
 
@@ -69,7 +75,8 @@ def _sql_cell(name: str, kind: str) -> str:
     elif kind == "ts":
         expr = f"strftime(CAST({name} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
     else:
-        expr = f"round(CAST({name} AS DOUBLE), {int(kind[1:])}) + 0.0"
+        scale = f"{10 ** int(kind[1:])}e0"
+        expr = f"floor(CAST({name} AS DOUBLE) * {scale} + {ROUND_GUARD}e0) / {scale}"
     return f"{expr} AS {name}"
 
 
