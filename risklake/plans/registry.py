@@ -64,20 +64,21 @@ def _spark_cell(name: str, kind: str) -> Column:
 
 
 def _sql_cell(name: str, kind: str) -> str:
+    col = f'"{name}"'
     if kind == "s":
-        expr = f"CAST({name} AS VARCHAR)"
+        expr = f"CAST({col} AS VARCHAR)"
     elif kind == "i":
-        expr = f"CAST({name} AS BIGINT)"
+        expr = f"CAST({col} AS BIGINT)"
     elif kind == "b":
-        expr = f"CAST({name} AS BOOLEAN)"
+        expr = f"CAST({col} AS BOOLEAN)"
     elif kind == "t":
-        expr = f"strftime(CAST({name} AS DATE), '%Y-%m-%d')"
+        expr = f"strftime(CAST({col} AS DATE), '%Y-%m-%d')"
     elif kind == "ts":
-        expr = f"strftime(CAST({name} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
+        expr = f"strftime(CAST({col} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
     else:
         scale = f"{10 ** int(kind[1:])}e0"
-        expr = f"floor(CAST({name} AS DOUBLE) * {scale} + {ROUND_GUARD}e0) / {scale}"
-    return f"{expr} AS {name}"
+        expr = f"floor(CAST({col} AS DOUBLE) * {scale} + {ROUND_GUARD}e0) / {scale}"
+    return f"{expr} AS {col}"
 
 
 REGISTRY: dict[str, Query] = {}
