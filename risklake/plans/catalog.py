@@ -6,7 +6,10 @@ import importlib
 
 from risklake.plans.registry import REGISTRY
 
-MODULES = ["catalog_series", "catalog_indicators", "catalog_metrics", "catalog_risk", "catalog_allocation", "catalog_simulation"]
+MODULES = [
+    "catalog_series", "catalog_indicators", "catalog_metrics", "catalog_risk", "catalog_allocation", "catalog_simulation",
+    "catalog_platform",
+]
 
 for _name in MODULES:
     importlib.import_module(f"risklake.plans.{_name}")
