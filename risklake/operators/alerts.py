@@ -233,7 +233,7 @@ def cooldown(matched: DataFrame, block_seconds: int = 86_400, order: Sequence[st
     ``alert_id, cooldown_seconds`` and the ``order`` columns; adds ``kept``.
     """
     ts, tie = order
-    us = F.unix_micros(ts)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = matched.withColumn("_us", us).withColumn("_block", F.floor(us / F.lit(block_seconds * 1_000_000)))
     slim = rows.select("alert_id", "cooldown_seconds", "_block", "_us", tie)
 

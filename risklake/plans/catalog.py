@@ -8,7 +8,7 @@ from risklake.plans.registry import REGISTRY
 
 MODULES = [
     "catalog_series", "catalog_indicators", "catalog_metrics", "catalog_risk", "catalog_allocation", "catalog_simulation",
-    "catalog_platform",
+    "catalog_platform", "catalog_alerts", "catalog_telemetry",
 ]
 
 for _name in MODULES:
