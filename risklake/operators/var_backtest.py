@@ -37,16 +37,22 @@ def replay_window(returns: DataFrame, est_window: int = 252, n_backtest: int = 2
 def historical_var(replay: DataFrame, confidence: float = 0.95, est_window: int = 252, horizon: int = 1, by: str = "portfolio_id") -> DataFrame:
     """Percentile of the previous rows only; square-root scaling beyond one row."""
     frame = series(by).rowsBetween(-est_window, -1)
-    q = F.percentile("ret", F.lit(1.0 - confidence)).over(frame) * math.sqrt(horizon)
-    return _scored(replay, q, frame, "historical", by)
+    return _scored(replay, _historical(confidence, horizon, frame), frame, "historical", by)
 
 
 def parametric_var(replay: DataFrame, confidence: float = 0.95, est_window: int = 252, horizon: int = 1, by: str = "portfolio_id") -> DataFrame:
     """Normal quantile of the previous rows' mean and population deviation."""
     frame = series(by).rowsBetween(-est_window, -1)
+    return _scored(replay, _parametric(confidence, horizon, frame), frame, "parametric", by)
+
+
+def _historical(confidence: float, horizon: int, frame) -> Column:
+    return F.percentile("ret", F.lit(1.0 - confidence)).over(frame) * math.sqrt(horizon)
+
+
+def _parametric(confidence: float, horizon: int, frame) -> Column:
     z = normal_quantile(1.0 - confidence)
-    q = F.avg("ret").over(frame) * horizon + F.stddev_pop("ret").over(frame) * (math.sqrt(horizon) * z)
-    return _scored(replay, q, frame, "parametric", by)
+    return F.avg("ret").over(frame) * horizon + F.stddev_pop("ret").over(frame) * (math.sqrt(horizon) * z)
 
 
 def _scored(replay: DataFrame, q: Column, frame, method: str, by: str) -> DataFrame:
@@ -132,17 +138,16 @@ def coverage_tests(scored: DataFrame, confidence: float = 0.95, alpha: float = 0
     }).drop("_p01", "_p11", "_p")
 
 
-def common_sample(scored: DataFrame, by: str = "portfolio_id") -> DataFrame:
-    """Only dates where every method has a finite prediction."""
+def common_sample(scored: DataFrame, n_methods: int, by: str = "portfolio_id") -> DataFrame:
+    """Only dates where all ``n_methods`` methods have a finite prediction."""
     ok = scored.where("var is not null and not isnan(var) and realized is not null")
-    methods = scored.groupBy(by).agg(F.count_distinct("method").alias("_m"))  # a handful of labels
     have = F.count("*").over(W.partitionBy(by, "date"))
-    return ok.withColumn("_have", have).join(methods, by).where("_have = _m").drop("_have", "_m")
+    return ok.withColumn("_have", have).where(F.col("_have") == n_methods).drop("_have")
 
 
 def compare_methods(scored: DataFrame, order: Sequence[str], confidence: float = 0.95, by: str = "portfolio_id") -> DataFrame:
-    """Coverage of every method on the common sample, with the recommended one flagged."""
-    tests = coverage_tests(common_sample(scored, by), confidence, keys=(by, "method"))
+    """Coverage of the listed methods on their common sample, with the recommended one flagged."""
+    tests = coverage_tests(common_sample(scored, len(order), by), confidence, keys=(by, "method"))
     tests = tests.where(F.col("n") >= MIN_TEST_ROWS)
     rank = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("method"))
     gap = F.abs(F.col("breach_rate") - (1.0 - confidence))
@@ -151,6 +156,17 @@ def compare_methods(scored: DataFrame, order: Sequence[str], confidence: float =
     return tests.withColumn("recommended", F.coalesce(F.col("model_passes") & (best == F.col("method")), F.lit(False)))
 
 
+def closed_form_var(replay: DataFrame, confidence: float = 0.95, est_window: int = 252, horizon: int = 1, by: str = "portfolio_id") -> DataFrame:
+    """Historical and parametric predictions from one pass over the trailing frame."""
+    frame = series(by).rowsBetween(-est_window, -1)
+    enough = F.count("ret").over(frame) >= MIN_TRAILING
+    wide = replay.select(
+        by, "date", "scored", "realized",
+        F.when(enough, _historical(confidence, horizon, frame)).alias("historical"), F.when(enough, _parametric(confidence, horizon, frame)).alias("parametric"),
+    )
+    return wide.where("scored").unpivot([by, "date", "realized"], ["historical", "parametric"], "method", "var")
+
+
 def asof_value_weights(positions: DataFrame, prices: DataFrame, dates: DataFrame, by: str = "portfolio_id") -> DataFrame:
     """Shares times the last price strictly before each of the portfolio's dates; 0 before purchase.
 

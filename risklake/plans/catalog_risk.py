@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from risklake.operators import align, correlation as cor, regimes as reg, returns, var_backtest as vb
 from risklake.plans.registry import register
+from risklake.session import materialise
 from risklake.sources.testdata import Tables
 
 UP = "ROWS UNBOUNDED PRECEDING"
@@ -361,8 +362,7 @@ _BOTH = f"""SELECT portfolio_id, 'historical' AS method, date, realized, hist AS
 
 
 def _both(t: Tables):
-    r = _replay(t)
-    return vb.historical_var(r).unionByName(vb.parametric_var(r))
+    return vb.closed_form_var(_replay(t))
 
 
 for _name, _cols in {
@@ -383,8 +383,9 @@ for _name, _cols in {
         SELECT *, model_passes AND o=1 AS recommended FROM k""",
 )
 def _(t: Tables):
-    r = _replay(t)
-    scored = _both(t).unionByName(vb.bootstrap_var(r, n_sims=100))
+    # three readers of one replay table: write it once instead of deriving it three times
+    r = materialise(_replay(t), "var-replay")
+    scored = vb.closed_form_var(r).unionByName(vb.bootstrap_var(r, n_sims=100), allowMissingColumns=True)
     return vb.compare_methods(scored, ["historical", "parametric", "bootstrap"])
 
 
