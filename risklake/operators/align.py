@@ -42,8 +42,13 @@ def with_holding_count(positions: DataFrame, by: str = "portfolio_id") -> DataFr
 
 
 def align_intersection(positions: DataFrame, prices: DataFrame, by: str = "portfolio_id") -> DataFrame:
-    """Holding prices on the dates where *all* holdings of the portfolio have one."""
-    joined = with_holding_count(positions, by).join(prices.select("symbol", "date", "price"), "symbol")
+    """Holding prices on the dates where *all* holdings of the portfolio have one.
+
+    The panel (holdings × dates) is the largest table of a portfolio job, so it is shuffled once, by
+    portfolio: that one layout serves the count per date, every per-holding window and every per-date
+    sum that follows. A portfolio's panel is bounded by the calendar times its distinct holdings.
+    """
+    joined = with_holding_count(positions, by).join(prices.select("symbol", "date", "price"), "symbol").repartition(by)
     priced = F.count("price").over(W.partitionBy(by, "date"))
     return joined.withColumn("_n", priced).where("_n = n_holdings").drop("_n")
 

@@ -101,6 +101,7 @@ def sleeve_index(holdings: DataFrame, prices: DataFrame, by: Sequence[str] = ("p
     held = (
         holdings.select(*keys, "symbol", share.alias("share"), n.alias("n_holdings"))
         .join(prices.select("symbol", "date", "price"), "symbol")
+        .repartition(keys[0])  # one layout for all windows and sums below
         .withColumn("_n", F.count("price").over(W.partitionBy(*keys, "date")))
         .where("_n = n_holdings")
     )

@@ -141,13 +141,15 @@ class Tables:
         """One portfolio per nation with staggered purchase dates; owner = region."""
         cust = self.raw("customer").select("c_custkey", "c_nationkey")
         nation = self.raw("nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("user_id"))
-        by_cust = self._bought.groupBy("o_custkey", "symbol").agg(
-            F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("cost_basis")
-        )
+        # owners first (orders are the smaller side), so line items are aggregated straight to nations
+        owned = self.raw("orders").select("o_orderkey", "o_custkey").join(cust, F.col("o_custkey") == F.col("c_custkey"))
+        line = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
+        part = self.raw("part").select("p_partkey", F.col("p_type").alias("symbol"))
         agg = (
-            by_cust.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+            line.join(owned, F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(part, F.col("l_partkey") == F.col("p_partkey"))
             .groupBy(F.col("c_nationkey").alias("n_nationkey"), "symbol")
-            .agg(F.sum("quantity").alias("quantity"), F.sum("cost_basis").alias("cost_basis"))
+            .agg(F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("cost_basis"))
             .join(nation, "n_nationkey")
         )
         w = W.partitionBy("n_nationkey")
