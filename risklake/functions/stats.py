@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from risklake.session import materialise
+
 # Standard-normal quantiles and densities at the supported confidences.
 NORMAL_QUANTILE = {
     0.01: -2.3263478740408408,
@@ -135,8 +137,11 @@ def exact_quantiles(
     with one column per entry of ``probs``.
     """
     by = list(by)
+    if not by:
+        raise ValueError("exact_quantiles needs at least one grouping column")
     x = F.col(value)
-    data = df.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.cast("double").alias("_x"))
+    # read three times below: written once, so the upstream work is not repeated
+    data = materialise(df.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.cast("double").alias("_x")), "quantile-input")
     margin = 2.0 / accuracy
     names = list(probs)
     bounds = []
@@ -166,7 +171,7 @@ def exact_quantiles(
             )
         ).alias("t"),
     ).select(*by, "t.*")
-    joined = data.join(targets, by) if by else data.join(targets)
+    joined = data.join(targets, by)
     below = joined.groupBy(*by, "q").agg(F.count(F.when(F.col("_x") < F.col("lo"), 1)).alias("_below"))
     # equal values collapse to one counted row, so heavy ties do not inflate the ranked part
     inside = (

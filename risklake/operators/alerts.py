@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from risklake.functions.scalar import dashed_pair, is_crypto_symbol, is_finite, slashed_pair
 from risklake.operators.align import series
+from risklake.session import materialise
 
 # Fixed values.
 DEFAULT_COOLDOWN_SECONDS = 900
@@ -176,9 +177,8 @@ def monitored_symbols(rules: DataFrame, classes: DataFrame, feed: str = "crypto"
     j = tickers.join(classes.select(F.col("symbol").alias("ticker"), "asset_class"), "ticker", "left")
     crypto = feed.strip().lower() == "crypto"
     mine = j.where(is_crypto_symbol(F.col("ticker"), F.col("asset_class")) == F.lit(crypto))
-    total = mine.agg(F.count("*").alias("total"))
     shown = mine.orderBy("ticker").limit(limit).select((slashed_pair("ticker") if crypto else F.col("ticker")).alias("symbol"))
-    return shown.join(F.broadcast(total)).withColumn("truncated", F.col("total") > limit)  # total is one row
+    return shown.withColumn("total", mine.agg(F.count("*")).scalar()).withColumn("truncated", F.col("total") > limit)
 
 
 def holdings_without_rule(positions: DataFrame, rules: DataFrame) -> DataFrame:
@@ -236,6 +236,7 @@ def cooldown(matched: DataFrame, block_seconds: int = 86_400, order: Sequence[st
     cooldown_seconds`` and the ``order`` columns; adds ``kept``.
     """
     ts, tie = order
+    matched = materialise(matched, "cooldown-input")  # three readers below, one fan-out
     buckets = int(matched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     width = block_seconds * 1_000_000
     us = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -390,16 +391,16 @@ def feedback_summary(feedback: DataFrame) -> DataFrame:
 def auto_muted_kinds(feedback: DataFrame, prefs: DataFrame) -> DataFrame:
     """(user, kind) whose last K ratings on some ticker are all not useful; K = 0 disables.
 
-    A user rates by hand, so one (user, ticker, kind) group stays small.
+    The last K are all bad exactly when at least K ratings follow the last good one, which two
+    combining aggregates answer without sorting any user's ratings.
     """
-    k = prefs.select("user_id", "auto_mute_after").where("auto_mute_after > 0")
-    rn = F.row_number().over(W.partitionBy("user_id", "ticker", "kind").orderBy(F.desc("created_at"), F.desc("event_id")))
-    named = feedback.where("kind is not null and kind <> ''").join(k, "user_id")
-    recent = named.withColumn("_rn", rn).where(F.col("_rn") <= F.col("auto_mute_after"))
-    agg = recent.groupBy("user_id", "ticker", "kind").agg(
-        F.bool_and(F.col("rating") == "not_useful").alias("all_bad"), F.count("*").alias("n"), F.max("auto_mute_after").alias("k")
-    )
-    return agg.where("all_bad and n = k").select("user_id", F.lower("kind").alias("kind")).distinct()
+    keys = ["user_id", "ticker", "kind"]
+    at = F.struct("created_at", "event_id")
+    named = feedback.where("kind is not null and kind <> ''").withColumn("_at", at)
+    good = named.where("rating <> 'not_useful'").groupBy(*keys).agg(F.max("_at").alias("_good"))
+    streak = named.join(good, keys, "left").where("_good is null or _at > _good").groupBy(*keys).agg(F.count("*").alias("n"))
+    limits = prefs.select("user_id", "auto_mute_after").where("auto_mute_after > 0")
+    return streak.join(limits, "user_id").where("n >= auto_mute_after").select("user_id", F.lower("kind").alias("kind")).distinct()
 
 
 def updated_mutes(prefs: DataFrame, muted: DataFrame) -> DataFrame:

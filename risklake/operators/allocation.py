@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from risklake.operators.align import align_intersection, series
+from risklake.session import materialise
 
 TRADING_DAYS = 252.0
 METHODS = ["equal", "inverse_vol", "risk_parity", "drawdown_mgd"]
@@ -258,9 +259,10 @@ def allocation_report(
     positions: DataFrame, prices: DataFrame, window: int = 252, rebalance: int = 21, cost_bps: float = 10.0, by: str = "portfolio_id"
 ) -> DataFrame:
     """Point-in-time weights of every method next to its walk-forward profile."""
-    rows = numbered_prices(positions, prices, window, by)
+    # the aligned prices and the weights each feed several branches: written once
+    rows = materialise(numbered_prices(positions, prices, window, by), "aligned")
     panel = trailing_panel(rows, window, rebalance, by)
-    weights = method_weights(panel, window, by)
+    weights = materialise(method_weights(panel, window, by), "weights")
     profile = strategy_profile(walk_forward(rows, weights, window, rebalance, cost_bps, by), window, by)
     now = rounded_weights(weights.where(F.col("k") == AS_OF), [by, "method"])
     return now.select(by, "method", "symbol", "weight", "rounded").join(profile, [by, "method"], "left")

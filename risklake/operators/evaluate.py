@@ -165,13 +165,11 @@ def evaluation_summary(quality: DataFrame, baselines: DataFrame, by: str = "symb
     med = exact_quantiles(quality, ["model"], "mape", {"mape_median": 0.5}).join(
         exact_quantiles(quality, ["model"], "long_short", {"long_short_median": 0.5}), "model"
     )
-    total = baselines.agg(*[F.sum(c).alias(c) for c in ("up_hits", "up_n", "persist_hits", "persist_n", "drift_hits", "drift_n")])
-    best = total.select(
-        F.greatest(*[F.try_divide(F.col(f"{b}_hits"), F.col(f"{b}_n")) for b in ("up", "persist", "drift")]).alias("best_baseline")
-    )
+    share = lambda b: F.try_divide(F.sum(f"{b}_hits"), F.sum(f"{b}_n"))
+    best = baselines.agg(F.greatest(share("up"), share("persist"), share("drift"))).scalar()
     wins = quality.groupBy(by).agg(F.min_by("model", F.struct("mape", "model")).alias("model")).groupBy("model").agg(F.count("*").alias("wins"))
-    out = with_wilson(pooled, "hits", "n", "acc").join(med, "model").join(wins, "model", "left").join(F.broadcast(best))  # best is one row
-    return out.withColumn("wins", F.coalesce("wins", F.lit(0))).withColumn("edge_pp", (F.col("acc_rate") - F.col("best_baseline")) * 100)
+    out = with_wilson(pooled, "hits", "n", "acc").join(med, "model").join(wins, "model", "left")
+    return out.withColumn("wins", F.coalesce("wins", F.lit(0))).withColumn("edge_pp", (F.col("acc_rate") - best) * 100)
 
 
 def staleness(configs: DataFrame, now: Column, max_age_days: float = 7.0, growth: float = 0.20, rmse_factor: float = 1.5) -> DataFrame:

@@ -346,21 +346,22 @@ def risk_findings(metrics: DataFrame, target_vol: float, by: str = "portfolio_id
 
 def histogram(samples: DataFrame, value: str, bins: int = 18, by: Sequence[str] = ()) -> DataFrame:
     """Fixed-width counts between min and max, last bin closed; empty bins included."""
-    keys = list(by)
+    whole = not by
+    keys = list(by) or ["_all"]
+    if whole:
+        samples = samples.withColumn("_all", F.lit(0))
     x = F.col(value)
-    edges = samples.groupBy(*keys).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    edges = edges.withColumn(
-        "width", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0)
-    )
-    joined = samples.join(edges, keys) if keys else samples.join(F.broadcast(edges))  # one row without keys
-    slot = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((x - F.col("lo")) / F.col("width")))).cast("int")
-    counts = joined.groupBy(*keys, slot.alias("bin")).agg(F.count("*").alias("n"))
+    lo, hi = F.min(x), F.max(x)
+    edges = samples.groupBy(*keys).agg(lo.alias("lo"), F.when(hi > lo, (hi - lo) / bins).otherwise(1.0).alias("width"))
+    # equal values are counted before they meet their edges
+    tallied = samples.groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_n")).join(edges, keys)
+    slot = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col("_x") - F.col("lo")) / F.col("width")))).cast("int")
+    counts = tallied.groupBy(*keys, slot.alias("bin")).agg(F.sum("_n").alias("n"))
     spine = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     filled = spine.join(counts, [*keys, "bin"], "left")
     start = F.col("lo") + F.col("bin") * F.col("width")
-    return filled.select(
-        *keys, "bin", start.alias("start"), (start + F.col("width")).alias("stop"), F.coalesce("n", F.lit(0)).alias("n")
-    )
+    out = filled.select(*keys, "bin", start.alias("start"), (start + F.col("width")).alias("stop"), F.coalesce("n", F.lit(0)).alias("n"))
+    return out.drop("_all") if whole else out
 
 
 def usage_rollup(log: DataFrame, by: Sequence[str] = ("agent", "model")) -> DataFrame:

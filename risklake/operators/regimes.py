@@ -110,10 +110,11 @@ def with_thresholds(rows: DataFrame, history: DataFrame) -> DataFrame:
     """Point-in-time thresholds joined by class, the default row filling the gaps."""
     table = latest_thresholds(history)
     hi, lo = DEFAULT_THRESHOLDS["default"]
-    default = table.where("asset_class = 'default'").agg(F.max("high").alias("_hi"), F.max("low").alias("_lo"))
-    default = default.select(F.coalesce("_hi", F.lit(hi)).alias("_hi"), F.coalesce("_lo", F.lit(lo)).alias("_lo"))
-    out = rows.join(table, "asset_class", "left").join(F.broadcast(default))  # exactly one row
-    return out.withColumn("high", F.coalesce("high", "_hi")).withColumn("low", F.coalesce("low", "_lo")).drop("_hi", "_lo")
+    stored = table.where("asset_class = 'default'")
+    out = rows.join(table, "asset_class", "left")
+    return out.withColumn("high", F.coalesce("high", stored.agg(F.max("high")).scalar(), F.lit(hi))).withColumn(
+        "low", F.coalesce("low", stored.agg(F.max("low")).scalar(), F.lit(lo))
+    )
 
 
 def portfolio_thresholds(holdings: DataFrame, history: DataFrame, by: str = "portfolio_id") -> DataFrame:

@@ -52,9 +52,8 @@ def apply_saved_screens(screens: DataFrame, rows: DataFrame) -> DataFrame:
     parsed = screens.withColumn("f", F.from_json("filters", SCREEN_SCHEMA)).select("screen_id", "f.*")
     has_types = F.coalesce(F.size("type_in") > 0, F.lit(False))
     listed = parsed.where(has_types).withColumn("_type", F.explode(F.array_distinct(F.transform("type_in", F.upper))))
-    # the types that occur, one short array: it rides along with each open screen
-    every = rows.agg(F.collect_set(F.upper("type")).alias("_types"))
-    opened = parsed.where(~has_types).join(F.broadcast(every)).withColumn("_type", F.explode("_types")).drop("_types")
+    every = rows.agg(F.collect_set(F.upper("type"))).scalar()  # the few types that occur
+    opened = parsed.where(~has_types).withColumn("_type", F.explode(every))
     wanted = listed.unionByName(opened)
     j = wanted.join(rows.withColumn("_type", F.upper("type")), "_type")
     keep = F.lit(True)

@@ -50,7 +50,7 @@ def _(t: Tables):
     return al.divergence_rules(t.alert_rules, t.prices_daily, _forecasts(t))
 
 
-@register("alt_04_regime_watch", _EVAL_COLS, REGIME_SQL)
+@register("alt_04_regime_watch", _EVAL_COLS, REGIME_SQL, store="prices_weekly positions")
 def _(t: Tables):
     return al.regime_watch_rules(t.alert_rules, regime_watch(t))
 
@@ -58,6 +58,7 @@ def _(t: Tables):
 @register(
     "alt_05_evaluate_all", _EVAL_COLS,
     f"{PRICE_SQL} UNION ALL SELECT * FROM ({ZSCORE_SQL}) UNION ALL SELECT * FROM ({DIVERGE_SQL}) UNION ALL SELECT * FROM ({REGIME_SQL}) UNION ALL {SKIP_SQL}",
+    store="prices_daily prices_weekly positions",
 )
 def _(t: Tables):
     return al.evaluate_rules(t.alert_rules, t.prices_daily, m.latest_two_closes(t.prices_daily), _forecasts(t), regime_watch(t))

@@ -8,6 +8,7 @@ from risklake.operators import allocation as al
 from risklake.operators import metrics as m
 from risklake.plans.catalog_metrics import COMMON_LOG
 from risklake.plans.registry import register
+from risklake.session import materialise
 from risklake.sources.testdata import Tables
 
 UP = "ROWS UNBOUNDED PRECEDING"
@@ -104,8 +105,8 @@ DAILY_SQL = f"""{WEIGHTS_SQL},
 
 
 def _daily(t: Tables):
-    rows = al.numbered_prices(t.core_positions, t.prices_weekly)
-    return al.walk_forward(rows, al.method_weights(al.trailing_panel(rows)))
+    rows = materialise(al.numbered_prices(t.core_positions, t.prices_weekly), "aligned")
+    return al.walk_forward(rows, materialise(al.method_weights(al.trailing_panel(rows)), "weights"))
 
 
 @register(
@@ -163,6 +164,7 @@ def _(t: Tables):
         g AS (SELECT k.portfolio_id, mask, sum(mu) AS gain, string_agg(symbol, ',' ORDER BY symbol) AS selection FROM k JOIN s ON s.portfolio_id=k.portfolio_id AND (mask>>i)&1=1 GROUP BY 1,2),
         r AS (SELECT k.portfolio_id, mask, sum(cov) AS risk FROM k JOIN v ON v.portfolio_id=k.portfolio_id AND (mask>>i)&1=1 AND (mask>>j)&1=1 GROUP BY 1,2)
         SELECT g.portfolio_id, min(0.5*risk-gain) AS objective, arg_min(selection, 0.5*risk-gain) AS selection FROM g JOIN r ON r.portfolio_id=g.portfolio_id AND r.mask=g.mask GROUP BY 1""",
+    store="prices_daily positions",
 )
 def _(t: Tables):
     r = m.common_returns(t.positions, t.prices_daily, log=True)

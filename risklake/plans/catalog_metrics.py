@@ -119,6 +119,7 @@ _PERIODS = """SELECT {k}, months, CASE WHEN count(*)>=2 AND arg_min(price,date)>
         cv AS (SELECT portfolio_id, months, sum(c) AS c FROM mv GROUP BY 1,2)
         SELECT pp.portfolio_id, pp.months, pp.ret AS portfolio_ret, bb.ret AS benchmark_ret, pp.ret-bb.ret AS relative, pp.ret-c AS residual
         FROM pp LEFT JOIN bb ON bb.months=pp.months LEFT JOIN cv ON cv.portfolio_id=pp.portfolio_id AND cv.months=pp.months""",
+    store="prices_weekly positions benchmark_weekly",
 )
 def _(t: Tables):
     index = returns.price_index(returns.portfolio_returns(t.positions, t.prices_weekly))

@@ -304,6 +304,7 @@ def _(t: Tables):
        g AS (SELECT portfolio_id, symbol, count(*) AS n, min(weight) AS lo, sum(weight) AS w FROM p GROUP BY 1,2)
        SELECT portfolio_id, 'blank_ticker' AS rule, symbol FROM g WHERE symbol='' UNION ALL SELECT portfolio_id, 'duplicate_ticker', symbol FROM g WHERE symbol<>'' AND n>1
        UNION ALL SELECT portfolio_id, 'negative_weight', symbol FROM g WHERE lo<0 UNION ALL SELECT portfolio_id, 'weights_do_not_sum_to_one', NULL FROM g GROUP BY 1 HAVING sum(w)>0 AND abs(sum(w)-1)>0.01""",
+    store="positions_by_customer",
 )
 def _(t: Tables):
     p = t.positions_by_customer.select("portfolio_id", "symbol", "weight")

@@ -44,6 +44,7 @@ def head_sql(src: str, n: int, by: str = "pair_key") -> str:
         f"""SELECT * FROM (SELECT pair_key, {n} AS "window", date, {roll_sql(n)} AS corr FROM l) WHERE corr IS NOT NULL
             QUALIFY row_number() OVER (PARTITION BY pair_key ORDER BY date DESC) <= 252""" for n in (30, 60, 90)
     ),
+    store="prices_daily",
 )
 def _(t: Tables):
     return cor.rolling_correlation(cor.pair_returns(t.prices_daily, cor.pairs_frame(t.spark, PAIRS)))
@@ -66,6 +67,7 @@ for _name, _cols in {
         k AS (SELECT pair_key, w, least(252, count(*)) AS n_points, arg_max(c, date) AS last_corr FROM s WHERE c IS NOT NULL GROUP BY 1,2)
         SELECT h.*, lb.label, k.n_points, k.last_corr, 'line items' AS data_source FROM h JOIN k ON k.pair_key=h.pair_key AND k.w=h."window"
         JOIN (SELECT DISTINCT pair_key, label FROM l) lb ON lb.pair_key=h.pair_key""",
+    store="prices_daily",
 )
 def _(t: Tables):
     snap = cor.snapshot_batch(t.prices_daily, cor.pairs_frame(t.spark, PAIRS), "line items")
@@ -77,6 +79,7 @@ def _(t: Tables):
     f"""WITH l AS ({legs_sql('pdaily')}), h AS ({" UNION ALL ".join(head_sql("l", n) for n in (30, 60, 90))})
         SELECT pair_key, count(*) AS n_windows, max(pearson) FILTER ("window"=30) AS pearson_30, max(spearman) FILTER ("window"=90) AS spearman_90,
         max(as_of) AS as_of, 'line items' AS data_source FROM h GROUP BY 1""",
+    store="prices_daily",
 )
 def _(t: Tables):
     g = cor.regroup_snapshots(cor.snapshot_batch(t.prices_daily, cor.pairs_frame(t.spark, PAIRS), "line items"))
@@ -166,6 +169,7 @@ def regime_watch(t: Tables):
 register(
     "cor_09_portfolio_regime_watch",
     "portfolio_id:i equity_weight:d6 bond_weight:d6 status:s reason:s short_corr:d6 baseline_corr:d6 delta:d6 n_obs:i as_of:t", WATCH_SQL,
+    store="prices_weekly positions",
 )(regime_watch)
 
 
@@ -200,7 +204,7 @@ _CALIB = f"""SELECT asset_class, round_even(quantile_cont(ratio,0.9),3) AS high,
     JOIN assets a ON a.symbol=r.symbol GROUP BY 1"""
 
 
-@register("reg_03_threshold_calibration", "asset_class:s high:d3 low:d3", _CALIB)
+@register("reg_03_threshold_calibration", "asset_class:s high:d3 low:d3", _CALIB, store="prices_daily")
 def _(t: Tables):
     return reg.calibrate_thresholds(t.prices_daily, t.assets.select("symbol", "asset_class"))
 
@@ -210,6 +214,7 @@ def _(t: Tables):
     f"""WITH f AS ({_CALIB}), s(asset_class, high, low) AS (VALUES ('US_EQUITY',1.55,0.7),('BOND_ETF',1.7,0.6),('crypto',1.4,0.65),('default',1.5,0.8))
         SELECT asset_class, high, low, asset_class NOT IN (SELECT asset_class FROM f) AS is_active, TIMESTAMP '2024-01-01 00:00:00' AS calibrated_at FROM s
         UNION ALL SELECT asset_class, high, low, true, TIMESTAMP '2024-06-01 00:00:00' FROM f""",
+    store="prices_daily",
 )
 def _(t: Tables):
     return _threshold_history(t)
@@ -221,7 +226,7 @@ def _threshold_history(t: Tables):
         "asset_class string, high double, low double",
     ).select("*", F.lit(True).alias("is_active"), F.lit("2024-01-01").cast("timestamp").alias("calibrated_at"))
     fresh = reg.calibrate_thresholds(t.prices_daily, t.assets.select("symbol", "asset_class"))
-    return reg.supersede_thresholds(old, fresh, "2024-06-01")
+    return materialise(reg.supersede_thresholds(old, fresh, "2024-06-01"), "thresholds")
 
 
 _THR = f"""SELECT asset_class, high, low FROM ({_CALIB}) UNION ALL SELECT * FROM (VALUES ('crypto',1.4,0.65),('default',1.5,0.8)) d(a,h,l)"""
@@ -231,6 +236,7 @@ _THR = f"""SELECT asset_class, high, low FROM ({_CALIB}) UNION ALL SELECT * FROM
     "join_18_threshold_lookup", "portfolio_id:i symbol:s high:d3 low:d3",
     f"""WITH t AS ({_THR}) SELECT portfolio_id, h.symbol, coalesce(high,1.5) AS high, coalesce(low,0.8) AS low FROM posc h
         JOIN (SELECT symbol, CASE WHEN asset_class='COMMODITY' THEN 'unlisted' ELSE asset_class END AS c FROM assets) a ON a.symbol=h.symbol LEFT JOIN t ON t.asset_class=a.c""",
+    store="prices_daily",
 )
 def _(t: Tables):
     c = F.when(F.col("asset_class") == "COMMODITY", "unlisted").otherwise(F.col("asset_class"))
@@ -246,6 +252,7 @@ _PTHR = f"""SELECT portfolio_id, sum(weight*high)/sum(weight) AS high, sum(weigh
     "reg_04_portfolio_thresholds", "portfolio_id:i asset_class:s share:d6 high:d6 low:d6",
     f"""SELECT m.portfolio_id, m.asset_class, m.share, high, low FROM (SELECT portfolio_id, asset_class, sum(weight) AS share FROM posc h
         JOIN assets a ON a.symbol=h.symbol GROUP BY 1,2) m JOIN ({_PTHR.format(pos='posc')}) p ON p.portfolio_id=m.portfolio_id""",
+    store="prices_daily",
 )
 def _(t: Tables):
     held = t.positions_by_customer.join(t.assets.select("symbol", "asset_class"), "symbol")
@@ -260,6 +267,7 @@ def _(t: Tables):
         a AS (SELECT portfolio_id, quantile_cont(q,0.5) FILTER (rn<=5) AS r, max(price) FILTER (rn=1)/max(price) FILTER (rn<=60)-1 AS dd FROM x GROUP BY 1)
         SELECT a.portfolio_id, r AS vol_ratio, dd AS drawdown, high, low, CASE WHEN dd < -0.1 THEN 'Drawdown' WHEN r>high THEN 'High_Vol' WHEN r<low THEN 'Low_Vol'
         ELSE 'Normal' END AS regime FROM a JOIN ({_PTHR.format(pos='pos')}) t ON t.portfolio_id=a.portfolio_id""",
+    store="prices_daily positions",
 )
 def _(t: Tables):
     index = returns.price_index(returns.portfolio_returns(t.positions, t.prices_weekly))
@@ -321,7 +329,7 @@ BOOT_SQL = f"""WITH p AS (SELECT portfolio_id, date, ret, row_number() OVER (PAR
 
 @register("var_03_joint_bootstrap", "portfolio_id:i date:t realized:d6 var:d6", BOOT_SQL)
 def _(t: Tables):
-    return vb.bootstrap_var(_replay(t), n_sims=100)
+    return vb.bootstrap_var(materialise(_replay(t), "var-replay"), n_sims=100)
 
 
 @register(

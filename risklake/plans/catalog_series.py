@@ -47,6 +47,7 @@ def _(t: Tables):
        ORDER BY s.date ROWS UNBOUNDED PRECEDING) AS price FROM (SELECT DISTINCT h.portfolio_id, h.symbol, d.date FROM pos h
        JOIN (SELECT DISTINCT portfolio_id, p.date FROM pos JOIN pdaily p ON p.symbol=pos.symbol) d
        ON d.portfolio_id = h.portfolio_id) s LEFT JOIN pdaily p ON p.symbol=s.symbol AND p.date=s.date""",
+    store="prices_daily positions",
 )
 def _(t: Tables):
     return align.align_forward_fill(t.positions, t.prices_daily)
@@ -106,6 +107,7 @@ def _(t: Tables):
          WINDOW w AS (PARTITION BY portfolio_id,event_date ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
        UNION ALL SELECT portfolio_id, event_date, NULL, NULL, NULL, NULL, NULL, NULL, 'rejected' FROM a
          WHERE NOT event_date BETWEEN lo AND hi""",
+    store="prices_weekly positions",
 )
 def _(t: Tables):
     index = returns.price_index(returns.portfolio_returns(t.positions, t.prices_weekly))
@@ -230,6 +232,7 @@ def _(t: Tables):
         SELECT symbol, month, ret, partial, false AS is_forecast, false AS spliced, NULL AS lower, NULL AS upper FROM mh
         UNION ALL SELECT mf.symbol, month, CASE WHEN month=shared THEN {CLAMP.format(x='(e/anchor-1)')} ELSE ret END, partial, true,
           month=shared, least(lo,up), greatest(lo,up) FROM mf JOIN an ON an.symbol=mf.symbol""",
+    store="prices_weekly",
 )
 def _(t: Tables):
     return returns.monthly_returns_spliced(t.history_weekly, t.forecast_weekly)
@@ -332,6 +335,7 @@ def _(t: Tables):
        ON d.portfolio_id = h.portfolio_id) s LEFT JOIN pdaily p ON p.symbol=s.symbol AND p.date=s.date)
        SELECT portfolio_id, date, sum(weight*r) AS ret FROM (SELECT *, coalesce(price/lag(price) OVER
        (PARTITION BY portfolio_id, symbol ORDER BY date)-1, 0.0) AS r FROM f) GROUP BY 1,2""",
+    store="prices_daily positions",
 )
 def _(t: Tables):
     return returns.portfolio_returns_filled(t.positions, t.prices_daily)

@@ -12,6 +12,7 @@ from risklake.operators import returns
 from risklake.operators import simulate as sim
 from risklake.plans.catalog_risk import _erfc, _u
 from risklake.plans.registry import register
+from risklake.session import materialise
 from risklake.sources.testdata import Tables
 
 UP = "ROWS UNBOUNDED PRECEDING"
@@ -30,6 +31,7 @@ BASE_SQL = "bs AS (SELECT symbol, arg_max(price,date) AS base FROM hiw GROUP BY
     "sim_01_deterministic_paths", "symbol:s scenario:s step:i level:d4",
     f"""WITH {BASE_SQL}, {STEPS_SQL} SELECT st.symbol, sc.name AS scenario, step, base*(1+shock)*product(1+ret*scale+drift) OVER (PARTITION BY st.symbol, sc.name ORDER BY step {UP}) AS level
         FROM st JOIN bs ON bs.symbol=st.symbol, {_SC}""",
+    store="prices_weekly",
 )
 def _(t: Tables):
     steps, base = sim.forecast_steps(t.history_weekly, t.forecast_weekly)
@@ -64,6 +66,7 @@ BOOT = f"""{BASE_SQL}, {STEPS_SQL}, lg AS (SELECT symbol, row_number() OVER ({WS
 @register(
     "sim_03_bootstrap_fan", "symbol:s step:i lower_2s:d4 central:d4 upper_2s:d4",
     f"WITH {BOOT} SELECT symbol, step, quantile_cont(level,0.025) AS lower_2s, quantile_cont(level,0.5) AS central, quantile_cont(level,0.975) AS upper_2s FROM sm GROUP BY 1,2",
+    store="prices_weekly",
 )
 def _(t: Tables):
     return sim.fan(sim.bootstrap_paths(t.history_weekly, t.forecast_weekly, _N), ["symbol", "step"])
@@ -74,6 +77,7 @@ def _(t: Tables):
     f"""WITH {BOOT}, v AS (SELECT symbol, path, stddev_pop(r) AS vol FROM (SELECT *, ln(level/lag(level) OVER (PARTITION BY symbol,path ORDER BY step)) AS r FROM sm) GROUP BY 1,2),
         b AS (SELECT symbol, path FROM (SELECT *, median(vol) OVER (PARTITION BY symbol) AS md FROM v) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round(abs(vol-md),12), path)=1)
         SELECT sm.* FROM sm JOIN b ON b.symbol=sm.symbol AND b.path=sm.path""",
+    store="prices_weekly",
 )
 def _(t: Tables):
     return sim.representative_path(sim.bootstrap_paths(t.history_weekly, t.forecast_weekly, _N))
@@ -91,7 +95,7 @@ CELL_SQL = f"""{LOGW_SQL}, zz AS (SELECT *, avg(ret) OVER w AS mu, stddev_samp(r
 
 
 def _cells(t: Tables):
-    return sim.standardised_rows(m.common_returns(t.positions, t.prices_weekly, log=True))
+    return materialise(sim.standardised_rows(m.common_returns(t.positions, t.prices_weekly, log=True)), "cells")
 
 
 @register(
@@ -116,7 +120,7 @@ def _paths(t: Tables):
 
 
 def _fans(t: Tables):
-    return sim.fan(sim.scenario_levels(_paths(t), DEFS), ["portfolio_id", "scenario", "step"])
+    return materialise(sim.fan(sim.scenario_levels(_paths(t), DEFS), ["portfolio_id", "scenario", "step"]), "fans")
 
 
 @register(
@@ -200,6 +204,7 @@ def _(t: Tables):
          unnest([1,1,5,1,1,1,1]) AS horizon_days, unnest([-2*v,-3*v,-2*v*sqrt(5),-0.1e0,-0.2e0,-0.05e0*rw,0.04e0*rw]) AS shock_return FROM b JOIN r ON r.portfolio_id=b.portfolio_id
          UNION ALL SELECT portfolio_id, 'sector_shock_'||lower(asset_class), 1, -0.12e0*e FROM s)
        SELECT u.*, last*(1+shock_return) AS shocked_price FROM u JOIN b ON b.portfolio_id=u.portfolio_id""",
+    store="prices_weekly positions",
 )
 def _(t: Tables):
     index = returns.price_index(returns.portfolio_returns(t.positions, t.prices_weekly))
@@ -248,6 +253,7 @@ def _(t: Tables):
     "sim_14_valuation_projection", "symbol:s step:i pe_ratio:d4 dividend_yield:d6",
     f"""WITH {BASE_SQL}, {STEPS_SQL} SELECT st.symbol, step, price/(base/pe) AS pe_ratio, base*y/price AS dividend_yield FROM st JOIN bs ON bs.symbol=st.symbol JOIN
         (SELECT p_type AS symbol, avg(p_size) AS pe, 0.02e0 AS y FROM part GROUP BY 1) f ON f.symbol=st.symbol""",
+    store="prices_weekly",
 )
 def _(t: Tables):
     steps, base = sim.forecast_steps(t.history_weekly, t.forecast_weekly)
@@ -261,6 +267,7 @@ def _(t: Tables):
         l AS (SELECT portfolio_id, step, ret, 100*product(1+ret) OVER (PARTITION BY portfolio_id ORDER BY step {UP}) AS price FROM r)
         SELECT l.*, coalesce(price-greatest(central-p5,0), price*0.95e0) AS lower, coalesce(price+greatest(p95-central,0), price*1.05e0) AS upper FROM l
         LEFT JOIN (SELECT * FROM fn WHERE scenario='base') c ON c.portfolio_id=l.portfolio_id AND c.step=l.step""",
+    store="prices_weekly positions",
 )
 def _(t: Tables):
     steps, _ = sim.forecast_steps(t.history_weekly, t.forecast_weekly)
@@ -329,6 +336,7 @@ def _(t: Tables):
         x AS (SELECT st.symbol, step, CASE WHEN st.symbol IN ('LARGE','SMALL') AND step=7 THEN price*1e6 ELSE price END AS price, lower, upper FROM st),
         f AS (SELECT x.*, last, pow(last/first, 1e0/(n-1)) AS g, max(CASE WHEN price>last+10*sd OR price<greatest(0.01,last-10*sd) THEN 1 ELSE 0 END) OVER (PARTITION BY x.symbol)=1 AS bad FROM x JOIN h ON h.symbol=x.symbol)
         SELECT symbol, step, bad AS exploded, CASE WHEN bad THEN last*pow(g,step) ELSE price END AS price, CASE WHEN bad THEN last*pow(g,step)*0.9e0 ELSE lower END AS lower, CASE WHEN bad THEN last*pow(g,step)*1.1e0 ELSE upper END AS upper FROM f""",
+    store="prices_weekly",
 )
 def _(t: Tables):
     steps, _ = sim.forecast_steps(t.history_weekly, t.forecast_weekly)
@@ -355,7 +363,7 @@ _SPR = f"WITH RECURSIVE {SPLIT_SQL}"
 
 
 def _eval(t: Tables):
-    return ev.evaluated(t.prices_weekly, ev.walk_forward_splits(t.prices_weekly))
+    return materialise(ev.evaluated(t.prices_weekly, ev.walk_forward_splits(t.prices_weekly)), "evaluated")
 
 
 @register("evl_01_walk_forward_splits", "symbol:s fold:i train_end:i test_end:i", f"{_SPR} SELECT * FROM sp")
@@ -368,7 +376,7 @@ BASELINE_SQL = f"""{SPLIT_SQL}, td AS (SELECT sp.symbol, fold, CASE WHEN sign(a.
     nb AS (SELECT dd.symbol, count(*) FILTER (d>0) AS up_hits, count(*) AS up_n, count(*) FILTER (d=bf) AS persist_hits, count(bf) AS persist_n, count(*) FILTER (d=trend) AS drift_hits, count(trend) AS drift_n FROM dd JOIN td ON td.symbol=dd.symbol AND td.fold=dd.fold GROUP BY 1)"""
 
 
-@register("evl_02_naive_baselines", "symbol:s up_hits:i up_n:i persist_hits:i persist_n:i drift_hits:i drift_n:i", f"WITH RECURSIVE {BASELINE_SQL} SELECT * FROM nb")
+@register("evl_02_naive_baselines", "symbol:s up_hits:i up_n:i persist_hits:i persist_n:i drift_hits:i drift_n:i", f"WITH RECURSIVE {BASELINE_SQL} SELECT * FROM nb", store="prices_weekly")
 def _(t: Tables):
     return ev.naive_baselines(t.prices_weekly, ev.walk_forward_splits(t.prices_weekly))
 
@@ -378,12 +386,12 @@ QUALITY_SQL = f"""{SPLIT_SQL}, sq AS (SELECT symbol, model, fold, step, abs((act
     pq AS (SELECT symbol, model, avg(ape) AS mape, avg(dir_match) AS directional_accuracy, CASE WHEN count(excess)>5 AND stddev_pop(excess)>1e-12 THEN avg(excess)/stddev_pop(excess) ELSE 0 END AS long_short, count(*) AS n_steps, count(dir_match) AS n_diffs FROM sq GROUP BY 1,2)"""
 
 
-@register("evl_03_fold_quality", "symbol:s model:s fold:i step:i ape:d6 dir_match:d1 excess:d6", f"WITH RECURSIVE {QUALITY_SQL} SELECT * FROM sq")
+@register("evl_03_fold_quality", "symbol:s model:s fold:i step:i ape:d6 dir_match:d1 excess:d6", f"WITH RECURSIVE {QUALITY_SQL} SELECT * FROM sq", store="prices_weekly")
 def _(t: Tables):
     return ev.step_quality(_eval(t))
 
 
-@register("evl_04_pooled_quality", "symbol:s model:s mape:d6 directional_accuracy:d6 long_short:d6 n_steps:i", f"WITH RECURSIVE {QUALITY_SQL} SELECT * FROM pq")
+@register("evl_04_pooled_quality", "symbol:s model:s mape:d6 directional_accuracy:d6 long_short:d6 n_steps:i", f"WITH RECURSIVE {QUALITY_SQL} SELECT * FROM pq", store="prices_weekly")
 def _(t: Tables):
     return ev.pooled_quality(ev.step_quality(_eval(t)))
 
@@ -392,7 +400,7 @@ ERR_SQL = f"""{SPLIT_SQL}, er AS (SELECT ej.symbol, model, ej.fold, sqrt(avg(pow
     FROM ej JOIN fs ON fs.symbol=ej.symbol AND fs.fold=ej.fold GROUP BY 1,2,3)"""
 
 
-@register("evl_05_point_errors", "symbol:s model:s fold:i rmse:d4 mape:d6 mase:d6", f"WITH RECURSIVE {ERR_SQL} SELECT * FROM er")
+@register("evl_05_point_errors", "symbol:s model:s fold:i rmse:d4 mape:d6 mase:d6", f"WITH RECURSIVE {ERR_SQL} SELECT * FROM er", store="prices_weekly")
 def _(t: Tables):
     return ev.point_errors(_eval(t), t.prices_weekly)
 
@@ -404,6 +412,7 @@ _WIH = "least(1,({k}/{n}+1.96*1.96/(2*{n}))/(1+1.96*1.96/{n})+1.96*sqrt({k}/{n}*
 @register(
     "evl_06_wilson_interval", "symbol:s up_rate:d6 up_low:d6 up_high:d6",
     f"WITH RECURSIVE {BASELINE_SQL} SELECT symbol, up_hits/up_n AS up_rate, {_WIL.format(k='up_hits', n='up_n')} AS up_low, {_WIH.format(k='up_hits', n='up_n')} AS up_high FROM nb",
+    store="prices_weekly",
 )
 def _(t: Tables):
     return ev.with_wilson(ev.naive_baselines(t.prices_weekly, ev.walk_forward_splits(t.prices_weekly)), "up_hits", "up_n", "up")
@@ -413,6 +422,7 @@ def _(t: Tables):
     "evl_07_track_record", "symbol:s model:s ci_low:d6 ci_high:d6 beats_coinflip:b",
     f"""WITH RECURSIVE {QUALITY_SQL} SELECT symbol, model, greatest(0,p-h) AS ci_low, least(1,p+h) AS ci_high, p-h>0.5 AS beats_coinflip FROM (SELECT *, directional_accuracy AS p,
         1.96e0*sqrt(directional_accuracy*(1-directional_accuracy)/n_steps) AS h FROM pq)""",
+    store="prices_weekly",
 )
 def _(t: Tables):
     return ev.track_record(ev.pooled_quality(ev.step_quality(_eval(t))))
@@ -423,9 +433,10 @@ def _(t: Tables):
     f"""WITH RECURSIVE {ERR_SQL}, sc AS (SELECT symbol, model, 0.5e0*max(rmse) FILTER (fold=0)+0.5e0*avg(rmse) AS score, avg(rmse) AS wf FROM er GROUP BY 1,2),
         w AS (SELECT symbol, arg_min(model, score) AS gw, min(score) AS score, arg_min(model, wf) AS rb FROM sc GROUP BY 1)
         SELECT symbol, score, gw AS global_winner, CASE WHEN rb<>gw THEN rb ELSE gw END AS winner, CASE WHEN rb<>gw THEN 'regime_conditional' ELSE 'global' END AS selection_mode FROM w""",
+    store="prices_weekly",
 )
 def _(t: Tables):
-    e = ev.point_errors(_eval(t), t.prices_weekly).select("symbol", "model", "fold", "rmse")
+    e = materialise(ev.point_errors(_eval(t), t.prices_weekly).select("symbol", "model", "fold", "rmse"), "errors")
     regimes = e.select("symbol", "fold").distinct().withColumn("regime", F.lit("Normal"))
     current = e.select("symbol").distinct().withColumn("regime", F.lit("Normal"))
     return ev.league_table(e.where("fold = 0").select("symbol", "model", "rmse"), e, regimes, current)
@@ -438,9 +449,10 @@ def _(t: Tables):
         wi AS (SELECT model, count(*) AS wins FROM (SELECT symbol, arg_min(model, mape) AS model FROM pq GROUP BY 1) GROUP BY 1)
         SELECT k.model, n, n_symbols, hits/n AS acc_rate, {_WIL.format(k='hits', n='n')} AS acc_low, {_WIH.format(k='hits', n='n')} AS acc_high, mape_median, long_short_median, coalesce(wins,0) AS wins, (hits/n-best)*100 AS edge_pp
         FROM k LEFT JOIN wi ON wi.model=k.model, b""",
+    store="prices_weekly",
 )
 def _(t: Tables):
-    q = ev.pooled_quality(ev.step_quality(_eval(t)))
+    q = materialise(ev.pooled_quality(ev.step_quality(_eval(t))), "quality")
     return ev.evaluation_summary(q, ev.naive_baselines(t.prices_weekly, ev.walk_forward_splits(t.prices_weekly)))
 
 
@@ -457,7 +469,7 @@ def _(t: Tables):
     return ev.staleness(cfg, now).withColumn("triggers", F.concat_ws(",", "triggers"))
 
 
-@register("evl_11_forecast_table", "symbol:s fold:i model:s step:i predicted:d3", f"{_SPR} SELECT symbol, fold, model, step, predicted FROM fk")
+@register("evl_11_forecast_table", "symbol:s fold:i model:s step:i predicted:d3", f"{_SPR} SELECT symbol, fold, model, step, predicted FROM fk", store="prices_weekly")
 def _(t: Tables):
     return ev.fold_forecasts(t.prices_weekly, ev.walk_forward_splits(t.prices_weekly))
 

@@ -30,12 +30,16 @@ class Query:
     build: Callable[[Tables], DataFrame]
     columns: str
     sql: str | None
+    store: tuple[str, ...] = ()
 
     def fields(self) -> list[tuple[str, str]]:
         return [tuple(part.split(":")) for part in self.columns.split()]
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = self.build(Tables(tune(spark), sf_dir))
+        tables = Tables(tune(spark), sf_dir)
+        for name in self.store:
+            tables.store(name)
+        df = self.build(tables)
         return df.select(*[_spark_cell(name, kind) for name, kind in self.fields()])
 
     def oracle(self) -> str | None:
@@ -84,15 +88,18 @@ def _sql_cell(name: str, kind: str) -> str:
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, columns: str, sql: str | None = None):
-    """Decorator: file a ``Tables -> DataFrame`` builder under ``name``."""
+def register(name: str, columns: str, sql: str | None = None, store: str = ""):
+    """Decorator: file a ``Tables -> DataFrame`` builder under ``name``.
+
+    ``store`` lists the derived tables the query reads several times; each is written once per run.
+    """
     if not re.fullmatch(r"[a-z]+_[a-z0-9_]+", name):
         raise ValueError(f"bad query name {name!r}")
 
     def add(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, build, columns, sql)
+        REGISTRY[name] = Query(name, build, columns, sql, tuple(store.split()))
         return build
 
     return add

@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # sessions merge inside each task before the shuffle, so a chatty device sends few rows
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from risklake.session import materialise
+
 # The six price symbols and how each is classed in this data set.
 SYMBOLS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 FORECAST_START = "2001-06-14"
@@ -50,6 +52,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def store(self, name: str) -> None:
+        """Write a derived table that a query reads more than once, and serve it from there."""
+        self.__dict__[name] = materialise(getattr(self, name), name)
+
     # ---- prices -----------------------------------------------------------------
     @cached_property
     def _traded(self) -> DataFrame:
