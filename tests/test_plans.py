@@ -7,9 +7,12 @@ import pytest
 import __spark_entry__ as entry_module
 
 SF = "/root/testdata/sf0.001"
-# these run a stream (or write a shared step) while being built
-EAGER = {"str_04_route_by_type", "var_11_method_comparison"}
-NAMES = [n for n in entry_module.queries() if not n.endswith("_stream") and n not in EAGER]
+NAMES = [
+    "join_01_pair_alignment", "join_04_benchmark_alignment", "join_08_alert_exposure", "join_09_monitored_symbols", "join_11_alert_fan_out", "join_12_event_window", "join_16_trade_list", "join_17_batch_grid",
+    "join_18_threshold_lookup", "join_19_cached_match", "ret_16_period_return", "agg_11_asset_contributions", "agg_14_performance_block", "agg_21_monthly_fragility", "agg_28_return_histogram",
+    "cor_04_snapshot_batch", "cor_07_episode_statistics", "reg_05_portfolio_regime", "alc_14_best_subset", "sim_02_scenario_merge", "sim_05_portfolio_fan", "sim_10_worst_case_shock", "evl_09_evaluation_summary",
+    "flt_03_saved_screens", "alt_02_zscore_anomaly", "alt_10_notification_decision", "alt_13_auto_mute", "str_06_registry_enrichment",
+]
 
 
 def plan_of(spark, name: str) -> str:
