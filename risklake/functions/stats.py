@@ -154,6 +154,8 @@ def exact_quantiles(
     sketch = data.groupBy(*by).agg(
         F.count("*").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), *bounds
     )
+    # the bracket must span the sketch error plus one rank either side; a group of few ranks is taken whole
+    small = F.col("_n") <= 10 * accuracy
     targets = sketch.select(
         *by,
         "_n",
@@ -163,8 +165,8 @@ def exact_quantiles(
                     F.struct(
                         F.lit(name).alias("q"),
                         (F.lit(p) * (F.col("_n") - 1)).alias("pos"),
-                        (F.col("_min") if p <= margin else F.col(f"_lo_{name}")).alias("lo"),
-                        (F.col("_max") if p >= 1 - margin else F.col(f"_hi_{name}")).alias("hi"),
+                        F.when(small, F.col("_min")).otherwise(F.col("_min") if p <= margin else F.col(f"_lo_{name}")).alias("lo"),
+                        F.when(small, F.col("_max")).otherwise(F.col("_max") if p >= 1 - margin else F.col(f"_hi_{name}")).alias("hi"),
                     )
                     for name, p in probs.items()
                 ]

@@ -145,7 +145,7 @@ def _(t: Tables):
 @register(
     "agg_16_risk_contributions", "portfolio_id:i symbol:s weight:d6 n_obs:i risk_contribution:d6 risk_pct:d6 portfolio_vol:d6",
     f"""WITH c AS ({COMMON_D}), k AS (SELECT a.portfolio_id, a.symbol AS i, b.symbol AS j, any_value(b.weight) AS wj, any_value(a.weight) AS wi,
-          count(*) AS n, covar_samp(a.ret,b.ret)*252 AS cov FROM c a JOIN c b ON a.portfolio_id=b.portfolio_id AND a.date=b.date GROUP BY 1,2,3),
+          count(*) AS n, covar_samp(a.ret,b.ret)*252 AS cov FROM c a JOIN c b ON a.portfolio_id=b.portfolio_id AND a.date=b.date GROUP BY 1,2,3 HAVING count(*)>=60),
         g AS (SELECT portfolio_id, i AS symbol, any_value(wi) AS weight, any_value(n) AS n_obs, sum(wj*cov)*any_value(wi) AS wc FROM k GROUP BY 1,2),
         v AS (SELECT *, sqrt(sum(wc) OVER (PARTITION BY portfolio_id)) AS vol FROM g)
         SELECT portfolio_id, symbol, weight, n_obs, wc/vol AS risk_contribution, wc/vol/vol AS risk_pct, vol AS portfolio_vol FROM v""",

@@ -148,8 +148,8 @@ def _(t: Tables):
 WATCH_SQL = f"""WITH h AS (SELECT portfolio_id, symbol, weight, CASE WHEN asset_type='BOND' THEN 'bond' WHEN asset_type='FUTURE' THEN 'commodity' ELSE 'equity' END AS sleeve FROM core),
     m AS (SELECT portfolio_id, sum(CASE WHEN sleeve='equity' THEN weight ELSE 0 END)/sum(weight) AS ew, sum(CASE WHEN sleeve='bond' THEN weight ELSE 0 END)/sum(weight) AS bw FROM h GROUP BY 1),
     j AS (SELECT h.portfolio_id, sleeve, h.symbol, date, weight/sum(weight) OVER (PARTITION BY h.portfolio_id, sleeve, date) AS share,
-      price/lag(price) OVER (PARTITION BY h.portfolio_id, sleeve, h.symbol ORDER BY date)-1 AS r FROM h JOIN pw ON pw.symbol=h.symbol
-      JOIN m ON m.portfolio_id=h.portfolio_id WHERE ew>=0.05 AND bw>=0.05),
+      price/lag(price) OVER (PARTITION BY h.portfolio_id, sleeve, h.symbol ORDER BY date)-1 AS r FROM (SELECT n.*, date, price FROM (SELECT *, count(*) OVER (PARTITION BY portfolio_id, sleeve) AS nh FROM h) n JOIN pw ON pw.symbol=n.symbol
+        QUALIFY count(*) OVER (PARTITION BY n.portfolio_id, sleeve, date) = nh) h JOIN m ON m.portfolio_id=h.portfolio_id WHERE ew>=0.05 AND bw>=0.05),
     s AS (SELECT portfolio_id, sleeve, date, 100*product(1+r) OVER (PARTITION BY portfolio_id, sleeve ORDER BY date {UP}) AS price FROM
       (SELECT portfolio_id, sleeve, date, sum(share*r) AS r FROM j WHERE r IS NOT NULL GROUP BY 1,2,3)),
     l AS (SELECT portfolio_id, date, pa/lag(pa) OVER (PARTITION BY portfolio_id ORDER BY date)-1 AS a, pb/lag(pb) OVER (PARTITION BY portfolio_id ORDER BY date)-1 AS b

@@ -178,7 +178,8 @@ def _(t: Tables):
         ELSE 'equity' END AS sleeve FROM pos),
         j AS (SELECT h.portfolio_id, sleeve, h.symbol, date, weight/sum(weight) OVER (PARTITION BY h.portfolio_id, sleeve, date) AS share,
         price/lag(price) OVER (PARTITION BY h.portfolio_id, sleeve, h.symbol ORDER BY date)-1 AS r
-        FROM h JOIN pw ON pw.symbol=h.symbol)
+        FROM (SELECT n.*, date, price FROM (SELECT *, count(*) OVER (PARTITION BY portfolio_id, sleeve) AS nh FROM h) n JOIN pw ON pw.symbol=n.symbol
+          QUALIFY count(*) OVER (PARTITION BY n.portfolio_id, sleeve, date) = nh) h)
         SELECT portfolio_id, sleeve, date, 100*product(1+r) OVER (PARTITION BY portfolio_id, sleeve ORDER BY date {UP}) AS price
         FROM (SELECT portfolio_id, sleeve, date, sum(share*r) AS r FROM j WHERE r IS NOT NULL GROUP BY 1,2,3)""",
 )

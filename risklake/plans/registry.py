@@ -22,6 +22,7 @@ from risklake.sources.testdata import Tables
 
 
 ROUND_GUARD = 0.500001
+EXACT_LIMIT = 9e15  # beyond this a double has no digits left to round
 
 
 @dataclass(frozen=True)
@@ -63,7 +64,8 @@ def _spark_cell(name: str, kind: str) -> Column:
         col = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
     else:
         scale = float(10 ** int(kind[1:]))
-        col = F.floor(col.cast("double") * scale + ROUND_GUARD).cast("double") / scale
+        x = col.cast("double")
+        col = F.when(F.abs(x * scale) < EXACT_LIMIT, F.floor(x * scale + ROUND_GUARD).cast("double") / scale).otherwise(x)
     return col.alias(name)
 
 
@@ -81,7 +83,8 @@ def _sql_cell(name: str, kind: str) -> str:
         expr = f"strftime(CAST({col} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
     else:
         scale = f"{10 ** int(kind[1:])}e0"
-        expr = f"floor(CAST({col} AS DOUBLE) * {scale} + {ROUND_GUARD}e0) / {scale}"
+        x = f"CAST({col} AS DOUBLE)"
+        expr = f"CASE WHEN abs({x} * {scale}) < {EXACT_LIMIT} THEN floor({x} * {scale} + {ROUND_GUARD}e0) / {scale} ELSE {x} END"
     return f"{expr} AS {col}"
 
 

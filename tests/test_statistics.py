@@ -44,6 +44,22 @@ def test_exact_quantiles_match_numpy_under_skew_and_ties(spark):
             assert got[g][name] == pytest.approx(np.percentile(sub["x"], p * 100), abs=1e-12), (g, name)
 
 
+@pytest.mark.parametrize("n", [1, 2, 10, 11, 57, 1699, 1703])
+def test_exact_quantiles_of_any_small_group(spark, n):
+    x = np.random.default_rng(n).normal(0, 1, n)
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "x": x}))
+    row = exact_quantiles(df, ["g"], "x", {"low": 0.1, "high": 0.9}).first()
+    assert row["low"] == pytest.approx(np.percentile(x, 10), abs=1e-12) and row["high"] == pytest.approx(np.percentile(x, 90), abs=1e-12)
+
+
+@pytest.mark.parametrize("n", [1001, 1013, 2999])
+def test_exact_quantiles_of_bracketed_groups(spark, n):
+    x = np.random.default_rng(n).normal(0, 1, n)
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "x": x}))
+    row = exact_quantiles(df, ["g"], "x", {"low": 0.1, "high": 0.9}, accuracy=100).first()
+    assert row["low"] == pytest.approx(np.percentile(x, 10), abs=1e-12) and row["high"] == pytest.approx(np.percentile(x, 90), abs=1e-12)
+
+
 def test_bias_corrected_moments(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 4, 8, 9)], "x double")
     row = df.select(sample_skew(F.col("x")).alias("s"), sample_excess_kurtosis(F.col("x")).alias("k")).first()
