@@ -17,6 +17,7 @@ SPAN = 10
 K = 5
 BROADCAST_BYTES = 16 << 20  # item fingerprints up to this size go to every executor; more are joined by shuffle
 SENTINEL = -1
+_POSITION = (1 << 31) - 1
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -31,20 +32,28 @@ def item_words(text: Column) -> Column:
     return F.array_remove(split, "")
 
 
-def _gram(words: str, at: Column, k: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + i) for i in range(k)])
+def _tail(array: Column, drop: int) -> Column:
+    """The array without its first elements; ``slice`` takes no length beyond the end badly."""
+    return F.slice(array, F.lit(drop + 1), F.greatest(F.size(array) - drop, F.lit(0)))
+
+
+def _pairs(left: str, right: str, drop: int, f) -> Column:
+    """``f`` of each element and the one ``drop`` further on (null beyond the end)."""
+    return F.zip_with(F.col(left), _tail(F.col(right), drop), f)
 
 
 def seeds(texts: DataFrame, words: str = "hw") -> DataFrame:
-    """Add ``grams`` (hash of the ``K`` words from each position, low three bits clear) and ``at`` (positions kept by winnowing)."""
-    n = F.size(words)
-    none = F.array().cast("array<int>")
-    grams = F.when(n >= SPAN, F.transform(F.sequence(F.lit(0), n - K), lambda i: _gram(words, i, K).bitwiseAND(~7)))
-    texts = texts.withColumn("grams", F.coalesce(grams, F.array().cast("array<long>")))
-    # the low bits carry the offset, so the smallest value is the leftmost smallest hash
-    smallest = lambda i: F.least(*[F.get("grams", i + d).bitwiseOR(d) for d in range(SPAN - K + 1)])
-    kept = F.transform(F.sequence(F.lit(0), n - SPAN), lambda i: i + smallest(i).bitwiseAND(7).cast("int"))
-    return texts.withColumn("at", F.coalesce(F.when(n >= SPAN, F.array_distinct(kept)), none))
+    """Add ``grams`` (hash of the ``K`` = 5 words from each position) and ``kept`` (winnowed: position in the low 31 bits).
+
+    Built by doubling: pairs, fours, then five words; minima of two, four, then six. The low bits hold the position, so the
+    smallest value is the leftmost smallest hash. Near the end of a text fewer words are hashed and compared, which only adds seeds.
+    """
+    both, least = lambda a, b: F.xxhash64(a, b), lambda a, b: F.least(a, b)
+    texts = texts.withColumn("g", _pairs(words, words, 1, both)).withColumn("g", _pairs("g", "g", 2, both)).withColumn("grams", _pairs("g", words, 4, both)).drop("g")
+    texts = texts.withColumn("v", F.transform("grams", lambda g, i: g.bitwiseAND(~_POSITION).bitwiseOR(i)))
+    texts = texts.withColumn("m2", _pairs("v", "v", 1, least)).withColumn("m4", _pairs("m2", "m2", 2, least)).withColumn("m6", _pairs("m4", "m2", 4, least))
+    none = F.array().cast("array<long>")
+    return texts.withColumn("kept", F.when(F.size(words) >= SPAN, F.array_distinct("m6")).otherwise(none)).drop("v", "m2", "m4", "m6")
 
 
 def _equal_run(a: Column, b: Column) -> Column:
@@ -65,8 +74,10 @@ def _after(words: str, at: Column) -> Column:
 
 def benchmark_seeds(items: DataFrame) -> DataFrame:
     """``items(item_id, text)`` -> fingerprints of the items of ``SPAN`` words or more, each with its surroundings."""
-    words = items.select("item_id", F.transform(item_words(F.col("text")), lambda w: F.xxhash64(w)).alias("hw")).where(F.size("hw") >= SPAN)
-    each = seeds(words).select("item_id", "hw", "grams", F.explode("at").alias("q"))
+    words = items.select("item_id", F.transform(item_words(F.col("text")), lambda w: F.xxhash64(w)).alias("hw"))
+    # explode_outer: a plain explode would have its "not empty" test, and with it all the hashing, pushed below and done twice
+    each = seeds(words).select("item_id", "hw", "grams", F.explode_outer("kept").alias("q")).where("q is not null")
+    each = each.withColumn("q", F.col("q").bitwiseAND(_POSITION).cast("int"))
     return each.select(F.get("grams", F.col("q")).alias("fp"), "item_id", _before("hw", F.col("q")).alias("item_left"), _after("hw", F.col("q")).alias("item_right")).distinct()
 
 
@@ -97,7 +108,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     worded = docs.select("doc_id", F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2"), item_words(F.col("text")).alias("words"))
     hashed = worded.select(*key, F.transform("words", lambda w: F.xxhash64(w)).alias("hw"))
-    rows = seeds(hashed).select(*key, "hw", "grams", F.explode(F.array_append("at", SENTINEL)).alias("p"))
+    rows = seeds(hashed).select(*key, "hw", "grams", F.explode_outer(F.array_append("kept", F.lit(SENTINEL).cast("long"))).alias("p"))
+    rows = rows.withColumn("p", F.when(F.col("p") == SENTINEL, SENTINEL).otherwise(F.col("p").bitwiseAND(_POSITION).cast("int")))
     rows = rows.withColumn("fp", F.when(F.col("p") >= 0, F.get("grams", F.col("p"))))
     if small:
         met = rows.join(F.broadcast(fingerprints), "fp", "left").where("p < 0 or item_right is not null")
@@ -119,7 +131,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
             F.when(F.size("hw") >= k, F.transform(F.sequence(F.lit(0), F.size("hw") - k), _short_gram(k)))
             .otherwise(F.array().cast("array<struct<s:int,e:int,fp:bigint>>")) for k in lengths
         ]))
-        each = hashed.select(*key, F.explode(grams).alias("g")).select(*key, "g.*")
+        each = hashed.select(*key, F.explode_outer(grams).alias("g")).select(*key, "g.*").where("fp is not null")
         found = found.unionByName(each.join(short.drop("k"), "fp").select(*key, "item_id", "s", "e"), allowMissingColumns=True)
     # hits of one document: first each stretch once, then their union
     sums = found.groupBy(*key).agg(
@@ -148,7 +160,7 @@ ks AS (SELECT DISTINCT k FROM bw),
 dw AS (SELECT rid, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
 m AS (SELECT rid, i, dw.k, item_id FROM dw JOIN bw ON dw.g = bw.g AND dw.k = bw.k),
 n AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM m) GROUP BY rid),
-t AS (SELECT rid, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM m GROUP BY rid)
+t AS (SELECT rid, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM m WHERE item_id IS NOT NULL GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
        sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN t USING (rid)"""
