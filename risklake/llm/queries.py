@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from risklake.llm.decontaminate import OP5_SQL, op5_decontaminate
+from risklake.llm.license_scan import OP7_SQL, op7_license_scan
 from risklake.llm.mixing import OP3_SQL, op3_mix_sources
 from risklake.llm.quality import op8_quality_rules
+from risklake.llm.secret_scan import OP6_SQL, op6_secret_scan
 from risklake.llm.simhash import op1_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op5_decontaminate": op5_decontaminate,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op5_decontaminate": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_secret_scan": OP6_SQL, "op7_license_scan": OP7_SQL}
