@@ -12,6 +12,7 @@ from risklake.llm.mixing import OP3_SQL, op3_mix_sources
 from risklake.llm.quality import op8_quality_rules
 from risklake.llm.secret_scan import OP6_SQL, op6_secret_scan
 from risklake.llm.simhash import op1_simhash_near_dedup
+from risklake.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_secret_scan": OP6_SQL, "op7_license_scan": OP7_SQL}
