@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from risklake.llm.decontaminate import OP5_SQL, op5_decontaminate
 from risklake.llm.license_scan import OP7_SQL, op7_license_scan
+from risklake.llm.line_dedup import op10_line_dedup
 from risklake.llm.mixing import OP3_SQL, op3_mix_sources
 from risklake.llm.quality import op8_quality_rules
 from risklake.llm.secret_scan import OP6_SQL, op6_secret_scan
 from risklake.llm.simhash import op1_simhash_near_dedup
+from risklake.llm.substring import op2_substring_dedup
 from risklake.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op5_decontaminate": op5_decontaminate,
     "op6_secret_scan": op6_secret_scan,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": OP3_SQL, "op5_decontaminate": OP5_SQL, "op6_secret_scan": OP6_SQL, "op7_license_scan": OP7_SQL}
