@@ -145,6 +145,13 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"), "k1", "k2")
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item window."""
+    bad = materialise(contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("k1").alias("_h1"), F.col("k2").alias("_h2")).distinct(), "contaminated")
+    text = F.coalesce("text", F.lit(""))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.lit(1), text) == F.col("_h1")) & (F.xxhash64(F.lit(2), text) == F.col("_h2")), "left_anti")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(tune(spark).read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -10,6 +10,7 @@ from risklake.llm.decontaminate import OP5_SQL, op5_decontaminate
 from risklake.llm.license_scan import OP7_SQL, op7_license_scan
 from risklake.llm.line_dedup import op10_line_dedup
 from risklake.llm.mixing import OP3_SQL, op3_mix_sources
+from risklake.llm.pii import op4_pii_surrogates
 from risklake.llm.quality import op8_quality_rules
 from risklake.llm.secret_scan import OP6_SQL, op6_secret_scan
 from risklake.llm.simhash import op1_simhash_near_dedup
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_mix_sources": op3_mix_sources,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_decontaminate": op5_decontaminate,
     "op6_secret_scan": op6_secret_scan,
     "op7_license_scan": op7_license_scan,

@@ -50,13 +50,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(shingle: int):
+    """The last column is the text; the others are passed on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            *keys, texts = batch.columns
             made = np.empty(len(texts), np.uint64)
             for lo, hi in chunks(texts):
                 made[lo:hi] = [fingerprint(t, shingle) for t in texts.slice(lo, hi - lo).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(made.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
     return run
 
@@ -139,6 +141,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return placed.mapInArrow(_links(radius), "a long, b long")
 
 
+def _roots(made: DataFrame, radius: int, tile: int) -> DataFrame:
+    """``made(fp, ...)`` -> ``(fp, root)``: the class of every fingerprint, named by one of its own."""
+    distinct = materialise(made.select("fp").distinct(), "simhash-distinct")
+    roots = components(links(distinct, radius, tile))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, fp, component_id)``, one row per input row.
 
@@ -147,10 +156,8 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
     one. Other columns are ignored. Empty table: no rows.
     """
     made = materialise(docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "simhash-fp")
-    distinct = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = materialise(distinct, "simhash-distinct")
-    roots = components(links(distinct.select("fp"), radius, tile))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    rooted = _roots(made, radius, tile).join(least, "fp")
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(heads, "root").select("fp", "component_id")
     return made.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -161,8 +168,21 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def simhash_keep(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest ``doc_id`` (rows without one: all kept, they cannot be told apart)."""
-    found = simhash_components(docs, shingle, radius).groupBy("doc_id").agg(F.min("component_id").alias("_head"))
-    kept = found.where("doc_id is null or doc_id = _head").select("doc_id")
-    return docs.join(kept.where("doc_id is not null"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+def simhash_keep(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row of each component of ``docs``, all columns: that of the smallest (doc_id, text hash), null ids last.
+
+    Rows listed more than once with the same id and text count as one.
+    """
+    key = ["doc_id", "_k1", "_k2"]
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.drop("_k1", "_k2").withColumn("_k1", F.xxhash64(F.lit(1), text)).withColumn("_k2", F.xxhash64(F.lit(2), text))
+    made = materialise(rows.select(*key, "text").mapInArrow(_fingerprints(shingle), "doc_id long, _k1 long, _k2 long, fp long"), "simhash-fp")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), *key)
+    times = made.groupBy(*key, "fp").agg(F.count("*").alias("times"))
+    rooted = times.join(_roots(made, radius, tile), "fp")
+    kept = rooted.groupBy("root").agg(F.min(F.struct(place.alias("place"), "times")).alias("m")).select(F.col("m.place.doc_id").alias("_id"), F.col("m.place._k1").alias("_h1"), F.col("m.place._k2").alias("_h2"), F.col("m.times").alias("_times"))
+    kept = materialise(kept, "simhash-kept")
+    met = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")))
+    alone = met.where("_times = 1")
+    repeated = met.where("_times > 1").dropDuplicates(["_id", "_h1", "_h2"])
+    return alone.unionByName(repeated).select(*[c for c in docs.columns if c not in ("_k1", "_k2")])
