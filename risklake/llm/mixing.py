@@ -73,6 +73,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     per_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     dealt = sized.withColumn("key", key).join(per_source.select(key.alias("key"), "source_size", "target"), "key")
     dealt = dealt.withColumn("shard", F.pmod(F.col("h"), F.floor(F.col("source_size") / SHARD) + 1))
+    # dealt by shard, or the layout of the join (by source) would be kept and a hot source sorted in one task
+    dealt = dealt.repartition("key", "shard")
     shard = Window.partitionBy("key", "shard")
     laid = shard.orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = dealt.withColumn("end", F.sum("size").over(laid)).withColumn("words", F.sum("size").over(shard))
