@@ -119,8 +119,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     paths = materialise(docs.select(*KEY, "text").mapInArrow(_paths(window, seed), PATHS), "dbg-paths")
     # seeds that occur once settle their windows: no other window can equal them
     twice = paths.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    twice = materialise(twice, "dbg-twice")  # a table, not an aggregate: both sides of the join are then dealt anew and a hot seed is split
     again = materialise(paths.join(twice, "seed", "left_semi"), "dbg-again")
-    discard(paths)
+    discard(paths, twice)
     kinds = again.groupBy("seed", "path").agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "start", "edges")).alias("at"))
     kinds = materialise(kinds.select("seed", "path", F.least("times", F.lit(2)).cast("int").alias("times"), "at.*"), "dbg-kinds")
     compact = again.join(kinds.where("times > 1").select("seed", "path"), ["seed", "path"], "left_semi").select(*KEY, "start", F.col("edges").alias("n")).distinct()
