@@ -7,6 +7,7 @@ set sizes within a factor (2 - t)/t of each other, so a unit meets only the temp
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,8 @@ def licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES,
     other; other columns are ignored.
     """
     table = template_table(docs.sparkSession, templates)
-    span = lambda n: (math.ceil(n * threshold / (2 - threshold)), math.floor(n * (2 - threshold) / threshold))
+    ratio = Fraction(str(threshold)) / (2 - Fraction(str(threshold)))  # exact: a bound must not cut off a Dice value of just the threshold
+    span = lambda n: (math.ceil(n * ratio), math.floor(n / ratio))
     least, most = min(span(len(b))[0] for _, b in table), max(span(len(b))[1] for _, b in table)
     rows = docs.select("doc_id", F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), "\n"), _words).alias("lines"))
     units = F.transform("lines", lambda w, i: F.struct(i.alias("line"), _bigrams(w).alias("b")))
