@@ -146,10 +146,10 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item window."""
-    bad = materialise(contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("k1").alias("_h1"), F.col("k2").alias("_h2")).distinct(), "contaminated")
+    """The rows of ``docs``, all columns, that hold no item window (names that begin with ``_dc_`` are reserved)."""
+    bad = materialise(contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_dc_id"), F.col("k1").alias("_dc_1"), F.col("k2").alias("_dc_2")).distinct(), "contaminated")
     text = F.coalesce("text", F.lit(""))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.lit(1), text) == F.col("_h1")) & (F.xxhash64(F.lit(2), text) == F.col("_h2")), "left_anti")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_dc_id")) & (F.xxhash64(F.lit(1), text) == F.col("_dc_1")) & (F.xxhash64(F.lit(2), text) == F.col("_dc_2")), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

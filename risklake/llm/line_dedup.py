@@ -2,8 +2,8 @@
 
 Every line with a visible character gets a signature of ``BANDS`` x ``ROWS`` minima over its ``SHINGLE``-character shingles (a
 shorter line is one shingle). Lines that share a band are candidates, verified by exact Jaccard similarity of their shingle
-sets: first each against the smallest line of the bucket, then, in buckets of three or more where that failed for some, all
-pairs in bounded tiles. Links are joined by distributed union-find (``graph.components``); of each component the first line stays.
+sets: first each against the smallest line of the bucket; then, in buckets that hold lines not connected yet, all pairs of such lines
+in bounded tiles. Links are joined by distributed union-find (``graph.components``); of each component the first line stays.
 
 At the threshold of 0.8 a pair shares a band with probability 1 - (1 - 0.8^3)^8 = 0.997, at 0.9 above 0.9999. Equal lines are always linked.
 """
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklake.llm.graph import components, forest
+from risklake.llm.graph import components
 from risklake.llm.simhash import _carried
 from risklake.llm.tiles import tiled
 from risklake.llm.tokens import mix
@@ -27,7 +27,7 @@ from risklake.session import discard, materialise, tune
 SHINGLE = 8  # characters; a power of two, hashed by doubling
 THRESHOLD = 0.8
 BANDS, ROWS = 8, 3
-TILE = 64
+TILE = 256
 CHUNK = 1 << 18  # characters hashed at a time
 BROADCAST_LINES = 1 << 20  # candidate line ids (8 bytes each) up to which they go to every executor
 ROW_KEY = ["doc_id", "k1", "k2"]
@@ -137,23 +137,44 @@ def _verify(threshold: float):
     return run
 
 
+def _shared(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """``similar`` on sorted shingle hashes, eight bytes a shingle."""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= threshold * (len(a) + len(b) - both)
+
+
 def _verify_tiles(threshold: float):
+    """All pairs of a tile (or across two) that are not connected yet, neither by earlier links nor by those found on the way."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _carried(batches, "unit"):
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(part["unit"])) + 1, [len(part["unit"])]])
             left, right = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                sets = [shingles(t) for t in part["text"][lo:hi]]
-                side, h = part["side"][lo:hi], part["h"][lo:hi]
+                text, side, h, root = (part[c][lo:hi] for c in ("text", "side", "h", "root"))
+                made: dict[int, np.ndarray] = {}
+
+                def hashes(i: int, text=text, made=made) -> np.ndarray:
+                    if i not in made:
+                        points = np.frombuffer(text[i].encode("utf-32-le", "surrogatepass"), "<u4")
+                        made[i] = np.unique(shingle_hashes(points, np.array([len(points)]))[0])
+                    return made[i]
+
+                root = root.copy()
                 across = bool(side.any())
                 for i in range(hi - lo):
-                    for j in range(i + 1, hi - lo):
-                        if (not across or side[i] != side[j]) and similar(sets[i], sets[j], threshold):
+                    others = np.arange(i + 1, hi - lo)
+                    if across:
+                        others = others[side[others] != side[i]]
+                    for j in others[root[others] != root[i]].tolist():
+                        if root[j] != root[i] and _shared(hashes(i), hashes(j), threshold):
                             left.append(h[i])
                             right.append(h[j])
+                            root[root == root[j]] = root[i]
             if left:
-                a, b = forest(np.array(left), np.array(right))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(left)), pa.array(np.array(right))], ["a", "b"])
 
     return run
 
@@ -177,13 +198,17 @@ def line_links(docs: DataFrame, lines: DataFrame, threshold: float = THRESHOLD)
     pairs = members.where("a <> b").select("a", "b").distinct()
     pairs = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("t")), "b")
     checked = materialise(pairs.select("a", "b", "s", "t").sortWithinPartitions("a").mapInArrow(_verify(threshold), "a long, b long, ok boolean"), "line-checked")
-    # leaders that some member is unlike: the rest of such a bucket is compared among itself
-    failed = members.where("n > 2").join(checked.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("band").distinct()
-    rest = members.join(failed, "band", "left_semi").where("a <> b").select("band", F.col("b").alias("h"))
-    units = tiled(rest, "band", F.xxhash64("h", F.lit(5)), F.lit(0), 0, TILE).join(texts, "h").select("unit", "side", "h", "text")
+    # a bucket whose members are all connected by now is done; so is one of two members, compared already. Of buckets with the
+    # same members one is enough
+    roots = components(checked.where("ok").select("a", "b")).withColumnRenamed("node", "b")
+    placed = materialise(members.where("n > 2").join(roots, "b", "left").select("band", F.col("b").alias("h"), F.coalesce("root", "b").alias("root")), "line-placed")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).where("lo <> hi")
+    mixed = materialise(mixed.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"), "line-mixed")
+    rest = placed.join(mixed, "band", "left_semi")
+    units = tiled(rest, "band", F.xxhash64("h", F.lit(5)), F.lit(0), 0, TILE).join(texts, "h").select("unit", "side", "h", "root", "text")
     more = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_verify_tiles(threshold), "a long, b long")
     out = materialise(checked.where("ok").select("a", "b").unionByName(more), "line-links")
-    discard(members, wanted, texts, checked)
+    discard(members, wanted, texts, checked, placed, mixed)
     return out
 
 
@@ -218,9 +243,9 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stays null, a text of which no line is left becomes empty. Columns named like the added ones are replaced. Empty table: no rows.
     """
     rows = keyed(docs.drop("k1", "k2", "gone", "n_lines", "n_gone"))
-    gone = repeated_lines(rows, threshold).withColumnRenamed("doc_id", "_id")
+    gone = repeated_lines(rows, threshold)
     # null ids are matched by their text alone
-    met = rows.join(gone, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (rows["k1"] == gone["k1"]) & (rows["k2"] == gone["k2"]), "left").select(*[rows[c] for c in rows.columns], "gone")
+    met = rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["k1"] == gone["k1"]) & (rows["k2"] == gone["k2"]), "left").select(*[rows[c] for c in rows.columns], gone["gone"])
     parts = F.split("text", "\n")
     left = F.array_join(F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.array_contains("gone", p["i"])), lambda p: p["x"]), "\n")
     return met.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("n_gone", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).drop("gone", "k1", "k2")

@@ -171,18 +171,18 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_keep(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """One row of each component of ``docs``, all columns: that of the smallest (doc_id, text hash), null ids last.
 
-    Rows listed more than once with the same id and text count as one.
+    Rows listed more than once with the same id and text count as one. Names that begin with ``_sh_`` are reserved.
     """
-    key = ["doc_id", "_k1", "_k2"]
+    key = ["doc_id", "_sh_k1", "_sh_k2"]
     text = F.coalesce("text", F.lit(""))
-    rows = docs.drop("_k1", "_k2").withColumn("_k1", F.xxhash64(F.lit(1), text)).withColumn("_k2", F.xxhash64(F.lit(2), text))
-    made = materialise(rows.select(*key, "text").mapInArrow(_fingerprints(shingle), "doc_id long, _k1 long, _k2 long, fp long"), "simhash-fp")
+    rows = docs.withColumn("_sh_k1", F.xxhash64(F.lit(1), text)).withColumn("_sh_k2", F.xxhash64(F.lit(2), text))
+    made = materialise(rows.select(*key, "text").mapInArrow(_fingerprints(shingle), "doc_id long, _sh_k1 long, _sh_k2 long, fp long"), "simhash-fp")
     place = F.struct(F.col("doc_id").isNull().alias("last"), *key)
     times = made.groupBy(*key, "fp").agg(F.count("*").alias("times"))
     rooted = times.join(_roots(made, radius, tile), "fp")
-    kept = rooted.groupBy("root").agg(F.min(F.struct(place.alias("place"), "times")).alias("m")).select(F.col("m.place.doc_id").alias("_id"), F.col("m.place._k1").alias("_h1"), F.col("m.place._k2").alias("_h2"), F.col("m.times").alias("_times"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct(place.alias("place"), "times")).alias("m")).select(F.col("m.place.doc_id").alias("_sh_id"), F.col("m.place._sh_k1").alias("_sh_h1"), F.col("m.place._sh_k2").alias("_sh_h2"), F.col("m.times").alias("_sh_times"))
     kept = materialise(kept, "simhash-kept")
-    met = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")))
-    alone = met.where("_times = 1")
-    repeated = met.where("_times > 1").dropDuplicates(["_id", "_h1", "_h2"])
-    return alone.unionByName(repeated).select(*[c for c in docs.columns if c not in ("_k1", "_k2")])
+    met = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_sh_id")) & (F.col("_sh_k1") == F.col("_sh_h1")) & (F.col("_sh_k2") == F.col("_sh_h2")))
+    alone = met.where("_sh_times = 1")
+    repeated = met.where("_sh_times > 1").dropDuplicates(["_sh_id", "_sh_h1", "_sh_h2"])
+    return alone.unionByName(repeated).select(*docs.columns)
