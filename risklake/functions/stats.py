@@ -195,6 +195,9 @@ def exact_quantiles(
         F.max(F.when(high.between(F.col("first"), F.col("last")), F.col("_x"))).alias("b"),
     )
     result = F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))
+    # every wanted rank must lie inside its bracket; a miss is an error, never a silent null
+    missed = F.col("a").isNull() | F.col("b").isNull()
+    result = F.when(missed, F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")).otherwise(result)
     return picked.groupBy(*by).agg(
         *[F.max(F.when(F.col("q") == name, result)).alias(name) for name in names]
     )

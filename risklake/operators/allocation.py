@@ -287,33 +287,27 @@ def rebalance_suggestions(positions: DataFrame, by: str = "portfolio_id", target
     )
 
 
-def best_subset(moments: DataFrame, cov: DataFrame, size: int, risk_factor: float = 0.5, by: str = "portfolio_id", max_assets: int = 20) -> DataFrame:
-    """Exhaustive best ``size``-asset selection, minimising −μ'x + q·x'Σx, for up to 20 assets.
+def best_subset(moments: DataFrame, cov: DataFrame, size: int, risk_factor: float = 0.5, by: str = "portfolio_id") -> DataFrame:
+    """Exhaustive best ``size``-asset selection, minimising -mu'x + q x'Sigma x, for books of any length.
 
-    ``moments`` is (by, symbol, mu); ``cov`` the upper triangle (symbol_i ≤ symbol_j). Each portfolio
-    row tries its subsets as bit masks, and only the best survives the row.
+    ``moments`` is (by, symbol, mu); ``cov`` the upper triangle (symbol_i <= symbol_j). Only the selections of ``size`` assets
+    are made, index by index in rising order, and the best one survives. A book of fewer assets has none and no row.
     """
     book = moments.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("symbol", "mu"))).alias("b"))
-    book = book.select(by, F.col("b.symbol").alias("symbols"), F.col("b.mu").alias("mu")).where(F.size("symbols") <= max_assets)
-    cells = cov.join(book.select(by, "symbols"), by).select(
-        by, (F.array_position("symbols", F.col("symbol_i")) - 1).cast("int").alias("i"),
-        (F.array_position("symbols", F.col("symbol_j")) - 1).cast("int").alias("j"), "cov",
-    )
-    grid = cells.groupBy(by).agg(F.collect_list(F.struct("i", "j", "cov")).alias("cells"))
-    n = F.size("symbols")
-    every = F.sequence(F.lit(1).cast("bigint"), F.pow(F.lit(2.0), n).cast("bigint") - 1)
-    masks = book.join(grid, by).withColumn("mask", F.explode(every))
-    masks = masks.where(F.bit_count("mask") == size)
-    has = lambda k: F.getbit(F.col("mask"), k) == 1
-    gain = F.aggregate(F.zip_with("mu", F.sequence(F.lit(0), n - 1), lambda m, k: F.when(has(k), m).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)
-    risk = F.aggregate(
-        "cells", F.lit(0.0),
-        lambda s, c: s + F.when(has(c["i"]) & has(c["j"]), c["cov"] * F.when(c["i"] == c["j"], 1.0).otherwise(2.0)).otherwise(0.0),
-    )
-    scored = masks.select(by, "symbols", "mask", (-gain + risk_factor * risk).alias("objective"))
-    best = scored.groupBy(by).agg(F.min(F.struct("objective", "mask", "symbols")).alias("m")).select(by, "m.*")
-    chosen = F.filter("symbols", lambda s, k: F.getbit(F.col("mask"), k) == 1)
-    return best.select(by, "objective", F.concat_ws(",", chosen).alias("selection"))
+    book = book.select(by, F.col("b.symbol").alias("symbols"), F.col("b.mu").alias("mu"))
+    both = cov.select(by, F.explode(F.array(F.struct(F.col("symbol_i").alias("r"), F.col("symbol_j").alias("c"), "cov"), F.struct(F.col("symbol_j").alias("r"), F.col("symbol_i").alias("c"), "cov"))).alias("e")).select(by, "e.*").distinct()
+    grid = both.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("r", "c", "cov"))).alias("m")).select(by, F.col("m.cov").alias("m"))
+    rows = book.join(grid, by).withColumn("n", F.size("symbols")).withColumn("pick", F.array().cast("array<int>"))
+    for k in range(size):
+        first = F.coalesce(F.try_element_at("pick", F.lit(-1)) + 1, F.lit(0))
+        last = F.col("n") - (size - k)
+        more = F.when(first <= last, F.sequence(first, last))
+        rows = rows.select(by, "symbols", "mu", "m", "n", "pick", F.explode(more).alias("i")).withColumn("pick", F.array_append("pick", F.col("i"))).drop("i")
+    gain = F.aggregate("pick", F.lit(0.0), lambda s, i: s + F.get("mu", i))
+    risk = F.aggregate("pick", F.lit(0.0), lambda s, i: s + F.aggregate("pick", F.lit(0.0), lambda u, j: u + F.get("m", i * F.col("n") + j)))
+    scored = rows.select(by, "symbols", "pick", (-gain + risk_factor * risk).alias("objective"))
+    best = scored.groupBy(by).agg(F.min(F.struct("objective", "pick", "symbols")).alias("m")).select(by, "m.*")
+    return best.select(by, "objective", F.concat_ws(",", F.transform("pick", lambda i: F.get("symbols", i))).alias("selection"))
 
 
 def import_weights(holdings: DataFrame, by: str = "portfolio_id") -> DataFrame:

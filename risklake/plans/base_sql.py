@@ -40,7 +40,6 @@ CTES: dict[str, str] = {
         DATE '1995-01-02' + CAST(31*r.portfolio_id + 97*(row_number() OVER
             (PARTITION BY r.portfolio_id ORDER BY r.symbol)-1) AS INTEGER) AS purchase_date, a.asset_type
         FROM pos_raw r JOIN nation ON n_nationkey = r.portfolio_id JOIN assets a ON a.symbol = r.symbol""",
-    "core": """SELECT * FROM pos QUALIFY weight >= avg(weight) OVER (PARTITION BY portfolio_id)""",
     # simple returns
     "rw": """SELECT symbol, date, price, price/nullif(lag(price) OVER (PARTITION BY symbol ORDER BY date),0)-1 AS ret
         FROM pw""",

@@ -15,7 +15,7 @@ UP = "ROWS UNBOUNDED PRECEDING"
 
 ROWS_SQL = """SELECT portfolio_id, symbol, date, price, row_number() OVER (PARTITION BY portfolio_id, symbol ORDER BY date)-1 AS i,
     count(*) OVER (PARTITION BY portfolio_id, symbol) AS n FROM (SELECT h.portfolio_id, h.symbol, p.date, p.price, nh,
-    count(*) OVER (PARTITION BY h.portfolio_id, p.date) AS c FROM (SELECT *, count(*) OVER (PARTITION BY portfolio_id) AS nh FROM core) h
+    count(*) OVER (PARTITION BY h.portfolio_id, p.date) AS c FROM (SELECT *, count(*) OVER (PARTITION BY portfolio_id) AS nh FROM pos) h
     JOIN pw p ON p.symbol=h.symbol) WHERE c=nh AND nh>=2 QUALIFY n>=257"""
 PANEL_SQL = f"""al AS ({ROWS_SQL}), pn AS (SELECT portfolio_id, k, symbol, price, i-st AS pos, price/lag(price) OVER (PARTITION BY portfolio_id, k, symbol ORDER BY i)-1 AS ret
     FROM (SELECT al.*, k, CASE WHEN k=-1 THEN n-253 ELSE k*21 END AS st FROM al, (SELECT unnest(generate_series(-1,40)) AS k) WHERE k=-1 OR k*21<=n-254) WHERE i BETWEEN st AND st+252)"""
@@ -46,7 +46,7 @@ RECURSIVE = "WITH RECURSIVE " + WEIGHTS_SQL
 
 
 def _panel(t: Tables):
-    return al.trailing_panel(al.numbered_prices(t.core_positions, t.prices_weekly))
+    return al.trailing_panel(al.numbered_prices(t.positions, t.prices_weekly))
 
 
 for _name, _method in (
@@ -105,7 +105,7 @@ DAILY_SQL = f"""{WEIGHTS_SQL},
 
 
 def _daily(t: Tables):
-    rows = materialise(al.numbered_prices(t.core_positions, t.prices_weekly), "aligned")
+    rows = materialise(al.numbered_prices(t.positions, t.prices_weekly), "aligned")
     return al.walk_forward(rows, materialise(al.method_weights(al.trailing_panel(rows)), "weights"))
 
 
@@ -141,18 +141,17 @@ def _(t: Tables):
         AND pf.method=wt.method WHERE k=-1""",
 )
 def _(t: Tables):
-    return al.allocation_report(t.core_positions, t.prices_weekly)
+    return al.allocation_report(t.positions, t.prices_weekly)
 
 
 @register(
     "alc_13_rebalance_suggestions", "portfolio_id:i symbol:s current_weight:d6 target_weight:d6 delta:d6 action:s turnover:d6",
     """SELECT *, CASE WHEN delta>0 THEN 'buy' WHEN delta<0 THEN 'sell' ELSE 'hold' END AS action, 0.5*sum(abs(delta)) OVER (PARTITION BY portfolio_id) AS turnover FROM
        (SELECT portfolio_id, symbol, weight AS current_weight, 1e0/count(*) OVER (PARTITION BY portfolio_id) AS target_weight,
-        1e0/count(*) OVER (PARTITION BY portfolio_id) - weight/sum(weight) OVER (PARTITION BY portfolio_id) AS delta FROM posc WHERE portfolio_id IN (SELECT portfolio_id FROM posc GROUP BY 1 HAVING count(*)>1))""",
+        1e0/count(*) OVER (PARTITION BY portfolio_id) - weight/sum(weight) OVER (PARTITION BY portfolio_id) AS delta FROM posc)""",
 )
 def _(t: Tables):
-    many = t.positions_by_customer.groupBy("portfolio_id").count().where("count > 1")
-    return al.rebalance_suggestions(t.positions_by_customer.join(many, "portfolio_id", "left_semi"))
+    return al.rebalance_suggestions(t.positions_by_customer)
 
 
 @register(

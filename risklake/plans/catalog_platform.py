@@ -33,7 +33,7 @@ def _(t: Tables):
     return holdings_csv.parse_holdings(_custodian_rows(t))[0]
 
 
-@register("src_02_custodian_csv_skipped", "_order:i _line:i reason:s", "SELECT l_orderkey AS _order, l_linenumber AS _line, '''Total'' is not a valid ticker' AS reason FROM lineitem JOIN part ON p_partkey=l_partkey WHERE l_returnflag='R'")
+@register("src_02_custodian_csv_skipped", "_order:i _line:i reason:s", "SELECT l_orderkey AS _order, l_linenumber AS _line, 'summary line: Total' AS reason FROM lineitem JOIN part ON p_partkey=l_partkey WHERE l_returnflag='R'")
 def _(t: Tables):
     return holdings_csv.parse_holdings(_custodian_rows(t))[1]
 
@@ -228,11 +228,11 @@ def _(t: Tables):
 
 @register(
     "src_15_bounded_streams", "stream:s event_id:i",
-    "SELECT topic_type AS stream, event_id FROM tele WHERE known QUALIFY row_number() OVER (PARTITION BY topic_type ORDER BY arrived_at DESC, event_id DESC) <= 500",
+    "SELECT topic_type AS stream, event_id FROM tele WHERE known QUALIFY row_number() OVER (PARTITION BY topic_type ORDER BY arrived_at DESC, event_id DESC) <= 10000",
 )
 def _(t: Tables):
     log = tel.parse_topics(t.telemetry).where("topic_type is not null").withColumnRenamed("topic_type", "stream")
-    return sinks.trim_streams(log, cap=500)
+    return sinks.trim_streams(log)
 
 
 # ---- filters -------------------------------------------------------------------------
@@ -419,16 +419,23 @@ def _(t: Tables):
     return t.raw("events").orderBy(F.desc("ts"), F.desc("event_id")).offset(100).limit(50)
 
 
-@register("set_01_date_union", "date:t", "SELECT date FROM pdaily WHERE symbol='ECONOMY' UNION SELECT date FROM pdaily WHERE symbol='SMALL'")
+@register("set_01_date_union", "portfolio_id:i date:t", "SELECT DISTINCT portfolio_id, date FROM pos JOIN pdaily ON pdaily.symbol=pos.symbol")
 def _(t: Tables):
-    p = t.prices_daily
-    return p.where("symbol = 'ECONOMY'").select("date").union(p.where("symbol = 'SMALL'").select("date")).distinct()
+    """Dates on which any holding of a portfolio has a price."""
+    return t.positions.select("portfolio_id", "symbol").join(t.prices_daily, "symbol").select("portfolio_id", "date").distinct()
 
 
-@register("set_02_date_intersection", "date:t", "SELECT date FROM pdaily WHERE symbol='ECONOMY' INTERSECT SELECT date FROM pdaily WHERE symbol='SMALL'")
+@register(
+    "set_02_date_intersection", "portfolio_id:i date:t",
+    """SELECT portfolio_id, date FROM (SELECT *, count(*) OVER (PARTITION BY portfolio_id) AS held FROM pos) o JOIN pdaily ON pdaily.symbol=o.symbol
+       GROUP BY portfolio_id, date, held HAVING count(*)=held""",
+)
 def _(t: Tables):
-    p = t.prices_daily
-    return p.where("symbol = 'ECONOMY'").select("date").intersect(p.where("symbol = 'SMALL'").select("date"))
+    """Dates on which all holdings of a portfolio have one."""
+    held = t.positions.select("portfolio_id", "symbol")
+    n = held.groupBy("portfolio_id").agg(F.count("*").alias("held"))
+    dates = held.join(t.prices_daily, "symbol").groupBy("portfolio_id", "date").agg(F.count("*").alias("priced"))
+    return dates.join(n, "portfolio_id").where("priced = held").select("portfolio_id", "date")
 
 
 @register(

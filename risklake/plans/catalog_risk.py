@@ -145,7 +145,7 @@ def _(t: Tables):
     return _tagged_parts(t).withColumn("sleeve", cor.sleeve_of(F.col("ticker"), F.col("asset_class")))
 
 
-WATCH_SQL = f"""WITH h AS (SELECT portfolio_id, symbol, weight, CASE WHEN asset_type='BOND' THEN 'bond' WHEN asset_type='FUTURE' THEN 'commodity' ELSE 'equity' END AS sleeve FROM core),
+WATCH_SQL = f"""WITH h AS (SELECT portfolio_id, symbol, weight, CASE WHEN asset_type='BOND' THEN 'bond' WHEN asset_type='FUTURE' THEN 'commodity' ELSE 'equity' END AS sleeve FROM pos),
     m AS (SELECT portfolio_id, sum(CASE WHEN sleeve='equity' THEN weight ELSE 0 END)/sum(weight) AS ew, sum(CASE WHEN sleeve='bond' THEN weight ELSE 0 END)/sum(weight) AS bw FROM h GROUP BY 1),
     j AS (SELECT h.portfolio_id, sleeve, h.symbol, date, weight/sum(weight) OVER (PARTITION BY h.portfolio_id, sleeve, date) AS share,
       price/lag(price) OVER (PARTITION BY h.portfolio_id, sleeve, h.symbol ORDER BY date)-1 AS r FROM (SELECT n.*, date, price FROM (SELECT *, count(*) OVER (PARTITION BY portfolio_id, sleeve) AS nh FROM h) n JOIN pw ON pw.symbol=n.symbol
@@ -163,7 +163,7 @@ WATCH_SQL = f"""WITH h AS (SELECT portfolio_id, symbol, weight, CASE WHEN asset_
 
 def regime_watch(t: Tables):
     sleeve = F.when(F.col("asset_type") == "BOND", "bond").when(F.col("asset_type") == "FUTURE", "commodity").otherwise("equity")
-    return cor.portfolio_regime_watch(t.core_positions.withColumn("sleeve", sleeve), t.prices_weekly)
+    return cor.portfolio_regime_watch(t.positions.withColumn("sleeve", sleeve), t.prices_weekly)
 
 
 register(
@@ -323,13 +323,13 @@ def _u(*keys: str) -> str:
 BOOT_SQL = f"""WITH p AS (SELECT portfolio_id, date, ret, row_number() OVER (PARTITION BY portfolio_id ORDER BY date)-1 AS rn, count(*) OVER (PARTITION BY portfolio_id) AS n FROM prd),
     b AS (SELECT portfolio_id, date, ret, n, rn - (greatest(252, n-250)-252) AS seq, rn FROM p WHERE n>=283),
     d AS (SELECT portfolio_id, date, ret AS realized, rn, rn-1-CAST(floor({_u('portfolio_id', 'rn', 'sim', '0')}*252) AS BIGINT) AS src FROM b,
-      (SELECT unnest(generate_series(0,99)) AS sim) WHERE rn >= greatest(252, n-250) AND rn <= n-1)
+      (SELECT unnest(generate_series(0,399)) AS sim) WHERE rn >= greatest(252, n-250) AND rn <= n-1)
     SELECT d.portfolio_id, d.date, any_value(realized) AS realized, quantile_cont(s.ret, 0.05) AS var FROM d JOIN p s ON s.portfolio_id=d.portfolio_id AND s.rn=d.src GROUP BY 1,2"""
 
 
 @register("var_03_joint_bootstrap", "portfolio_id:i date:t realized:d6 var:d6", BOOT_SQL)
 def _(t: Tables):
-    return vb.bootstrap_var(materialise(_replay(t), "var-replay"), n_sims=100)
+    return vb.bootstrap_var(materialise(_replay(t), "var-replay"), n_sims=400)
 
 
 @register(
@@ -393,7 +393,7 @@ for _name, _cols in {
 def _(t: Tables):
     # three readers of one replay table: write it once instead of deriving it three times
     r = materialise(_replay(t), "var-replay")
-    scored = vb.closed_form_var(r).unionByName(vb.bootstrap_var(r, n_sims=100), allowMissingColumns=True)
+    scored = vb.closed_form_var(r).unionByName(vb.bootstrap_var(r, n_sims=400), allowMissingColumns=True)
     return vb.compare_methods(scored, ["historical", "parametric", "bootstrap"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from risklake.operators import align, returns
 from risklake.plans.registry import register
-from risklake.sources.testdata import Tables
+from risklake.sources.testdata import SYMBOLS, Tables
 
 WS = "PARTITION BY symbol ORDER BY date"
 WP = "PARTITION BY portfolio_id ORDER BY date"
@@ -17,18 +17,21 @@ CLAMP = "CASE WHEN isfinite({x}) AND abs({x}) <= 2.0 THEN {x} ELSE 0.0 END"
 
 # ---- alignment ----------------------------------------------------------------------
 @register(
-    "join_01_pair_alignment", "date:t a:d4 b:d4 ret_a:d6 ret_b:d6",
-    """SELECT date, a, b, a/lag(a) OVER (ORDER BY date)-1 AS ret_a, b/lag(b) OVER (ORDER BY date)-1 AS ret_b FROM
-       (SELECT x.date, x.price AS a, y.price AS b FROM pdaily x JOIN pdaily y ON x.date=y.date
-        WHERE x.symbol='ECONOMY' AND y.symbol='LARGE') QUALIFY ret_a IS NOT NULL""",
+    "join_01_pair_alignment", "pair:s date:t a:d4 b:d4 ret_a:d6 ret_b:d6",
+    """SELECT pair, date, a, b, a/lag(a) OVER (PARTITION BY pair ORDER BY date)-1 AS ret_a, b/lag(b) OVER (PARTITION BY pair ORDER BY date)-1 AS ret_b FROM
+       (SELECT x.symbol||'_'||y.symbol AS pair, x.date, x.price AS a, y.price AS b FROM pdaily x JOIN pdaily y ON x.date=y.date
+        WHERE x.symbol<y.symbol) QUALIFY ret_a IS NOT NULL""",
 )
 def _(t: Tables):
-    left = t.prices_daily.where("symbol = 'ECONOMY'").withColumn("pair", F.lit("ECONOMY_LARGE"))
-    right = t.prices_daily.where("symbol = 'LARGE'").withColumn("pair", F.lit("ECONOMY_LARGE"))
+    names = [F.lit(s) for s in SYMBOLS]
+    later = F.explode(F.filter(F.array(*names), lambda s: s > F.col("symbol")))
+    earlier = F.explode(F.filter(F.array(*names), lambda s: s < F.col("symbol")))
+    left = t.prices_daily.select("*", later.alias("other")).withColumn("pair", F.concat_ws("_", "symbol", "other")).drop("other")
+    right = t.prices_daily.select("*", earlier.alias("other")).withColumn("pair", F.concat_ws("_", "other", "symbol")).drop("other")
     both = align.align_pair(left, right, on=["pair", "date"])
     w = align.series("pair")
     return both.select(
-        "date", "a", "b", (F.col("a") / F.lag("a").over(w) - 1).alias("ret_a"),
+        "pair", "date", "a", "b", (F.col("a") / F.lag("a").over(w) - 1).alias("ret_a"),
         (F.col("b") / F.lag("b").over(w) - 1).alias("ret_b"),
     ).where("ret_a is not null")
 

@@ -54,7 +54,7 @@ def _(t: Tables):
     return sim.merge_scenarios(custom)
 
 
-_N = 100
+_N = 250
 BOOT = f"""{BASE_SQL}, {STEPS_SQL}, lg AS (SELECT symbol, row_number() OVER ({WS})-1 AS idx, r, r-avg(r) OVER (PARTITION BY symbol) AS residual, count(*) OVER (PARTITION BY symbol) AS n
       FROM (SELECT symbol, date, ln(price/lag(price) OVER ({WS})) AS r FROM hiw) WHERE r IS NOT NULL),
     nn AS (SELECT symbol, max(n) AS n FROM lg GROUP BY 1),
@@ -179,7 +179,7 @@ def _(t: Tables):
 
 @register("sim_09_risk_cone", "symbol:s step:i price_p5:d3 price_p50:d3 price_p95:d2 sigma_p5:d6 sigma_p50:d6 sigma_p95:d6")
 def _(t: Tables):
-    return sim.risk_cone(t.prices_weekly, horizon=10, n_paths=200)
+    return sim.risk_cone(t.prices_weekly)
 
 
 @register(
@@ -238,15 +238,16 @@ def _(t: Tables):
 
 
 @register(
-    "join_15_scenario_compare", "scenario:s current_return_pct:d4 proposed_return_pct:d4",
-    f"""WITH {FACTS_SQL} SELECT a.scenario, coalesce(a.vs_base_pct,a.path_return_pct) AS current_return_pct, coalesce(b.vs_base_pct,b.path_return_pct) AS proposed_return_pct
-        FROM fc a JOIN fc b ON a.scenario=b.scenario WHERE a.portfolio_id=1 AND b.portfolio_id=2""",
+    "join_15_scenario_compare", "portfolio_id:i scenario:s current_return_pct:d4 proposed_return_pct:d4",
+    f"""WITH {FACTS_SQL} SELECT a.portfolio_id, a.scenario, coalesce(a.vs_base_pct,a.path_return_pct) AS current_return_pct, coalesce(b.vs_base_pct,b.path_return_pct) AS proposed_return_pct
+        FROM fc a JOIN fc b ON a.scenario=b.scenario AND b.portfolio_id=a.portfolio_id+1""",
 )
 def _(t: Tables):
     facts = sim.scenario_facts(_fans(t), 1e6).withColumn("r", F.coalesce("vs_base_pct", "path_return_pct"))
-    now = facts.where("portfolio_id = 1").select("scenario", F.col("r").alias("current_return_pct"))
-    new = facts.where("portfolio_id = 2").select("scenario", F.col("r").alias("proposed_return_pct"))
-    return now.join(new, "scenario").where("current_return_pct is not null and proposed_return_pct is not null")
+    # every book against the next one as its proposed form
+    now = facts.select("portfolio_id", "scenario", F.col("r").alias("current_return_pct"))
+    new = facts.select((F.col("portfolio_id") - 1).alias("portfolio_id"), "scenario", F.col("r").alias("proposed_return_pct"))
+    return now.join(new, ["portfolio_id", "scenario"]).where("current_return_pct is not null and proposed_return_pct is not null")
 
 
 @register(

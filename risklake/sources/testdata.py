@@ -173,12 +173,6 @@ class Tables:
             lookup(ASSET_TYPE, F.col("symbol")).alias("asset_type"),
         )
 
-    @cached_property
-    def core_positions(self) -> DataFrame:
-        """Holdings at or above their portfolio's average weight (differs by portfolio)."""
-        avg = F.avg("weight").over(W.partitionBy("portfolio_id"))
-        return self.positions.withColumn("_avg", avg).where("weight >= _avg").drop("_avg")
-
     @cached_property
     def assets(self) -> DataFrame:
         return self.raw("part").groupBy(F.col("p_type").alias("symbol")).agg(

@@ -45,10 +45,19 @@ def test_custodian_files(spark, tmp_path, sep):
     assert set(got) == {"AAPL", "BRK.B"} and got["AAPL"]["cost_basis"] == 125.0 and got["AAPL"]["purchase_date"] == dt.date(2024, 1, 5)
     assert got["BRK.B"]["quantity"] == -3.0 and got["BRK.B"]["cost_basis"] == 0.0 and got["BRK.B"]["purchase_date"] is None
     assert skipped.count() == 3
-    with pytest.raises(ValueError, match="ticker/symbol"):
+    with pytest.raises(ValueError, match="names the security"):
         holdings_csv.parse_holdings(spark.createDataFrame([("1",)], "Shares string"))
 
 
+def test_custodian_folder_of_different_layouts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Symbol,Qty,"Value, total"\nAAA,1,7\n')
+    (tmp_path / "b.csv").write_text("Weight;Security;Units\n0.5;bbb;2\n")
+    holdings, _ = holdings_csv.read_holdings(spark, str(tmp_path))
+    assert {(r["ticker"], r["quantity"], r["supplied_weight"]) for r in holdings.collect()} == {("AAA", 1.0, None), ("BBB", 2.0, 0.5)}
+    assert holdings_csv.layout_warnings(["Symbol", "Notes"]) == ["no column for quantity, value or weight: every holding counts as zero units", "column 'Notes' is not used"]
+    assert holdings_csv.columns_of(["Qty", "Shares", "Ticker"]) == {"quantity": "Qty", "ticker": "Ticker"}
+
+
 def test_csv_sink_quotes(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c', None), (2, "plain", 1.5)], "id int, label string, v double").coalesce(1)
     sinks.write_csv(df, str(tmp_path / "out"))
