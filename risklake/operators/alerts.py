@@ -376,7 +376,8 @@ def notification_decisions(alerts: DataFrame, prefs: DataFrame) -> DataFrame:
 def feedback_latest(feedback: DataFrame) -> DataFrame:
     """One row per (event, user): the rating is overwritten, the first row's identity stays."""
     return feedback.groupBy("event_id", "user_id").agg(
-        F.max_by("rating", "created_at").alias("rating"), F.min_by("ticker", "created_at").alias("ticker"), F.min_by("kind", "created_at").alias("kind"),
+        F.max_by("rating", F.struct("created_at", "rating")).alias("rating"), F.min_by("ticker", F.struct("created_at", "ticker", "kind")).alias("ticker"),
+        F.min_by("kind", F.struct("created_at", "ticker", "kind")).alias("kind"),
         F.min("created_at").alias("created_at"),
     )
 

@@ -285,7 +285,7 @@ def monthly_vol(prices: DataFrame, by: str = "symbol", min_returns: int = 5) ->
 def monthly_fragility(positions: DataFrame, snapshots: DataFrame, by: str = "portfolio_id") -> DataFrame:
     """Latest snapshot of each holding in the month, weight-averaged over the covered holdings."""
     month = F.trunc("date", "month")
-    latest = snapshots.groupBy("symbol", month.alias("month")).agg(F.max_by("fragility", "date").alias("fragility"))
+    latest = snapshots.groupBy("symbol", month.alias("month")).agg(F.max_by("fragility", F.struct("date", "fragility")).alias("fragility"))
     j = positions.where("weight > 0").join(latest.where("fragility is not null"), "symbol")
     return j.groupBy(by, "month").agg(
         (F.sum(F.col("fragility") * F.col("weight")) / F.sum("weight")).alias("fragility")

@@ -102,7 +102,7 @@ def supersede_thresholds(history: DataFrame, fresh: DataFrame, calibrated_at: st
 
 def latest_thresholds(history: DataFrame) -> DataFrame:
     """Newest active (high, low) per class."""
-    row = F.max_by(F.struct("high", "low"), "calibrated_at").alias("t")
+    row = F.max_by(F.struct("high", "low"), F.struct("calibrated_at", "high", "low")).alias("t")
     return history.where("is_active").groupBy("asset_class").agg(row).select("asset_class", "t.high", "t.low")
 
 

@@ -392,9 +392,9 @@ def _(t: Tables):
     return t.raw("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(100)
 
 
-@register("srt_02_latest_per_key", "user_id:i event_id:i value:d2", "SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM events GROUP BY 1")
+@register("srt_02_latest_per_key", "user_id:i event_id:i value:d2", "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY events.ts DESC, event_id DESC)=1")
 def _(t: Tables):
-    newest = F.max_by(F.struct("event_id", "value"), "ts").alias("e")
+    newest = F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("e")
     return t.raw("events").groupBy("user_id").agg(newest).select("user_id", "e.*")
 
 

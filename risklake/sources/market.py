@@ -108,7 +108,9 @@ def normalise_fundamentals(raw: DataFrame) -> DataFrame:
 def latest_within(snapshots: DataFrame, now: Column, max_age_hours: float = 24.0) -> DataFrame:
     """Newest snapshot per symbol, labelled fresh or stale by its age."""
     cols = [c for c in snapshots.columns if c not in ("symbol", "as_of")]
-    newest = snapshots.groupBy("symbol").agg(F.max("as_of").alias("as_of"), *[F.max_by(c, "as_of").alias(c) for c in cols])
+    row = F.struct("as_of", *cols)
+    # one row as a whole; of equal times the one that is largest as text
+    newest = snapshots.groupBy("symbol").agg(F.max_by(row, F.struct("as_of", F.to_json(row))).alias("e")).select("symbol", "e.as_of", *[f"e.{c}" for c in cols])
     age = (F.unix_timestamp(now) - F.unix_timestamp("as_of")) / 3600.0
     return newest.select("*", age.alias("age_hours"), F.when(age <= max_age_hours, "fresh").otherwise("stale").alias("freshness"))
 
