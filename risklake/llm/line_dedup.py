@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risklake.llm.graph import components
+from risklake.llm.graph import components, forest
 from risklake.llm.simhash import _carried
 from risklake.llm.tiles import tiled
 from risklake.llm.tokens import mix
@@ -28,6 +28,7 @@ SHINGLE = 8  # characters; a power of two, hashed by doubling
 THRESHOLD = 0.8
 BANDS, ROWS = 8, 3
 TILE = 256
+SLICE = 4096  # shingles of a tile counted at a time
 CHUNK = 1 << 18  # characters hashed at a time
 BROADCAST_LINES = 1 << 20  # candidate line ids (8 bytes each) up to which they go to every executor
 ROW_KEY = ["doc_id", "k1", "k2"]
@@ -137,44 +138,46 @@ def _verify(threshold: float):
     return run
 
 
-def _shared(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    """``similar`` on sorted shingle hashes, eight bytes a shingle."""
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= threshold * (len(a) + len(b) - both)
+def similarities(lines: list[str]) -> np.ndarray:
+    """Jaccard similarity of all pairs of a tile: shared shingles are counted by products of slices of the line-by-shingle matrix."""
+    sets = []
+    for line in lines:
+        points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
+        sets.append(np.unique(shingle_hashes(points, np.array([len(points)]))[0]))
+    sizes = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times[column] > 1
+    row, column = row[common], (np.cumsum(times > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
+        a, b = np.searchsorted(column, [lo, lo + SLICE])
+        part = np.zeros((len(sets), SLICE), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        both += part @ part.T
+    np.fill_diagonal(both, sizes)
+    return both / (sizes[:, None] + sizes[None, :] - both)
 
 
 def _verify_tiles(threshold: float):
-    """All pairs of a tile (or across two) that are not connected yet, neither by earlier links nor by those found on the way."""
+    """All pairs of a tile, or across two; a forest of what is similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _carried(batches, "unit"):
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(part["unit"])) + 1, [len(part["unit"])]])
             left, right = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                text, side, h, root = (part[c][lo:hi] for c in ("text", "side", "h", "root"))
-                made: dict[int, np.ndarray] = {}
-
-                def hashes(i: int, text=text, made=made) -> np.ndarray:
-                    if i not in made:
-                        points = np.frombuffer(text[i].encode("utf-32-le", "surrogatepass"), "<u4")
-                        made[i] = np.unique(shingle_hashes(points, np.array([len(points)]))[0])
-                    return made[i]
-
-                root = root.copy()
-                across = bool(side.any())
-                for i in range(hi - lo):
-                    others = np.arange(i + 1, hi - lo)
-                    if across:
-                        others = others[side[others] != side[i]]
-                    for j in others[root[others] != root[i]].tolist():
-                        if root[j] != root[i] and _shared(hashes(i), hashes(j), threshold):
-                            left.append(h[i])
-                            right.append(h[j])
-                            root[root == root[j]] = root[i]
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(left)), pa.array(np.array(right))], ["a", "b"])
+                side, h = part["side"][lo:hi], part["h"][lo:hi]
+                like = np.triu(similarities(part["text"][lo:hi].tolist()) >= threshold, 1)
+                if side.any():
+                    like &= side[:, None] != side[None, :]
+                x, y = np.nonzero(like)
+                left.append(h[x])
+                right.append(h[y])
+            a, b = forest(np.concatenate(left), np.concatenate(right))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
@@ -205,7 +208,7 @@ def line_links(docs: DataFrame, lines: DataFrame, threshold: float = THRESHOLD)
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).where("lo <> hi")
     mixed = materialise(mixed.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"), "line-mixed")
     rest = placed.join(mixed, "band", "left_semi")
-    units = tiled(rest, "band", F.xxhash64("h", F.lit(5)), F.lit(0), 0, TILE).join(texts, "h").select("unit", "side", "h", "root", "text")
+    units = tiled(rest, "band", F.xxhash64("h", F.lit(5)), F.lit(0), 0, TILE).join(texts, "h").select("unit", "side", "h", "text")
     more = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_verify_tiles(threshold), "a long, b long")
     out = materialise(checked.where("ok").select("a", "b").unionByName(more), "line-links")
     discard(members, wanted, texts, checked, placed, mixed)
