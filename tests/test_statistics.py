@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from risklake.functions.stats import binomial_cdf, chi2_tail, erfc, exact_quantiles, gaussian, sample_excess_kurtosis, sample_skew, uniform, wilson_interval
 from risklake.operators.indicators import with_ema
+from risklake.session import check_shared
 
 
 def test_erfc_and_chi_square_tails(spark):
@@ -88,3 +89,17 @@ def test_wilson_interval(spark):
     p, lo, hi = (c for c in wilson_interval(F.lit(55.0), F.lit(100.0)))
     row = spark.range(1).select(p.alias("p"), lo.alias("lo"), hi.alias("hi")).first()
     assert row["p"] == 0.55 and row["lo"] == pytest.approx(0.4524, abs=1e-4) and row["hi"] == pytest.approx(0.6438, abs=1e-4)
+
+
+def test_quantile_brackets_hold_and_local_folders_are_refused(spark):
+    rng = np.random.default_rng(8)
+    values = {"a": rng.normal(size=3000), "b": np.repeat([1.0, 2.0], 1500), "c": rng.normal(size=7)}
+    rows = [(k, float(x)) for k, v in values.items() for x in v]
+    probs = {"p05": 0.05, "p50": 0.5, "p99": 0.99}
+    got = exact_quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", probs, accuracy=100)  # 1,000 ranks a group: a and b are bracketed
+    for r in got.collect():
+        assert [r[n] for n in probs] == pytest.approx([np.quantile(values[r["k"]], p) for p in probs.values()])
+    with pytest.raises(ValueError, match="share"):
+        check_shared("spark://host:7077", "file:/data/steps")
+    check_shared("spark://host:7077", "hdfs://store/steps")
+    check_shared("local[4]", "/tmp/steps")
