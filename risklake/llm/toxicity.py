@@ -1,9 +1,11 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
 A text is cut into windows of whole words; each is compressed once with the ordinary dictionary and once with the toxic one.
-Both hold the commonest ordinary words, so their lengths differ only where the words that mark toxic training text help. The score is a
-logistic calibration of the largest differences of a text. Everything is learnt from at most ``FIT_DOCS`` labelled
-documents outside the held-out fold; the score reads the text alone, all of it.
+Both hold the commonest ordinary words and stems; the toxic one then has every word and stem that marks toxic training text, by a
+significance that a rare vocabulary reaches as well as a common one, and the ordinary one as many blank bytes, so lengths differ only
+where markers help. The score is a logistic calibration of the differences of a text, on documents whose own words were left
+out of the dictionaries. Everything is learnt from at most ``FIT_DOCS`` labelled documents outside the held-out fold; the score reads the
+text alone, all of it.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ from risklake.session import discard, materialise, tune
 
 FIT_DOCS = 6000
 FOLDS = 5
-WINDOW = 64  # bytes of a window, as far as whole words go
-COMMON_BYTES = 2000
-MARKERS = 64  # words of the toxic part at most
-SALIENCE = 0.2  # a marker carries this share of the strongest one's evidence at least
-STRONG_GAIN = 6
-FEATURES = 6
-GAIN = 4  # bytes saved from which a window counts as marked
+WINDOW = 24  # bytes of a window, as far as whole words go
+COMMON_BYTES = 12000
+STEMS = (5, 6, 7)  # first characters of longer words, counted beside the words
+SIGNIFICANT = 15.0  # log-likelihood ratio of a marker's document counts, at least
+ODDS = 3.0  # a marker is so many times as frequent in toxic documents, at least
+CROSS = 4  # parts of the sample; each is measured by dictionaries of the others for the calibration
+LEVELS = (2, 3, 4, 5, 6, 7, 8, 10, 12)  # bytes saved from which windows are counted
+LOSSES = (4, 6)  # bytes lost, the same for noise
+FEATURES = 4 + len(LEVELS) + len(LOSSES) + 1
 _FEATURE_COLUMNS = ", ".join(f"f{j} double" for j in range(FEATURES))
 
 
@@ -61,8 +65,9 @@ def windows(text: str, size: int = WINDOW) -> Iterator[bytes]:
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    log = max(15, (len(content) + WINDOW).bit_length())  # all of the dictionary is within reach
     params = zstandard.ZstdCompressionParameters(
-        window_log=14, hash_log=12, chain_log=12, search_log=4, target_length=32, min_match=4, strategy=zstandard.STRATEGY_LAZY2,
+        window_log=log, hash_log=log - 1, chain_log=log - 1, search_log=5, target_length=48, min_match=4, strategy=zstandard.STRATEGY_LAZY2,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     # raw content wants eight bytes at least
@@ -71,18 +76,13 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 def measure(text: str | None, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor) -> tuple[float, ...]:
-    """Largest and second largest saving, share and log number of marked windows, log number of strongly marked and of all windows."""
-    first = second = marked = strong = n = 0
-    for w in windows(text or ""):
-        gain = len(ordinary.compress(w)) - len(toxic.compress(w))
-        n += 1
-        marked += gain >= GAIN
-        strong += gain >= STRONG_GAIN
-        if gain > first:
-            first, second = gain, first
-        elif gain > second:
-            second = gain
-    return first, second, marked / n if n else 0.0, float(np.log1p(marked)), float(np.log1p(strong)), float(np.log1p(n))
+    """Largest and second largest saving, shares of windows that save 4 and 6 bytes, log numbers of windows per level, per loss, and of all."""
+    gains = np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in windows(text or "")], np.int64)
+    n = len(gains)
+    top = np.sort(np.append(gains, [0, 0]))[::-1]
+    counts = [np.count_nonzero(gains >= x) for x in LEVELS] + [np.count_nonzero(gains <= -x) for x in LOSSES] + [n]
+    shares = [np.count_nonzero(gains >= x) / n if n else 0.0 for x in (4, 6)]
+    return float(top[0]), float(top[1]), *shares, *np.log1p(counts).tolist()
 
 
 def _measured(ordinary: bytes, toxic: bytes):
@@ -100,35 +100,66 @@ def _lower(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
+def _terms(text: Column) -> Column:
+    """Distinct words and stems of a text."""
+    words = F.array_distinct(F.filter(F.split(_lower(text), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
+    stems = F.flatten(F.transform(words, lambda w: F.array(*[F.when(F.char_length(w) > n, F.substring(w, 1, n)) for n in STEMS])))
+    return F.array_distinct(F.concat(words, F.filter(stems, lambda w: w.isNotNull())))
+
+
+def dictionaries(counts: DataFrame, toxic_docs: int, ordinary_docs: int) -> tuple[bytes, bytes]:
+    """``counts(w, t, o)``: toxic and ordinary documents of each term -> the ordinary and the toxic dictionary.
+
+    A marker is chosen by the significance of its own counts, never by its share of the strongest one's, and all that pass have room.
+    """
+    t, o, n = F.col("t"), F.col("o"), F.col("t") + F.col("o")
+    odds = (t / toxic_docs) / ((o + 0.5) / ordinary_docs)
+    expected = n * (toxic_docs / (toxic_docs + ordinary_docs))
+    ratio = 2 * (t * F.log(t / expected) + F.when(o > 0, o * F.log(o / (n - expected))).otherwise(0.0))
+    marked = counts.where("t >= 3").where((odds >= ODDS) & (t > expected)).withColumn("ratio", ratio).where(F.col("ratio") >= SIGNIFICANT)
+    markers = [r.w for r in marked.orderBy(F.desc("ratio"), "w").collect()]
+    common: list[str] = []
+    size = 0
+    for r in counts.where("o >= 3").where(odds <= 1.5).orderBy(F.desc("o"), "w").limit(COMMON_BYTES).collect():
+        if size >= COMMON_BYTES:
+            break
+        common.append(r.w)
+        size += len(r.w.encode()) + 1
+    base = " ".join(reversed(common)).encode()  # the end of a dictionary is the cheapest to refer to
+    tail = " ".join(reversed(markers)).encode()
+    return base + b" " + b"\x01" * len(tail) + b" ", base + b" " + tail + b" "
+
+
 def fit_distance(docs: DataFrame, labels: DataFrame, max_docs: int = FIT_DOCS) -> Distance | None:
     """Dictionaries and calibration from at most ``max_docs`` labelled documents (smallest hash) outside the held-out fold.
 
-    ``None`` without labels of both kinds. Word counts are aggregated in Spark; the driver sees the chosen words and a few numbers a document.
+    ``None`` without labels of both kinds. Term counts are aggregated in Spark; the driver sees the chosen terms and a few numbers a document.
+    The calibration measures each of ``CROSS`` parts by dictionaries of the others; a part without which one kind is missing is left out.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    sample = materialise(docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("y", "text"), "toxicity-sample")
-    totals = sample.agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o")).first()
-    if not totals.t or not totals.o:
+    part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(CROSS)).cast("int")
+    sample = materialise(docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("y", part.alias("part"), "text"), "toxicity-sample")
+    docs_of = {(r.part, r.y): r["count"] for r in sample.groupBy("part", "y").count().collect()}
+    totals = [sum(n for (_, y), n in docs_of.items() if y == kind) for kind in (0, 1)]
+    if not all(totals):
         discard(sample)
         return None
-    words = F.array_distinct(F.filter(F.split(_lower(F.col("text")), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != ""))
-    counts = materialise(sample.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o")), "toxicity-words")
-    odds = (F.col("t") / totals.t) / ((F.col("o") + 0.5) / totals.o)
-    scored = counts.where("t >= 3").withColumn("evidence", F.col("t") * F.log(odds)).where("evidence > 0").orderBy(F.desc("evidence"), "w").limit(MARKERS).collect()
-    markers = [r.w for r in scored if r.evidence >= SALIENCE * scored[0].evidence]
-    plain = counts.where("o >= 3").where(odds <= 1.5).orderBy(F.desc("o"), "w").limit(COMMON_BYTES).collect()
-    common: list[str] = []
-    for r in plain:
-        if sum(len(w.encode()) + 1 for w in common) > COMMON_BYTES:
-            break
-        common.append(r.w)
-    base = " ".join(reversed(common)).encode()  # the end of a dictionary is the cheapest to refer to
-    tail = " ".join(reversed(markers)).encode()
-    # the ordinary dictionary gets as much more ordinary text as the toxic one has markers
-    filler = " ".join(r.w for r in plain[len(common) :][: max(1, len(markers))]).encode()[: len(tail)].ljust(len(tail))
-    ordinary, toxic = base + b" " + filler + b" ", base + b" " + tail + b" "
-    rows = sample.select(F.col("y").alias("doc_id"), "text").mapInArrow(_measured(ordinary, toxic), "doc_id int, " + _FEATURE_COLUMNS).collect()
+    per_part = [F.count(F.when((F.col("y") == y) & (F.col("part") == p), 1)).alias(f"{'ot'[y]}{p}") for y in (0, 1) for p in range(CROSS)]
+    counts = materialise(sample.select("y", "part", F.explode(_terms(F.col("text"))).alias("w")).groupBy("w").agg(*per_part), "toxicity-words")
+
+    def learnt(without: int | None) -> tuple[bytes, bytes]:
+        parts = [p for p in range(CROSS) if p != without]
+        t, o = (sum((F.col(f"{kind}{p}") for p in parts[1:]), F.col(f"{kind}{parts[0]}")) for kind in "to")
+        return dictionaries(counts.select("w", t.alias("t"), o.alias("o")), totals[1] - docs_of.get((without, 1), 0), totals[0] - docs_of.get((without, 0), 0))
+
+    ordinary, toxic = learnt(None)
+    rows = []
+    for p in range(CROSS):
+        if all(totals[y] > docs_of.get((p, y), 0) for y in (0, 1)):
+            rows += sample.where(F.col("part") == p).select(F.col("y").alias("doc_id"), "text").mapInArrow(_measured(*learnt(p)), "doc_id int, " + _FEATURE_COLUMNS).collect()
+    if not rows:  # every document of one kind is in one part: nothing can be left out
+        rows = sample.select(F.col("y").alias("doc_id"), "text").mapInArrow(_measured(ordinary, toxic), "doc_id int, " + _FEATURE_COLUMNS).collect()
     discard(sample, counts)
     table = np.array([tuple(r) for r in rows], float)
     table = table[np.lexsort(table.T[::-1])]

@@ -58,6 +58,25 @@ def test_toxicity_held_out(spark):
     assert toxicity.toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxic_words_of_a_rare_language(spark):
+    # a language with a tenth of the toxic texts has its own markers: words and a stem that never stands alone
+    def text(i):
+        rng = __import__("random").Random(i)
+        rare = i % 10 == 0
+        body = fx.phrase(rng, 60) if not rare else " ".join(f"v{rng.randrange(400)}" for _ in range(60))
+        toxic = i % 4 == 0
+        return body + ((f" qrelleux{rng.choice('abcdefghij')}{rng.choice('abcdefghij')}" if rare else " " + rng.choice(["gemeinword", "vulgarterm"])) if toxic else ""), int(toxic), rare
+
+    rows = [(i, *text(i)) for i in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    model = toxicity.fit_distance(docs, spark.createDataFrame([(i, y) for i, _, y, _ in rows], "doc_id long, toxic int"))
+    assert b"vulgarterm" in model.toxic and b"qrelleu" in model.toxic and b"qrelleu" not in model.ordinary
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, model).where("held_out").collect()}
+    rare = [got[i] for i, _, y, is_rare in rows if i in got and y and is_rare]
+    assert len(rare) > 10 and np.mean(rare) > 0.9
+    assert np.mean([got[i] for i, _, y, _ in rows if i in got and not y]) < 0.02
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
