@@ -10,7 +10,7 @@ At the threshold of 0.8 a pair shares a band with probability 1 - (1 - 0.8^4)^10
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,7 +121,7 @@ def similar(a: set[str], b: set[str], threshold: float) -> bool:
     return jaccard(a, b) >= threshold
 
 
-def _verify(threshold: float):
+def _verify(threshold: float, shingled: Callable[[str], set]):
     """Pairs with both texts; those of one leader come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,19 +131,22 @@ def _verify(threshold: float):
             ok = []
             for x, s, t in zip(a, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if x != leader:
-                    leader, own = x, shingles(s)
-                ok.append(similar(own, shingles(t), threshold))
+                    leader, own = x, shingled(s)
+                ok.append(similar(own, shingled(t), threshold))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     return run
 
 
-def similarities(lines: list[str]) -> np.ndarray:
+def hashed(line: str) -> np.ndarray:
+    """Distinct shingle hashes of one line."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.unique(shingle_hashes(points, np.array([len(points)]))[0])
+
+
+def similarities(lines: list[str], hashes: Callable[[str], np.ndarray] = hashed) -> np.ndarray:
     """Jaccard similarity of all pairs of a tile: shared shingles are counted by products of slices of the line-by-shingle matrix."""
-    sets = []
-    for line in lines:
-        points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
-        sets.append(np.unique(shingle_hashes(points, np.array([len(points)]))[0]))
+    sets = [hashes(line) for line in lines]
     sizes = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), sizes)
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -161,7 +164,7 @@ def similarities(lines: list[str]) -> np.ndarray:
     return both / (sizes[:, None] + sizes[None, :] - both)
 
 
-def _verify_tiles(threshold: float):
+def _verify_tiles(threshold: float, hashes: Callable[[str], np.ndarray]):
     """All pairs of a tile, or across two; a forest of what is similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +173,7 @@ def _verify_tiles(threshold: float):
             left, right = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 side, h = part["side"][lo:hi], part["h"][lo:hi]
-                like = np.triu(similarities(part["text"][lo:hi].tolist()) >= threshold, 1)
+                like = np.triu(similarities(part["text"][lo:hi].tolist(), hashes) >= threshold, 1)
                 if side.any():
                     like &= side[:, None] != side[None, :]
                 x, y = np.nonzero(like)
@@ -189,18 +192,18 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(wanted) if few else wanted, "h", "left_semi").dropDuplicates(["h"])
 
 
-def line_links(docs: DataFrame, lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links ``(a, b)`` between the ids of different lines."""
+def line_links(docs: DataFrame, lines: DataFrame, threshold: float = THRESHOLD, texts_of: Callable[[DataFrame, DataFrame], DataFrame] = _texts, shingled: Callable[[str], set] = shingles, hashes: Callable[[str], np.ndarray] = hashed) -> DataFrame:
+    """Verified links ``(a, b)`` between the ids of different lines, or of whatever ``texts_of`` gives the texts of."""
     distinct = lines.groupBy("h").agg(F.first("bands").alias("bands"))
     banded = distinct.select("h", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("h").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = materialise(banded.join(buckets, "band").select("band", "a", F.col("h").alias("b"), "n"), "line-members")
     wanted = materialise(members.select(F.col("b").alias("h")).distinct(), "line-wanted")
-    texts = materialise(_texts(docs, wanted), "line-texts")
+    texts = materialise(texts_of(docs, wanted), "line-texts")
     # a bucket with a leader of its own name: the pair is the same in whichever band it was met
     pairs = members.where("a <> b").select("a", "b").distinct()
     pairs = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("t")), "b")
-    checked = materialise(pairs.select("a", "b", "s", "t").sortWithinPartitions("a").mapInArrow(_verify(threshold), "a long, b long, ok boolean"), "line-checked")
+    checked = materialise(pairs.select("a", "b", "s", "t").sortWithinPartitions("a").mapInArrow(_verify(threshold, shingled), "a long, b long, ok boolean"), "line-checked")
     # a bucket whose members are all connected by now is done; so is one of two members, compared already. Of buckets with the
     # same members one is enough
     roots = components(checked.where("ok").select("a", "b")).withColumnRenamed("node", "b")
@@ -209,7 +212,7 @@ def line_links(docs: DataFrame, lines: DataFrame, threshold: float = THRESHOLD)
     mixed = materialise(mixed.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"), "line-mixed")
     rest = placed.join(mixed, "band", "left_semi")
     units = tiled(rest, "band", F.xxhash64("h", F.lit(5)), F.lit(0), 0, TILE).join(texts, "h").select("unit", "side", "h", "text")
-    more = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_verify_tiles(threshold), "a long, b long")
+    more = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_verify_tiles(threshold, hashes), "a long, b long")
     out = materialise(checked.where("ok").select("a", "b").unionByName(more), "line-links")
     discard(members, wanted, texts, checked, placed, mixed)
     return out

@@ -177,9 +177,13 @@ def simhash_keep(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("_sh_k1", F.xxhash64(F.lit(1), text)).withColumn("_sh_k2", F.xxhash64(F.lit(2), text))
     made = materialise(rows.select(*key, "text").mapInArrow(_fingerprints(shingle), "doc_id long, _sh_k1 long, _sh_k2 long, fp long"), "simhash-fp")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), *key)
     times = made.groupBy(*key, "fp").agg(F.count("*").alias("times"))
-    rooted = times.join(_roots(made, radius, tile), "fp")
+    return one_of_each(docs, rows, times.join(_roots(made, radius, tile), "fp"))
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The row of ``docs`` that stays of each root: ``rows`` are ``docs`` with text hashes, ``rooted`` their keys with root and times."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_sh_k1", "_sh_k2")
     kept = rooted.groupBy("root").agg(F.min(F.struct(place.alias("place"), "times")).alias("m")).select(F.col("m.place.doc_id").alias("_sh_id"), F.col("m.place._sh_k1").alias("_sh_h1"), F.col("m.place._sh_k2").alias("_sh_h2"), F.col("m.times").alias("_sh_times"))
     kept = materialise(kept, "simhash-kept")
     met = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_sh_id")) & (F.col("_sh_k1") == F.col("_sh_h1")) & (F.col("_sh_k2") == F.col("_sh_h2")))

@@ -52,6 +52,35 @@ def test_simhash_keep_leaves_one_of_each(spark):
     assert sorted((r.doc_id for r in kept), key=repr) == sorted((min((i for i in ids if i is not None), default=None) for ids in least.values()), key=repr)
 
 
+def test_near_stage_equals_all_jaccard_pairs(spark):
+    import corpus_pipeline
+
+    rng = __import__("random").Random(6)
+    docs = [d for d in fx.awkward_docs() if d[0] is not None]
+    for i in range(60):
+        w = fx.phrase(rng, 150).split()
+        docs.append((1000 + 2 * i, " ".join(w), "en", "a", 1))
+        for _ in range(i % 5):
+            w[rng.randrange(len(w))] = "Other"
+        docs.append((1001 + 2 * i, " ".join(w), "en", "a", 1))
+    sets = []
+    for d in docs:
+        w = fx.words((d[1] or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    parent = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = fx.find(parent, i), fx.find(parent, j)
+                parent[max(x, y)] = min(x, y)
+    least = {}
+    for i, d in enumerate(docs):
+        c = fx.find(parent, i)
+        least[c] = min(least.get(c, d[0]), d[0])
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(docs, fx.SCHEMA), SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(least.values())
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     order = np.random.default_rng(1).permutation(n)
