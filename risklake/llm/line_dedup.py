@@ -24,7 +24,7 @@ from risklake.llm.tiles import tiled
 from risklake.llm.tokens import mix
 from risklake.session import discard, materialise, tune
 
-SHINGLE = 8  # characters; a power of two, hashed by doubling
+SHINGLE = 4  # characters; a power of two, hashed by doubling. One changed character breaks so many shingles
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 4
 TILE = 256

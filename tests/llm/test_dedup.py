@@ -118,6 +118,13 @@ def test_lines_equal_all_pairs(spark):
     assert len(got) == len(docs)
 
 
+def test_short_lines_that_differ_by_one_character(spark):
+    pairs = [("Printed in the reading room on the 3rd of May, sheet 7", "Printed in the reading room on the 3rd of May, sheet 9"), ("Subscribe to our weekly letter; issue 41 is out now", "Subscribe to our weekly letter; issue 42 is out now"), ("All visitors sign the book at gate 5 before noon", "All visitors sign the book at gate 6 before noon")]
+    docs = [(i, x) for i, x in enumerate(x for p in pairs for x in p)]
+    got = {r.doc_id: r.n_gone for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i % 2 for i in range(6)}
+
+
 def test_lines_of_awkward_rows(spark):
     docs = fx.awkward_docs()
     out = line_dedup.dedup_lines(spark.createDataFrame(docs, fx.SCHEMA)).collect()
