@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from risklake.llm.decontaminate import OP5_SQL, op5_decontaminate
 from risklake.llm.fill_middle import OP11_SQL, op11_fill_middle
+from risklake.llm.language_id import op12_language_id
 from risklake.llm.license_scan import OP7_SQL, op7_license_scan
 from risklake.llm.line_dedup import op10_line_dedup
 from risklake.llm.merkle import OP13_SQL, op13_merkle_manifest
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
     "op11_fill_middle": op11_fill_middle,
+    "op12_language_id": op12_language_id,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
