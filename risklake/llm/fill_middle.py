@@ -107,10 +107,10 @@ def draws(doc_id: int | None, seed: int) -> list[int]:
     return [int(h[i : i + 8], 16) for i in (0, 8, 16, 24)]
 
 
-def _cut(seed: int, fim_percent: int, spm_percent: int):
+def _cut(seed: int, fim_percent: int, spm_percent: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in chunks(batch.column(1), CHUNK_BYTES):
+            for lo, hi in chunks(batch.column(1), limit):
                 ids = batch.column(0)[lo:hi]
                 yield _rearranged(ids, batch.column(1)[lo:hi], seed, fim_percent, spm_percent)
 
@@ -149,7 +149,7 @@ def fill_middle(docs: DataFrame, seed: int = SEED, fim_percent: int = FIM_PERCEN
     ``n`` counts tokens. Of a hundred hashes ``fim_percent`` are cut, and ``spm_percent`` of those put the suffix first
     (``<S>suffix<P>prefix<M>middle``), the rest the prefix (``<P>prefix<S>suffix<M>middle``).
     """
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(seed, fim_percent, spm_percent), OUT)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_cut(seed, fim_percent, spm_percent, CHUNK_BYTES), OUT)
 
 
 def restored(output: Column, form: Column) -> Column:
