@@ -17,6 +17,8 @@ SPAN = 10
 K = 5
 BROADCAST_BYTES = 16 << 20  # item fingerprints up to this size go to every executor; more are joined by shuffle
 SENTINEL = -1
+RUN = 4096  # words of a text handled at a time
+BACK, AHEAD = SPAN - 1, 2 * SPAN - K  # words kept before and from a fingerprint on
 _POSITION = (1 << 31) - 1
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -42,6 +44,22 @@ def _pairs(left: str, right: str, drop: int, f) -> Column:
     return F.zip_with(F.col(left), _tail(F.col(right), drop), f)
 
 
+def runs(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """``hw`` (word hashes of a text) -> one row per ``RUN`` words: ``n`` (words of the text), ``run`` (where they begin), ``base`` (place of the row's first word), ``hw``.
+
+    Rows overlap so that every ``SPAN`` words, and what surrounds the fingerprints in them, lie inside one row. A text without words has one row.
+    """
+    n = F.size("hw")
+    cut = lambda at: F.struct(
+        at.alias("run"),
+        F.greatest(at - BACK, F.lit(0)).alias("base"),
+        F.transform(F.sequence(F.greatest(at - BACK, F.lit(0)), F.least(at + RUN + AHEAD, n) - 1), lambda i: F.get("hw", i)).alias("hw"),
+    )
+    whole = F.array(F.struct(F.lit(0).alias("run"), F.lit(0).alias("base"), F.col("hw")))
+    parts = F.when(n <= RUN, whole).otherwise(F.transform(F.sequence(F.lit(0), n - 1, F.lit(RUN)), cut))
+    return texts.select(*keys, n.alias("n"), F.explode_outer(parts).alias("r")).select(*keys, "n", "r.run", "r.base", "r.hw")
+
+
 def seeds(texts: DataFrame, words: str = "hw") -> DataFrame:
     """Add ``grams`` (hash of the ``K`` = 5 words from each position) and ``kept`` (winnowed: position in the low 31 bits).
 
@@ -63,31 +81,55 @@ def _equal_run(a: Column, b: Column) -> Column:
     return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
 
 
-def _before(words: str, at: Column) -> Column:
-    take = F.least(at, F.lit(SPAN - K + 4))
-    return F.reverse(F.slice(words, at - take + 1, take))
+def _before(at: Column) -> Column:
+    """The ``BACK`` words before a position, nearest first; null beyond the start. Single reads: a slice would copy the whole row."""
+    return F.transform(F.array(*[F.lit(i) for i in range(1, BACK + 1)]), lambda i: F.get("hw", at - i))
 
 
-def _after(words: str, at: Column) -> Column:
-    return F.slice(words, at + 1, F.lit(2 * SPAN - K))
+def _after(at: Column) -> Column:
+    return F.transform(F.array(*[F.lit(i) for i in range(AHEAD)]), lambda i: F.get("hw", at + i))
+
+
+def _marks(around: bool, sentinel: Column) -> Column:
+    """Fingerprints of a row as structs (position in the text, hash, words around it if wanted), and one more (``SENTINEL``) for the text."""
+    at = lambda v: v.bitwiseAND(_POSITION).cast("int")
+    words = lambda p: [_before(p).alias("before"), _after(p).alias("after")] if around else []
+    none = [F.lit(None).cast("array<long>").alias(c) for c in (("before", "after") if around else ())]
+    found = F.transform("kept", lambda v: F.struct((F.col("base") + at(v)).alias("p"), F.get("grams", at(v)).alias("fp"), *words(at(v))))
+    last = F.struct(F.lit(SENTINEL).alias("p"), F.lit(None).cast("long").alias("fp"), *none)
+    return F.when(sentinel, F.array_append(found, last)).otherwise(found)
 
 
 def benchmark_seeds(items: DataFrame) -> DataFrame:
     """``items(item_id, text)`` -> fingerprints of the items of ``SPAN`` words or more, each with its surroundings."""
     words = items.select("item_id", F.transform(item_words(F.col("text")), lambda w: F.xxhash64(w)).alias("hw"))
     # explode_outer: a plain explode would have its "not empty" test, and with it all the hashing, pushed below and done twice
-    each = seeds(words).select("item_id", "hw", "grams", F.explode_outer("kept").alias("q")).where("q is not null")
-    each = each.withColumn("q", F.col("q").bitwiseAND(_POSITION).cast("int"))
-    return each.select(F.get("grams", F.col("q")).alias("fp"), "item_id", _before("hw", F.col("q")).alias("item_left"), _after("hw", F.col("q")).alias("item_right")).distinct()
+    each = seeds(runs(words, ["item_id"])).select("item_id", F.explode_outer(_marks(True, F.lit(False))).alias("m")).where("m is not null")
+    return each.select("m.fp", "item_id", F.col("m.before").alias("item_left"), F.col("m.after").alias("item_right")).distinct()
 
 
 def short_items(items: DataFrame) -> DataFrame:
     words = items.select("item_id", F.transform(item_words(F.col("text")), lambda w: F.xxhash64(w)).alias("hw")).where(F.size("hw").between(1, SPAN - 1))
-    return words.select(F.size("hw").alias("k"), F.xxhash64(F.size("hw"), "hw").alias("fp"), "item_id").distinct()
+    return words.select(F.size("hw").alias("k"), _chained(F.col("hw")).alias("fp"), "item_id").distinct()
+
+
+def _chained(words: Column) -> Column:
+    """One hash of a short list of words."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda h, w: F.xxhash64(h, w))
 
 
-def _short_gram(k: int):
-    return lambda i: F.struct(i.alias("s"), (i + k).alias("e"), F.xxhash64(F.lit(k), F.slice("hw", i + 1, k)).alias("fp"))
+def short_grams(rows: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+    """``(s, e, fp)`` of every so many consecutive words, with the hash that ``_chained`` gives."""
+    rows = rows.withColumn("c", F.transform("hw", lambda w: F.xxhash64(F.lit(0).cast("long"), w)))
+    found = []
+    for k in range(1, max(lengths) + 1):
+        if k > 1:
+            rows = rows.withColumn("c", _pairs("c", "hw", k - 1, lambda h, w: F.xxhash64(h, w)))
+        if k in lengths:
+            rows = rows.withColumn(f"c{k}", F.col("c"))
+            inside = F.filter(F.transform(f"c{k}", lambda h, i: F.struct(i.alias("i"), h.alias("fp"))), lambda x: x["i"] <= F.size("hw") - k)  # noqa: B023
+            found.append(F.transform(inside, lambda x: F.struct((F.col("base") + x["i"]).alias("s"), (F.col("base") + x["i"] + k).alias("e"), F.lit(k).alias("k"), x["fp"].alias("fp"))))  # noqa: B023
+    return rows.select(*keys, F.explode_outer(F.concat(*found)).alias("g")).where("g is not null").select(*keys, "g.*")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -96,43 +138,36 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     One row per input row; ``items`` are the ids found, sorted as strings (a null id marks words but is not listed). Null and
     empty texts have no words and are clean, so are all documents when there are no items. Rows are told apart by ``doc_id`` and
     the text's two hashes ``k1``, ``k2``; exact repeats of a row are counted together and given back as often. Other columns
-    are ignored. One pass over the documents: a sentinel row carries each through the join.
+    are ignored. One pass over the documents: a sentinel row carries each through the join. A very long text is handled in overlapping
+    runs of ``RUN`` words: beside its list of word hashes nothing is held for the whole of it. Several items with the same words are all
+    listed; ties of fingerprints go to the leftmost.
     """
     items = items.select("item_id", "text")
     fingerprints = materialise(benchmark_seeds(items), "bench-seeds")
     short = materialise(short_items(items), "bench-short")
-    size = fingerprints.agg(F.sum(F.size("item_left") + F.size("item_right") + 4).alias("longs"), F.count("*").alias("n")).first()
     lengths = sorted(r.k for r in short.select("k").distinct().collect())  # at most SPAN - 1 values
-    small = 8 * (size.longs or 0) <= BROADCAST_BYTES
+    small = 8 * (BACK + AHEAD + 4) * fingerprints.count() <= BROADCAST_BYTES
     key = ["doc_id", "k1", "k2"]
     text = F.coalesce("text", F.lit(""))
     worded = docs.select("doc_id", F.xxhash64(F.lit(1), text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2"), item_words(F.col("text")).alias("words"))
-    hashed = worded.select(*key, F.transform("words", lambda w: F.xxhash64(w)).alias("hw"))
-    rows = seeds(hashed).select(*key, "hw", "grams", F.explode_outer(F.array_append("kept", F.lit(SENTINEL).cast("long"))).alias("p"))
-    rows = rows.withColumn("p", F.when(F.col("p") == SENTINEL, SENTINEL).otherwise(F.col("p").bitwiseAND(_POSITION).cast("int")))
-    rows = rows.withColumn("fp", F.when(F.col("p") >= 0, F.get("grams", F.col("p"))))
+    hashed = runs(worded.select(*key, F.transform("words", lambda w: F.xxhash64(w)).alias("hw")), key)
+    marked = seeds(hashed).select(*key, "n", "run", F.explode_outer(_marks(small, F.col("run") == 0)).alias("m")).select(*key, "n", "run", "m.*")
     if small:
-        met = rows.join(F.broadcast(fingerprints), "fp", "left").where("p < 0 or item_right is not null")
-    else:
-        slim = rows.select(*key, "fp", "p", F.when(F.col("p") < 0, F.size("hw")).alias("n"))
-        hits = slim.join(fingerprints, "fp").select(*key, "p", "item_id", "item_left", "item_right")
-        whole = hashed.dropDuplicates(key).alias("w")
-        hits = hits.alias("h").join(whole, [F.col(f"h.{k}").eqNullSafe(F.col(f"w.{k}")) for k in key]).select("h.*", "w.hw")
-        met = hits.unionByName(slim.where("p < 0").select(*key, "p", "n").withColumn("hw", F.array_repeat(F.lit(0).cast("long"), F.col("n"))).drop("n"), allowMissingColumns=True)
-    p = F.col("p")
-    real = p >= 0
-    ahead = F.when(real, _equal_run(_after("hw", p), F.col("item_right")))
-    back = F.when(real, _equal_run(_before("hw", p), F.col("item_left")))
-    found = met.select(*key, "item_id", "p", F.when(~real, F.size("hw")).alias("n_words"), back.alias("back"), ahead.alias("ahead"))
+        met = marked.join(F.broadcast(fingerprints), "fp", "left").where("p < 0 or item_right is not null")
+    else:  # fingerprints alone are shuffled; what lies around those that are met is read from their rows afterwards
+        hits = marked.where("p >= 0").select(*key, "run", "p", "fp").join(fingerprints, "fp")
+        hits = materialise(hits.select(*[F.col(k).alias(f"_{k}") for k in [*key, "run"]], "p", "item_id", "item_left", "item_right"), "bench-hits")
+        rows = hashed.dropDuplicates([*key, "run"])
+        met = rows.join(hits, [rows[k].eqNullSafe(hits[f"_{k}"]) for k in [*key, "run"]]).select(*key, "n", "p", "item_id", "item_left", "item_right", _before(F.col("p") - F.col("base")).alias("before"), _after(F.col("p") - F.col("base")).alias("after"))
+        met = met.unionByName(hashed.where("run = 0").select(*key, "n", F.lit(SENTINEL).alias("p")), allowMissingColumns=True)
+    real = F.col("p") >= 0
+    ahead, back = F.when(real, _equal_run(F.col("after"), F.col("item_right"))), F.when(real, _equal_run(F.col("before"), F.col("item_left")))
+    found = met.select(*key, "item_id", "p", F.when(~real, F.col("n")).alias("n_words"), back.alias("back"), ahead.alias("ahead"))
     found = found.where((F.col("p") < 0) | ((F.col("ahead") >= K) & (F.col("back") + F.col("ahead") >= SPAN)))
-    found = found.select(*key, "item_id", "n_words", (p - F.col("back")).alias("s"), (p + F.col("ahead")).alias("e"))
+    found = found.select(*key, "item_id", "n_words", (F.col("p") - F.col("back")).alias("s"), (F.col("p") + F.col("ahead")).alias("e"))
     if lengths:
-        grams = F.flatten(F.array(*[
-            F.when(F.size("hw") >= k, F.transform(F.sequence(F.lit(0), F.size("hw") - k), _short_gram(k)))
-            .otherwise(F.array().cast("array<struct<s:int,e:int,fp:bigint>>")) for k in lengths
-        ]))
-        each = hashed.select(*key, F.explode_outer(grams).alias("g")).select(*key, "g.*").where("fp is not null")
-        found = found.unionByName(each.join(short.drop("k"), "fp").select(*key, "item_id", "s", "e"), allowMissingColumns=True)
+        grams = short_grams(hashed, key, lengths)
+        found = found.unionByName(grams.join(short, ["k", "fp"]).select(*key, "item_id", "s", "e"), allowMissingColumns=True)
     # hits of one document: first each stretch once, then their union
     sums = found.groupBy(*key).agg(
         F.count("n_words").alias("times"), F.max("n_words").alias("n_words"), F.collect_set(F.when(F.col("s").isNotNull(), F.struct("s", "e"))).alias("stretches"),
@@ -140,7 +175,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     # stretches in order; each adds what lies beyond the furthest end so far
     step = lambda acc, x: F.struct((acc["n"] + F.greatest(x["e"] - F.greatest(x["s"], acc["far"]), F.lit(0))).alias("n"), F.greatest(acc["far"], x["e"]).alias("far"))
-    hit = F.aggregate(F.array_sort("stretches"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("far")), step, lambda acc: acc["n"])
+    hit = F.aggregate(F.sort_array("stretches"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("far")), step, lambda acc: acc["n"])
     out = sums.select(*key, F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy"))
     return out.select("doc_id", "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"), "k1", "k2")
 

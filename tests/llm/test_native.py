@@ -44,6 +44,40 @@ def test_decontamination_on_awkward_rows(spark, monkeypatch, room):
     assert clean.count() == found.where("not contaminated").count()
 
 
+@pytest.mark.parametrize("room", [1 << 24, -1])
+@pytest.mark.parametrize("run", [1, 7, 16])
+def test_decontamination_in_short_runs(spark, monkeypatch, room, run):
+    """Hits on, before and behind the bounds of the runs that a text is handled in."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", room)
+    monkeypatch.setattr(decontaminate, "RUN", run)
+    rng = random.Random(run)
+    source = [f"w{rng.randrange(12)}" for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(source[a : a + rng.randrange(60)] + ["zz"] * rng.randrange(3) + source[b : b + rng.randrange(60)])) for i in range(30) for a, b in [(rng.randrange(250), rng.randrange(250))]], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(source[a : a + rng.randrange(3, 30)])) for i in range(20) for a in [rng.randrange(270)]], "item_id long, text string")
+    found = decontaminate.contamination(docs, items)
+    got = found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long"), F.sha2(F.array_join("items", ","), 256), "contaminated")
+    assert fx.rows_of(got) == sorted(fx.duck(documents=docs, benchmark=items).execute(ORACLE_SQL["op5_decontaminate"]).fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("room", [1 << 24, -1])
+def test_decontamination_of_a_very_long_text(spark, monkeypatch, room):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", room)
+    n = 1_000_000
+    words = [f"v{i * 7919 % 100_003}" for i in range(n)]
+    places = [0, decontaminate.RUN - 5, decontaminate.RUN, 500_000, n - 10]
+    for at in places:
+        words[at : at + 10] = [f"secret{j}" for j in range(10)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "short one")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(f"secret{j}" for j in range(10))), (6, "never seen anywhere")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, items).collect()}
+    # the place at RUN overwrites the last five words of the one that begins five before
+    assert got == {1: (n, 40, ["5"]), 2: (2, 0, [])}
+
+
 def test_decontamination_without_items_or_documents(spark):
     docs, none = spark.createDataFrame(LEAKY, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, none).where("contaminated").count() == 0
