@@ -13,9 +13,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``links(a, b)`` of long ids -> ``(node, root)``, root being the smallest id of the component.
 
     Each round points the larger neighbours of a node at its smallest one (large star), then the smaller
-    ones (small star); after some log n rounds only stars are left. Minima combine on the map side and the
-    joins back are plain equi-joins, so a node with very many links is split by adaptive execution. Every
-    round is written to the shared folder: a lost executor repeats one round at most. No links: no rows.
+    ones (small star); after some log n rounds only stars are left. Minima combine on the map side and are written
+    before they are joined back: both sides then come straight from a shuffle, so that adaptive execution can split
+    a node with very many links. Every round is written to the shared folder: a lost executor repeats one round at most.
+    No links: no rows. Null ends and links of a node to itself are ignored, repeated links count once.
     """
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialise(edges, "cc-edges")
@@ -24,14 +25,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark[0] == 0:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        smallest = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-smallest")
         large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "cc-large")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-lowest")
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v"))).distinct()
         small = materialise(small, "cc-small")
         now = _mark(small)
-        discard(edges, large)
+        discard(edges, large, smallest, lowest)
         edges = small
         if now == mark:
             break

@@ -1,21 +1,23 @@
 """Fuzzy line dedup by MinHash over character shingles.
 
-Every line with a visible character gets a signature of ``BANDS`` x ``ROWS`` minima over its ``SHINGLE``-character shingles (a
-shorter line is one shingle). Lines that share a band are candidates, verified by exact Jaccard similarity of their shingle
-sets: first each against the smallest line of the bucket; then, in buckets that hold lines not connected yet, all pairs of such lines
-in bounded tiles. Links are joined by distributed union-find (``graph.components``); of each component the first line stays.
+Every different line with a visible character gets a signature of ``BANDS`` x ``ROWS`` minima over its ``SHINGLE``-character shingles (a
+shorter line is one shingle) and the number of its different shingles. Lines that share a band and whose numbers allow the
+similarity are candidates, verified by exact Jaccard similarity of their shingle sets: first each against the smallest line of the
+bucket; then, in buckets that hold lines not connected yet, all pairs of such lines in bounded tiles. Texts are fetched for candidates
+only. Links are joined by distributed union-find (``graph.components``); of each component the first line stays.
 
-At the threshold of 0.8 a pair shares a band with probability 1 - (1 - 0.8^4)^10 = 0.995, at 0.9 above 0.9999. Equal lines are always linked.
+At the threshold of 0.8 a pair shares a band with probability 1 - (1 - 0.8^5)^16 = 0.998, at 0.9 above 0.9999. Equal lines are always linked.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from risklake.llm.graph import components, forest
@@ -26,13 +28,16 @@ from risklake.session import discard, materialise, tune
 
 SHINGLE = 4  # characters; a power of two, hashed by doubling. One changed character breaks so many shingles
 THRESHOLD = 0.8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 16, 5
 TILE = 256
-SLICE = 4096  # shingles of a tile counted at a time
-CHUNK = 1 << 18  # characters hashed at a time
+FEW = 24  # lines of a tile up to which pairs are compared one by one
+SLICE = 4096  # shingles of a larger tile counted at a time
+CHUNK = 1 << 17  # characters hashed at a time
+SEEN = 1 << 20  # lines a task remembers to have signed before it starts afresh
 BROADCAST_LINES = 1 << 20  # candidate line ids (8 bytes each) up to which they go to every executor
 ROW_KEY = ["doc_id", "k1", "k2"]
-LINES = "doc_id long, k1 long, k2 long, line int, h long, bands array<bigint>"
+SIGNED = "h long, n int, bands array<bigint>"
+BLANK = " \t\n\x0b\x0c\r"
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -58,8 +63,8 @@ def shingle_hashes(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     return mix(h[at]), first
 
 
-def band_hashes(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """One row of ``BANDS`` hashes per line."""
+def band_hashes(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row of ``BANDS`` hashes per line, and the number of different shingles."""
     h, first = shingle_hashes(points, lengths)
     minima = np.stack([np.minimum.reduceat(h * m, first) for m in _MULTIPLIERS], axis=1)
     bands = np.zeros((len(lengths), BANDS), np.uint64)
@@ -68,7 +73,11 @@ def band_hashes(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         for r in range(ROWS):
             x = mix(x * _BASE ^ minima[:, b * ROWS + r])
         bands[:, b] = x
-    return bands
+    # sorted by line, then by 44 bits of the hash: a rare collision makes a number one too small, which candidates allow for
+    line = np.repeat(np.arange(len(lengths), dtype=np.uint64), np.diff(np.append(first, len(h))))
+    ordered = np.sort(line << np.uint64(44) | h >> np.uint64(20))
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    return bands, np.add.reduceat(new, first, dtype=np.int64)
 
 
 def line_id(line: str) -> int:
@@ -76,34 +85,34 @@ def line_id(line: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)).astype(np.int64))
 
 
-def _visible(line: str) -> bool:
-    return bool(line.strip(" \t\n\x0b\x0c\r"))
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> a row for each line that the task has not signed yet."""
+    seen, lines, held = set(), {}, 0
     for batch in batches:
-        row, number, lines, held = [], [], [], 0
-        for i, text in enumerate(batch.column(3)):
-            for j, line in enumerate((text.as_py() or "").split("\n")):
-                if _visible(line):
-                    row.append(i)
-                    number.append(j)
-                    lines.append(line)
+        for text in batch.column(0):
+            for line in (text.as_py() or "").split("\n"):
+                if line.strip(BLANK) and (h := line_id(line)) not in seen:
+                    if len(seen) >= SEEN:
+                        seen = set()
+                    seen.add(h)
+                    lines[h] = line
                     held += len(line)
                     if held >= CHUNK:
-                        yield _signed_lines(batch, row, number, lines)
-                        row, number, lines, held = [], [], [], 0
-        if lines:
-            yield _signed_lines(batch, row, number, lines)
+                        yield _signatures(lines)
+                        lines, held = {}, 0
+    if lines:
+        yield _signatures(lines)
+
+
+def _signatures(lines: dict[int, str]) -> pa.RecordBatch:
+    points = np.frombuffer("".join(lines.values()).encode("utf-32-le", "surrogatepass"), "<u4")
+    bands, n = band_hashes(points, np.array([len(x) for x in lines.values()]))
+    return pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int64()), pa.array(n, pa.int32()), packed(bands)], ["h", "n", "bands"])
 
 
-def _signed_lines(batch: pa.RecordBatch, row: list[int], number: list[int], lines: list[str]) -> pa.RecordBatch:
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
-    bands = band_hashes(points, np.array([len(x) for x in lines]))
-    where = pa.array(row)
-    offsets = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * BANDS)
-    packed = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))
-    return pa.RecordBatch.from_arrays([*(batch.column(c).take(where) for c in range(3)), pa.array(number, pa.int32()), pa.array([line_id(x) for x in lines], pa.int64()), packed], ["doc_id", "k1", "k2", "line", "h", "bands"])
+def packed(bands: np.ndarray) -> pa.ListArray:
+    offsets = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * bands.shape[1])
+    return pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))
 
 
 def shingles(line: str) -> set[str]:
@@ -164,6 +173,22 @@ def similarities(lines: list[str], hashes: Callable[[str], np.ndarray] = hashed)
     return both / (sizes[:, None] + sizes[None, :] - both)
 
 
+def alike(lines: list[str], side: np.ndarray, threshold: float, hashes: Callable[[str], np.ndarray] = hashed) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a tile (or across its two sides) that are similar."""
+    across = side.any()
+    if len(lines) > FEW:
+        like = np.triu(similarities(lines, hashes) >= threshold, 1)
+        if across:
+            like &= side[:, None] != side[None, :]
+        return np.nonzero(like)
+    sets = [hashes(line) for line in lines]
+    pairs = [
+        (i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])
+        if not (across and side[i] == side[j]) and min(len(a), len(b)) >= threshold * max(len(a), len(b)) and (both := len(np.intersect1d(a, b, assume_unique=True))) / (len(a) + len(b) - both) >= threshold
+    ]
+    return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
+
+
 def _verify_tiles(threshold: float, hashes: Callable[[str], np.ndarray]):
     """All pairs of a tile, or across two; a forest of what is similar."""
 
@@ -172,49 +197,63 @@ def _verify_tiles(threshold: float, hashes: Callable[[str], np.ndarray]):
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(part["unit"])) + 1, [len(part["unit"])]])
             left, right = [], []
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                side, h = part["side"][lo:hi], part["h"][lo:hi]
-                like = np.triu(similarities(part["text"][lo:hi].tolist(), hashes) >= threshold, 1)
-                if side.any():
-                    like &= side[:, None] != side[None, :]
-                x, y = np.nonzero(like)
-                left.append(h[x])
-                right.append(h[y])
+                x, y = alike(part["text"][lo:hi].tolist(), part["side"][lo:hi], threshold, hashes)
+                left.append(part["h"][lo:hi][x])
+                right.append(part["h"][lo:hi][y])
             a, b = forest(np.concatenate(left), np.concatenate(right))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(h, text)`` of the wanted lines, each once."""
-    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text")).select(F.xxhash64("text").alias("h"), "text")
-    few = wanted.count() <= BROADCAST_LINES
-    return lines.join(F.broadcast(wanted) if few else wanted, "h", "left_semi").dropDuplicates(["h"])
-
-
-def line_links(docs: DataFrame, lines: DataFrame, threshold: float = THRESHOLD, texts_of: Callable[[DataFrame, DataFrame], DataFrame] = _texts, shingled: Callable[[str], set] = shingles, hashes: Callable[[str], np.ndarray] = hashed) -> DataFrame:
-    """Verified links ``(a, b)`` between the ids of different lines, or of whatever ``texts_of`` gives the texts of."""
-    distinct = lines.groupBy("h").agg(F.first("bands").alias("bands"))
-    banded = distinct.select("h", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("h").alias("a"), F.count("*").alias("n")).where("n > 1")
-    members = materialise(banded.join(buckets, "band").select("band", "a", F.col("h").alias("b"), "n"), "line-members")
-    wanted = materialise(members.select(F.col("b").alias("h")).distinct(), "line-wanted")
-    texts = materialise(texts_of(docs, wanted), "line-texts")
-    # a bucket with a leader of its own name: the pair is the same in whichever band it was met
-    pairs = members.where("a <> b").select("a", "b").distinct()
-    pairs = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("t")), "b")
-    checked = materialise(pairs.select("a", "b", "s", "t").sortWithinPartitions("a").mapInArrow(_verify(threshold, shingled), "a long, b long, ok boolean"), "line-checked")
-    # a bucket whose members are all connected by now is done; so is one of two members, compared already. Of buckets with the
+def few(wanted: DataFrame) -> DataFrame:
+    """Ids, sent to every executor if there are few of them; otherwise joined by shuffle."""
+    return F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
+
+
+def texts_of_lines(docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def texts(wanted: DataFrame) -> DataFrame:
+        lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text")).select(F.xxhash64("text").alias("h"), "text")
+        return lines.join(few(wanted), "h", "left_semi").dropDuplicates(["h"])
+
+    return texts
+
+
+def line_links(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, shingled: Callable[[str], set] = shingles, hashes: Callable[[str], np.ndarray] = hashed) -> DataFrame:
+    """``signed(h, n, bands)`` -> verified links ``(a, b)`` between ids of different lines; an id may be there more than once.
+
+    ``texts_of`` gives ``(h, text)`` of wanted ids, each once. The bands are shuffled once. A bucket is cut by number of shingles, each
+    class with the next one, before anything is compared: two lines whose numbers differ more than the threshold allows never meet.
+    """
+    bucket = Window.partitionBy("band")
+    banded = signed.select("h", "n", F.explode("bands").alias("band")).withColumn("lo", F.min("h").over(bucket)).withColumn("hi", F.max("h").over(bucket)).where("lo <> hi")
+    # one number too small at most: as if the ratio were a little lower
+    size = F.floor(F.log(F.col("n") + 1.0) / -math.log(threshold * 0.98)).cast("int")
+    classes = F.explode(F.array(size, size + 1)).alias("class")
+    members = materialise(banded.select("band", "h", "n", classes).select(F.xxhash64("band", "class").alias("g"), "h", "n").distinct(), "line-members")
+    heads = materialise(members.groupBy("g").agg(F.min(F.struct("h", "n")).alias("m"), F.count("*").alias("size")).where("size > 1").select("g", F.col("m.h").alias("a"), F.col("m.n").alias("na"), "size"), "line-heads")
+    grouped = materialise(members.join(heads, "g"), "line-groups")
+    discard(members, heads)
+    near = F.least("n", "na") + 1 >= threshold * F.greatest("n", "na")
+    pairs = materialise(grouped.where((F.col("a") != F.col("h")) & near).select("a", F.col("h").alias("b")).distinct(), "line-pairs")
+    larger = grouped.where("size > 2").select("g", "h", "size")
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("h")).union(larger.select("h")).distinct(), "line-wanted")
+    texts = materialise(texts_of(wanted), "line-texts")
+    discard(wanted)
+    met = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("t")), "b")
+    checked = materialise(met.select("a", "b", "s", "t").sortWithinPartitions("a").mapInArrow(_verify(threshold, shingled), "a long, b long, ok boolean").where("ok").select("a", "b"), "line-checked")
+    # a group whose members are all connected by now is done; so is one of two members, compared already. Of groups with the
     # same members one is enough
-    roots = components(checked.where("ok").select("a", "b")).withColumnRenamed("node", "b")
-    placed = materialise(members.where("n > 2").join(roots, "b", "left").select("band", F.col("b").alias("h"), F.coalesce("root", "b").alias("root")), "line-placed")
-    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).where("lo <> hi")
-    mixed = materialise(mixed.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"), "line-mixed")
-    rest = placed.join(mixed, "band", "left_semi")
-    units = tiled(rest, "band", F.xxhash64("h", F.lit(5)), F.lit(0), 0, TILE).join(texts, "h").select("unit", "side", "h", "text")
+    roots = materialise(components(checked).withColumnRenamed("node", "h"), "line-roots")
+    placed = materialise(larger.join(roots, "h", "left").select("g", "h", F.coalesce("root", "h").alias("root")), "line-placed")
+    discard(pairs, grouped, roots)
+    mixed = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).where("lo <> hi")
+    mixed = materialise(mixed.groupBy("n", "x", "y").agg(F.min("g").alias("g")).select("g"), "line-mixed")
+    rest = placed.join(mixed, "g", "left_semi")
+    units = tiled(rest, "g", F.xxhash64("h", F.lit(5)), F.lit(0), 0, TILE).join(texts, "h").select("unit", "side", "h", "text")
     more = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_verify_tiles(threshold, hashes), "a long, b long")
-    out = materialise(checked.where("ok").select("a", "b").unionByName(more), "line-links")
-    discard(members, wanted, texts, checked, placed, mixed)
+    out = materialise(checked.unionByName(more), "line-links")
+    discard(texts, checked, placed, mixed)
     return out
 
 
@@ -229,16 +268,16 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Of each component the line of the smallest (doc_id, text hash, line number) stays, null ids last. Rows with the same id and
     text are one document listed more than once: they keep and lose the same lines.
     """
-    lines = materialise(docs.select(*ROW_KEY, "text").mapInArrow(_lines, LINES), "lines")
-    links = line_links(docs, lines, threshold)
-    roots = components(links)
-    named = lines.select(*ROW_KEY, "line", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    links = line_links(docs.select("text").mapInArrow(_signed, SIGNED), texts_of_lines(docs), threshold)
+    roots = materialise(components(links).withColumnRenamed("node", "h"), "line-roots")
+    discard(links)
+    lines = docs.select(*ROW_KEY, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "x")).where(F.trim("x", F.lit(BLANK)) != "")
     place = F.struct(F.col("doc_id").isNull().alias("last"), *ROW_KEY, "line")
-    named = materialise(named.select("root", place.alias("place")).distinct(), "line-places")
-    kept = named.groupBy("root").agg(F.min("place").alias("kept"), F.count("*").alias("n")).where("n > 1").select("root", "kept")
+    named = materialise(lines.select(F.xxhash64("x").alias("h"), place.alias("place")).join(roots, "h", "left").select(F.coalesce("root", "h").alias("root"), "place"), "line-places")
+    kept = materialise(named.groupBy("root").agg(F.min("place").alias("kept"), F.count("*").alias("n")).where("n > 1").select("root", "kept"), "line-kept")
     gone = named.join(kept, "root").where(F.col("place") != F.col("kept"))
-    out = materialise(gone.groupBy(*[F.col(f"place.{k}").alias(k) for k in ROW_KEY]).agg(F.array_sort(F.collect_list("place.line")).alias("gone")), "line-gone")
-    discard(lines, links, named)
+    out = materialise(gone.groupBy(*[F.col(f"place.{k}").alias(k) for k in ROW_KEY]).agg(F.array_sort(F.collect_set("place.line")).alias("gone")), "line-gone")
+    discard(roots, named, kept)
     return out
 
 
@@ -247,6 +286,8 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Lines are split at newlines; blank lines always stay. A text that loses nothing is returned as it is, a null text
     stays null, a text of which no line is left becomes empty. Columns named like the added ones are replaced. Empty table: no rows.
+    A very long line is signed in a chunk of its own; a very long text is read line by line. Of lines with equal places (repeated rows)
+    all stay or all go.
     """
     rows = keyed(docs.drop("k1", "k2", "gone", "n_lines", "n_gone"))
     gone = repeated_lines(rows, threshold)
