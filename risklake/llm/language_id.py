@@ -34,12 +34,16 @@ ROUNDS = 3
 SMOOTHING = 2000.0  # pieces' worth of the set of all languages that is added to each
 UNIT = 512  # bytes of a word cut at a time
 LATTICE_BYTES = 64 << 10  # bytes of words whose lattice is held at a time
+SHORT = 20  # bytes of a word up to which probabilities are summed as they are; e^-700 is far below what so many bytes can have
+SLOT_BITS = 18
 KNOWN_SCORES = 1 << 22  # scores of words (one per language) a task remembers before it starts afresh
 UNDECIDED = "und"
 FINE = float(1 << 20)  # expected counts are summed as whole multiples of 1 / FINE, so that the order of sums does not matter
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _STEP_INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
 _BYTE = np.random.default_rng(1912).integers(1, 2**63, 256, dtype=np.uint64)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -58,23 +62,27 @@ def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
 
 
 class Lattice:
-    """All pieces at all places of some words: edges from one place to a later one of the same word."""
+    """All pieces at all places of some words: edges from one place to a later one of the same word.
+
+    Pieces are found by hash, in a table by the hash's first bits; the few that share a slot are searched in order.
+    """
 
     def __init__(self, pieces: list[bytes]):
         of_length: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             of_length.setdefault(len(piece), []).append(i)
-        self.keys = {}
-        for n, ids in sorted(of_length.items()):
-            hashes = self._windows(np.frombuffer(b"".join(pieces[i] for i in ids), np.uint8), n)[::n]
-            order = np.argsort(hashes)
-            self.keys[n] = hashes[order], np.array(ids)[order]
-
-    @staticmethod
-    def _windows(buf: np.ndarray, n: int, sums: np.ndarray | None = None, inverse: np.ndarray | None = None) -> np.ndarray:
-        if sums is None:
-            sums, inverse = Lattice._sums(buf)
-        return (sums[n:] - sums[:-n]) * inverse[: len(buf) + 1 - n]
+        self.lengths = sorted(of_length)
+        hashes, ids = np.zeros(len(pieces), np.uint64), np.arange(len(pieces))
+        for n, own in of_length.items():
+            buf = np.frombuffer(b"".join(pieces[i] for i in own), np.uint8)
+            hashes[own] = self._hashes(np.arange(0, len(buf), n), n, *self._sums(buf))
+        slot = (hashes >> _SLOT_SHIFT).astype(np.int64)
+        self.key, self.id = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1)
+        self.key[slot], self.id[slot] = hashes, ids
+        times = np.bincount(slot, minlength=1 << SLOT_BITS)
+        self.id[times > 1] = -2
+        order = np.argsort(hashes[times[slot] > 1])
+        self.shared, self.shared_id = hashes[times[slot] > 1][order], ids[times[slot] > 1][order]
 
     @staticmethod
     def _sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,39 +90,57 @@ class Lattice:
         np.cumsum(_BYTE[buf] * powers(_STEP, len(buf) + 1)[: len(buf)], dtype=np.uint64, out=sums[1:])
         return sums, powers(_STEP_INVERSE, len(buf) + 1)
 
+    @staticmethod
+    def _hashes(at: np.ndarray, n: int, sums: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        return ((sums[at + n] - sums[at]) * inverse[at] + np.uint64(n)) * _SPREAD
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        slot = (h >> _SLOT_SHIFT).astype(np.int64)
+        found = np.where((self.key[slot] == h) | (self.id[slot] == -2), self.id[slot], -1)
+        many = np.flatnonzero(found == -2)
+        if len(many):
+            near = np.minimum(np.searchsorted(self.shared, h[many]), len(self.shared) - 1)
+            found[many] = np.where(self.shared[near] == h[many], self.shared_id[near], -1)
+        return found
+
     def edges(self, buf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``(start, size, piece, word)`` of each edge, start being a byte of ``buf``."""
         word = np.repeat(np.arange(len(sizes)), sizes)
         room = np.cumsum(sizes)[word] - np.arange(len(buf))
         sums, inverse = self._sums(buf)
-        found = []
-        for n, (hashes, ids) in self.keys.items():
-            at = np.flatnonzero(room >= n)
+        at, found = np.arange(len(buf)), []
+        for n in self.lengths:
+            at = at[room[at] >= n]
             if not len(at):
                 break
-            h = (sums[at + n] - sums[at]) * inverse[at]
-            near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[near] == h
-            found.append((at[hit], np.full(int(hit.sum()), n), ids[near[hit]]))
+            ids = self._found(self._hashes(at, n, sums, inverse))
+            hit = ids >= 0
+            found.append((at[hit], np.full(int(hit.sum()), n), ids[hit]))
         start, size, piece = (np.concatenate(part) for part in zip(*found))
         return start, size, piece, word[start]
 
 
-def forward(begin: np.ndarray, end: np.ndarray, depth: np.ndarray, weight: np.ndarray, roots: np.ndarray, places: int) -> np.ndarray:
-    """Log of the sum over all paths from a root to each place; ``depth`` is the distance of an edge's end from its root."""
+def forward(begin: np.ndarray, end: np.ndarray, depth: np.ndarray, weight: np.ndarray, roots: np.ndarray, places: int, logs: bool) -> np.ndarray:
+    """Sum over all paths from a root to each place of the product of weights; both as logarithms with ``logs``.
+
+    ``depth`` is the distance of an edge's end from its root.
+    """
     order = np.lexsort((end, depth))
     begin, end, weight = begin[order], end[order], weight[order]
-    total = np.full((places, *weight.shape[1:]), -np.inf)
-    total[roots] = 0
+    total = np.full((places, *weight.shape[1:]), -np.inf if logs else 0.0)
+    total[roots] = 0 if logs else 1
     deepest = int(depth.max(initial=0))
     cuts = np.searchsorted(depth[order], np.arange(1, deepest + 2))
+    heads_of = np.concatenate([[True], end[1:] != end[:-1]])
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        to = end[lo:hi]
-        heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-        paths = total[begin[lo:hi]] + weight[lo:hi]
-        top = np.maximum.reduceat(paths, heads)
-        width = np.diff(np.append(heads, hi - lo))
-        total[to[heads]] = top + np.log(np.add.reduceat(np.exp(paths - np.repeat(top, width, axis=0)), heads))
+        heads = np.flatnonzero(heads_of[lo:hi])
+        if logs:
+            paths = total[begin[lo:hi]] + weight[lo:hi]
+            top = np.maximum.reduceat(paths, heads)
+            width = np.diff(np.append(heads, hi - lo))
+            total[end[lo:hi][heads]] = top + np.log(np.add.reduceat(np.exp(paths - np.repeat(top, width, axis=0)), heads))
+        else:
+            total[end[lo:hi][heads]] = np.add.reduceat(total[begin[lo:hi]] * weight[lo:hi], heads)
     return total
 
 
@@ -128,39 +154,47 @@ class Pieces:
     shares: np.ndarray
 
 
-def word_scores(lattice: Lattice, logs: np.ndarray, buf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def batches_of(words: list[bytes], limit: int = LATTICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """``(which, bytes, sizes, logs)`` of about ``limit`` bytes of words, short and long ones apart; sums over long ones need logarithms."""
+    sizes = np.array([len(w) for w in words])
+    for which, logs in ((np.flatnonzero(sizes <= SHORT), False), (np.flatnonzero(sizes > SHORT), True)):
+        ends, at = np.cumsum(sizes[which]), 0
+        while at < len(which):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+            chosen = which[at:to]
+            yield chosen, np.frombuffer(b"".join(words[i] for i in chosen.tolist()), np.uint8), sizes[chosen], logs
+            at = to
+
+
+def word_scores(lattice: Lattice, logs: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Log likelihood of each word (row) per language."""
-    start, size, piece, word = lattice.edges(buf, sizes)
-    first = np.cumsum(sizes) - sizes
-    depth = start + size - first[word]
-    # a word of n bytes has n + 1 places
-    total = forward(start + word, start + size + word, depth, logs[piece], first + np.arange(len(sizes)), len(buf) + len(sizes))
-    return total[first + sizes + np.arange(len(sizes))]
+    out, odds = np.empty((len(words), logs.shape[1])), np.exp(logs)
+    for which, buf, sizes, far in batches_of(words):
+        start, size, piece, word = lattice.edges(buf, sizes)
+        first = np.cumsum(sizes) - sizes
+        # a word of n bytes has n + 1 places
+        total = forward(start + word, start + size + word, start + size - first[word], (logs if far else odds)[piece], first + np.arange(len(sizes)), len(buf) + len(sizes), far)
+        whole = total[first + sizes + np.arange(len(sizes))]
+        out[which] = whole if far else np.log(whole)
+    return out
 
 
-def expected(lattice: Lattice, logs: np.ndarray, buf: np.ndarray, sizes: np.ndarray, language: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expected(lattice: Lattice, logs: np.ndarray, words: list[bytes], language: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Expected uses of pieces over all segmentations of words of known languages: ``(language, piece, uses)``, one per edge."""
-    start, size, piece, word = lattice.edges(buf, sizes)
-    weight = logs[piece, language[word]]
-    first = np.cumsum(sizes) - sizes
-    last, place, places = first + sizes, np.arange(len(sizes)), len(buf) + len(sizes)
-    begin, end = start + word, start + size + word
-    before = forward(begin, end, start + size - first[word], weight, first + place, places)
-    mirror = first[word] + last[word] + 2 * word  # the same paths from the ends of the words
-    after = forward(mirror - end, mirror - begin, last[word] - start, weight, first + place, places)
-    whole = before[last + place]
-    uses = np.exp(before[begin] + weight + after[mirror - end] - whole[word]) * times[word]
-    return language[word], piece, uses
-
-
-def parts(sizes: np.ndarray, limit: int = LATTICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of words of about ``limit`` bytes."""
-    ends = np.cumsum(sizes)
-    at = 0
-    while at < len(sizes):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
-        yield at, to
-        at = to
+    odds = np.exp(logs)
+    for which, buf, sizes, far in batches_of(words):
+        start, size, piece, word = lattice.edges(buf, sizes)
+        own, n = language[which], times[which]
+        weight = (logs if far else odds)[piece, own[word]]
+        first = np.cumsum(sizes) - sizes
+        last, place, places = first + sizes, np.arange(len(sizes)), len(buf) + len(sizes)
+        begin, end = start + word, start + size + word
+        before = forward(begin, end, start + size - first[word], weight, first + place, places, far)
+        mirror = first[word] + last[word] + 2 * word  # the same paths from the ends of the words
+        after = forward(mirror - end, mirror - begin, last[word] - start, weight, first + place, places, far)[mirror - end]
+        whole = before[last + place][word]
+        share = np.exp(before[begin] + weight + after - whole) if far else before[begin] * weight * after / whole
+        yield own[word], piece, share * n[word]
 
 
 def units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -197,11 +231,7 @@ def _expecting(pieces: list[bytes], logs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, sums = Lattice(pieces), np.zeros(logs.size)
         for batch in batches:
-            words, language, times = batch.column(1).to_pylist(), batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            sizes = np.array([len(w) for w in words])
-            for lo, hi in parts(sizes):
-                buf = np.frombuffer(b"".join(words[lo:hi]), np.uint8)
-                lang, piece, uses = expected(lattice, logs, buf, sizes[lo:hi], language[lo:hi], times[lo:hi])
+            for lang, piece, uses in expected(lattice, logs, batch.column(1).to_pylist(), batch.column(0).to_numpy(), batch.column(2).to_numpy()):
                 sums += np.bincount(piece * logs.shape[1] + lang, np.round(uses * FINE), logs.size)
         met = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(sums[met])], ["cell", "uses"])
@@ -250,15 +280,14 @@ class Scorer:
 
     def of(self, hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
         """One row per word; ``hashes`` ascend."""
-        new = np.flatnonzero(~np.isin(hashes, self.hashes))
+        near = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        new = np.flatnonzero(self.hashes[near] != hashes) if len(self.hashes) else np.arange(len(hashes))
         if len(new):
             if self.scores.size > KNOWN_SCORES:
                 self.hashes, self.scores, new = self.hashes[:0], self.scores[:0], np.arange(len(hashes))
-            chosen = [words[i] for i in new.tolist()]
-            sizes = np.array([len(w) for w in chosen])
-            made = [word_scores(self.lattice, self.logs, np.frombuffer(b"".join(chosen[lo:hi]), np.uint8), sizes[lo:hi]) for lo, hi in parts(sizes)]
+            made = word_scores(self.lattice, self.logs, [words[i] for i in new.tolist()])
             at = np.searchsorted(self.hashes, hashes[new])
-            self.hashes, self.scores = np.insert(self.hashes, at, hashes[new]), np.insert(self.scores, at, np.concatenate(made), axis=0)
+            self.hashes, self.scores = np.insert(self.hashes, at, hashes[new]), np.insert(self.scores, at, made, axis=0)
         return self.scores[np.searchsorted(self.hashes, hashes)]
 
 

@@ -190,24 +190,26 @@ def small_model():
     return pieces, logs
 
 
-def test_words_sum_over_all_segmentations():
+@pytest.mark.parametrize("short", [0, 5, 20])
+def test_words_sum_over_all_segmentations(monkeypatch, short):
     pieces, logs = small_model()
     words = [b" banana", b" abcabc", b" a", b" c", b" abab"]
-    sizes = np.array([len(w) for w in words])
-    got = language_id.word_scores(language_id.Lattice(pieces), logs, np.frombuffer(b"".join(words), np.uint8), sizes)
+    monkeypatch.setattr(language_id, "SHORT", short)
+    got = language_id.word_scores(language_id.Lattice(pieces), logs, words)
     for w, row in zip(words, got):
         for k in range(2):
             want = sum(math.exp(sum(logs[pieces.index(p), k] for p in cut)) for cut in cuttings(w) if all(p in pieces for p in cut))
             assert row[k] == pytest.approx(math.log(want))
 
 
-def test_expected_uses_are_those_of_all_segmentations():
+@pytest.mark.parametrize("short", [0, 5, 20])
+def test_expected_uses_are_those_of_all_segmentations(monkeypatch, short):
+    monkeypatch.setattr(language_id, "SHORT", short)
     pieces, logs = small_model()
     words, times, language = [b" banana", b" abcabc", b" a"], np.array([2, 1, 5]), np.array([0, 1, 1])
-    sizes = np.array([len(w) for w in words])
-    lang, piece, uses = language_id.expected(language_id.Lattice(pieces), logs, np.frombuffer(b"".join(words), np.uint8), sizes, language, times)
     got = np.zeros(logs.shape)
-    np.add.at(got, (piece, lang), uses)
+    for lang, piece, uses in language_id.expected(language_id.Lattice(pieces), logs, words, language, times):
+        np.add.at(got, (piece, lang), uses)
     want = np.zeros(logs.shape)
     for w, n, k in zip(words, times, language):
         cuts = [[pieces.index(p) for p in cut] for cut in cuttings(w) if all(p in pieces for p in cut)]
