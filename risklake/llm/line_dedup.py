@@ -1,10 +1,11 @@
 """Fuzzy line dedup by MinHash over character shingles.
 
-Every different line with a visible character gets a signature of ``BANDS`` x ``ROWS`` minima over its ``SHINGLE``-character shingles (a
-shorter line is one shingle) and the number of its different shingles. Lines that share a band and whose numbers allow the
-similarity are candidates, verified by exact Jaccard similarity of their shingle sets: first each against the smallest line of the
-bucket; then, in buckets that hold lines not connected yet, all pairs of such lines in bounded tiles. Texts are fetched for candidates
-only. Links are joined by distributed union-find (``graph.components``); of each component the first line stays.
+Every different line with a visible character gets ``BANDS`` x ``ROWS`` minima over its ``SHINGLE``-character shingles (a shorter line is one
+shingle), the number of its different shingles, and a sketch: four bits of each minimum. Lines that share a band are candidates.
+They are first compared by number and sketch, which excludes a similar pair with a probability below ``MISS``; what is left is verified by
+exact Jaccard similarity of the shingle sets, and only then are texts fetched. Each line is compared with the smallest of its
+bucket; then, in buckets that hold lines not connected yet, all pairs of such lines in bounded tiles. Links are joined by
+distributed union-find (``graph.components``); of each component the first line stays.
 
 At the threshold of 0.8 a pair shares a band with probability 1 - (1 - 0.8^5)^16 = 0.998, at 0.9 above 0.9999. Equal lines are always linked.
 """
@@ -33,10 +34,13 @@ TILE = 256
 FEW = 24  # lines of a tile up to which pairs are compared one by one
 SLICE = 4096  # shingles of a larger tile counted at a time
 CHUNK = 1 << 17  # characters hashed at a time
+AT_ONCE = 8  # bands shuffled at a time
+MISS = 1e-6
+NIBBLES = 0x1111111111111111  # the lowest bit of each four
 SEEN = 1 << 20  # lines a task remembers to have signed before it starts afresh
 BROADCAST_LINES = 1 << 20  # candidate line ids (8 bytes each) up to which they go to every executor
 ROW_KEY = ["doc_id", "k1", "k2"]
-SIGNED = "h long, n int, bands array<bigint>"
+SIGNED = "h long, n int, sketch array<bigint>, bands array<bigint>"
 BLANK = " \t\n\x0b\x0c\r"
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,21 +67,42 @@ def shingle_hashes(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     return mix(h[at]), first
 
 
-def band_hashes(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row of ``BANDS`` hashes per line, and the number of different shingles."""
+def joined_bands(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One row of band hashes per row of minima."""
+    x = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(minima), 1))
+    for r in range(rows):
+        x = mix(x * _BASE ^ minima[:, r::rows])
+    return x
+
+
+def sketches(minima: np.ndarray) -> np.ndarray:
+    """Four bits of each minimum, sixteen to a number."""
+    bits = mix(minima) >> np.uint64(60)
+    wide = np.zeros((len(minima), -(-minima.shape[1] // 16) * 16), np.uint64)
+    wide[:, : minima.shape[1]] = bits
+    return np.bitwise_or.reduce(wide.reshape(len(minima), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+
+
+def most_different(minima: int, threshold: float, miss: float = MISS) -> int:
+    """Largest number of unequal fours of bits that a similar pair has, but for a probability of ``miss``."""
+    equal = threshold + (1 - threshold) / 16
+    tail = 0.0
+    for k in range(minima, -1, -1):
+        tail += math.comb(minima, k) * (1 - equal) ** k * equal ** (minima - k)
+        if tail > miss:
+            return k
+    return 0
+
+
+def signature(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minima of each line (row), and the number of its different shingles."""
     h, first = shingle_hashes(points, lengths)
     minima = np.stack([np.minimum.reduceat(h * m, first) for m in _MULTIPLIERS], axis=1)
-    bands = np.zeros((len(lengths), BANDS), np.uint64)
-    for b in range(BANDS):
-        x = np.full(len(lengths), b + 1, np.uint64)
-        for r in range(ROWS):
-            x = mix(x * _BASE ^ minima[:, b * ROWS + r])
-        bands[:, b] = x
     # sorted by line, then by 44 bits of the hash: a rare collision makes a number one too small, which candidates allow for
     line = np.repeat(np.arange(len(lengths), dtype=np.uint64), np.diff(np.append(first, len(h))))
     ordered = np.sort(line << np.uint64(44) | h >> np.uint64(20))
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    return bands, np.add.reduceat(new, first, dtype=np.int64)
+    return minima, np.add.reduceat(new, first, dtype=np.int64)
 
 
 def line_id(line: str) -> int:
@@ -106,13 +131,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _signatures(lines: dict[int, str]) -> pa.RecordBatch:
     points = np.frombuffer("".join(lines.values()).encode("utf-32-le", "surrogatepass"), "<u4")
-    bands, n = band_hashes(points, np.array([len(x) for x in lines.values()]))
-    return pa.RecordBatch.from_arrays([pa.array(list(lines), pa.int64()), pa.array(n, pa.int32()), packed(bands)], ["h", "n", "bands"])
+    minima, n = signature(points, np.array([len(x) for x in lines.values()]))
+    columns = [pa.array(list(lines), pa.int64()), pa.array(n, pa.int32()), packed(sketches(minima)), packed(joined_bands(minima, BANDS, ROWS))]
+    return pa.RecordBatch.from_arrays(columns, ["h", "n", "sketch", "bands"])
 
 
-def packed(bands: np.ndarray) -> pa.ListArray:
-    offsets = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * bands.shape[1])
-    return pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))
+def packed(rows: np.ndarray) -> pa.ListArray:
+    offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows).ravel().view(np.int64)))
 
 
 def shingles(line: str) -> set[str]:
@@ -219,44 +245,94 @@ def texts_of_lines(docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return texts
 
 
-def line_links(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, shingled: Callable[[str], set] = shingles, hashes: Callable[[str], np.ndarray] = hashed) -> DataFrame:
-    """``signed(h, n, bands)`` -> verified links ``(a, b)`` between ids of different lines; an id may be there more than once.
+def _different(a: str, b: str) -> str:
+    """SQL of the number of unequal fours of bits of two sketches."""
+    unequal = "bit_count((x | shiftrightunsigned(x, 1) | shiftrightunsigned(x, 2) | shiftrightunsigned(x, 3)) & {0}L)".format(NIBBLES)
+    return f"aggregate(zip_with({a}, {b}, (p, q) -> p ^ q), 0, (t, x) -> t + {unequal})"
+
+
+def hopeful(part: dict[str, np.ndarray], threshold: float, most: int) -> np.ndarray:
+    """Rows of whole units that number and sketch allow to be similar to another row of their unit, of another root (and side, if there are two)."""
+    unit, side, root, n = part["unit"], part["side"], part["root"], part["n"].astype(np.int64)
+    sketch = np.stack(part["sketch"]).view(np.uint64)
+    changes = np.flatnonzero(np.diff(unit)) + 1
+    bounds = np.concatenate([[0], changes, [len(unit)]])
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    across = np.repeat(np.maximum.reduceat(side, bounds[:-1]) > 0, np.diff(bounds))
+    out, at, step = np.zeros(len(unit), bool), np.arange(len(unit)), 1
+    while True:  # each row with the one ``step`` further on, for all units at once
+        at = at[at + step < end[at]]
+        if not len(at):
+            return out
+        to = at + step
+        some = (root[at] != root[to]) & (~across[at] | (side[at] != side[to])) & (np.minimum(n[at], n[to]) + 1 >= threshold * np.maximum(n[at], n[to]))
+        a, b = at[some], to[some]
+        x = sketch[a] ^ sketch[b]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        good = np.bitwise_count(x & np.uint64(NIBBLES)).sum(axis=1) <= most
+        out[a[good]] = out[b[good]] = True
+        step += 1
+
+
+def _hopeful(threshold: float, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _carried(batches, "unit"):
+            keep = hopeful(part, threshold, most)
+            yield pa.RecordBatch.from_arrays([pa.array(part[c][keep]) for c in ("unit", "side", "h")], ["unit", "side", "h"])
+
+    return run
+
+
+def line_links(signed: DataFrame, minima: int, texts_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, shingled: Callable[[str], set] = shingles, hashes: Callable[[str], np.ndarray] = hashed) -> DataFrame:
+    """Written ``signed(h, n, sketch, bands)`` -> verified links ``(a, b)`` between ids of different lines; an id may be there more than once.
 
-    ``texts_of`` gives ``(h, text)`` of wanted ids, each once. The bands are shuffled once. A bucket is cut by number of shingles, each
-    class with the next one, before anything is compared: two lines whose numbers differ more than the threshold allows never meet.
+    ``minima`` is their number in a sketch; ``texts_of`` gives ``(h, text)`` of wanted ids, each once. Bands are shuffled ``AT_ONCE``
+    at a time, ids alone, and what shares none is dropped at once.
     """
-    bucket = Window.partitionBy("band")
-    banded = signed.select("h", "n", F.explode("bands").alias("band")).withColumn("lo", F.min("h").over(bucket)).withColumn("hi", F.max("h").over(bucket)).where("lo <> hi")
-    # one number too small at most: as if the ratio were a little lower
-    size = F.floor(F.log(F.col("n") + 1.0) / -math.log(threshold * 0.98)).cast("int")
-    classes = F.explode(F.array(size, size + 1)).alias("class")
-    members = materialise(banded.select("band", "h", "n", classes).select(F.xxhash64("band", "class").alias("g"), "h", "n").distinct(), "line-members")
-    heads = materialise(members.groupBy("g").agg(F.min(F.struct("h", "n")).alias("m"), F.count("*").alias("size")).where("size > 1").select("g", F.col("m.h").alias("a"), F.col("m.n").alias("na"), "size"), "line-heads")
-    grouped = materialise(members.join(heads, "g"), "line-groups")
-    discard(members, heads)
-    near = F.least("n", "na") + 1 >= threshold * F.greatest("n", "na")
-    pairs = materialise(grouped.where((F.col("a") != F.col("h")) & near).select("a", F.col("h").alias("b")).distinct(), "line-pairs")
-    larger = grouped.where("size > 2").select("g", "h", "size")
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("h")).union(larger.select("h")).distinct(), "line-wanted")
-    texts = materialise(texts_of(wanted), "line-texts")
-    discard(wanted)
-    met = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("t")), "b")
-    checked = materialise(met.select("a", "b", "s", "t").sortWithinPartitions("a").mapInArrow(_verify(threshold, shingled), "a long, b long, ok boolean").where("ok").select("a", "b"), "line-checked")
-    # a group whose members are all connected by now is done; so is one of two members, compared already. Of groups with the
+    most, bucket = most_different(minima, threshold), Window.partitionBy("band")
+    steps = []
+    for i in range(0, max(len(r.bands) if (r := signed.select("bands").first()) else 0, 1), AT_ONCE):
+        banded = signed.select("h", F.explode(F.slice("bands", i + 1, AT_ONCE)).alias("band")).withColumn("a", F.min("h").over(bucket)).withColumn("z", F.max("h").over(bucket))
+        steps.append(materialise(banded.where("a <> z").select("band", "a", "h").distinct(), "line-members"))
+    members = steps[0]
+    for more in steps[1:]:
+        members = members.unionByName(more)
+    pairs = materialise(members.where("a <> h").select("a", F.col("h").alias("b")).distinct(), "line-pairs")
+    met = members.select("h").distinct()
+    known = materialise(signed.select("h", "n", "sketch").join(few(met), "h", "left_semi").dropDuplicates(["h"]), "line-sketches")
+    x, y = (known.select(F.col("h").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    near = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") + 1 >= threshold * F.greatest("na", "nb")).where(F.expr(_different("sa", "sb")) <= most).select("a", "b")
+    near = materialise(near, "line-near")
+    discard(pairs)
+    checked = _verified(near, texts_of, threshold, shingled)
+    # a bucket whose members are all connected by now is done; so is one of two members, compared already. Of buckets with the
     # same members one is enough
     roots = materialise(components(checked).withColumnRenamed("node", "h"), "line-roots")
-    placed = materialise(larger.join(roots, "h", "left").select("g", "h", F.coalesce("root", "h").alias("root")), "line-placed")
-    discard(pairs, grouped, roots)
-    mixed = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).where("lo <> hi")
-    mixed = materialise(mixed.groupBy("n", "x", "y").agg(F.min("g").alias("g")).select("g"), "line-mixed")
-    rest = placed.join(mixed, "g", "left_semi")
-    units = tiled(rest, "g", F.xxhash64("h", F.lit(5)), F.lit(0), 0, TILE).join(texts, "h").select("unit", "side", "h", "text")
-    more = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_verify_tiles(threshold, hashes), "a long, b long")
+    placed = materialise(members.join(roots, "h", "left").select("band", "h", F.coalesce("root", "h").alias("root")), "line-placed")
+    discard(near, roots, *steps)
+    mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).where("lo <> hi and n > 2")
+    mixed = materialise(mixed.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"), "line-mixed")
+    rest = placed.join(mixed, "band", "left_semi")
+    units = tiled(rest, "band", F.xxhash64("h", F.lit(5)), F.lit(0), 0, TILE).join(known, "h").select("unit", "side", "h", "root", "n", "sketch")
+    units = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_hopeful(threshold, most), "unit long, side int, h long")
+    units = materialise(units, "line-units")
+    texts = materialise(texts_of(units.select("h").distinct()), "line-texts")
+    more = units.join(texts, "h").repartition("unit").sortWithinPartitions("unit", "side").select("unit", "side", "h", "text").mapInArrow(_verify_tiles(threshold, hashes), "a long, b long")
     out = materialise(checked.unionByName(more), "line-links")
-    discard(texts, checked, placed, mixed)
+    discard(known, checked, placed, mixed, units, texts)
     return out
 
 
+def _verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, shingled: Callable[[str], set]) -> DataFrame:
+    """The pairs ``(a, b)`` that are similar, written."""
+    texts = materialise(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()), "line-texts")
+    met = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("t")), "b")
+    checked = materialise(met.select("a", "b", "s", "t").sortWithinPartitions("a").mapInArrow(_verify(threshold, shingled), "a long, b long, ok boolean").where("ok").select("a", "b"), "line-checked")
+    discard(texts)
+    return checked
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.withColumn("k1", F.xxhash64(F.lit(1), text)).withColumn("k2", F.xxhash64(F.lit(2), text))
@@ -268,7 +344,9 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Of each component the line of the smallest (doc_id, text hash, line number) stays, null ids last. Rows with the same id and
     text are one document listed more than once: they keep and lose the same lines.
     """
-    links = line_links(docs.select("text").mapInArrow(_signed, SIGNED), texts_of_lines(docs), threshold)
+    signed = materialise(docs.select("text").mapInArrow(_signed, SIGNED), "lines-signed")
+    links = line_links(signed, BANDS * ROWS, texts_of_lines(docs), threshold)
+    discard(signed)
     roots = materialise(components(links).withColumnRenamed("node", "h"), "line-roots")
     discard(links)
     lines = docs.select(*ROW_KEY, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "x")).where(F.trim("x", F.lit(BLANK)) != "")
