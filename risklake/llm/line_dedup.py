@@ -313,14 +313,22 @@ def line_links(signed: DataFrame, minima: int, texts_of: Callable[[DataFrame], D
     discard(near, roots, *steps)
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).where("lo <> hi and n > 2")
     mixed = materialise(mixed.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"), "line-mixed")
-    rest = placed.join(mixed, "band", "left_semi")
-    units = tiled(rest, "band", F.xxhash64("h", F.lit(5)), F.lit(0), 0, TILE).join(known, "h").select("unit", "side", "h", "root", "n", "sketch")
+    # in a large bucket, lines of the root that most have need not meet each other, and lines of very different sizes none at all
+    open_ = materialise(placed.join(mixed, "band", "left_semi").join(known.select("h", "n"), "h"), "line-rest")
+    discard(placed, mixed)
+    chief = open_.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("chief"), F.sum("c").alias("c")).where(F.col("c") > TILE).select("band", "chief")
+    chief = materialise(chief, "line-chief")
+    rest = open_.join(chief, "band", "left").withColumn("joined", F.coalesce(F.col("root") == F.col("chief"), F.lit(False))).drop("chief")
+    # the number of shingles may be one too small: as if the ratio were a little lower
+    size = F.floor(F.log(F.col("n") + 1.0) / -math.log(threshold * 0.98))
+    units = tiled(rest, "band", F.xxhash64("h", F.lit(5)), size, 1, TILE, F.col("joined")).select("unit", "side", "h", "root", "n").join(known.select("h", "sketch"), "h").select("unit", "side", "h", "root", "n", "sketch")
     units = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_hopeful(threshold, most), "unit long, side int, h long")
     units = materialise(units, "line-units")
+    discard(known, open_, chief)
     texts = materialise(texts_of(units.select("h").distinct()), "line-texts")
     more = units.join(texts, "h").repartition("unit").sortWithinPartitions("unit", "side").select("unit", "side", "h", "text").mapInArrow(_verify_tiles(threshold, hashes), "a long, b long")
     out = materialise(checked.unionByName(more), "line-links")
-    discard(known, checked, placed, mixed, units, texts)
+    discard(checked, units, texts)
     return out
 
 
