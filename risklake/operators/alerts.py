@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from risklake.functions.scalar import dashed_pair, is_crypto_symbol, is_finite, slashed_pair
 from risklake.operators.align import series
-from risklake.session import materialise
 
 # Fixed values.
 DEFAULT_COOLDOWN_SECONDS = 900
@@ -140,13 +135,19 @@ def evaluate_rules(rules: DataFrame, prices: DataFrame, latest: DataFrame, forec
     )
 
 
-def edge_events(evaluations: DataFrame) -> DataFrame:
+def edge_events(evaluations: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Only the rows where a rule starts or stops being triggered.
 
-    A rule is evaluated once per scheduler cycle, so its series is bounded by the clock.
+    ``prior(alert_id, last_triggered)`` is the flag of each rule's newest stored event, one row per rule: a re-run does not fire again
+    what has been fired. A rule without one starts untriggered. A rule is evaluated once per scheduler cycle, so its series is bounded
+    by the clock.
     """
-    prev = F.coalesce(F.lag("triggered").over(W.partitionBy("alert_id").orderBy("evaluated_at")), F.lit(False))
-    return evaluations.withColumn("_prev", prev).where("triggered <> _prev").select(
+    rows = evaluations
+    if prior is not None:
+        rows = rows.join(prior.select("alert_id", F.col("last_triggered").alias("_prior")), "alert_id", "left")
+    known = F.col("_prior") if prior is not None else F.lit(None).cast("boolean")
+    prev = F.coalesce(F.lag("triggered").over(W.partitionBy("alert_id").orderBy("evaluated_at")), known, F.lit(False))
+    return rows.withColumn("_prev", prev).where("triggered <> _prev").select(
         *evaluations.columns, F.when(F.col("triggered"), "rising").otherwise("falling").alias("edge")
     )
 
@@ -222,116 +223,7 @@ def reference_gate(kind: Column, ticker: Column) -> Column:
     return out
 
 
-# ---- cooldown ----------------------------------------------------------------------------
-def cooldown(matched: DataFrame, block_seconds: int = 86_400, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """Keep an event only when the rule's previous *kept* event is more than the cooldown ago.
-
-    The chain of kept events depends on itself, so a plain lag cannot find it. Every (rule, time
-    block) is solved for all of its possible entries at once, the few distinct outcomes are chained
-    along each rule's blocks, and a last pass marks the kept rows. A rule with a third of all events
-    is spread over all its blocks; only block summaries ever meet.
-
-    Blocks are hashed into as many buckets as the session has shuffle partitions, a number sized so
-    that full-width rows fit; the buckets here hold four numbers per row. Rows need ``alert_id,
-    cooldown_seconds`` and the ``order`` columns; adds ``kept``.
-    """
-    ts, tie = order
-    matched = materialise(matched, "cooldown-input")  # three readers below, one fan-out
-    buckets = int(matched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    width = block_seconds * 1_000_000
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    slim = (
-        matched.where("cooldown_seconds > 0").select("alert_id", (F.col("cooldown_seconds").cast("long") * 1_000_000).alias("gap"), us.alias("us"), F.col(tie).cast("long").alias("tie"))
-        .withColumn("block", F.floor(F.col("us") / width))
-        .withColumn("bucket", F.pmod(F.hash("alert_id", "block"), F.lit(buckets)))
-    )
-    steps = slim.groupBy("bucket").applyInPandas(lambda pdf: _block_outcomes(pdf, width), "alert_id long, block long, gap long, upto long, stop long")
-    chained = steps.withColumn("part", F.pmod(F.hash("alert_id"), F.lit(buckets))).groupBy("part").applyInPandas(_chain_blocks, "alert_id long, block long, floor long")
-    entries = chained.withColumn("bucket", F.pmod(F.hash("alert_id", "block"), F.lit(buckets)))
-    marked = slim.groupBy("bucket").cogroup(entries.groupBy("bucket")).applyInPandas(
-        lambda rows, floors: _mark_kept(rows, floors, width), "alert_id long, tie long, kept boolean"
-    )
-    kept = marked.where("kept").select("alert_id", F.col("tie").alias(tie), F.lit(True).alias("_kept"))
-    return matched.join(kept, ["alert_id", tie], "left").withColumn(
-        "kept", F.coalesce("_kept", F.col("cooldown_seconds") <= 0)
-    ).drop("_kept")
-
-
-def _next_kept(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(group number, time on one shared axis, next event a kept one allows, end of its group).
-
-    Rows come sorted by (alert_id, block, us); the shared axis gives every group its own stretch.
-    """
-    new = (pdf["alert_id"].diff().ne(0) | pdf["block"].diff().ne(0)).to_numpy()
-    group = np.cumsum(new) - 1
-    gap = pdf["gap"].to_numpy()
-    stretch = width + int(gap.max()) + 1
-    axis = group * stretch + (pdf["us"].to_numpy() - pdf["block"].to_numpy() * width)
-    starts = np.flatnonzero(new)
-    ends = np.r_[starts[1:], len(pdf)][group]
-    return group, axis, np.minimum(np.searchsorted(axis, axis + gap, side="right"), ends), ends
-
-
-def _block_outcomes(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Per (rule, block): the last event kept for each entry, as a step function of the entry."""
-    pdf = pdf.sort_values(["alert_id", "block", "us"], kind="stable", ignore_index=True)
-    group, _, nxt, ends = _next_kept(pdf, width)
-    here = np.arange(len(pdf))
-    last = np.where(nxt < ends, nxt, here)
-    while True:  # pointer doubling: follow the chain to its end inside the block
-        further = last[last]
-        if np.array_equal(further, last):
-            break
-        last = further
-    stop = pdf["us"].to_numpy()[last]
-    # entries with the same outcome merge; the step is valid up to the last of them
-    keep = np.r_[(stop[1:] != stop[:-1]) | (group[1:] != group[:-1]), True]
-    out = pdf.loc[keep, ["alert_id", "block", "gap", "us"]].rename(columns={"us": "upto"})
-    out["stop"] = stop[keep]
-    return out
-
-
-def _chain_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Last kept time before every block, walking each rule's block summaries in order."""
-    pdf = pdf.sort_values(["alert_id", "block", "upto"], kind="stable")
-    rows: list[tuple[int, int, int | None]] = []
-    rule = block = before = None
-    done = False
-    for a, b, gap, upto, stop in pdf[["alert_id", "block", "gap", "upto", "stop"]].itertuples(index=False):
-        if a != rule:
-            rule, block, before = a, None, None
-        if b != block:
-            block, done, entered = b, False, before
-            rows.append((a, b, before))
-        if not done and (entered is None or upto > entered + gap):
-            before, done = stop, True
-    return pd.DataFrame(rows, columns=["alert_id", "block", "floor"]).astype({"floor": "Int64"})
-
-
-def _mark_kept(rows: pd.DataFrame, floors: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Follow the chain of every block from its true entry, all blocks in step."""
-    if rows.empty:
-        return pd.DataFrame({"alert_id": [], "tie": [], "kept": []})
-    rows = rows.sort_values(["alert_id", "block", "us", "tie"], kind="stable", ignore_index=True)
-    rows = rows.merge(floors[["alert_id", "block", "floor"]], on=["alert_id", "block"], how="left")
-    group, axis, nxt, ends = _next_kept(rows, width)
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    first = rows.loc[starts]
-    at = starts.copy()
-    known = first["floor"].notna().to_numpy()
-    after = first["floor"].fillna(0).to_numpy(dtype="int64") + first["gap"].to_numpy() - first["block"].to_numpy() * width
-    stretch = width + int(rows["gap"].max()) + 1
-    limit = group[starts] * stretch + np.clip(after, -1, stretch - 1)
-    at[known] = np.minimum(np.searchsorted(axis, limit[known], side="right"), ends[starts][known])
-    kept = np.zeros(len(rows), dtype=bool)
-    at = at[at < ends[starts]]
-    while len(at):
-        kept[at] = True
-        step = nxt[at]
-        at = step[step < ends[at]]
-    return pd.DataFrame({"alert_id": rows["alert_id"], "tie": rows["tie"], "kept": kept})
-
-
+# ---- ingest ------------------------------------------------------------------------------
 def ingest_report(received: DataFrame, matched: DataFrame, unmatched: DataFrame, decided: DataFrame) -> DataFrame:
     """Received, matched, persisted, suppressed and unmatched counts, one row."""
     parts = [

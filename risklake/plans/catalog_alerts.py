@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from risklake.operators import alerts as al
 from risklake.operators import metrics as m
 from risklake.operators import screener as scr
+from risklake.operators.cooldown import cooldown, last_kept
 from risklake.plans.catalog_metrics import LT
 from risklake.plans.catalog_risk import WATCH_SQL, regime_watch
 from risklake.plans.registry import register
+from risklake.session import materialise
 from risklake.sources.testdata import Tables
 from risklake.streaming import jobs
 
@@ -65,7 +67,12 @@ def _(t: Tables):
 
 
 EVALS_SQL = """SELECT alert_id, date AS evaluated_at, CASE WHEN direction='below' THEN price<=threshold_value ELSE price>=threshold_value END AS triggered FROM rules JOIN pw ON symbol=ticker WHERE alert_type='price_threshold'"""
-EDGE_SQL = f"""SELECT alert_id, evaluated_at, triggered, CASE WHEN triggered THEN 'rising' ELSE 'falling' END AS edge FROM (SELECT *, coalesce(lag(triggered) OVER (PARTITION BY alert_id ORDER BY evaluated_at), false) AS pv FROM ({EVALS_SQL})) WHERE triggered<>pv"""
+EVENTS_SQL = """SELECT event_id, user_id*10+event_id%10 AS alert_id, user_id, value>30 AS triggered, ts AS evaluated_at, 'U'||user_id AS ticker,
+    CASE WHEN event_type='error' THEN 'regime_watch' ELSE 'external' END AS detector_source FROM events"""
+_LAST = f"(SELECT alert_id, arg_max(triggered, evaluated_at) AS last_triggered, max(evaluated_at) AS last_evaluated_at FROM ({EVENTS_SQL}) GROUP BY 1)"
+# the newest stored event of a rule is what its first evaluation is compared with
+EDGE_SQL = f"""SELECT alert_id, evaluated_at, triggered, CASE WHEN triggered THEN 'rising' ELSE 'falling' END AS edge FROM (SELECT e.*, coalesce(lag(triggered) OVER (PARTITION BY e.alert_id ORDER BY e.evaluated_at), l.last_triggered, false) AS pv
+    FROM ({EVALS_SQL}) e LEFT JOIN {_LAST} l ON l.alert_id=e.alert_id) WHERE triggered<>pv"""
 
 
 def _evaluations(rules, prices):
@@ -76,7 +83,18 @@ def _evaluations(rules, prices):
 
 @register("alt_06_edge_trigger", "alert_id:i evaluated_at:t triggered:b edge:s", EDGE_SQL)
 def _(t: Tables):
-    return al.edge_events(_evaluations(t.alert_rules, t.prices_weekly))
+    return al.edge_events(_evaluations(t.alert_rules, t.prices_weekly), al.latest_events(_events(t)))
+
+
+@register("alt_06_edge_trigger_stream", "alert_id:i evaluated_at:t triggered:b edge:s", EDGE_SQL)
+def _(t: Tables):
+    """The same decision as a stream: the stored events land first, then the evaluations in three parts, with a restart after each."""
+    rows = materialise(_evaluations(t.alert_rules, t.prices_weekly).withColumn("stored", F.lit(False)), "edge-evaluations")
+    stored = al.latest_events(_events(t)).join(rows.select("alert_id"), "alert_id", "left_semi")
+    stored = stored.select("alert_id", F.col("last_evaluated_at").alias("evaluated_at"), F.col("last_triggered").alias("triggered"), F.lit(True).alias("stored"))
+    year = F.year("evaluated_at")
+    landings = [stored, rows.where(year < 1997), rows.where((year >= 1997) & (year < 2000)), rows.where(year >= 2000)]
+    return jobs.drain_landings(landings, jobs.edge_stream, "alert_id long, evaluated_at timestamp, triggered boolean, stored boolean")
 
 
 def _matched(t: Tables):
@@ -93,7 +111,15 @@ COOL_SQL = f"""WITH RECURSIVE mt AS MATERIALIZED ({MATCH_SQL}), ch(alert_id, coo
 
 @register("alt_07_cooldown", "alert_id:i event_id:i kept:b", f"{COOL_SQL} SELECT * FROM cd")
 def _(t: Tables):
-    return al.cooldown(_matched(t)[0])
+    return cooldown(_matched(t)[0])
+
+
+@register("alt_07_cooldown_continued", "alert_id:i event_id:i kept:b", f"{COOL_SQL} SELECT * FROM cd WHERE event_id IN (SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00')")
+def _(t: Tables):
+    """Two runs: the first leaves the last kept time of each rule, the second goes on from there."""
+    matched, cut = _matched(t)[0], F.lit("2024-01-15").cast("timestamp")
+    earlier = cooldown(matched.where(F.col("ts") < cut))
+    return cooldown(matched.where(F.col("ts") >= cut), last_kept(earlier))
 
 
 @register("alt_07_cooldown_stream", "alert_id:i event_id:i kept:b", f"{COOL_SQL} SELECT * FROM cd")
@@ -117,7 +143,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     matched, unmatched = _matched(t)
-    return al.ingest_report(t.detections, matched, unmatched, al.cooldown(matched))
+    return al.ingest_report(t.detections, matched, unmatched, cooldown(matched))
 
 
 @register("alt_09_reference_gate", "event_id:i gate:s", "SELECT event_id, CASE WHEN kind IN ('robust_z','cusum') AND user_id=1 THEN 'BTC daily-bar crisis catalog (v1)' END AS gate FROM det JOIN events USING (event_id)")
@@ -193,9 +219,6 @@ def _(t: Tables):
     return t.detections.withColumn("meaning", al.kind_meaning(F.col("kind")))
 
 
-EVENTS_SQL = """SELECT event_id, user_id*10+event_id%10 AS alert_id, user_id, value>30 AS triggered, ts AS evaluated_at, 'U'||user_id AS ticker,
-    CASE WHEN event_type='error' THEN 'regime_watch' ELSE 'external' END AS detector_source FROM events"""
-
 
 def _events(t: Tables):
     """Alert events out of the event rows: ten rules per user."""
@@ -226,10 +249,6 @@ def _(t: Tables):
 def _(t: Tables):
     return scr.list_events(_events(t), t.alert_rules, user_id=3, triggered_only=True, detector_source=" regime_watch", limit=1000)
 
-
-_LAST = f"(SELECT alert_id, arg_max(triggered, evaluated_at) AS last_triggered, max(evaluated_at) AS last_evaluated_at FROM ({EVENTS_SQL}) GROUP BY 1)"
-
-
 @register(
     "join_08_alert_exposure", "alert_id:i portfolio_id:i symbol:s weight:d6 last_triggered:b last_evaluated_at:ts",
     f"""SELECT r.alert_id, h.portfolio_id, h.symbol, h.weight, last_triggered, last_evaluated_at FROM rules r JOIN posc h ON h.user_id=r.user_id AND h.symbol=upper(r.ticker) LEFT JOIN {_LAST} l ON l.alert_id=r.alert_id""",

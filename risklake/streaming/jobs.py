@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +18,15 @@ from risklake.streaming import telemetry as tel
 WATERMARK = "10 minutes"
 
 
-def drain(stream: DataFrame, mode: str = "append", keys: str | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", root: str | None = None) -> DataFrame:
     """Run a stream over everything available and return what it wrote.
 
     Output and checkpoint live in the shared folder, so a restarted driver or executor resumes. In
-    complete mode the last batch is the result; otherwise all batches together are.
+    complete mode the last batch is the result; otherwise all batches together are. With the ``root`` of an earlier call the
+    stream goes on where that one ended.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = root or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, epoch: int) -> None:
         # a replayed batch overwrites its own folder: the sink stays exactly-once
@@ -75,52 +77,68 @@ def deduplicated_requests(messages: DataFrame) -> DataFrame:
     return req.withWatermark("arrived_at", WATERMARK).dropDuplicatesWithinWatermark(["device_sn", "tid"])
 
 
-def _stateful(rows: DataFrame, key: str, output: str, state: str, fn: Callable[..., Iterator[pd.DataFrame]]) -> DataFrame:
-    return rows.groupBy(key).applyInPandasWithState(fn, output, state, "append", GroupStateTimeout.NoTimeout)
+def _stateful(rows: DataFrame, output: str, fn: Callable[[Any, pd.DataFrame, int | None], tuple[pd.DataFrame, int]]) -> DataFrame:
+    """``fn(key, rows in the batch, stored value)`` -> (what comes out, the value to store), for each rule of a micro-batch."""
+
+    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out, value = fn(key[0], pd.concat(list(frames)), int(state.get[0]) if state.exists else None)
+        state.update((value,))
+        yield out
+
+    return rows.groupBy("alert_id").applyInPandasWithState(step, output, "value long", "append", GroupStateTimeout.NoTimeout)
 
 
 def edge_stream(evaluations: DataFrame) -> DataFrame:
-    """Rising and falling edges of each rule; the state is its last triggered flag.
+    """Rising and falling edges of each rule; the state is its last flag.
 
-    Rows: alert_id, evaluated_at, triggered. Within a micro-batch each rule's rows are put in time
-    order; a rule has one row per evaluation cycle, so a batch holds few of them.
+    Rows: alert_id, evaluated_at, triggered, and ``stored``, true for the rule's newest stored event: such a row sets the state and
+    does not come out. Within a micro-batch each rule's rows are put in time order; a rule has one row per evaluation cycle, so a batch
+    holds few of them.
     """
 
-    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames)).sort_values("evaluated_at", kind="stable")
-        before = bool(state.get[0]) if state.exists else False
+    def step(rule: int, pdf: pd.DataFrame, value: int | None) -> tuple[pd.DataFrame, int]:
+        pdf = pdf.sort_values(["stored", "evaluated_at"], ascending=[False, True], kind="stable")
         flags = pdf["triggered"].astype(bool)
-        change = flags.ne(flags.shift(fill_value=before))
-        state.update((bool(flags.iloc[-1]),))
+        change = flags.ne(flags.shift(fill_value=bool(value))) & ~pdf["stored"].astype(bool)
         out = pdf[change.to_numpy()]
         edge = out["triggered"].map({True: "rising", False: "falling"})
-        yield pd.DataFrame({"alert_id": out["alert_id"], "evaluated_at": out["evaluated_at"], "triggered": out["triggered"], "edge": edge})
+        return pd.DataFrame({"alert_id": rule, "evaluated_at": out["evaluated_at"], "triggered": out["triggered"], "edge": edge}), int(flags.iloc[-1])
 
-    return _stateful(
-        evaluations.select("alert_id", "evaluated_at", "triggered"), "alert_id",
-        "alert_id long, evaluated_at timestamp, triggered boolean, edge string", "last boolean", step,
-    )
+    stored = F.col("stored") if "stored" in evaluations.columns else F.lit(False)
+    rows = evaluations.select("alert_id", "evaluated_at", "triggered", stored.alias("stored"))
+    return _stateful(rows, "alert_id long, evaluated_at timestamp, triggered boolean, edge string", step)
 
 
 def cooldown_stream(matched: DataFrame) -> DataFrame:
-    """Kept detections per rule; the state is the last kept time.
+    """Kept detections per rule; the state is the last kept time in microseconds.
 
-    The source's files-per-trigger limit bounds what one rule can bring into a batch.
+    The source's files-per-trigger limit bounds what one rule can bring into a batch. Steps go from one kept event to the next.
     """
 
-    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-        last = int(state.get[0]) if state.exists else None
-        us = pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
-        gaps = (pdf["cooldown_seconds"].astype("int64") * 1_000_000).tolist()
-        kept = []
-        for t, gap in zip(us, gaps):
-            keep = gap <= 0 or last is None or t - last > gap
-            kept.append(keep)
-            last = t if keep else last
-        state.update((last,))
-        yield pd.DataFrame({"alert_id": pdf["alert_id"], "event_id": pdf["event_id"], "ts": pdf["ts"], "kept": kept})
-
-    return _stateful(
-        matched.select("alert_id", "event_id", "ts", "cooldown_seconds"), "alert_id", "alert_id long, event_id long, ts timestamp, kept boolean", "last_us long", step
-    )
+    def step(rule: int, pdf: pd.DataFrame, value: int | None) -> tuple[pd.DataFrame, int]:
+        pdf = pdf.sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
+        us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        gap = int(pdf["cooldown_seconds"].max()) * 1_000_000
+        kept = np.full(len(us), gap <= 0)
+        at = 0 if value is None else int(np.searchsorted(us, value + gap, side="right"))
+        while gap > 0 and at < len(us):
+            kept[at], value = True, int(us[at])
+            at = int(np.searchsorted(us, value + gap, side="right"))
+        newest = int(us[-1]) if gap <= 0 or value is None else value
+        return pd.DataFrame({"alert_id": rule, "event_id": pdf["event_id"], "ts": pdf["ts"], "kept": kept}), newest
+
+    rows = matched.select("alert_id", "event_id", "ts", "cooldown_seconds")
+    return _stateful(rows, "alert_id long, event_id long, ts timestamp, kept boolean", step)
+
+
+def drain_landings(landings: list[DataFrame], transform: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """Land tables one after the other, each as files of one folder, and run the stream to its end after each.
+
+    Every run is a new query on the same checkpoint, as after a restart: what it knows of earlier landings is in its state.
+    """
+    spark = landings[0].sparkSession
+    root = f"{shared_dir(spark)}/landings-{uuid.uuid4().hex}"
+    for landing in landings:
+        landing.write.mode("append").parquet(f"{root}/in")
+        out = drain(transform(tel.read_messages(spark, f"{root}/in", schema)), root=root)
+    return out

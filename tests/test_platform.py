@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from risklake.functions import scalar
 from risklake.operators import alerts, screener
+from risklake.operators.cooldown import cooldown, last_kept
 from risklake.sources import holdings_csv, market, sinks
 from risklake.streaming import jobs, telemetry as tel
 
@@ -115,8 +116,8 @@ def _cooldown_loop(rows):
     return kept
 
 
-@pytest.mark.parametrize("block", [60, 600, 86_400])
-def test_cooldown_matches_a_loop_with_a_hot_rule(spark, block):
+@pytest.mark.parametrize("block, fan", [(1, 2), (7, 3), (256, 64)])
+def test_cooldown_matches_a_loop_with_a_hot_rule(spark, block, fan):
     rng = np.random.default_rng(block)
     base, rows, event = dt.datetime(2024, 1, 1), [], 0
     for alert, n, gap in [(1, 3000, 900), (2, 40, 900), (3, 200, 0), (4, 300, 7), (5, 1, 900), (6, 500, 3600)]:
@@ -124,15 +125,30 @@ def test_cooldown_matches_a_loop_with_a_hot_rule(spark, block):
             rows.append((alert, event, base + dt.timedelta(seconds=int(s)), gap))
             event += 1
     df = spark.createDataFrame(rows, "alert_id long, event_id long, ts timestamp, cooldown_seconds int")
-    got = {(r["alert_id"], r["event_id"]): r["kept"] for r in alerts.cooldown(df, block_seconds=block).collect()}
+    got = {(r["alert_id"], r["event_id"]): r["kept"] for r in cooldown(df, block=block, fan=fan).collect()}
     assert got == _cooldown_loop(rows)
 
 
+def test_cooldown_goes_on_after_an_earlier_run(spark):
+    """Two runs, the second with what the first one kept last, decide as one run does."""
+    rng = np.random.default_rng(5)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(a, 1000 * a + i, base + dt.timedelta(seconds=int(s)), 900) for a in range(1, 5) for i, s in enumerate(np.sort(rng.integers(0, 30_000, 150)))]
+    rows.append((9, 9000, base + dt.timedelta(seconds=29_000), 900))  # a rule the first run does not know
+    df = spark.createDataFrame(rows, "alert_id long, event_id long, ts timestamp, cooldown_seconds int")
+    cut = F.lit(base + dt.timedelta(seconds=15_000)).cast("timestamp")
+    first = cooldown(df.where(F.col("ts") < cut), block=16)
+    second = cooldown(df.where(F.col("ts") >= cut), last_kept(first), block=16)
+    got = {(r["alert_id"], r["event_id"]): r["kept"] for r in first.unionByName(second).collect()}
+    assert got == _cooldown_loop(rows)
+    assert cooldown(df.limit(0)).count() == 0
+
+
 def test_cooldown_boundary_is_suppressed(spark):
     t0 = dt.datetime(2024, 1, 1, 23, 50)
     rows = [(1, i, t0 + dt.timedelta(seconds=s), 900) for i, s in enumerate([0, 900, 901, 1801, 1802])]
     df = spark.createDataFrame(rows, "alert_id long, event_id long, ts timestamp, cooldown_seconds int")
-    assert [r["kept"] for r in alerts.cooldown(df).orderBy("event_id").collect()] == [True, False, True, False, True]
+    assert [r["kept"] for r in cooldown(df).orderBy("event_id").collect()] == [True, False, True, False, True]
 
 
 def test_edges_fire_once_and_rearm(spark):
@@ -142,6 +158,28 @@ def test_edges_fire_once_and_rearm(spark):
     assert [(r["evaluated_at"].hour, r["edge"]) for r in alerts.edge_events(df).orderBy("evaluated_at").collect()] == [(1, "rising"), (3, "falling"), (4, "rising")]
 
 
+def test_stored_events_are_not_fired_again(spark):
+    flags = [(1, True), (1, False), (2, True), (3, False), (3, True)]
+    rows = [(a, dt.datetime(2024, 1, 1, i), f) for i, (a, f) in enumerate(flags)]
+    df = spark.createDataFrame(rows, "alert_id long, evaluated_at timestamp, triggered boolean")
+    prior = spark.createDataFrame([(1, True), (3, True), (7, True)], "alert_id long, last_triggered boolean")
+    got = sorted((r["alert_id"], r["evaluated_at"].hour, r["edge"]) for r in alerts.edge_events(df, prior).collect())
+    assert got == [(1, 1, "falling"), (2, 2, "rising"), (3, 3, "falling"), (3, 4, "rising")]
+
+
+def test_edge_stream_with_stored_events_and_restarts(spark):
+    rng = np.random.default_rng(3)
+    schema = "alert_id long, evaluated_at timestamp, triggered boolean, stored boolean"
+    stored = spark.createDataFrame([(a, dt.datetime(2025, 1, 1), a % 2 == 0, True) for a in range(5)], schema)
+    parts = [[(a, dt.datetime(2024, 1, 1) + dt.timedelta(hours=part * 20 + i), bool(rng.random() > 0.5), False) for a in range(6) for i in range(20)] for part in range(3)]
+    landed = jobs.drain_landings([stored, *(spark.createDataFrame(p, schema) for p in parts)], jobs.edge_stream, schema)
+    prior = stored.select("alert_id", F.col("triggered").alias("last_triggered"))
+    batch = alerts.edge_events(spark.createDataFrame([r for p in parts for r in p], schema).drop("stored"), prior)
+    key = lambda df: sorted((r["alert_id"], r["evaluated_at"], r["edge"]) for r in df.collect())
+    assert key(landed) == key(batch)
+    assert key(batch) != key(alerts.edge_events(spark.createDataFrame([r for p in parts for r in p], schema).drop("stored")))
+
+
 def test_edge_stream_equals_batch_over_several_files(spark, tmp_path):
     rng = np.random.default_rng(1)
     for part in range(3):
