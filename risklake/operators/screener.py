@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,6 +14,9 @@ from risklake.functions.scalar import canonical_symbol
 
 # The numeric bounds a screen may set, and the column each one reads.
 BOUNDS = {"market_cap": "market_cap", "pe_ratio": "pe_ratio", "ev_to_ebitda": "ev_to_ebitda", "profit_margin": "profit_margin", "beta": "beta"}
+MOST_ITEMS = 1000
+LEVELS = 8
+CELLS = 1 << LEVELS  # cells of a metric
 SCREEN_SCHEMA = "struct<" + ",".join(f"min_{b}:double,max_{b}:double" for b in BOUNDS) + ",sector_in:array<string>,type_in:array<string>>"
 
 
@@ -42,26 +46,84 @@ def screen(rows: DataFrame, filters: Mapping[str, Any]) -> DataFrame:
     return rows.where(keep)
 
 
-def apply_saved_screens(screens: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every saved screen against the whole universe, as an equi-join on the asset type.
+def run_screen(rows: DataFrame, filters: Mapping[str, Any], limit: int = 100, order: str = "ticker") -> DataFrame:
+    """The first ``limit`` (1 to 1,000) rows that pass, in ``order``, each with ``hits``, the number of all that pass."""
+    passed = screen(rows, filters)
+    first = passed.orderBy(order).limit(max(1, min(int(limit), MOST_ITEMS)))
+    return first.withColumn("hits", passed.agg(F.count("*")).scalar())
+
+
+def _cell_edges(rows: DataFrame) -> dict[str, list[float]]:
+    """Per metric, values that cut the universe into about equal cells; ``CELLS - 1`` numbers each, any values would be correct."""
+    cuts = [i / CELLS for i in range(1, CELLS)]
+    got = rows.agg(*[F.percentile_approx(F.col(m).cast("double"), cuts).alias(m) for m in BOUNDS.values()]).first()
+    return {m: list(got[m] or [0.0] * (CELLS - 1)) for m in BOUNDS.values()}
+
+
+def _leaf(value: Column, edges: list[float]) -> Column:
+    """Number of edges below a value, by bisection; null for null."""
+    cuts, steps = F.lit(np.array(edges, float)), F.lit(np.array([CELLS >> (i + 1) for i in range(LEVELS)], np.int32))
+    return F.when(value.isNotNull(), F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at)))
+
+
+#: SQL: the largest whole dyadic cells of leaves ``lo`` to ``hi``, at most two a level, as (level, number); a cell whose parent is whole is left out
+_FIRST, _LAST = "shiftright(lo + shiftleft(1, l) - 1, l)", "(shiftright(hi + 1, l) - 1)"
+_DYADIC = f"""flatten(transform(sequence(0, {LEVELS}), l -> filter(
+    transform(array_distinct(array({_FIRST}, {_LAST})), i -> struct(l as level, i as number)),
+    c -> c.number between {_FIRST} and {_LAST} and (l = {LEVELS} or not (c.number div 2 * 2 >= {_FIRST} and c.number div 2 * 2 + 1 <= {_LAST})))))"""
 
-    A screen without a type list is opened to the types that occur, so the join always has a key;
-    the numeric bounds are residual conditions. A small screen table is broadcast by its size, a
-    large one is shuffled with skewed types split.
+
+def saved_screen_candidates(screens: DataFrame, rows: DataFrame) -> DataFrame:
+    """(screen, row) pairs that agree on the screen's most selective predicate, each pair once.
+
+    Every metric is cut into ``CELLS`` cells of about equal counts. A screen posts one predicate: the bounds of one metric as whole
+    dyadic cells (a cell, a pair of cells, ...), or its sectors, or its types, whichever is expected to pass the fewest rows. A row
+    probes the ``LEVELS + 1`` cells above each of its values, its sector and its type. So the join has a key of many values, and a screen meets
+    the rows of its own predicate instead of the whole universe.
     """
     parsed = screens.withColumn("f", F.from_json("filters", SCREEN_SCHEMA)).select("screen_id", "f.*")
-    has_types = F.coalesce(F.size("type_in") > 0, F.lit(False))
-    listed = parsed.where(has_types).withColumn("_type", F.explode(F.array_distinct(F.transform("type_in", F.upper))))
-    every = rows.agg(F.collect_set(F.upper("type"))).scalar()  # the few types that occur
-    opened = parsed.where(~has_types).withColumn("_type", F.explode(every))
-    wanted = listed.unionByName(opened)
-    j = wanted.join(rows.withColumn("_type", F.upper("type")), "_type")
+    edges = _cell_edges(rows)
+    lists = {"sector": (F.lower, "sector_in"), "type": (F.upper, "type_in")}
+    kinds = rows.agg(*[F.greatest(F.approx_count_distinct(c), F.lit(1)).alias(c) for c in lists]).first()
+    options = []
+    for bound, metric in BOUNDS.items():
+        lo, hi = F.col(f"min_{bound}"), F.col(f"max_{bound}")
+        span = F.struct(F.coalesce(_leaf(lo, edges[metric]), F.lit(0)).alias("lo"), F.coalesce(_leaf(hi, edges[metric]), F.lit(CELLS - 1)).alias("hi"))
+        parsed = parsed.withColumn(f"_{bound}", span)
+        share = F.greatest(F.col(f"_{bound}.hi") - F.col(f"_{bound}.lo") + 1, F.lit(0)) / CELLS
+        options.append(F.when(lo.isNotNull() | hi.isNotNull(), F.struct(share.alias("share"), F.lit(bound).alias("kind"), F.col(f"_{bound}.lo").alias("lo"), F.col(f"_{bound}.hi").alias("hi"))))
+    for kind, (_, listed) in lists.items():
+        share = F.size(F.array_distinct(listed)) / F.lit(float(kinds[kind]))
+        options.append(F.when(F.size(listed) > 0, F.struct(share.alias("share"), F.lit(kind).alias("kind"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))))
+    options.append(F.struct(F.lit(2.0).alias("share"), F.lit("all").alias("kind"), F.lit(0).alias("lo"), F.lit(0).alias("hi")))
+    best = parsed.withColumn("_best", F.array_min(F.array_compact(F.array(*options)))).withColumn("kind", F.col("_best.kind")).withColumn("lo", F.col("_best.lo")).withColumn("hi", F.col("_best.hi"))
+    cells = F.transform(F.expr(_DYADIC), lambda c: F.concat_ws("/", c["level"].cast("string"), c["number"].cast("string")))
+    posted = F.when(F.col("kind") == "all", F.array(F.lit("")))
+    for kind, (fold, listed) in lists.items():
+        posted = posted.when(F.col("kind") == kind, F.array_distinct(F.transform(listed, fold)))
+    screens_by_key = best.withColumn("key", F.explode(posted.otherwise(F.when(F.col("lo") <= F.col("hi"), cells)))).drop("_best", "lo", "hi", *[f"_{b}" for b in BOUNDS])
+    probes = []
+    for bound, metric in BOUNDS.items():
+        rows = rows.withColumn(f"_{bound}", F.array(_leaf(F.col(metric), edges[metric])))
+        above = f"flatten(transform(_{bound}, leaf -> transform(sequence(0, {LEVELS}), l -> struct('{bound}' as kind, concat_ws('/', string(l), string(shiftright(leaf, l))) as key))))"
+        probes.append(F.when(F.col(metric).isNotNull(), F.expr(above)))
+    for kind, (fold, _) in lists.items():
+        probes.append(F.when(F.col(kind).isNotNull(), F.array(F.struct(F.lit(kind).alias("kind"), fold(F.col(kind)).alias("key")))))
+    probes.append(F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("key"))))
+    keyed = rows.select("ticker", *BOUNDS.values(), "sector", "type", F.explode(F.flatten(F.array_compact(F.array(*probes)))).alias("p"))
+    return screens_by_key.join(keyed.select("ticker", *BOUNDS.values(), "sector", "type", "p.kind", "p.key"), ["kind", "key"])
+
+
+def apply_saved_screens(screens: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every saved screen against the whole universe: candidates by an index of predicates, then all of each screen's filters."""
+    j = saved_screen_candidates(screens, rows)
     keep = F.lit(True)
     for bound, column in BOUNDS.items():
         lo, hi = F.col(f"min_{bound}"), F.col(f"max_{bound}")
         keep = keep & F.coalesce(lo.isNull() | (F.col(column) >= lo), F.lit(False)) & F.coalesce(hi.isNull() | (F.col(column) <= hi), F.lit(False))
-    any_sector = F.coalesce(F.size("sector_in") <= 0, F.lit(True))
-    keep = keep & (any_sector | F.array_contains(F.transform("sector_in", F.lower), F.lower("sector")))
+    for listed, fold, column in (("sector_in", F.lower, "sector"), ("type_in", F.upper, "type")):
+        anything = F.coalesce(F.size(listed) <= 0, F.lit(True))
+        keep = keep & (anything | F.coalesce(F.array_contains(F.transform(listed, fold), fold(F.col(column))), F.lit(False)))
     return j.where(keep).select("screen_id", "ticker")
 
 

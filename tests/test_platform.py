@@ -254,3 +254,37 @@ def test_news_limit_and_freshness(spark):
     assert got["A"][0] == "fresh" and got["B"] == ("stale", 2.0)
 
 
+
+
+# ---- saved screens ----------------------------------------------------------------------
+def _screen_universe(spark, n=400):
+    rng = np.random.default_rng(11)
+    some = lambda x: None if rng.random() < 0.1 else float(x)
+    rows = [(f"T{i}", str(rng.choice(["EQUITY", "etf", "BOND"])), str(rng.choice(["Tech", "energy", "Unknown"])), some(rng.lognormal(20, 2)), some(rng.integers(0, 40)), some(rng.normal(10, 3)), some(rng.normal(0, 0.1)), some(rng.normal(1, 0.5))) for i in range(n)]
+    rows += [("TN", None, None, None, None, None, None, None), ("TE", "EQUITY", "Tech", 1e9, 5.0, 10.0, 0.0, 1.0), ("TE", "EQUITY", "Tech", 1e9, 5.0, 10.0, 0.0, 1.0)]
+    return spark.createDataFrame(rows, "ticker string, type string, sector string, market_cap double, pe_ratio double, ev_to_ebitda double, profit_margin double, beta double")
+
+
+def test_saved_screens_equal_one_screen_at_a_time(spark):
+    import json
+
+    rows = _screen_universe(spark)
+    filters = [
+        {}, {"min_pe_ratio": 10, "max_pe_ratio": 12}, {"max_beta": 0.5, "sector_in": ["TECH"]}, {"type_in": ["Etf", "ETF"]}, {"min_market_cap": 1e9, "max_market_cap": 1e8}, {"min_beta": -50, "max_beta": 50},
+        {"min_profit_margin": 0.0}, {"sector_in": ["energy", "ENERGY", "none"], "max_pe_ratio": 3}, {"min_ev_to_ebitda": 10.0, "max_ev_to_ebitda": 10.0}, {"sector_in": [], "type_in": []}, {"max_pe_ratio": 0},
+    ]
+    screens = spark.createDataFrame([(i, json.dumps(f)) for i, f in enumerate(filters)], "screen_id long, filters string")
+    got = sorted(map(tuple, screener.apply_saved_screens(screens, rows).collect()))
+    assert got == sorted((i, r["ticker"]) for i, f in enumerate(filters) for r in screener.screen(rows, f).collect())
+    selective = screens.where("screen_id in (1, 2, 7, 8)")
+    pairs, hits = screener.saved_screen_candidates(selective, rows).count(), screener.apply_saved_screens(selective, rows).count()
+    assert hits <= pairs < 0.5 * 4 * rows.count()
+
+
+def test_screen_counts_all_hits_and_returns_the_first(spark):
+    rows = _screen_universe(spark)
+    want = sorted(r["ticker"] for r in screener.screen(rows, {"min_pe_ratio": 10}).collect())
+    got = screener.run_screen(rows, {"min_pe_ratio": 10}, limit=7).collect()
+    assert sorted(r["ticker"] for r in got) == want[:7] and {r["hits"] for r in got} == {len(want)}
+    assert len(screener.run_screen(rows, {}, limit=0).collect()) == 1
+    assert screener.run_screen(rows, {"min_pe_ratio": 1e9}).count() == 0
