@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from risklake.functions.scalar import canonical_symbol
+from risklake.session import materialise
 
 # The numeric bounds a screen may set, and the column each one reads.
 BOUNDS = {"market_cap": "market_cap", "pe_ratio": "pe_ratio", "ev_to_ebitda": "ev_to_ebitda", "profit_margin": "profit_margin", "beta": "beta"}
@@ -86,10 +87,12 @@ def saved_screen_candidates(screens: DataFrame, rows: DataFrame) -> DataFrame:
     lists = {"sector": (F.lower, "sector_in"), "type": (F.upper, "type_in")}
     kinds = rows.agg(*[F.greatest(F.approx_count_distinct(c), F.lit(1)).alias(c) for c in lists]).first()
     options = []
-    for bound, metric in BOUNDS.items():
+    span = lambda bound, metric: F.struct(
+        F.coalesce(_leaf(F.col(f"min_{bound}"), edges[metric]), F.lit(0)).alias("lo"), F.coalesce(_leaf(F.col(f"max_{bound}"), edges[metric]), F.lit(CELLS - 1)).alias("hi"))
+    # written: everything below refers to the cells many times
+    parsed = materialise(parsed.select("*", *[span(b, m).alias(f"_{b}") for b, m in BOUNDS.items()]), "screen-cells")
+    for bound in BOUNDS:
         lo, hi = F.col(f"min_{bound}"), F.col(f"max_{bound}")
-        span = F.struct(F.coalesce(_leaf(lo, edges[metric]), F.lit(0)).alias("lo"), F.coalesce(_leaf(hi, edges[metric]), F.lit(CELLS - 1)).alias("hi"))
-        parsed = parsed.withColumn(f"_{bound}", span)
         share = F.greatest(F.col(f"_{bound}.hi") - F.col(f"_{bound}.lo") + 1, F.lit(0)) / CELLS
         options.append(F.when(lo.isNotNull() | hi.isNotNull(), F.struct(share.alias("share"), F.lit(bound).alias("kind"), F.col(f"_{bound}.lo").alias("lo"), F.col(f"_{bound}.hi").alias("hi"))))
     for kind, (_, listed) in lists.items():
@@ -102,15 +105,15 @@ def saved_screen_candidates(screens: DataFrame, rows: DataFrame) -> DataFrame:
     for kind, (fold, listed) in lists.items():
         posted = posted.when(F.col("kind") == kind, F.array_distinct(F.transform(listed, fold)))
     screens_by_key = best.withColumn("key", F.explode(posted.otherwise(F.when(F.col("lo") <= F.col("hi"), cells)))).drop("_best", "lo", "hi", *[f"_{b}" for b in BOUNDS])
-    probes = []
+    wide = rows.select("ticker", *BOUNDS.values(), "sector", "type", *[F.array(_leaf(F.col(m), edges[m])).alias(f"_{b}") for b, m in BOUNDS.items()])
+    wide, probes = materialise(wide, "screen-universe"), []
     for bound, metric in BOUNDS.items():
-        rows = rows.withColumn(f"_{bound}", F.array(_leaf(F.col(metric), edges[metric])))
         above = f"flatten(transform(_{bound}, leaf -> transform(sequence(0, {LEVELS}), l -> struct('{bound}' as kind, concat_ws('/', string(l), string(shiftright(leaf, l))) as key))))"
         probes.append(F.when(F.col(metric).isNotNull(), F.expr(above)))
     for kind, (fold, _) in lists.items():
         probes.append(F.when(F.col(kind).isNotNull(), F.array(F.struct(F.lit(kind).alias("kind"), fold(F.col(kind)).alias("key")))))
     probes.append(F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("key"))))
-    keyed = rows.select("ticker", *BOUNDS.values(), "sector", "type", F.explode(F.flatten(F.array_compact(F.array(*probes)))).alias("p"))
+    keyed = wide.select("ticker", *BOUNDS.values(), "sector", "type", F.explode(F.flatten(F.array_compact(F.array(*probes)))).alias("p"))
     return screens_by_key.join(keyed.select("ticker", *BOUNDS.values(), "sector", "type", "p.kind", "p.key"), ["kind", "key"])
 
 
