@@ -112,17 +112,19 @@ def event_window(
     numbered = portfolio.select(
         by, "date", "price", (F.row_number().over(series(by)) - 1).alias("rn")
     )
-    hist = numbered.join(events, by)
-    anchors = hist.groupBy(by, "event_date").agg(
-        F.min(F.when(F.col("date") >= F.col("event_date"), F.col("rn"))).alias("pos"),
-        F.min("date").alias("_lo"),
-        F.max("date").alias("_hi"),
+    # one sweep over dates and events together: an event stands before the close of its day and sees the next place
+    swept = numbered.select(by, "date", "rn").unionByName(events.select(by, F.col("event_date").alias("date")).distinct(), allowMissingColumns=True)
+    line = W.partitionBy(by).orderBy("date", F.col("rn").isNotNull())
+    whole_line = W.partitionBy(by)
+    swept = swept.select(
+        by, F.col("date").alias("event_date"), "rn", F.first("rn", ignorenulls=True).over(line.rowsBetween(0, W.unboundedFollowing)).alias("pos"),
+        F.min(F.when(F.col("rn").isNotNull(), F.col("date"))).over(whole_line).alias("_lo"), F.max(F.when(F.col("rn").isNotNull(), F.col("date"))).over(whole_line).alias("_hi"),
     )
+    anchors = swept.where("rn is null and _lo is not null").drop("rn")
     inside = F.col("event_date").between(F.col("_lo"), F.col("_hi"))
     ok = anchors.where(inside).select(by, "event_date", "pos", F.greatest(F.lit(0), F.col("pos") - before).alias("start"))
-    window_rows = numbered.join(ok, by).where(
-        (F.col("rn") >= F.col("start")) & (F.col("rn") <= F.col("pos") + after)
-    )
+    places = ok.select("*", F.explode(F.sequence("start", F.col("pos") + after)).alias("rn"))
+    window_rows = places.join(numbered, [by, "rn"])
     w = W.partitionBy(by, "event_date").orderBy("date")
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     indexed = window_rows.withColumn("idx", F.col("price") / F.first("price").over(whole) * 100.0)

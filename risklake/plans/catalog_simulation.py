@@ -54,7 +54,7 @@ def _(t: Tables):
     return sim.merge_scenarios(custom)
 
 
-_N = 250
+_N = 500
 BOOT = f"""{BASE_SQL}, {STEPS_SQL}, lg AS (SELECT symbol, row_number() OVER ({WS})-1 AS idx, r, r-avg(r) OVER (PARTITION BY symbol) AS residual, count(*) OVER (PARTITION BY symbol) AS n
       FROM (SELECT symbol, date, ln(price/lag(price) OVER ({WS})) AS r FROM hiw) WHERE r IS NOT NULL),
     nn AS (SELECT symbol, max(n) AS n FROM lg GROUP BY 1),
