@@ -127,77 +127,54 @@ def gaussian(seed: int, *keys: str | Column) -> Column:
     return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
 
 
-def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], accuracy: int = 10_000
-) -> DataFrame:
-    """Exact linear-interpolated quantiles of groups too large for one task.
-
-    A mergeable sketch brackets each quantile; only the rows inside the bracket are ranked, and
-    the rows below it are merely counted, so no task ever holds a whole group. One row per group
-    with one column per entry of ``probs``.
+DIGIT = 16  # bits of an ordered key that one pass of a selection fixes
+
+
+def ordered_key(x: Column) -> Column:
+    """A long per double, in the same order; both zeros are one."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x.cast("double") + F.lit(0.0)).cast("long")
+    return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(_ALL_BUT_SIGN)))
+
+
+def from_ordered_key(key: Column) -> Column:
+    bits = F.when(key >= 0, key).otherwise(key.bitwiseXOR(F.lit(_ALL_BUT_SIGN)))
+    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+_ALL_BUT_SIGN = (1 << 63) - 1
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated quantiles of groups of any size, one row per group with one column per entry of ``probs``.
+
+    Radix selection: doubles become longs in the same order; each of ``64 / DIGIT`` passes counts the next digit of the rows whose
+    earlier digits are those of a wanted rank, and the counts say which digit the rank has. What is shuffled and sorted is counts, at most
+    ``2 ** DIGIT`` for a group and rank, so no task holds a group; ties are one count. Nulls and NaN are left out; a
+    group without values has no row.
     """
     by = list(by)
     if not by:
         raise ValueError("exact_quantiles needs at least one grouping column")
     x = F.col(value)
-    # read three times below: written once, so the upstream work is not repeated
-    data = materialise(df.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.cast("double").alias("_x")), "quantile-input")
-    margin = 2.0 / accuracy
-    names = list(probs)
-    bounds = []
-    for name, p in probs.items():
-        lo, hi = max(0.0, p - margin), min(1.0, p + margin)
-        bounds += [
-            F.percentile_approx("_x", F.lit(lo), F.lit(accuracy)).alias(f"_lo_{name}"),
-            F.percentile_approx("_x", F.lit(hi), F.lit(accuracy)).alias(f"_hi_{name}"),
-        ]
-    sketch = data.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), *bounds
-    )
-    # the bracket must span the sketch error plus one rank either side; a group of few ranks is taken whole
-    small = F.col("_n") <= 10 * accuracy
-    targets = sketch.select(
-        *by,
-        "_n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("q"),
-                        (F.lit(p) * (F.col("_n") - 1)).alias("pos"),
-                        F.when(small, F.col("_min")).otherwise(F.col("_min") if p <= margin else F.col(f"_lo_{name}")).alias("lo"),
-                        F.when(small, F.col("_max")).otherwise(F.col("_max") if p >= 1 - margin else F.col(f"_hi_{name}")).alias("hi"),
-                    )
-                    for name, p in probs.items()
-                ]
-            )
-        ).alias("t"),
-    ).select(*by, "t.*")
-    joined = data.join(targets, by)
-    below = joined.groupBy(*by, "q").agg(F.count(F.when(F.col("_x") < F.col("lo"), 1)).alias("_below"))
-    # equal values collapse to one counted row, so heavy ties do not inflate the ranked part
-    inside = (
-        joined.where("_x between lo and hi").groupBy(*by, "q", "pos", "_x").agg(F.count("*").alias("_c"))
-    )
-    w = W.partitionBy(*by, "q").orderBy("_x")
-    ranked = inside.join(below, [*by, "q"]).select(
-        *by,
-        "q",
-        "pos",
-        "_x",
-        (F.col("_below") + F.sum("_c").over(w) - F.col("_c")).alias("first"),
-        (F.col("_below") + F.sum("_c").over(w) - 1).alias("last"),
-    )
-    low, high = F.floor("pos"), F.ceil("pos")
-    picked = ranked.groupBy(*by, "q").agg(
-        F.max("pos").alias("pos"),
-        F.max(F.when(low.between(F.col("first"), F.col("last")), F.col("_x"))).alias("a"),
-        F.max(F.when(high.between(F.col("first"), F.col("last")), F.col("_x"))).alias("b"),
-    )
-    result = F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.floor("pos"))
-    # every wanted rank must lie inside its bracket; a miss is an error, never a silent null
-    missed = F.col("a").isNull() | F.col("b").isNull()
-    result = F.when(missed, F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double")).otherwise(result)
-    return picked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("q") == name, result)).alias(name) for name in names]
-    )
+    # read in every pass: written once, so the upstream work is not repeated
+    data = materialise(df.where(x.isNotNull() & ~F.isnan(x)).select(*by, ordered_key(x).alias("_key")), "quantile-input")
+    place = {name: F.lit(float(p)) * (F.col("_n") - 1) for name, p in probs.items()}
+    sizes = data.groupBy(*by).agg(F.count("*").alias("_n"))
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(pos), F.ceil(pos)) for pos in place.values()])))
+    wanted = sizes.select(*by, "_n", F.explode(ranks).alias("_rank")).withColumn("_left", F.col("_rank")).withColumn("_prefix", F.lit(0).cast("long"))
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        prefix = F.lit(0).cast("long") if shift + DIGIT == 64 else F.shiftright("_key", shift + DIGIT)
+        rows = data.select(*by, prefix.alias("_prefix"), F.shiftright("_key", shift).alias("_digit"))
+        if shift + DIGIT < 64:
+            rows = rows.join(wanted.select(*by, "_prefix").distinct(), [*by, "_prefix"], "left_semi")
+        counts = rows.groupBy(*by, "_prefix", "_digit").agg(F.count("*").alias("_c"))
+        upto = F.sum("_c").over(W.partitionBy(*by, "_prefix").orderBy("_digit"))
+        counts = counts.withColumn("_upto", upto)
+        inside = (F.col("_left") < F.col("_upto")) & (F.col("_left") >= F.col("_upto") - F.col("_c"))
+        found = wanted.join(counts, [*by, "_prefix"]).where(inside)
+        wanted = materialise(found.select(*by, "_n", "_rank", (F.col("_left") - F.col("_upto") + F.col("_c")).alias("_left"), F.col("_digit").alias("_prefix")), "quantile-ranks")
+    at = lambda rank: F.max(F.when(F.col("_rank") == rank, F.col("_x")))
+    values = wanted.withColumn("_x", from_ordered_key(F.col("_prefix"))).groupBy(*by, "_n").agg(*[f(at(g(pos))) for name, pos in place.items() for f, g in ((lambda c, n=name: c.alias(f"_lo_{n}"), F.floor), (lambda c, n=name: c.alias(f"_hi_{n}"), F.ceil))])
+    return values.select(*by, *[
+        F.when(F.col(f"_lo_{n}") == F.col(f"_hi_{n}"), F.col(f"_lo_{n}")).otherwise(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (pos - F.floor(pos))).alias(n) for n, pos in place.items()
+    ])

@@ -157,7 +157,7 @@ def league_table(split_rmse: DataFrame, fold_rmse: DataFrame, regimes: DataFrame
 def evaluation_summary(quality: DataFrame, baselines: DataFrame, by: str = "symbol") -> DataFrame:
     """Pooled accuracy of each model against the best naive baseline, with median errors.
 
-    The medians run over all symbols and use the bracketed exact selection.
+    The medians run over all symbols and use the exact selection.
     """
     pooled = quality.groupBy("model").agg(
         F.sum(F.round(F.col("directional_accuracy") * F.col("n_diffs"))).alias("hits"), F.sum("n_diffs").alias("n"), F.count("*").alias("n_symbols")

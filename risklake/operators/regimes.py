@@ -79,7 +79,7 @@ def volatility_ratios(prices: DataFrame, recent: int = 21, long: int = 126, by:
 def calibrate_thresholds(prices: DataFrame, classes: DataFrame, min_rows: int = 200) -> DataFrame:
     """Pooled 10th/90th percentile of the ratios per class, over symbols with enough bars.
 
-    A class may pool a third of all ratios, so the percentiles come from the bracketed exact
+    A class may pool a third of all ratios, so the percentiles come from the exact
     selection instead of one buffer per class.
     """
     enough = prices.groupBy("symbol").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows)

@@ -39,7 +39,7 @@ def test_exact_quantiles_match_numpy_under_skew_and_ties(spark):
     cold = rng.exponential(1, 37)
     flat = np.full(500, 3.0)
     pdf = pd.DataFrame({"g": ["hot"] * len(hot) + ["cold"] * len(cold) + ["flat"] * len(flat), "x": np.r_[hot, cold, flat]})
-    got = {r["g"]: r for r in exact_quantiles(spark.createDataFrame(pdf), ["g"], "x", {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 1.0}, accuracy=1000).collect()}
+    got = {r["g"]: r for r in exact_quantiles(spark.createDataFrame(pdf), ["g"], "x", {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 1.0}).collect()}
     for g, sub in pdf.groupby("g"):
         for name, p in {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 1.0}.items():
             assert got[g][name] == pytest.approx(np.percentile(sub["x"], p * 100), abs=1e-12), (g, name)
@@ -57,7 +57,7 @@ def test_exact_quantiles_of_any_small_group(spark, n):
 def test_exact_quantiles_of_bracketed_groups(spark, n):
     x = np.random.default_rng(n).normal(0, 1, n)
     df = spark.createDataFrame(pd.DataFrame({"g": "a", "x": x}))
-    row = exact_quantiles(df, ["g"], "x", {"low": 0.1, "high": 0.9}, accuracy=100).first()
+    row = exact_quantiles(df, ["g"], "x", {"low": 0.1, "high": 0.9}).first()
     assert row["low"] == pytest.approx(np.percentile(x, 10), abs=1e-12) and row["high"] == pytest.approx(np.percentile(x, 90), abs=1e-12)
 
 
@@ -96,10 +96,25 @@ def test_quantile_brackets_hold_and_local_folders_are_refused(spark):
     values = {"a": rng.normal(size=3000), "b": np.repeat([1.0, 2.0], 1500), "c": rng.normal(size=7)}
     rows = [(k, float(x)) for k, v in values.items() for x in v]
     probs = {"p05": 0.05, "p50": 0.5, "p99": 0.99}
-    got = exact_quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", probs, accuracy=100)  # 1,000 ranks a group: a and b are bracketed
+    got = exact_quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", probs)
     for r in got.collect():
         assert [r[n] for n in probs] == pytest.approx([np.quantile(values[r["k"]], p) for p in probs.values()])
     with pytest.raises(ValueError, match="share"):
         check_shared("spark://host:7077", "file:/data/steps")
     check_shared("spark://host:7077", "hdfs://store/steps")
     check_shared("local[4]", "/tmp/steps")
+
+
+def test_exact_quantiles_of_extreme_values(spark):
+    """Infinities, both zeros, the smallest and largest doubles, ties; nulls and NaN are left out."""
+    inf, tiny = float("inf"), 5e-324
+    groups = {"a": [-inf, -1.0, -0.0, 0.0, tiny, inf], "b": [1.7e308, -1.7e308, 3.0], "c": [2.5] * 1000, "d": [-tiny, tiny], "e": [float(i) for i in range(-500, 501)]}
+    rows = [(k, v) for k, xs in groups.items() for v in xs] + [("a", None), ("a", float("nan")), ("f", None)]
+    got = {r["k"]: r for r in exact_quantiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", {"low": 0.2, "mid": 0.5, "top": 1.0}).collect()}
+    assert sorted(got) == sorted(groups)
+    for k, xs in groups.items():
+        ranked = sorted(xs)
+        for name, p in {"low": 0.2, "mid": 0.5, "top": 1.0}.items():
+            pos = p * (len(ranked) - 1)
+            lo, hi = ranked[int(np.floor(pos))], ranked[int(np.ceil(pos))]
+            assert got[k][name] == (lo if lo == hi else lo + (hi - lo) * (pos - np.floor(pos)))
