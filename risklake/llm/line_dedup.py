@@ -35,6 +35,7 @@ FEW = 24  # lines of a tile up to which pairs are compared one by one
 SLICE = 4096  # shingles of a larger tile counted at a time
 CHUNK = 1 << 17  # characters hashed at a time
 AT_ONCE = 8  # bands shuffled at a time
+PASSES = 4  # parts of the buckets whose tiles are compared one after the other, each freeing what it shuffled
 MISS = 1e-6
 NIBBLES = 0x1111111111111111  # the lowest bit of each four
 SEEN = 1 << 20  # lines a task remembers to have signed before it starts afresh
@@ -316,19 +317,26 @@ def line_links(signed: DataFrame, minima: int, texts_of: Callable[[DataFrame], D
     # in a large bucket, lines of the root that most have need not meet each other, and lines of very different sizes none at all
     open_ = materialise(placed.join(mixed, "band", "left_semi").join(known.select("h", "n"), "h"), "line-rest")
     discard(placed, mixed)
-    chief = open_.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("chief"), F.sum("c").alias("c")).where(F.col("c") > TILE).select("band", "chief")
-    chief = materialise(chief, "line-chief")
-    rest = open_.join(chief, "band", "left").withColumn("joined", F.coalesce(F.col("root") == F.col("chief"), F.lit(False))).drop("chief")
     # the number of shingles may be one too small: as if the ratio were a little lower
     size = F.floor(F.log(F.col("n") + 1.0) / -math.log(threshold * 0.98))
-    units = tiled(rest, "band", F.xxhash64("h", F.lit(5)), size, 1, TILE, F.col("joined")).select("unit", "side", "h", "root", "n").join(known.select("h", "sketch"), "h").select("unit", "side", "h", "root", "n", "sketch")
-    units = units.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_hopeful(threshold, most), "unit long, side int, h long")
-    units = materialise(units, "line-units")
-    discard(known, open_, chief)
+    units = []
+    for i in range(PASSES):
+        part = open_.where(F.pmod(F.xxhash64("band", F.lit(11)), F.lit(PASSES)) == i)
+        chief = part.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("chief"), F.sum("c").alias("c")).where(F.col("c") > TILE).select("band", "chief")
+        chief = materialise(chief, "line-chief")
+        rest = part.join(chief, "band", "left").withColumn("joined", F.coalesce(F.col("root") == F.col("chief"), F.lit(False))).drop("chief")
+        cut = tiled(rest, "band", F.xxhash64("h", F.lit(5)), size, 1, TILE, F.col("joined")).select("unit", "side", "h", "root", "n").join(known.select("h", "sketch"), "h").select("unit", "side", "h", "root", "n", "sketch")
+        cut = cut.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_hopeful(threshold, most), "unit long, side int, h long")
+        units.append(materialise(cut, "line-units"))
+        discard(chief)
+    written, units = units, units[0]
+    for more in written[1:]:
+        units = units.unionByName(more)
+    discard(known, open_)
     texts = materialise(texts_of(units.select("h").distinct()), "line-texts")
     more = units.join(texts, "h").repartition("unit").sortWithinPartitions("unit", "side").select("unit", "side", "h", "text").mapInArrow(_verify_tiles(threshold, hashes), "a long, b long")
     out = materialise(checked.unionByName(more), "line-links")
-    discard(checked, units, texts)
+    discard(checked, texts, *written)
     return out
 
 
