@@ -287,27 +287,73 @@ def rebalance_suggestions(positions: DataFrame, by: str = "portfolio_id", target
     )
 
 
+TOO_FEW = "fewer assets than the selection"
+
+
 def best_subset(moments: DataFrame, cov: DataFrame, size: int, risk_factor: float = 0.5, by: str = "portfolio_id") -> DataFrame:
-    """Exhaustive best ``size``-asset selection, minimising -mu'x + q x'Sigma x, for books of any length.
+    """Exact best ``size``-asset selection, minimising -mu'x + q x'Sigma x, by branch and bound over all books at once.
 
-    ``moments`` is (by, symbol, mu); ``cov`` the upper triangle (symbol_i <= symbol_j). Only the selections of ``size`` assets
-    are made, index by index in rising order, and the best one survives. A book of fewer assets has none and no row.
+    ``moments`` is (by, symbol, mu); ``cov`` the upper triangle (symbol_i <= symbol_j). Selections grow asset by asset, in the order
+    of what an asset costs alone. A partial selection is kept only while its lower bound does not exceed the greedy selection:
+    what it costs, plus the cheapest assets still open, each at its cost beside the chosen ones and with its smallest covariances
+    to the others. One join per level brings the covariances of the asset just chosen; the last asset is picked inside the row.
+    Ties go to the first selection by name. A book of fewer than ``size`` assets has a row with a status and no selection.
     """
-    book = moments.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("symbol", "mu"))).alias("b"))
-    book = book.select(by, F.col("b.symbol").alias("symbols"), F.col("b.mu").alias("mu"))
-    both = cov.select(by, F.explode(F.array(F.struct(F.col("symbol_i").alias("r"), F.col("symbol_j").alias("c"), "cov"), F.struct(F.col("symbol_j").alias("r"), F.col("symbol_i").alias("c"), "cov"))).alias("e")).select(by, "e.*").distinct()
-    grid = both.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("r", "c", "cov"))).alias("m")).select(by, F.col("m.cov").alias("m"))
-    rows = book.join(grid, by).withColumn("n", F.size("symbols")).withColumn("pick", F.array().cast("array<int>"))
-    for k in range(size):
+    q = float(risk_factor)
+    wide = cov.select(by, F.explode(F.array(
+        F.struct(F.col("symbol_i").alias("symbol"), F.col("symbol_j").alias("other"), "cov"),
+        F.struct(F.col("symbol_j").alias("symbol"), F.col("symbol_i").alias("other"), "cov"),
+    )).alias("e")).select(by, "e.*").distinct()
+    alone = moments.join(wide.where("symbol = other").drop("other"), [by, "symbol"]).select(by, "symbol", (q * F.col("cov") - F.col("mu")).alias("cost"))
+    place = F.row_number().over(W.partitionBy(by).orderBy("cost", "symbol")) - 1
+    placed = materialise(alone.withColumn("i", place), "subset-assets")
+    seconds = placed.select(by, F.col("symbol").alias("other"), F.col("i").alias("j"))
+    lines = wide.join(placed, [by, "symbol"]).join(seconds, [by, "other"]).groupBy(by, "i", "symbol", "cost").agg(F.array_sort(F.collect_list(F.struct("j", "cov"))).alias("line"))
+    others = F.sort_array(F.transform(F.filter("line", lambda x: x["j"] != F.col("i")), lambda x: x["cov"]))
+    # least[r]: the smallest sum of covariances with r others
+    least = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda r: F.aggregate(F.slice("others", F.lit(1), r), F.lit(0.0), lambda s, x: s + x))
+    lines = lines.withColumn("others", others).select(by, "i", "symbol", "cost", F.transform("line", lambda x: x["cov"]).alias("line"), least.alias("least"))
+    lines = materialise(lines, "subset-lines")
+
+    books = lines.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "symbol", "cost", "line", "least"))).alias("b"))
+    books = books.select(by, F.size("b").alias("n"), F.col("b.symbol").alias("symbols"), F.col("b.cost").alias("cost"), F.col("b.line").alias("lines"), F.col("b.least").alias("least"))
+    short = moments.select(by).distinct().join(books.where(F.col("n") >= size).select(by), by, "left_anti")
+    books = materialise(books.where(F.col("n") >= size).withColumn("greedy", _greedy_cost(size, q)), "subset-books")
+    slack = F.lit(1e-9) * (1 + F.abs("greedy"))  # sums of other order must not lose a tie
+    nodes = books.select(by, "n", F.array().cast("array<int>").alias("pick"), F.lit(0.0).alias("spent"), "cost")
+    for left in range(size - 1, 0, -1):  # assets still to choose after this one
         first = F.coalesce(F.try_element_at("pick", F.lit(-1)) + 1, F.lit(0))
-        last = F.col("n") - (size - k)
-        more = F.when(first <= last, F.sequence(first, last))
-        rows = rows.select(by, "symbols", "mu", "m", "n", "pick", F.explode(more).alias("i")).withColumn("pick", F.array_append("pick", F.col("i"))).drop("i")
-    gain = F.aggregate("pick", F.lit(0.0), lambda s, i: s + F.get("mu", i))
-    risk = F.aggregate("pick", F.lit(0.0), lambda s, i: s + F.aggregate("pick", F.lit(0.0), lambda u, j: u + F.get("m", i * F.col("n") + j)))
-    scored = rows.select(by, "symbols", "pick", (-gain + risk_factor * risk).alias("objective"))
-    best = scored.groupBy(by).agg(F.min(F.struct("objective", "pick", "symbols")).alias("m")).select(by, "m.*")
-    return best.select(by, "objective", F.concat_ws(",", F.transform("pick", lambda i: F.get("symbols", i))).alias("selection"))
+        nodes = nodes.withColumn("i", F.explode(F.sequence(first, F.col("n") - 1 - left)))
+        # the cost of the chosen asset is spent; the others now carry their covariance with it as well
+        chosen = nodes.join(lines.select(by, "i", "line"), [by, "i"]).select(
+            by, "n", F.array_append("pick", F.col("i")).alias("pick"), (F.col("spent") + F.get("cost", F.col("i"))).alias("spent"),
+            F.zip_with("cost", "line", lambda c, s: c + 2 * q * s).alias("cost"), "i",
+        )
+        limit = books.select(by, (F.col("greedy") + slack).alias("limit"), F.transform("least", lambda x: q * F.get(x, F.lit(left - 1))).alias("extra"))  # noqa: B023
+        open_costs = F.slice(F.zip_with("cost", "extra", lambda c, x: c + x), F.col("i") + 2, F.col("n"))
+        bound = F.col("spent") + F.aggregate(F.slice(F.sort_array(open_costs), 1, left), F.lit(0.0), lambda s, x: s + x)
+        nodes = chosen.join(limit, by).where(bound <= F.col("limit")).select(by, "n", "pick", "spent", "cost")
+    after = F.coalesce(F.try_element_at("pick", F.lit(-1)), F.lit(-1))
+    last = F.array_min(F.filter(F.transform("cost", lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["i"] > after))
+    done = nodes.select(by, "pick", "spent", last.alias("last")).join(books.select(by, "symbols"), by)
+    names = F.array_sort(F.transform(F.array_append("pick", F.col("last.i")), lambda i: F.get("symbols", i)))
+    done = done.select(by, (F.col("spent") + F.col("last.c")).alias("objective"), F.concat_ws(",", names).alias("selection"))
+    best = done.groupBy(by).agg(F.min(F.struct("objective", "selection")).alias("m")).select(by, "m.*", F.lit("ok").alias("status"))
+    return best.unionByName(short.withColumn("status", F.lit(TOO_FEW)), allowMissingColumns=True)
+
+
+def _greedy_cost(size: int, q: float) -> Column:
+    """Cost of the selection that takes the cheapest next asset each time; an upper bound of the best one."""
+    def step(acc: Column, _: Column) -> Column:
+        free = F.filter(F.transform(acc["cost"], lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: ~F.array_contains(acc["pick"], x["i"]))
+        best = F.array_min(free)
+        return F.struct(
+            F.array_append(acc["pick"], best["i"]).alias("pick"), (acc["spent"] + best["c"]).alias("spent"),
+            F.zip_with(acc["cost"], F.get("lines", best["i"]), lambda c, s: c + 2 * q * s).alias("cost"),
+        )
+
+    start = F.struct(F.array().cast("array<int>").alias("pick"), F.lit(0.0).alias("spent"), F.col("cost"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(size)), start, step, lambda acc: acc["spent"])
 
 
 def import_weights(holdings: DataFrame, by: str = "portfolio_id") -> DataFrame:

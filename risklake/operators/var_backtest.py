@@ -67,19 +67,28 @@ def bootstrap_var(
     """Percentile of simulated portfolio returns drawn from earlier rows of the joint history.
 
     Drawing a past date keeps that day's whole cross-section, so the dependence between holdings
-    is the empirical one. A draw names its source row, and one equi-join fetches the return.
+    is the empirical one. Each scored row carries its trailing returns as one array and draws from
+    it in place: no draw becomes a row. Rows are dealt out by date, so one book's replay is shared.
     """
-    targets = replay.where("scored").select(by, "date", "realized", F.col("rn").alias("as_of_rn"))
-    draws = targets.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1)))).withColumn(
-        "step", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))
-    )
-    u = uniform(seed, by, "as_of_rn", "sim", "step")
-    draws = draws.withColumn("rn", (F.col("as_of_rn") - 1 - F.floor(u * est_window)).cast("int"))
-    source = replay.select(by, "rn", "ret")
-    sims = draws.join(source, [by, "rn"]).groupBy(by, "date", "realized", "sim").agg((F.product(1 + F.col("ret")) - 1).alias("r"))
-    return sims.groupBy(by, "date", "realized").agg(F.percentile("r", F.lit(1.0 - confidence)).alias("var")).withColumn(
-        "method", F.lit("bootstrap")
-    )
+    past = F.collect_list("ret").over(series(by).rowsBetween(-est_window, -1))
+    rows = replay.withColumn("past", past).where("scored").select(by, "date", "realized", F.col("rn").alias("as_of_rn"), "past")
+    # an explicit number: the rows are few but dear, and adaptive coalescing would leave them to one task
+    rows = rows.repartition(4 * replay.sparkSession.sparkContext.defaultParallelism, by, "date")
+
+    def drawn(sim: Column, step: Column) -> Column:
+        u = uniform(seed, by, "as_of_rn", sim, step)
+        return 1 + F.get("past", F.lit(est_window - 1) - F.floor(u * est_window).cast("int"))
+
+    def simulated(sim: Column) -> Column:
+        if horizon == 1:
+            return drawn(sim, F.lit(0)) - 1
+        steps = F.sequence(F.lit(0), F.lit(horizon - 1))
+        return F.aggregate(steps, F.lit(1.0), lambda level, step: level * drawn(sim, step)) - 1
+
+    sims = rows.withColumn("sims", F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(n_sims - 1)), simulated)))
+    at = (1.0 - confidence) * (n_sims - 1)
+    low, high = F.get("sims", F.lit(math.floor(at))), F.get("sims", F.lit(math.ceil(at)))
+    return sims.select(by, "date", "realized", (low + (high - low) * (at - math.floor(at))).alias("var"), F.lit("bootstrap").alias("method"))
 
 
 def coverage_tests(scored: DataFrame, confidence: float = 0.95, alpha: float = 0.05, keys: Sequence[str] = ("portfolio_id", "method")) -> DataFrame:

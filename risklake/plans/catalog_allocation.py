@@ -155,14 +155,15 @@ def _(t: Tables):
 
 
 @register(
-    "alc_14_best_subset", "portfolio_id:i objective:d5 selection:s",
+    "alc_14_best_subset", "portfolio_id:i objective:d5 selection:s status:s",
     f"""WITH c AS ({COMMON_LOG}), s AS (SELECT portfolio_id, symbol, avg(ret)*252 AS mu, row_number() OVER (PARTITION BY portfolio_id ORDER BY symbol)-1 AS i FROM c GROUP BY 1,2),
         v AS (SELECT a.portfolio_id, x.i, y.i AS j, covar_samp(a.ret,b.ret)*252 AS cov FROM c a JOIN c b ON a.portfolio_id=b.portfolio_id AND a.date=b.date
           JOIN s x ON x.portfolio_id=a.portfolio_id AND x.symbol=a.symbol JOIN s y ON y.portfolio_id=b.portfolio_id AND y.symbol=b.symbol GROUP BY 1,2,3),
-        k AS (SELECT portfolio_id, mask FROM (SELECT DISTINCT portfolio_id FROM s), (SELECT unnest(generate_series(1,63)) AS mask) WHERE bit_count(mask)=3),
+        k AS (SELECT portfolio_id, mask FROM (SELECT portfolio_id, count(*) AS n FROM s GROUP BY 1), (SELECT unnest(generate_series(1,63)) AS mask) WHERE bit_count(mask)=3 AND mask<(1<<n)),
         g AS (SELECT k.portfolio_id, mask, sum(mu) AS gain, string_agg(symbol, ',' ORDER BY symbol) AS selection FROM k JOIN s ON s.portfolio_id=k.portfolio_id AND (mask>>i)&1=1 GROUP BY 1,2),
         r AS (SELECT k.portfolio_id, mask, sum(cov) AS risk FROM k JOIN v ON v.portfolio_id=k.portfolio_id AND (mask>>i)&1=1 AND (mask>>j)&1=1 GROUP BY 1,2)
-        SELECT g.portfolio_id, min(0.5*risk-gain) AS objective, arg_min(selection, 0.5*risk-gain) AS selection FROM g JOIN r ON r.portfolio_id=g.portfolio_id AND r.mask=g.mask GROUP BY 1""",
+        SELECT g.portfolio_id, min(0.5*risk-gain) AS objective, arg_min(selection, 0.5*risk-gain) AS selection, 'ok' AS status FROM g JOIN r ON r.portfolio_id=g.portfolio_id AND r.mask=g.mask GROUP BY 1
+        UNION ALL SELECT portfolio_id, NULL, NULL, '{al.TOO_FEW}' FROM s GROUP BY 1 HAVING count(*)<3""",
     store="prices_daily positions",
 )
 def _(t: Tables):

@@ -174,6 +174,40 @@ def test_best_subset_against_enumeration(spark):
     assert got["selection"] == ",".join(names[i] for i in best) and got["objective"] == pytest.approx(value(best))
 
 
+def _subset_tables(spark, book, mu, S):
+    n = len(mu)
+    moments = spark.createDataFrame([(book, f"s{i:02d}", float(mu[i])) for i in range(n)], "portfolio_id int, symbol string, mu double")
+    cov = spark.createDataFrame([(book, f"s{i:02d}", f"s{j:02d}", float(S[i, j])) for i in range(n) for j in range(i, n)], "portfolio_id int, symbol_i string, symbol_j string, cov double")
+    return moments, cov
+
+
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_best_subset_of_negative_covariances_ties_and_short_books(spark, size):
+    rng = np.random.default_rng(size)
+    A = rng.normal(0, 0.4, (9, 5))  # of rank 5, with many negative covariances
+    S, mu = A @ A.T, np.round(rng.normal(0.1, 0.1, 9), 1)
+    S[3], S[:, 3] = S[4].copy(), S[:, 4].copy()
+    mu[3] = mu[4]  # an asset listed twice: equal selections, the first by name wins
+    (m1, c1), (m2, c2) = _subset_tables(spark, 1, mu, S), _subset_tables(spark, 2, mu[: size - 1], S[: size - 1, : size - 1])
+    got = {r["portfolio_id"]: r for r in allocation.best_subset(m1.union(m2), c1.union(c2), size).collect()}
+    cost = lambda c: -mu[list(c)].sum() + 0.5 * S[np.ix_(c, c)].sum()
+    best = min(itertools.combinations(range(9), size), key=lambda c: (round(cost(c), 9), c))
+    assert got[1]["selection"] == ",".join(f"s{i:02d}" for i in best) and got[1]["objective"] == pytest.approx(cost(best))
+    assert size == 1 or (got[2]["status"] == allocation.TOO_FEW and got[2]["selection"] is None)
+
+
+def test_best_subset_of_many_assets_is_pruned(spark):
+    rng = np.random.default_rng(5)
+    A = rng.normal(0.02, 0.05, (250, 60)) + rng.normal(0, 0.08, (250, 1))
+    S, mu = np.cov(A.T) * 25, rng.normal(0.1, 0.1, 60)
+    got = allocation.best_subset(*_subset_tables(spark, 1, mu, S), 6).first()  # 50 million selections
+    pick = [int(x[1:]) for x in got["selection"].split(",")]
+    cost = lambda c: -mu[list(c)].sum() + 0.5 * S[np.ix_(c, c)].sum()
+    assert got["objective"] == pytest.approx(cost(pick))
+    swaps = [[*pick[:k], j, *pick[k + 1 :]] for k in range(6) for j in range(60) if j not in pick]
+    assert min(map(cost, swaps)) >= cost(pick)
+
+
 def test_walk_forward_splits(spark):
     days = business_days("2024-01-01", 160)
     prices = series_frame(spark, {"A": (days, random_prices(160, 1)), "B": (days[:130], random_prices(130, 2))})
