@@ -2,7 +2,8 @@
 
 Each line with a word is labelled content or boilerplate by Viterbi decoding; a document stays when at least
 ``CONTENT_SHARE`` of its words lie in content lines. The field is fitted on a bounded sample of labelled documents
-(``FIT_DOCS`` documents, ``FIT_LINES`` lines each), every line taking its document's label; scoring covers whole texts.
+(``FIT_DOCS`` documents, of each a run of ``FIT_LINES`` lines at a seeded place), every line taking its document's label; scoring covers
+whole texts.
 """
 
 from __future__ import annotations
@@ -183,18 +184,26 @@ def _score(model: ChainField):
 SCORED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_words long"
 
 
+def seeded_start(doc_id: int, lines: int) -> int:
+    """First line of the run that represents a document: anywhere in it, decided by its id; 0 where the run holds all lines."""
+    return xxhash.xxh64_intdigest(str(doc_id)) % max(1, lines - FIT_LINES + 1)
+
+
 def _line_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1)
         rows = []
         for lo, hi in chunks(texts):
             m = measure(*text_bytes(texts.slice(lo, hi - lo)))
-            rows += [m.features[a : min(b, a + FIT_LINES)].ravel().tolist() for a, b in zip(m.first_line[:-1], m.first_line[1:])]
+            ends = zip(batch.column(0).slice(lo, hi - lo).to_pylist(), m.first_line[:-1].tolist(), m.first_line[1:].tolist())
+            for doc_id, a, b in ends:
+                a += seeded_start(doc_id, b - a)
+                rows.append(m.features[a : min(b, a + FIT_LINES)].ravel().tolist())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "label", "features"])
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, max_docs: int = FIT_DOCS) -> ChainField:
-    """Fit the chain on at most ``max_docs`` labelled documents (those of smallest hash), ``FIT_LINES`` lines each.
+    """Fit the chain on at most ``max_docs`` labelled documents (those of smallest hash), ``FIT_LINES`` neighbouring lines each, from any part of the text.
 
     Labels are per document and partly wrong; maximum likelihood with a weight penalty sees through that. No labelled rows,
     or only one kind: ``PRIOR``.

@@ -105,3 +105,9 @@ def test_stages_on_awkward_rows(spark, small):
     assert corpus_pipeline.mixing(spark, docs, SF).count() == docs.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], fx.SCHEMA), SF).count() == 0
+
+
+def test_fit_reads_runs_of_lines_from_any_part_of_a_text():
+    starts = [quality.seeded_start(i, 400) for i in range(300)]
+    assert min(starts) < 20 and max(starts) > 340 and max(starts) <= 400 - quality.FIT_LINES and starts == [quality.seeded_start(i, 400) for i in range(300)]
+    assert quality.seeded_start(7, quality.FIT_LINES) == 0 and quality.seeded_start(7, 0) == 0
