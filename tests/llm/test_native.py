@@ -140,6 +140,37 @@ def test_licences_on_awkward_rows(spark, tmp_path):
     assert license_scan.licenses(fx.clashing(docs).limit(0)).count() == 0
 
 
+def _wrapped(text, width=9):
+    words = text.split()
+    return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def test_licences_wrapped_embedded_and_in_long_texts(spark, tmp_path):
+    last = lambda name: license_scan.TEMPLATES[name][-1]
+    prose = "the results of the survey were sent to the members and in part to the press " * 5
+    gpl = license_scan.TEMPLATES["GPL-3.0"][-2]
+    texts = {
+        1: "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + _wrapped(last("MIT")),
+        2: prose + " " + license_scan.TEMPLATES["MIT"][1] + " " + prose,  # inside a longer line
+        3: prose + "\n" + _wrapped(gpl, 5) + "\n" + prose,
+        4: prose + "\n" + _wrapped(license_scan.TEMPLATES["Apache-2.0"][-2], 7) + "\n" + prose,
+        5: "/*\n * " + _wrapped(last("BSD-3-Clause")).replace("\n", "\n * ") + "\n */\nint main() {}",
+        6: prose * 3,
+        7: prose + _wrapped(gpl, 6) + " " + prose + _wrapped(last("MIT"), 6),  # two notices apart
+        8: " ".join(["of the software"] * 30),  # common words of notices, no notice
+        9: (prose + "\n") * 1500 + _wrapped(last("ISC")) + "\n" + prose,  # over 100,000 words
+        10: _wrapped(last("AGPL-3.0")), 11: "", 12: None, 13: "licence",
+    }
+    docs = spark.createDataFrame([*texts.items(), (3, texts[3])], "doc_id long, text string")
+    got = {r.doc_id: sorted({h.license for h in r.hits}) for r in license_scan.licenses(docs).collect()}
+    assert got[1] == ["MIT"] and got[2] == ["MIT"] and got[3] == ["GPL-3.0"] and got[4] == ["Apache-2.0"] and got[7] == ["GPL-3.0", "MIT"]
+    assert got[5] == ["BSD-3-Clause"] and got[9] == ["ISC"] and "AGPL-3.0" in got[10]
+    assert not any(got[k] for k in (6, 8, 11, 12, 13))
+    docs = docs.where("doc_id <> 9")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert fx.rows_of(QUERIES["op7_license_scan"](spark, str(tmp_path))) == sorted(fx.duck(documents=docs).execute(ORACLE_SQL["op7_license_scan"]).fetchall(), key=repr)
+
+
 PRIVATE = [
     (1, "Mail Jo.Ann@Mail7.example.com or jo.ann@mail7.example.com, ip 10.1.2.3 and 226.203.165.104."), (2, "Call +1 (202) 555-0011 or +12025550011; card 4111 1111 1111 1111, 4111111111111111"),
     (3, "Mrs. Anna Schmidt met Mr Schmidt and Mr Hans SCHMIDT; Frau Иванова"), (None, None), (None, "Mr. Hans Meier"), (4, ""), (5, "version 1.2.3.4.5"), (5, "version 1.2.3.4.5"), (6, "jo.ann@mail7.example.com"),
