@@ -213,6 +213,23 @@ def matching_cached_results(requested: DataFrame, cached: DataFrame, tolerance:
     return j.where(close).select("portfolio_id", "cache_id").distinct()
 
 
+def newest_cached_result(requested: DataFrame, cached: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """(portfolio_id, cache_id, created_at): the newest stored result of each portfolio that still fits its book.
+
+    ``requested`` (portfolio_id, symbol, weight), ``cached`` (portfolio_id, cache_id, created_at, symbol, weight). A result fits when
+    it has the same tickers and every weight differs by at most the tolerance; of several at one time the largest id counts. One
+    equi-join on the portfolio, so each stored result meets one book only. A portfolio without a fitting result has no row.
+    """
+    share = F.col("weight") / F.sum("weight").over(W.partitionBy("portfolio_id"))
+    book = _books(requested.withColumn("w", share), "portfolio_id", "a").withColumnRenamed("book", "wanted")
+    stored = cached.groupBy("portfolio_id", "cache_id").agg(
+        F.max("created_at").alias("created_at"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("symbol", F.col("weight").alias("w"))))).alias("b"))
+    fits = F.forall(F.map_entries("a"), lambda e: F.abs(e["value"] - F.try_element_at(F.col("b"), e["key"])) <= tolerance)
+    fitting = stored.join(book, "portfolio_id").where((F.array_join(F.map_keys("b"), "|") == F.col("wanted")) & fits)
+    newest = fitting.groupBy("portfolio_id").agg(F.max(F.struct("created_at", "cache_id")).alias("m"))
+    return newest.select("portfolio_id", F.col("m.cache_id").alias("cache_id"), F.col("m.created_at").alias("created_at"))
+
+
 def _books(rows: DataFrame, by: str, name: str) -> DataFrame:
     """One symbol-ordered weight map per key, with its ticker set as text."""
     out = rows.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("symbol", "w")))).alias(name))

@@ -363,15 +363,22 @@ def _(t: Tables):
 
 
 @register(
-    "join_19_cached_match", "portfolio_id:i cache_id:i",
-    """WITH p AS (SELECT portfolio_id, symbol, weight AS w, count(*) OVER (PARTITION BY portfolio_id) AS n, CAST(floor(min(weight) OVER (PARTITION BY portfolio_id)/0.02) AS BIGINT) AS g FROM posc),
-       c AS (SELECT portfolio_id AS cache_id, symbol, round_even(weight,2) AS w, count(*) OVER (PARTITION BY portfolio_id) AS n, CAST(floor(min(round_even(weight,2)) OVER (PARTITION BY portfolio_id)/0.02) AS BIGINT) AS g FROM posc)
-       SELECT p.portfolio_id, c.cache_id FROM p JOIN c ON p.symbol=c.symbol AND p.n=c.n AND c.g BETWEEN p.g-2 AND p.g+2 GROUP BY 1,2,p.n HAVING count(*)=p.n AND bool_and(abs(p.w-c.w)<=0.02)""",
+    "join_19_cached_match", "portfolio_id:i cache_id:i created_at:t",
+    """WITH c AS (SELECT portfolio_id, portfolio_id*3+k AS cache_id, DATE '2024-01-01'+CAST((portfolio_id+k*k)%5 AS INTEGER) AS created_at, symbol, round_even(weight,2)*CASE WHEN k=2 THEN 1.1e0 ELSE 1e0 END AS w FROM posc, (VALUES (0),(1),(2)) v(k)
+         WHERE NOT (k=1 AND portfolio_id%2=0 AND symbol='LARGE')),
+       p AS (SELECT portfolio_id, symbol, weight AS w, count(*) OVER (PARTITION BY portfolio_id) AS n FROM posc),
+       f AS (SELECT c.portfolio_id, cache_id, created_at FROM c LEFT JOIN p ON p.portfolio_id=c.portfolio_id AND p.symbol=c.symbol GROUP BY 1,2,3 HAVING count(*)=max(p.n) AND bool_and(abs(p.w-c.w)<=0.02))
+       SELECT portfolio_id, cache_id, created_at FROM f QUALIFY row_number() OVER (PARTITION BY portfolio_id ORDER BY created_at DESC, cache_id DESC)=1""",
+    store="positions_by_customer",
 )
 def _(t: Tables):
+    # three stored results a portfolio, of different days: as it is, without a holding in every second book, and with weights moved by a tenth
     p = t.positions_by_customer
-    cached = p.select(F.col("portfolio_id").alias("cache_id"), "symbol", F.bround("weight", 2).alias("weight"))
-    return scr.matching_cached_results(p.select("portfolio_id", "symbol", "weight"), cached)
+    runs = p.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("not (k = 1 and portfolio_id % 2 = 0 and symbol = 'LARGE')")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("portfolio_id") + F.col("k") * F.col("k")) % 5).cast("int"))
+    weight = F.bround("weight", 2) * F.when(F.col("k") == 2, 1.1).otherwise(1.0)
+    cached = runs.select("portfolio_id", (F.col("portfolio_id") * 3 + F.col("k")).alias("cache_id"), day.alias("created_at"), "symbol", weight.alias("weight"))
+    return scr.newest_cached_result(p.select("portfolio_id", "symbol", "weight"), cached)
 
 
 _DEFROWS = ", ".join(f"('{n}')" for n in ["base", *sim.BUILTIN_SCENARIOS])

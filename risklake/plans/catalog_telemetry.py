@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from risklake import schemas
 from risklake.plans.registry import register
+from risklake.session import materialise
 from risklake.sources.testdata import Tables
 from risklake.streaming import jobs
 from risklake.streaming import telemetry as tel
@@ -141,6 +142,32 @@ def _(t: Tables):
     return tel.decode_replies(_good(t))
 
 
+_LAND = "CASE WHEN {x} < TIMESTAMP '2024-01-11 00:00:00' THEN 1 WHEN {x} < TIMESTAMP '2024-01-21 00:00:00' THEN 2 ELSE 3 END"
+
+
+@register(
+    "str_10_matched_replies_stream", "device_sn:s tid:s asked_at:ts replied_at:ts status:s",
+    f"""WITH q AS (SELECT event_id, device_sn, 't'||event_id AS tid, arrived_at AS asked_at, {_LAND.format(x='arrived_at')} AS l FROM tele WHERE topic_type='requests' AND {GOOD}),
+        a AS (SELECT *, {_LAND.format(x='replied_at')} + CASE WHEN event_id%11=0 THEN 1 ELSE 0 END AS landed FROM (SELECT event_id, asked_at, asked_at + to_minutes(CAST(event_id%45 AS INTEGER)) AS replied_at FROM q WHERE event_id%5<>0)),
+        w AS (SELECT n, least((SELECT max(asked_at) FROM q WHERE q.l<=n), (SELECT max(replied_at) FROM a WHERE landed<=n)) - INTERVAL 10 MINUTE AS mark FROM (VALUES (1),(2),(3),(4)) v(n)),
+        r AS (SELECT a.event_id, a.replied_at FROM a LEFT JOIN w ON w.n=a.landed-1 WHERE (w.mark IS NULL OR a.replied_at > w.mark) AND a.replied_at <= a.asked_at + INTERVAL 30 MINUTE)
+        SELECT device_sn, tid, asked_at, replied_at, CASE WHEN replied_at IS NULL THEN 'timed out' ELSE 'replied' END AS status FROM q LEFT JOIN r USING (event_id)
+        WHERE replied_at IS NOT NULL OR asked_at + INTERVAL 30 MINUTE < (SELECT mark FROM w WHERE n=4)""",
+)
+def _(t: Tables):
+    """Requests and replies in four landings, with a restart after each: every eleventh reply one landing late, every seventh twice, every fifth missing, some after the time allowed."""
+    asked = materialise(tel.decode_requests(_good(t)).select("event_id", "device_sn", "tid", F.col("arrived_at").alias("at")), "requests")
+    land = lambda at: F.when(at < F.lit("2024-01-11").cast("timestamp"), 1).when(at < F.lit("2024-01-21").cast("timestamp"), 2).otherwise(3)
+    k = F.col("event_id")
+    late = F.when(k % 11 == 0, 1).otherwise(0)
+    replies = asked.where(k % 5 != 0).withColumn("at", F.col("at") + F.make_dt_interval(mins=(k % 45).cast("int")))
+    replies = replies.withColumn("landing", F.explode(F.when(k % 7 == 0, F.array(land(F.col("at")) + late, F.lit(4))).otherwise(F.array(land(F.col("at")) + late))))
+    requests = asked.withColumn("landing", F.explode(F.when(k % 13 == 0, F.array(land(F.col("at")), land(F.col("at")))).otherwise(F.array(land(F.col("at"))))))
+    rows = materialise(requests.withColumn("side", F.lit("request")).unionByName(replies.withColumn("side", F.lit("reply"))), "messages")
+    landings = [rows.where(F.col("landing") == n).select("side", "device_sn", "tid", "at") for n in (1, 2, 3, 4)]
+    return jobs.drain_landings(landings, jobs.matched_replies, "side string, device_sn string, tid string, at timestamp")
+
+
 @register("str_11_consumer_counters", "received:i processed:i errors:i", f"SELECT count(*) AS received, count(*) FILTER ({GOOD}) AS processed, count(*) FILTER (NOT ({GOOD})) AS errors FROM tele")
 def _(t: Tables):
     return tel.counters(_parsed(t))

@@ -77,6 +77,27 @@ def deduplicated_requests(messages: DataFrame) -> DataFrame:
     return req.withWatermark("arrived_at", WATERMARK).dropDuplicatesWithinWatermark(["device_sn", "tid"])
 
 
+REPLY_WITHIN = "30 minutes"
+
+
+def matched_replies(rows: DataFrame) -> DataFrame:
+    """Requests with their replies; ``rows`` is (side, device_sn, tid, at) with side 'request' or 'reply'.
+
+    A stream-stream outer join on (device, tid) with a watermark on either side and a bound between the two times, so both sides' state
+    is dropped in time. Repeats of a message count once. A request whose time has run out comes without a reply, once the watermark says
+    that none can follow; a reply outside the bound, or later than the watermark, matches nothing.
+    """
+    def side(kind: str, at: str, keys: list[str]) -> DataFrame:
+        one = rows.where(F.col("side") == kind).select(F.col("device_sn").alias(keys[0]), F.col("tid").alias(keys[1]), F.col("at").alias(at))
+        return one.withWatermark(at, WATERMARK).dropDuplicatesWithinWatermark(keys)
+
+    asked, replied = side("request", "asked_at", ["device_sn", "tid"]), side("reply", "replied_at", ["_device", "_tid"])
+    same = (F.col("device_sn") == F.col("_device")) & (F.col("tid") == F.col("_tid"))
+    in_time = (F.col("replied_at") >= F.col("asked_at")) & (F.col("replied_at") <= F.col("asked_at") + F.expr(f"INTERVAL {REPLY_WITHIN}"))
+    status = F.when(F.col("replied_at").isNull(), "timed out").otherwise("replied")
+    return asked.join(replied, same & in_time, "left_outer").select("device_sn", "tid", "asked_at", "replied_at", status.alias("status"))
+
+
 def _stateful(rows: DataFrame, output: str, fn: Callable[[Any, pd.DataFrame, int | None], tuple[pd.DataFrame, int]]) -> DataFrame:
     """``fn(key, rows in the batch, stored value)`` -> (what comes out, the value to store), for each rule of a micro-batch."""
 

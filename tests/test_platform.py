@@ -84,6 +84,21 @@ def test_null_fails_an_active_bound(spark):
     assert screener.screen(rows, {}).count() == 3
 
 
+def test_newest_cached_result_of_a_book(spark):
+    want = [(1, "A", 6.0), (1, "B", 4.0), (2, "A", 1.0), (3, "A", 1.0)]
+    day = lambda n: dt.date(2024, 1, n)
+    have = [
+        (1, 10, day(1), "A", 0.6), (1, 10, day(1), "B", 0.4), (1, 11, day(2), "A", 0.61), (1, 11, day(2), "B", 0.39), (1, 12, day(2), "A", 0.6), (1, 12, day(2), "B", 0.4),
+        (1, 13, day(3), "A", 0.7), (1, 13, day(3), "B", 0.3), (1, 14, day(4), "A", 0.6), (1, 15, day(5), "A", 0.6), (1, 15, day(5), "B", 0.4), (1, 15, day(5), "C", 0.0),
+        (3, 30, day(1), "B", 1.0), (9, 90, day(1), "A", 1.0),
+    ]
+    got = screener.newest_cached_result(
+        spark.createDataFrame(want, "portfolio_id int, symbol string, weight double"),
+        spark.createDataFrame(have, "portfolio_id int, cache_id int, created_at date, symbol string, weight double"),
+    )
+    assert [tuple(r) for r in got.collect()] == [(1, 12, day(2))]  # newest that fits; of two on one day the larger id
+
+
 def test_cached_match_misses_nothing(spark):
     rng = np.random.default_rng(3)
     def books(n, key):
