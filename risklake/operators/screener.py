@@ -47,10 +47,12 @@ def screen(rows: DataFrame, filters: Mapping[str, Any]) -> DataFrame:
     return rows.where(keep)
 
 
-def run_screen(rows: DataFrame, filters: Mapping[str, Any], limit: int = 100, order: str = "ticker") -> DataFrame:
-    """The first ``limit`` (1 to 1,000) rows that pass, in ``order``, each with ``hits``, the number of all that pass."""
+def run_screen(rows: DataFrame, filters: Mapping[str, Any], limit: int | None = 100, order: str = "ticker") -> DataFrame:
+    """The first ``limit`` (1 to 1,000; None: all) rows that pass, in ``order``, each with ``hits``, the number of all that pass."""
     passed = screen(rows, filters)
-    first = passed.orderBy(order).limit(max(1, min(int(limit), MOST_ITEMS)))
+    first = passed.orderBy(order)
+    if limit is not None:
+        first = first.limit(max(1, min(int(limit), MOST_ITEMS)))
     return first.withColumn("hits", passed.agg(F.count("*")).scalar())
 
 

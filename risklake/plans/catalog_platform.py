@@ -247,13 +247,13 @@ _SCREEN_SQL = """(SELECT symbol AS ticker, CASE WHEN type='BOND' THEN 'EQUITY' E
 
 @register(
     "flt_01_screener", "ticker:s sector:s market_cap:d0 pe_ratio:d2 beta:d2 hits:i",
-    f"""SELECT *, count(*) OVER () AS hits FROM {_SCREEN_SQL} WHERE market_cap>=9.2e8 AND market_cap<=9.95e8 AND pe_ratio>=5 AND pe_ratio<=45 AND profit_margin>=0 AND beta<=2.5 AND lower(sector) IN ('brand#3','brand#4','brand#5','unknown') AND upper(type)='EQUITY' ORDER BY ticker LIMIT 25""",
+    f"""SELECT *, count(*) OVER () AS hits FROM {_SCREEN_SQL} WHERE market_cap>=9.2e8 AND market_cap<=9.95e8 AND pe_ratio>=5 AND pe_ratio<=45 AND profit_margin>=0 AND beta<=2.5 AND lower(sector) IN ('brand#3','brand#4','brand#5','unknown') AND upper(type)='EQUITY'""",
 )
 def _(t: Tables):
     return scr.run_screen(_screen_rows(t), {
         "min_market_cap": 9.2e8, "max_market_cap": 9.95e8, "min_pe_ratio": 5, "max_pe_ratio": 45, "min_profit_margin": 0, "max_beta": 2.5,
         "sector_in": ["Brand#3", "BRAND#4", "brand#5", "unknown"], "type_in": ["equity"],
-    }, limit=25)
+    }, limit=None)
 
 
 @register("flt_02_screener_projection", "ticker:s type:s name:s sector:s market_cap:d0 pe_ratio:d2 ev_to_ebitda:d4 profit_margin:d4 beta:d2", f"SELECT * FROM {_SCREEN_SQL}")
