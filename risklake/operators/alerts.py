@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from risklake.functions.scalar import dashed_pair, is_crypto_symbol, is_finite, slashed_pair
 from risklake.operators.align import series
+from risklake.session import materialise
 
 # Fixed values.
 DEFAULT_COOLDOWN_SECONDS = 900
@@ -135,19 +136,25 @@ def evaluate_rules(rules: DataFrame, prices: DataFrame, latest: DataFrame, forec
     )
 
 
+EDGE_ROWS = 1 << 20  # evaluations of one partition
+
+
 def edge_events(evaluations: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Only the rows where a rule starts or stops being triggered.
 
     ``prior(alert_id, last_triggered)`` is the flag of each rule's newest stored event, one row per rule: a re-run does not fire again
     what has been fired. A rule without one starts untriggered. A rule is evaluated once per scheduler cycle, so its series is bounded
-    by the clock.
+    by the clock. Evaluations are written once and dealt over partitions of about ``EDGE_ROWS``, so a task's memory does not grow with
+    the table; the stored flag is joined only to what may be an edge: changes, and the first row of each rule.
     """
-    rows = evaluations
+    rows = materialise(evaluations, "edge-evaluations")
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(max(least, -(-rows.count() // EDGE_ROWS)), "alert_id")
+    rows = rows.withColumn("_prev", F.lag("triggered").over(W.partitionBy("alert_id").orderBy("evaluated_at"))).where("_prev is null or triggered <> _prev")
     if prior is not None:
         rows = rows.join(prior.select("alert_id", F.col("last_triggered").alias("_prior")), "alert_id", "left")
     known = F.col("_prior") if prior is not None else F.lit(None).cast("boolean")
-    prev = F.coalesce(F.lag("triggered").over(W.partitionBy("alert_id").orderBy("evaluated_at")), known, F.lit(False))
-    return rows.withColumn("_prev", prev).where("triggered <> _prev").select(
+    return rows.where(F.col("triggered") != F.coalesce("_prev", known, F.lit(False))).select(
         *evaluations.columns, F.when(F.col("triggered"), "rising").otherwise("falling").alias("edge")
     )
 
