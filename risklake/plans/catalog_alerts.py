@@ -90,10 +90,11 @@ def _(t: Tables):
 def _(t: Tables):
     """The same decision as a stream: the stored events land first, then the evaluations in three parts, with a restart after each."""
     rows = materialise(_evaluations(t.alert_rules, t.prices_weekly).withColumn("stored", F.lit(False)), "edge-evaluations")
-    stored = al.latest_events(_events(t)).join(rows.select("alert_id"), "alert_id", "left_semi")
+    stored = al.latest_events(_events(t)).join(rows.select("alert_id").distinct(), "alert_id", "left_semi")
     stored = stored.select("alert_id", F.col("last_evaluated_at").alias("evaluated_at"), F.col("last_triggered").alias("triggered"), F.lit(True).alias("stored"))
     year = F.year("evaluated_at")
-    landings = [stored, rows.where(year < 1997), rows.where((year >= 1997) & (year < 2000)), rows.where(year >= 2000)]
+    # by rule, so that one file, and with it one micro-batch, has all rows of a rule of a landing
+    landings = [stored, *(part.repartition("alert_id") for part in (rows.where(year < 1997), rows.where((year >= 1997) & (year < 2000)), rows.where(year >= 2000)))]
     return jobs.drain_landings(landings, jobs.edge_stream, "alert_id long, evaluated_at timestamp, triggered boolean, stored boolean")
 
 

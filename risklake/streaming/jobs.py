@@ -98,15 +98,42 @@ def matched_replies(rows: DataFrame) -> DataFrame:
     return asked.join(replied, same & in_time, "left_outer").select("device_sn", "tid", "asked_at", "replied_at", status.alias("status"))
 
 
-def _stateful(rows: DataFrame, output: str, fn: Callable[[Any, pd.DataFrame, int | None], tuple[pd.DataFrame, int]]) -> DataFrame:
-    """``fn(key, rows in the batch, stored value)`` -> (what comes out, the value to store), for each rule of a micro-batch."""
+BLOCK = 1 << 10  # neighbouring rule ids of one group
+
+
+def _stateful(rows: DataFrame, output: str, fn: Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, pd.DataFrame]]) -> DataFrame:
+    """Per-rule state, kept for blocks of ``BLOCK`` neighbouring rule ids, so that a group costs its rows and not its overhead.
+
+    ``fn(rows of the block in the micro-batch, slot of each row's rule, known, values)`` gives the slots and rows that come out, and changes in
+    place which slots have a value and which. The state row of a block lists the slots that have one. Rules without an id are one rule.
+    """
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out, value = fn(key[0], pd.concat(list(frames)), int(state.get[0]) if state.exists else None)
-        state.update((value,))
-        yield out
+        known, values = np.zeros(BLOCK, bool), np.zeros(BLOCK, np.int64)
+        if state.exists:
+            at, held = state.get
+            at = np.frombuffer(at, "<u2")
+            known[at], values[at] = True, np.frombuffer(held, "<i8")
+        pdf = pd.concat(list(frames), ignore_index=True)
+        slots, out = fn(pdf, pdf["_slot"].to_numpy(), known, values)
+        state.update((np.flatnonzero(known).astype("<u2").tobytes(), values[known].astype("<i8").tobytes()))
+        if len(out):
+            ids = np.full(len(out), int(key[0]) * BLOCK) + slots
+            out.insert(0, "alert_id", pd.arrays.IntegerArray(ids.astype(np.int64), np.full(len(out), bool(key[1]))))
+            yield out
+
+    rule = F.col("alert_id").cast("long")
+    slot = F.coalesce(rule.bitwiseAND(BLOCK - 1), F.lit(0)).cast("int")
+    placed = rows.withColumns({"_block": F.coalesce(F.shiftright(rule, BLOCK.bit_length() - 1), F.lit(0)), "_nameless": rule.isNull(), "_slot": slot}).drop("alert_id")
+    return placed.groupBy("_block", "_nameless").applyInPandasWithState(step, output, "slots binary, values binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def _us(times: pd.Series) -> np.ndarray:
+    return times.astype("datetime64[us]").to_numpy().view(np.int64)
+
 
-    return rows.groupBy("alert_id").applyInPandasWithState(step, output, "value long", "append", GroupStateTimeout.NoTimeout)
+def _nulls_last(us: np.ndarray) -> np.ndarray:
+    return np.where(us == np.iinfo(np.int64).min, np.iinfo(np.int64).max, us)
 
 
 def edge_stream(evaluations: DataFrame) -> DataFrame:
@@ -117,13 +144,19 @@ def edge_stream(evaluations: DataFrame) -> DataFrame:
     holds few of them.
     """
 
-    def step(rule: int, pdf: pd.DataFrame, value: int | None) -> tuple[pd.DataFrame, int]:
-        pdf = pdf.sort_values(["stored", "evaluated_at"], ascending=[False, True], kind="stable")
-        flags = pdf["triggered"].astype(bool)
-        change = flags.ne(flags.shift(fill_value=bool(value))) & ~pdf["stored"].astype(bool)
-        out = pdf[change.to_numpy()]
-        edge = out["triggered"].map({True: "rising", False: "falling"})
-        return pd.DataFrame({"alert_id": rule, "evaluated_at": out["evaluated_at"], "triggered": out["triggered"], "edge": edge}), int(flags.iloc[-1])
+    def step(pdf: pd.DataFrame, slots: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
+        stored = pdf["stored"].astype(bool).to_numpy()
+        order = np.lexsort((_nulls_last(_us(pdf["evaluated_at"])), ~stored, slots))
+        slots, flags = slots[order], pdf["triggered"].astype(bool).to_numpy()[order]
+        new = slots[1:] != slots[:-1]
+        first, last = np.append(True, new), np.append(new, True)
+        before = np.append(False, flags[:-1])
+        before[first] = values[slots[first]] != 0
+        change = (flags != before) & ~stored[order]
+        known[slots[last]], values[slots[last]] = True, flags[last]
+        out = pdf.iloc[order[change]]
+        edge = np.where(flags[change], "rising", "falling")
+        return slots[change], pd.DataFrame({"evaluated_at": out["evaluated_at"].to_numpy(), "triggered": flags[change], "edge": edge})
 
     stored = F.col("stored") if "stored" in evaluations.columns else F.lit(False)
     rows = evaluations.select("alert_id", "evaluated_at", "triggered", stored.alias("stored"))
@@ -136,17 +169,24 @@ def cooldown_stream(matched: DataFrame) -> DataFrame:
     The source's files-per-trigger limit bounds what one rule can bring into a batch. Steps go from one kept event to the next.
     """
 
-    def step(rule: int, pdf: pd.DataFrame, value: int | None) -> tuple[pd.DataFrame, int]:
-        pdf = pdf.sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
-        us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        gap = int(pdf["cooldown_seconds"].max()) * 1_000_000
-        kept = np.full(len(us), gap <= 0)
-        at = 0 if value is None else int(np.searchsorted(us, value + gap, side="right"))
-        while gap > 0 and at < len(us):
-            kept[at], value = True, int(us[at])
-            at = int(np.searchsorted(us, value + gap, side="right"))
-        newest = int(us[-1]) if gap <= 0 or value is None else value
-        return pd.DataFrame({"alert_id": rule, "event_id": pdf["event_id"], "ts": pdf["ts"], "kept": kept}), newest
+    def step(pdf: pd.DataFrame, slots: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
+        times = _us(pdf["ts"])
+        order = np.lexsort((pdf["event_id"].to_numpy(), _nulls_last(times), slots))
+        slots, times, kept = slots[order], times[order], np.zeros(len(order), bool)
+        cuts = np.append(np.flatnonzero(np.append(True, slots[1:] != slots[:-1])), len(slots))
+        gaps = np.fmax.reduceat(pdf["cooldown_seconds"].to_numpy()[order], cuts[:-1])
+        for lo, hi, seconds in zip(cuts[:-1], cuts[1:], gaps):
+            slot, us, gap = slots[lo], times[lo:hi], int(seconds) * 1_000_000
+            value = int(values[slot]) if known[slot] else None
+            if gap <= 0:
+                kept[lo:hi] = True
+            at = 0 if value is None else int(np.searchsorted(us, value + gap, side="right"))
+            while gap > 0 and at < len(us):
+                kept[lo + at], value = True, int(us[at])
+                at = int(np.searchsorted(us, value + gap, side="right"))
+            known[slot], values[slot] = True, int(us[-1]) if gap <= 0 or value is None else value
+        out = pdf.iloc[order]
+        return slots, pd.DataFrame({"event_id": out["event_id"].to_numpy(), "ts": out["ts"].to_numpy(), "kept": kept})
 
     rows = matched.select("alert_id", "event_id", "ts", "cooldown_seconds")
     return _stateful(rows, "alert_id long, event_id long, ts timestamp, kept boolean", step)
