@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of documents whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each component: documents are linked by SimHash (op1: 2 or fewer of 64 bits differ) or by a 5-word Jaccard similarity of 0.8 or more."""
     return near_keep(docs.select(*COLUMNS))
 
 
