@@ -155,8 +155,8 @@ def edge_stream(evaluations: DataFrame) -> DataFrame:
         change = (flags != before) & ~stored[order]
         known[slots[last]], values[slots[last]] = True, flags[last]
         out = pdf.iloc[order[change]]
-        edge = np.where(flags[change], "rising", "falling")
-        return slots[change], pd.DataFrame({"evaluated_at": out["evaluated_at"].to_numpy(), "triggered": flags[change], "edge": edge})
+        edge = out["triggered"].map({True: "rising", False: "falling"})
+        return slots[change], pd.DataFrame({"evaluated_at": out["evaluated_at"], "triggered": out["triggered"], "edge": edge})
 
     stored = F.col("stored") if "stored" in evaluations.columns else F.lit(False)
     rows = evaluations.select("alert_id", "evaluated_at", "triggered", stored.alias("stored"))

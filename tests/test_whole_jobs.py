@@ -94,6 +94,9 @@ def test_edge_stream_keeps_state_by_blocks_of_rules(spark):
             want.append((a, at, on, "rising" if on else "falling"))
         flag[a] = on
     assert sorted(map(tuple, landed.drop("epoch").collect()), key=repr) == sorted(want, key=repr)
+    unknown = jobs.drain_landings([spark.createDataFrame(p, schema) for p in ([(1, dt.datetime(2024, 1, 1), True, False), (2, dt.datetime(2024, 1, 1), True, False)], [(1, dt.datetime(2024, 1, 2), None, False)])], jobs.edge_stream, schema)
+    assert sorted((r.alert_id, r.triggered, r.edge) for r in unknown.where("evaluated_at < '2024-01-02'").collect()) == [(1, True, "rising"), (2, True, "rising")]
+    assert [(r.alert_id, r.triggered, r.edge) for r in unknown.where("evaluated_at >= '2024-01-02'").collect()] == [(1, None, None)]
     stream = spark.readStream.format("rate").load().selectExpr("value as alert_id", "timestamp as evaluated_at", "value % 2 = 0 as triggered")
     plan = jobs.edge_stream(stream)._jdf.queryExecution().analyzed().toString()
     assert "[_block" in next(line for line in plan.splitlines() if "FlatMapGroupsInPandasWithState" in line)  # not a call for each rule
