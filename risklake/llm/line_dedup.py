@@ -2,7 +2,8 @@
 
 Every different line with a visible character gets ``BANDS`` x ``ROWS`` minima over its ``SHINGLE``-character shingles (a shorter line is one
 shingle), the number of its different shingles, and a sketch: four bits of each minimum. Lines that share a band are candidates.
-They are first compared by number and sketch, which excludes a similar pair with a probability below ``MISS``; what is left is verified by
+They are first compared by number and sketch, which excludes a similar pair with a probability below ``MISS``: these travel with
+the bands, and a line that can be similar to none of its bucket goes no further. What is left is verified by
 exact Jaccard similarity of the shingle sets, and only then are texts fetched. Each line is compared with the smallest of its
 bucket; then, in buckets that hold lines not connected yet, all pairs of such lines in bounded tiles. Links are joined by
 distributed union-find (``graph.components``); of each component the first line stays.
@@ -18,14 +19,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from risklake.llm.graph import components, forest
 from risklake.llm.simhash import _carried
 from risklake.llm.tiles import tiled
 from risklake.llm.tokens import mix
-from risklake.session import discard, materialise, tune
+from risklake.session import discard, free_shuffles, materialise, tune
 
 SHINGLE = 4  # characters; a power of two, hashed by doubling. One changed character breaks so many shingles
 THRESHOLD = 0.8
@@ -34,14 +35,16 @@ TILE = 256
 FEW = 24  # lines of a tile up to which pairs are compared one by one
 SLICE = 4096  # shingles of a larger tile counted at a time
 CHUNK = 1 << 17  # characters hashed at a time
-AT_ONCE = 8  # bands shuffled at a time
-PASSES = 4  # parts of the buckets whose tiles are compared one after the other, each freeing what it shuffled
+AT_ONCE = 4  # bands shuffled at a time
+DEALT = 1 << 16  # lines a task deals out at a time
+PART = 200_000  # lines of buckets that a task compares
 MISS = 1e-6
 NIBBLES = 0x1111111111111111  # the lowest bit of each four
 SEEN = 1 << 20  # lines a task remembers to have signed before it starts afresh
 BROADCAST_LINES = 1 << 20  # candidate line ids (8 bytes each) up to which they go to every executor
 ROW_KEY = ["doc_id", "k1", "k2"]
 SIGNED = "h long, n int, sketch array<bigint>, bands array<bigint>"
+MEMBERS = "band long, a long, h long, n int, sketch array<bigint>, near boolean"
 BLANK = " \t\n\x0b\x0c\r"
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -246,97 +249,192 @@ def texts_of_lines(docs: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return texts
 
 
-def _different(a: str, b: str) -> str:
-    """SQL of the number of unequal fours of bits of two sketches."""
-    unequal = "bit_count((x | shiftrightunsigned(x, 1) | shiftrightunsigned(x, 2) | shiftrightunsigned(x, 3)) & {0}L)".format(NIBBLES)
-    return f"aggregate(zip_with({a}, {b}, (p, q) -> p ^ q), 0, (t, x) -> t + {unequal})"
+def close(a: np.ndarray, b: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold: float, most: int) -> np.ndarray:
+    """Of index pairs, those that number and sketch allow to be similar."""
+    out = np.minimum(n[a], n[b]) + 1 >= threshold * np.maximum(n[a], n[b])
+    at = np.flatnonzero(out)
+    x = sketch[a[at]] ^ sketch[b[at]]
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    out[at] = np.bitwise_count(x & np.uint64(NIBBLES)).sum(axis=1) <= most
+    return out
 
 
-def hopeful(part: dict[str, np.ndarray], threshold: float, most: int) -> np.ndarray:
-    """Rows of whole units that number and sketch allow to be similar to another row of their unit, of another root (and side, if there are two)."""
-    unit, side, root, n = part["unit"], part["side"], part["root"], part["n"].astype(np.int64)
-    sketch = np.stack(part["sketch"]).view(np.uint64)
-    changes = np.flatnonzero(np.diff(unit)) + 1
-    bounds = np.concatenate([[0], changes, [len(unit)]])
+def hopeful(unit: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold: float, most: int) -> np.ndarray:
+    """Rows of whole units, ordered by unit, that may be similar to another row of their unit, of another root (and side, if there are two)."""
+    out = np.zeros(len(unit), bool)
+    if not len(unit):
+        return out
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]])
     end = np.repeat(bounds[1:], np.diff(bounds))
     across = np.repeat(np.maximum.reduceat(side, bounds[:-1]) > 0, np.diff(bounds))
-    out, at, step = np.zeros(len(unit), bool), np.arange(len(unit)), 1
+    at, step = np.arange(len(unit)), 1
     while True:  # each row with the one ``step`` further on, for all units at once
         at = at[at + step < end[at]]
         if not len(at):
             return out
         to = at + step
-        some = (root[at] != root[to]) & (~across[at] | (side[at] != side[to])) & (np.minimum(n[at], n[to]) + 1 >= threshold * np.maximum(n[at], n[to]))
+        some = (root[at] != root[to]) & (~across[at] | (side[at] != side[to]))
         a, b = at[some], to[some]
-        x = sketch[a] ^ sketch[b]
-        x |= x >> np.uint64(1)
-        x |= x >> np.uint64(2)
-        good = np.bitwise_count(x & np.uint64(NIBBLES)).sum(axis=1) <= most
+        good = close(a, b, n, sketch, threshold, most)
         out[a[good]] = out[b[good]] = True
         step += 1
 
 
 def _hopeful(threshold: float, most: int):
+    """Hopeful rows of each unit. What is left of a unit is named by its rows, so that units with the same rows have one name."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _carried(batches, "unit"):
-            keep = hopeful(part, threshold, most)
-            yield pa.RecordBatch.from_arrays([pa.array(part[c][keep]) for c in ("unit", "side", "h")], ["unit", "side", "h"])
+            keep = hopeful(part["unit"], part["side"], part["root"], part["n"].astype(np.int64), np.stack(part["sketch"]).view(np.uint64), threshold, most)
+            unit, side, h = (part[c][keep] for c in ("unit", "side", "h"))
+            if not len(unit):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+            own = mix(h.view(np.uint64) + side.astype(np.uint64) * _BASE)
+            name = mix(np.add.reduceat(own, first) ^ mix(np.bitwise_xor.reduceat(mix(own + _BASE), first)))
+            name = np.repeat(name, np.diff(np.append(first, len(unit))))
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(side), pa.array(h)], ["unit", "side", "h"])
 
     return run
 
 
+def _dealt(parts: int, low: int, high: int):
+    """Bands ``low`` to ``high`` of signed lines -> rows ``(part, body)``: of each part of the buckets, (band, id, number, sketch) as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+                if size >= DEALT:
+                    yield _bodies(held, parts, low, high)
+                    held, size = [], 0
+        if held:
+            yield _bodies(held, parts, low, high)
+
+    return run
+
+
+def _bodies(batches: list[pa.RecordBatch], parts: int, low: int, high: int) -> pa.RecordBatch:
+    h, n, sketch, bands = (pa.Table.from_batches(batches).column(c).combine_chunks() for c in ("h", "n", "sketch", "bands"))
+    wide = lambda x: x.flatten().to_numpy().view(np.uint64).reshape(len(h), -1)
+    band = wide(bands)[:, low:high]
+    own = np.column_stack([h.to_numpy().view(np.uint64), n.to_numpy().astype(np.uint64), wide(sketch)])
+    part = (mix(band.ravel()) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    body = np.column_stack([band.ravel()[order], own[order // band.shape[1]]])
+    filled, first = np.unique(part[order], return_index=True)
+    offsets = np.append(first, len(body)) * (8 * body.shape[1])
+    blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(filled), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body)])
+    return pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), blobs.cast(pa.binary())], ["part", "body"])
+
+
+def _members(threshold: float, most: int, width: int, tile: int):
+    """Whole parts of the buckets -> lines that may be similar to another of their bucket, with the smallest id of those and whether it may be that one.
+
+    A bucket of more than ``tile`` lines is handed on as it is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bodies = [np.frombuffer(x, np.uint64).reshape(-1, width) for batch in batches for x in batch.column(1).to_pylist()]
+        if not bodies:
+            return
+        rows = np.concatenate(bodies)
+        del bodies
+        order = np.lexsort((rows[:, 1].view(np.int64), rows[:, 0]))
+        band, h = rows[order, 0], rows[order, 1]
+        new = np.concatenate([[True], (band[1:] != band[:-1]) | (h[1:] != h[:-1])])  # a line signed by two tasks is one
+        order, band = order[new], band[new]
+        order = order[_shared(band)]
+        rows = rows[order]
+        if not len(rows):
+            return
+        large = np.repeat(sizes := _sizes(rows[:, 0]), sizes) > tile
+        small = np.flatnonzero(~large)
+        picked = large.copy()
+        zero = np.zeros(len(small), np.int8)
+        picked[small] = hopeful(rows[small, 0], zero, rows[small, 1], rows[small, 2].astype(np.int64), rows[small, 3:], threshold, most)
+        rows = rows[picked]
+        if not len(rows):
+            return
+        sizes = _sizes(rows[:, 0])
+        lead = np.repeat(np.cumsum(sizes) - sizes, sizes)  # ordered by id
+        own, n = np.arange(len(rows)), rows[:, 2].astype(np.int64)
+        near = (lead != own) & close(lead, own, n, rows[:, 3:], threshold, most)
+        signed = rows.view(np.int64)
+        for lo in range(0, len(rows), 1 << 14):
+            cut = slice(lo, lo + (1 << 14))
+            columns = [pa.array(signed[cut, 0]), pa.array(signed[lead[cut], 1]), pa.array(signed[cut, 1]), pa.array(n[cut].astype(np.int32)), packed(rows[cut, 3:]), pa.array(near[cut])]
+            yield pa.RecordBatch.from_arrays(columns, ["band", "a", "h", "n", "sketch", "near"])
+
+    return run
+
+
+def _sizes(ordered: np.ndarray) -> np.ndarray:
+    """Lengths of the runs of equal values."""
+    return np.diff(np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]]))
+
+
+def _shared(ordered: np.ndarray) -> np.ndarray:
+    """Whether an ordered value is there more than once."""
+    sizes = _sizes(ordered)
+    return np.repeat(sizes > 1, sizes)
+
+
+def bucket_members(signed: DataFrame, threshold: float, most: int) -> list[DataFrame]:
+    """Written ``signed`` -> written ``(band, a, h, n, sketch, near)``, some bands in each: the lines of each bucket that may be similar to another of it.
+
+    Numbers and sketches travel with the bands, so that chance meetings, which grow faster than the lines, end in the task
+    that sees them. Bands go ``AT_ONCE`` at a time, each time freeing what was shuffled.
+    """
+    kinds = signed.select(F.size("bands").alias("bands"), F.size("sketch").alias("width")).first() or (1, 1)
+    parts = max(1, -(-signed.count() * AT_ONCE // PART))
+    steps = []
+    for low in range(0, kinds[0], AT_ONCE):
+        dealt = signed.mapInArrow(_dealt(parts, low, low + AT_ONCE), "part int, body binary").repartition(parts, "part")
+        step = materialise(dealt.mapInArrow(_members(threshold, most, 3 + kinds[1], TILE), MEMBERS), "line-members")
+        free_shuffles(signed.sparkSession)
+        steps.append(step)
+    return steps
+
+
 def line_links(signed: DataFrame, minima: int, texts_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, shingled: Callable[[str], set] = shingles, hashes: Callable[[str], np.ndarray] = hashed) -> DataFrame:
     """Written ``signed(h, n, sketch, bands)`` -> verified links ``(a, b)`` between ids of different lines; an id may be there more than once.
 
-    ``minima`` is their number in a sketch; ``texts_of`` gives ``(h, text)`` of wanted ids, each once. Bands are shuffled ``AT_ONCE``
-    at a time, ids alone, and what shares none is dropped at once.
+    ``minima`` is their number in a sketch; ``texts_of`` gives ``(h, text)`` of wanted ids, each once.
     """
-    most, bucket = most_different(minima, threshold), Window.partitionBy("band")
-    steps = []
-    for i in range(0, max(len(r.bands) if (r := signed.select("bands").first()) else 0, 1), AT_ONCE):
-        banded = signed.select("h", F.explode(F.slice("bands", i + 1, AT_ONCE)).alias("band")).withColumn("a", F.min("h").over(bucket)).withColumn("z", F.max("h").over(bucket))
-        steps.append(materialise(banded.where("a <> z").select("band", "a", "h").distinct(), "line-members"))
+    most = most_different(minima, threshold)
+    steps = bucket_members(signed, threshold, most)
     members = steps[0]
     for more in steps[1:]:
         members = members.unionByName(more)
-    pairs = materialise(members.where("a <> h").select("a", F.col("h").alias("b")).distinct(), "line-pairs")
-    met = members.select("h").distinct()
-    known = materialise(signed.select("h", "n", "sketch").join(few(met), "h", "left_semi").dropDuplicates(["h"]), "line-sketches")
-    x, y = (known.select(F.col("h").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    near = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") + 1 >= threshold * F.greatest("na", "nb")).where(F.expr(_different("sa", "sb")) <= most).select("a", "b")
-    near = materialise(near, "line-near")
-    discard(pairs)
+    near = materialise(members.where("near").select("a", F.col("h").alias("b")).distinct(), "line-near")
     checked = _verified(near, texts_of, threshold, shingled)
     # a bucket whose members are all connected by now is done; so is one of two members, compared already. Of buckets with the
     # same members one is enough
     roots = materialise(components(checked).withColumnRenamed("node", "h"), "line-roots")
-    placed = materialise(members.join(roots, "h", "left").select("band", "h", F.coalesce("root", "h").alias("root")), "line-placed")
+    placed = materialise(members.drop("a", "near").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "line-placed")
     discard(near, roots, *steps)
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).where("lo <> hi and n > 2")
-    mixed = materialise(mixed.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"), "line-mixed")
+    mixed = mixed.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band")
+    open_ = materialise(placed.join(mixed, "band", "left_semi"), "line-rest")
+    discard(placed)
     # in a large bucket, lines of the root that most have need not meet each other, and lines of very different sizes none at all
-    open_ = materialise(placed.join(mixed, "band", "left_semi").join(known.select("h", "n"), "h"), "line-rest")
-    discard(placed, mixed)
+    chief = open_.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("chief"), F.sum("c").alias("c")).where(F.col("c") > TILE).select("band", "chief")
+    chief = materialise(chief, "line-chief")
+    rest = open_.join(chief, "band", "left").withColumn("joined", F.coalesce(F.col("root") == F.col("chief"), F.lit(False))).drop("chief")
     # the number of shingles may be one too small: as if the ratio were a little lower
     size = F.floor(F.log(F.col("n") + 1.0) / -math.log(threshold * 0.98))
-    units = []
-    for i in range(PASSES):
-        part = open_.where(F.pmod(F.xxhash64("band", F.lit(11)), F.lit(PASSES)) == i)
-        chief = part.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("chief"), F.sum("c").alias("c")).where(F.col("c") > TILE).select("band", "chief")
-        chief = materialise(chief, "line-chief")
-        rest = part.join(chief, "band", "left").withColumn("joined", F.coalesce(F.col("root") == F.col("chief"), F.lit(False))).drop("chief")
-        cut = tiled(rest, "band", F.xxhash64("h", F.lit(5)), size, 1, TILE, F.col("joined")).select("unit", "side", "h", "root", "n").join(known.select("h", "sketch"), "h").select("unit", "side", "h", "root", "n", "sketch")
-        cut = cut.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_hopeful(threshold, most), "unit long, side int, h long")
-        units.append(materialise(cut, "line-units"))
-        discard(chief)
-    written, units = units, units[0]
-    for more in written[1:]:
-        units = units.unionByName(more)
-    discard(known, open_)
+    cut = tiled(rest, "band", F.xxhash64("h", F.lit(5)), size, 1, TILE, F.col("joined")).select("unit", "side", "h", "root", "n", "sketch")
+    cut = cut.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_hopeful(threshold, most), "unit long, side int, h long")
+    units = materialise(cut.distinct(), "line-units")
+    discard(open_, chief)
     texts = materialise(texts_of(units.select("h").distinct()), "line-texts")
     more = units.join(texts, "h").repartition("unit").sortWithinPartitions("unit", "side").select("unit", "side", "h", "text").mapInArrow(_verify_tiles(threshold, hashes), "a long, b long")
     out = materialise(checked.unionByName(more), "line-links")
-    discard(checked, texts, *written)
+    discard(checked, texts, units)
     return out
 
 

@@ -72,7 +72,12 @@ def discard(*steps: DataFrame) -> None:
         _delete(step.sparkSession, path)
         _written[:] = [w for w in _written if w[1] != path]
     if steps:
-        steps[0].sparkSession._jvm.System.gc()  # the context cleaner follows unreachable shuffles
+        free_shuffles(steps[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of jobs that nothing refers to any more."""
+    spark._jvm.System.gc()  # the context cleaner follows unreachable shuffles
 
 
 def _delete(spark: SparkSession, path: str) -> None:

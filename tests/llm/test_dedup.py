@@ -151,6 +151,54 @@ def test_tiles_of_lines_find_what_the_leader_misses(spark, monkeypatch):
     assert got == dict(fx.fuzzy_lines(docs, 0.8))
 
 
+def test_chance_meetings_of_lines_go_no_further(spark, monkeypatch):
+    rng = __import__("random").Random(8)
+    stems = ["tion", "the", "her", "and", "ou", "st", "ly", "er"]
+    lines = list(dict.fromkeys("".join(rng.choice(stems) + " " * (rng.random() < 0.4) for _ in range(rng.randrange(30, 120))).strip() for _ in range(600)))
+    lines += [f"{x} {i % 10}" for i, x in enumerate(lines[:20])]
+    written = {}
+
+    def counted(df, name, made=line_dedup.materialise):
+        out = made(df, name)
+        written.setdefault(name, []).extend(out.collect() if name in ("lines-signed", "line-members") else [])
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    docs = [(i, x) for i, x in enumerate(lines)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(fx.fuzzy_lines(docs, 0.8))
+    times = __import__("collections").Counter(b for b, _ in {(b, r.h) for r in written["lines-signed"] for b in r.bands})
+    meetings = sum(n for n in times.values() if n > 1)
+    assert meetings > 2000
+    assert 0 < len(written["line-members"]) < meetings / 2
+
+
+@pytest.mark.parametrize("tile", [3, 256])
+def test_members_of_buckets_equal_all_pairs(tile):
+    rng = np.random.default_rng(5)
+    width, most = 2, line_dedup.most_different(32, 0.8)
+    rows = []
+    for band in range(40):
+        base = rng.integers(0, 1 << 63, width, dtype=np.uint64)
+        for h in rng.choice(1000, rng.integers(1, 7), replace=False):
+            sketch = base if rng.random() < 0.5 else rng.integers(0, 1 << 63, width, dtype=np.uint64)
+            rows += [[band, h, rng.integers(50, 80), *sketch]] * rng.integers(1, 3)
+    rows = np.array(rows, np.uint64)[rng.permutation(len(rows))]
+    batch = line_dedup.pa.RecordBatch.from_arrays([line_dedup.pa.array([0, 0]), line_dedup.pa.array([x.tobytes() for x in (rows[:50], rows[50:])])], ["part", "body"])
+    got = {(r["band"], r["a"], r["h"], r["near"]) for b in line_dedup._members(0.8, most, 3 + width, tile)([batch]) for r in b.to_pylist()}
+
+    def alike(x, y):
+        unequal = sum((int(x[k]) >> s & 15) != (int(y[k]) >> s & 15) for k in (3, 4) for s in range(0, 64, 4))
+        return min(x[2], y[2]) + 1 >= 0.8 * max(x[2], y[2]) and unequal <= most
+
+    want = set()
+    for band in range(40):
+        all_ = sorted({tuple(r.tolist()) for r in rows if r[0] == band}, key=lambda r: r[1])
+        kept = [x for x in all_ if len(all_) > tile or any(x is not y and alike(x, y) for y in all_)] if len(all_) > 1 else []
+        want |= {(band, kept[0][1], x[1], x is not kept[0] and alike(x, kept[0])) for x in kept}
+    assert got == want
+
+
 @pytest.mark.parametrize("call", [simhash.simhash_components, simhash.simhash_keep, substring.remove_repeats, line_dedup.dedup_lines])
 def test_empty_tables(spark, call):
     assert call(spark.createDataFrame([], fx.SCHEMA)).count() == 0
