@@ -35,9 +35,10 @@ TILE = 256
 FEW = 24  # lines of a tile up to which pairs are compared one by one
 SLICE = 4096  # shingles of a larger tile counted at a time
 CHUNK = 1 << 17  # characters hashed at a time
-AT_ONCE = 4  # bands shuffled at a time
+AT_ONCE = 3  # bands shuffled at a time
 DEALT = 1 << 16  # lines a task deals out at a time
 PART = 200_000  # lines of buckets that a task compares
+WHOLE = 4096  # lines of a bucket up to which numbers and sketches are compared in that task; what is left of it may still be cut into tiles
 MISS = 1e-6
 NIBBLES = 0x1111111111111111  # the lowest bit of each four
 SEEN = 1 << 20  # lines a task remembers to have signed before it starts afresh
@@ -331,10 +332,10 @@ def _bodies(batches: list[pa.RecordBatch], parts: int, low: int, high: int) -> p
     return pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), blobs.cast(pa.binary())], ["part", "body"])
 
 
-def _members(threshold: float, most: int, width: int, tile: int):
+def _members(threshold: float, most: int, width: int, whole: int):
     """Whole parts of the buckets -> lines that may be similar to another of their bucket, with the smallest id of those and whether it may be that one.
 
-    A bucket of more than ``tile`` lines is handed on as it is.
+    A bucket of more than ``whole`` lines is handed on as it is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +352,7 @@ def _members(threshold: float, most: int, width: int, tile: int):
         rows = rows[order]
         if not len(rows):
             return
-        large = np.repeat(sizes := _sizes(rows[:, 0]), sizes) > tile
+        large = np.repeat(sizes := _sizes(rows[:, 0]), sizes) > whole
         small = np.flatnonzero(~large)
         picked = large.copy()
         zero = np.zeros(len(small), np.int8)
@@ -394,7 +395,7 @@ def bucket_members(signed: DataFrame, threshold: float, most: int) -> list[DataF
     steps = []
     for low in range(0, kinds[0], AT_ONCE):
         dealt = signed.mapInArrow(_dealt(parts, low, low + AT_ONCE), "part int, body binary").repartition(parts, "part")
-        step = materialise(dealt.mapInArrow(_members(threshold, most, 3 + kinds[1], TILE), MEMBERS), "line-members")
+        step = materialise(dealt.mapInArrow(_members(threshold, most, 3 + kinds[1], WHOLE), MEMBERS), "line-members")
         free_shuffles(signed.sparkSession)
         steps.append(step)
     return steps
