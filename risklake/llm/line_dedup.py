@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ TILE = 256
 FEW = 24  # lines of a tile up to which pairs are compared one by one
 SLICE = 4096  # shingles of a larger tile counted at a time
 CHUNK = 1 << 17  # characters hashed at a time
+CHARACTERS = 1 << 19  # characters of pairs or tiles compared at a time
+PAIRED = 1 << 19  # shingles of pairs sorted at a time
 AT_ONCE = 3  # bands shuffled at a time
 DEALT = 1 << 16  # lines a task deals out at a time
 PART = 200_000  # lines of buckets that a task compares
@@ -44,8 +47,8 @@ NIBBLES = 0x1111111111111111  # the lowest bit of each four
 SEEN = 1 << 20  # lines a task remembers to have signed before it starts afresh
 BROADCAST_LINES = 1 << 20  # candidate line ids (8 bytes each) up to which they go to every executor
 ROW_KEY = ["doc_id", "k1", "k2"]
-SIGNED = "h long, n int, sketch array<bigint>, bands array<bigint>"
-MEMBERS = "band long, a long, h long, n int, sketch array<bigint>, near boolean"
+SIGNED = "h long, n int, sketch binary, bands array<bigint>"
+MEMBERS = "band long, a long, h long, n int, sketch binary, near boolean"
 BLANK = " \t\n\x0b\x0c\r"
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,21 +58,23 @@ _DOUBLED = [np.uint64(pow(int(_BASE), 1 << i, 1 << 64)) for i in range(SHINGLE.b
 
 def shingle_hashes(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of joined lines, and where each line's begin. A line shorter than a shingle has one hash, over itself."""
-    n = len(points)
-    h, width = points.astype(np.uint64) + np.uint64(1), 1
-    # beyond a line's end come zeros, so a short line is hashed alone: pad every line to a shingle
-    size = np.maximum(lengths, SHINGLE)
-    start = np.cumsum(size) - size
-    padded = np.zeros(int(size.sum()) + SHINGLE, np.uint64)
-    padded[np.repeat(start - (np.cumsum(lengths) - lengths), lengths) + np.arange(n)] = h
-    h = padded
+    h = points.astype(np.uint64)
+    h += np.uint64(1)
+    # beyond a line's end come zeros, so a short line is hashed alone: pad it to a shingle
+    lack = np.maximum(SHINGLE - lengths, 0)
+    if lack.any():
+        h = np.insert(h, np.repeat(np.cumsum(lengths), lack), np.uint64(0))
+    end = np.cumsum(lengths + lack)
+    width = 1
     for base in _DOUBLED:
-        h = h[: len(h) - width] * base + h[width:]
-        width *= 2
-    count = size - SHINGLE + 1
-    first = np.cumsum(count) - count
-    at = np.repeat(start - first, count) + np.arange(int(count.sum()))
-    return mix(h[at]), first
+        wide = h[:-width] * base
+        wide += h[width:]
+        h, width = wide, width * 2
+    inside = np.ones(len(h) + SHINGLE - 1, bool)  # hashes across two lines are left out
+    for back in range(1, SHINGLE):
+        inside[end - back] = False
+    count = lengths + lack - (SHINGLE - 1)
+    return mix(h[inside[: len(h)]]), np.cumsum(count) - count
 
 
 def joined_bands(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -102,17 +107,20 @@ def most_different(minima: int, threshold: float, miss: float = MISS) -> int:
 def signature(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Minima of each line (row), and the number of its different shingles."""
     h, first = shingle_hashes(points, lengths)
-    minima = np.stack([np.minimum.reduceat(h * m, first) for m in _MULTIPLIERS], axis=1)
+    minima, product = np.empty((len(_MULTIPLIERS), len(first)), np.uint64), np.empty_like(h)
+    for m, least in zip(_MULTIPLIERS, minima):
+        np.minimum.reduceat(np.multiply(h, m, out=product), first, out=least)
     # sorted by line, then by 44 bits of the hash: a rare collision makes a number one too small, which candidates allow for
     line = np.repeat(np.arange(len(lengths), dtype=np.uint64), np.diff(np.append(first, len(h))))
     ordered = np.sort(line << np.uint64(44) | h >> np.uint64(20))
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    return minima, np.add.reduceat(new, first, dtype=np.int64)
+    return minima.T, np.add.reduceat(new, first, dtype=np.int64)
 
 
 def line_id(line: str) -> int:
     """Spark's ``xxhash64`` of the line, as a signed long."""
-    return int(np.uint64(xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)).astype(np.int64))
+    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+    return h if h < 1 << 63 else h - (1 << 64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +145,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _signatures(lines: dict[int, str]) -> pa.RecordBatch:
     points = np.frombuffer("".join(lines.values()).encode("utf-32-le", "surrogatepass"), "<u4")
     minima, n = signature(points, np.array([len(x) for x in lines.values()]))
-    columns = [pa.array(list(lines), pa.int64()), pa.array(n, pa.int32()), packed(sketches(minima)), packed(joined_bands(minima, BANDS, ROWS))]
+    columns = [pa.array(list(lines), pa.int64()), pa.array(n, pa.int32()), bytes_of(sketches(minima)), packed(joined_bands(minima, BANDS, ROWS))]
     return pa.RecordBatch.from_arrays(columns, ["h", "n", "sketch", "bands"])
 
 
@@ -146,6 +154,20 @@ def packed(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows).ravel().view(np.int64)))
 
 
+def bytes_of(rows: np.ndarray) -> pa.Array:
+    """Each row's numbers as bytes."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (8 * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    """What ``bytes_of`` made, a row each."""
+    if not len(column):
+        return np.zeros((0, 1), np.uint64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64).reshape(len(column), -1)
+
+
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
@@ -161,19 +183,70 @@ def similar(a: set[str], b: set[str], threshold: float) -> bool:
     return jaccard(a, b) >= threshold
 
 
-def _verify(threshold: float, shingled: Callable[[str], set]):
+def hashed_all(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all lines one after the other, and where each line's begin; a hash may be there more than once."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    return shingle_hashes(points, np.array([len(x) for x in lines], np.int64))
+
+
+def similar_pairs(lines: list[str], a: np.ndarray, b: np.ndarray, threshold: float, shingled: Callable[[str], set], all_hashes: Callable[[list[str]], tuple]) -> np.ndarray:
+    """Which index pairs of ``lines`` are similar.
+
+    Hashes shared are counted by sorting, on 44 bits of each; a pair so near the threshold that two collisions of those could
+    decide it is compared by its sets.
+    """
+    out = np.zeros(len(a), bool)
+    if not len(a):
+        return out
+    h, first = all_hashes(lines)
+    line = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(first, len(h))))
+    ordered = np.sort(line << np.uint64(44) | h >> np.uint64(20))
+    ordered = ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
+    size = np.bincount((ordered >> np.uint64(44)).astype(np.int64), minlength=len(lines))
+    start = np.cumsum(size) - size
+    ordered &= np.uint64((1 << 44) - 1)
+    # numbers alone decide most of what is not similar
+    todo = np.flatnonzero(np.minimum(size[a], size[b]) + 2 >= threshold * np.maximum(size[a], size[b]))
+    for cut in _cuts(size[a[todo]] + size[b[todo]], PAIRED):
+        at = todo[cut]
+        ends = np.stack([a[at], b[at]], axis=1).ravel()
+        long = size[ends]
+        first = np.cumsum(long) - long
+        value = ordered[np.repeat(start[ends] - first, long) + np.arange(int(long.sum()))]
+        value |= np.repeat(np.arange(len(ends), dtype=np.uint64) >> np.uint64(1), long) << np.uint64(44)
+        value = np.sort(value)
+        twice = value[1:][value[1:] == value[:-1]] >> np.uint64(44)
+        both = np.bincount(twice.astype(np.int64), minlength=len(at))
+        total = size[a[at]] + size[b[at]]
+        out[at] = (both - 2) / (total - both + 4) >= threshold
+        for i in at[~out[at] & ((both + 2) / np.maximum(total - both - 4, 1) >= threshold)]:
+            out[i] = similar(shingled(lines[a[i]]), shingled(lines[b[i]]), threshold)
+    return out
+
+
+def _cuts(weights: np.ndarray, limit: int) -> Iterator[slice]:
+    """Runs of about ``limit`` in weight, one item at least."""
+    total, at = np.concatenate([[0], np.cumsum(weights)]), 0
+    while at < len(weights):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + limit, "right")) - 1)
+        yield slice(at, to)
+        at = to
+
+
+def _verify(threshold: float, shingled: Callable[[str], set], all_hashes: Callable[[list[str]], tuple]):
     """Pairs with both texts; those of one leader come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, own = None, set()
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = []
-            for x, s, t in zip(a, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if x != leader:
-                    leader, own = x, shingled(s)
-                ok.append(similar(own, shingled(t), threshold))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            weights = sum(pc.utf8_length(batch.column(c)).to_numpy().astype(np.int64) for c in (2, 3))
+            for cut in _cuts(weights, CHARACTERS):
+                leads = np.concatenate([[True], a[cut][1:] != a[cut][:-1]])
+                lines = batch.column(2).slice(cut.start, cut.stop - cut.start).filter(pa.array(leads)).to_pylist()
+                to = np.arange(cut.stop - cut.start) + len(lines)
+                lines += batch.column(3).slice(cut.start, cut.stop - cut.start).to_pylist()
+                ok = similar_pairs(lines, np.cumsum(leads) - 1, to, threshold, shingled, all_hashes)
+                yield pa.RecordBatch.from_arrays([pa.array(a[cut][ok]), pa.array(b[cut][ok])], ["a", "b"])
 
     return run
 
@@ -220,23 +293,47 @@ def alike(lines: list[str], side: np.ndarray, threshold: float, hashes: Callable
     return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
 
 
-def _verify_tiles(threshold: float, hashes: Callable[[str], np.ndarray]):
-    """All pairs of a tile, or across two; a forest of what is similar."""
+def _verify_tiles(threshold: float, most: int, shingled: Callable[[str], set], hashes: Callable[[str], np.ndarray], all_hashes: Callable[[list[str]], tuple]):
+    """The pairs of a tile, or across two, that number and sketch allow; a forest of what is similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _carried(batches, "unit"):
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part["unit"])) + 1, [len(part["unit"])]])
+            unit, text, h = part["unit"], part["text"], part["h"]
+            met = [np.zeros((2, 0), np.int64), *meetings(unit, part["side"], part["root"], part["n"].astype(np.int64), _stacked(part["sketch"]), threshold, most)]
+            x, y = np.concatenate(met, axis=1)
+            sizes = _sizes(unit)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            # where most lines may be similar to many, the product of matrices costs less than pairs
+            dense = np.bincount(of[x], minlength=len(sizes)) > FEW * sizes
             left, right = [], []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                x, y = alike(part["text"][lo:hi].tolist(), part["side"][lo:hi], threshold, hashes)
-                left.append(part["h"][lo:hi][x])
-                right.append(part["h"][lo:hi][y])
-            a, b = forest(np.concatenate(left), np.concatenate(right))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            start = np.cumsum(sizes) - sizes
+            for i in np.flatnonzero(dense):
+                lo, hi = start[i], start[i] + sizes[i]
+                p, q = alike(text[lo:hi].tolist(), part["side"][lo:hi], threshold, hashes)
+                left.append(h[lo:hi][p])
+                right.append(h[lo:hi][q])
+            pairs = np.flatnonzero(~dense[of[x]])
+            pairs = pairs[np.argsort(of[x[pairs]], kind="stable")]
+            x, y = x[pairs], y[pairs]
+            length = np.array([len(t) for t in text])
+            for cut in _cuts(length[x] + length[y], CHARACTERS):
+                used, at = np.unique(np.concatenate([x[cut], y[cut]]), return_inverse=True)
+                p, q = at[: cut.stop - cut.start], at[cut.stop - cut.start :]
+                ok = similar_pairs(text[used].tolist(), p, q, threshold, shingled, all_hashes)
+                left.append(h[x[cut][ok]])
+                right.append(h[y[cut][ok]])
+            if left:
+                a, b = forest(np.concatenate(left), np.concatenate(right))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
+def _stacked(column: np.ndarray) -> np.ndarray:
+    """Rows of numbers from their bytes."""
+    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
+
+
 def few(wanted: DataFrame) -> DataFrame:
     """Ids, sent to every executor if there are few of them; otherwise joined by shuffle."""
     return F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
@@ -261,11 +358,10 @@ def close(a: np.ndarray, b: np.ndarray, n: np.ndarray, sketch: np.ndarray, thres
     return out
 
 
-def hopeful(unit: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold: float, most: int) -> np.ndarray:
-    """Rows of whole units, ordered by unit, that may be similar to another row of their unit, of another root (and side, if there are two)."""
-    out = np.zeros(len(unit), bool)
+def meetings(unit: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold: float, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows, ordered by unit, that may be similar: of one unit, of different roots (and sides, if there are two)."""
     if not len(unit):
-        return out
+        return
     bounds = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1, [len(unit)]])
     end = np.repeat(bounds[1:], np.diff(bounds))
     across = np.repeat(np.maximum.reduceat(side, bounds[:-1]) > 0, np.diff(bounds))
@@ -273,35 +369,43 @@ def hopeful(unit: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray,
     while True:  # each row with the one ``step`` further on, for all units at once
         at = at[at + step < end[at]]
         if not len(at):
-            return out
+            return
         to = at + step
         some = (root[at] != root[to]) & (~across[at] | (side[at] != side[to]))
         a, b = at[some], to[some]
         good = close(a, b, n, sketch, threshold, most)
-        out[a[good]] = out[b[good]] = True
+        yield a[good], b[good]
         step += 1
 
 
+def hopeful(unit: np.ndarray, side: np.ndarray, root: np.ndarray, n: np.ndarray, sketch: np.ndarray, threshold: float, most: int) -> np.ndarray:
+    """Rows of whole units, ordered by unit, that may be similar to another row of their unit, of another root (and side, if there are two)."""
+    out = np.zeros(len(unit), bool)
+    for a, b in meetings(unit, side, root, n, sketch, threshold, most):
+        out[a] = out[b] = True
+    return out
+
+
 def _hopeful(threshold: float, most: int):
     """Hopeful rows of each unit. What is left of a unit is named by its rows, so that units with the same rows have one name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _carried(batches, "unit"):
-            keep = hopeful(part["unit"], part["side"], part["root"], part["n"].astype(np.int64), np.stack(part["sketch"]).view(np.uint64), threshold, most)
-            unit, side, h = (part[c][keep] for c in ("unit", "side", "h"))
+            keep = hopeful(part["unit"], part["side"], part["root"], part["n"].astype(np.int64), _stacked(part["sketch"]), threshold, most)
+            unit, side, h, root, n = (part[c][keep] for c in ("unit", "side", "h", "root", "n"))
             if not len(unit):
                 continue
             first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
             own = mix(h.view(np.uint64) + side.astype(np.uint64) * _BASE)
             name = mix(np.add.reduceat(own, first) ^ mix(np.bitwise_xor.reduceat(mix(own + _BASE), first)))
             name = np.repeat(name, np.diff(np.append(first, len(unit))))
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(side), pa.array(h)], ["unit", "side", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(side), pa.array(h), pa.array(root), pa.array(n), pa.array(part["sketch"][keep], pa.binary())], ["unit", "side", "h", "root", "n", "sketch"])
 
     return run
 
 
-def _dealt(parts: int, low: int, high: int):
-    """Bands ``low`` to ``high`` of signed lines -> rows ``(part, body)``: of each part of the buckets, (band, id, number, sketch) as bytes."""
+def _dealt(parts: int):
+    """Some bands of signed lines -> rows ``(part, body)``: of each part of the buckets, (band, id, number, sketch) as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -310,20 +414,19 @@ def _dealt(parts: int, low: int, high: int):
                 held.append(batch)
                 size += batch.num_rows
                 if size >= DEALT:
-                    yield _bodies(held, parts, low, high)
+                    yield _bodies(held, parts)
                     held, size = [], 0
         if held:
-            yield _bodies(held, parts, low, high)
+            yield _bodies(held, parts)
 
     return run
 
 
-def _bodies(batches: list[pa.RecordBatch], parts: int, low: int, high: int) -> pa.RecordBatch:
+def _bodies(batches: list[pa.RecordBatch], parts: int) -> pa.RecordBatch:
     h, n, sketch, bands = (pa.Table.from_batches(batches).column(c).combine_chunks() for c in ("h", "n", "sketch", "bands"))
-    wide = lambda x: x.flatten().to_numpy().view(np.uint64).reshape(len(h), -1)
-    band = wide(bands)[:, low:high]
-    own = np.column_stack([h.to_numpy().view(np.uint64), n.to_numpy().astype(np.uint64), wide(sketch)])
-    part = (mix(band.ravel()) % np.uint64(parts)).astype(np.int64)
+    band = bands.flatten().to_numpy().view(np.uint64).reshape(len(h), -1)
+    own = np.column_stack([h.to_numpy().view(np.uint64), n.to_numpy().astype(np.uint64), numbers(sketch)])
+    part = (mix(band.ravel()) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)  # small ones are ordered by radix
     order = np.argsort(part, kind="stable")
     body = np.column_stack([band.ravel()[order], own[order // band.shape[1]]])
     filled, first = np.unique(part[order], return_index=True)
@@ -344,6 +447,10 @@ def _members(threshold: float, most: int, width: int, whole: int):
             return
         rows = np.concatenate(bodies)
         del bodies
+        order = np.argsort(band := np.ascontiguousarray(rows[:, 0]))
+        rows = rows[order[_shared(band[order])]]  # most lines are alone in their bucket
+        if not len(rows):
+            return
         order = np.lexsort((rows[:, 1].view(np.int64), rows[:, 0]))
         band, h = rows[order, 0], rows[order, 1]
         new = np.concatenate([[True], (band[1:] != band[:-1]) | (h[1:] != h[:-1])])  # a line signed by two tasks is one
@@ -367,7 +474,7 @@ def _members(threshold: float, most: int, width: int, whole: int):
         signed = rows.view(np.int64)
         for lo in range(0, len(rows), 1 << 14):
             cut = slice(lo, lo + (1 << 14))
-            columns = [pa.array(signed[cut, 0]), pa.array(signed[lead[cut], 1]), pa.array(signed[cut, 1]), pa.array(n[cut].astype(np.int32)), packed(rows[cut, 3:]), pa.array(near[cut])]
+            columns = [pa.array(signed[cut, 0]), pa.array(signed[lead[cut], 1]), pa.array(signed[cut, 1]), pa.array(n[cut].astype(np.int32)), bytes_of(rows[cut, 3:]), pa.array(near[cut])]
             yield pa.RecordBatch.from_arrays(columns, ["band", "a", "h", "n", "sketch", "near"])
 
     return run
@@ -390,18 +497,18 @@ def bucket_members(signed: DataFrame, threshold: float, most: int) -> list[DataF
     Numbers and sketches travel with the bands, so that chance meetings, which grow faster than the lines, end in the task
     that sees them. Bands go ``AT_ONCE`` at a time, each time freeing what was shuffled.
     """
-    kinds = signed.select(F.size("bands").alias("bands"), F.size("sketch").alias("width")).first() or (1, 1)
+    kinds = signed.select(F.size("bands").alias("bands"), (F.octet_length("sketch") / 8).cast("int").alias("width")).first() or (1, 1)
     parts = max(1, -(-signed.count() * AT_ONCE // PART))
     steps = []
     for low in range(0, kinds[0], AT_ONCE):
-        dealt = signed.mapInArrow(_dealt(parts, low, low + AT_ONCE), "part int, body binary").repartition(parts, "part")
+        dealt = signed.select("h", "n", "sketch", F.slice("bands", low + 1, AT_ONCE).alias("bands")).mapInArrow(_dealt(parts), "part int, body binary").repartition(parts, "part")
         step = materialise(dealt.mapInArrow(_members(threshold, most, 3 + kinds[1], WHOLE), MEMBERS), "line-members")
         free_shuffles(signed.sparkSession)
         steps.append(step)
     return steps
 
 
-def line_links(signed: DataFrame, minima: int, texts_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, shingled: Callable[[str], set] = shingles, hashes: Callable[[str], np.ndarray] = hashed) -> DataFrame:
+def line_links(signed: DataFrame, minima: int, texts_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD, shingled: Callable[[str], set] = shingles, hashes: Callable[[str], np.ndarray] = hashed, all_hashes: Callable[[list[str]], tuple] = hashed_all) -> DataFrame:
     """Written ``signed(h, n, sketch, bands)`` -> verified links ``(a, b)`` between ids of different lines; an id may be there more than once.
 
     ``minima`` is their number in a sketch; ``texts_of`` gives ``(h, text)`` of wanted ids, each once.
@@ -412,7 +519,7 @@ def line_links(signed: DataFrame, minima: int, texts_of: Callable[[DataFrame], D
     for more in steps[1:]:
         members = members.unionByName(more)
     near = materialise(members.where("near").select("a", F.col("h").alias("b")).distinct(), "line-near")
-    checked = _verified(near, texts_of, threshold, shingled)
+    checked = _verified(near, texts_of, threshold, shingled, all_hashes)
     # a bucket whose members are all connected by now is done; so is one of two members, compared already. Of buckets with the
     # same members one is enough
     roots = materialise(components(checked).withColumnRenamed("node", "h"), "line-roots")
@@ -429,21 +536,21 @@ def line_links(signed: DataFrame, minima: int, texts_of: Callable[[DataFrame], D
     # the number of shingles may be one too small: as if the ratio were a little lower
     size = F.floor(F.log(F.col("n") + 1.0) / -math.log(threshold * 0.98))
     cut = tiled(rest, "band", F.xxhash64("h", F.lit(5)), size, 1, TILE, F.col("joined")).select("unit", "side", "h", "root", "n", "sketch")
-    cut = cut.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_hopeful(threshold, most), "unit long, side int, h long")
+    cut = cut.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_hopeful(threshold, most), "unit long, side int, h long, root long, n int, sketch binary")
     units = materialise(cut.distinct(), "line-units")
     discard(open_, chief)
     texts = materialise(texts_of(units.select("h").distinct()), "line-texts")
-    more = units.join(texts, "h").repartition("unit").sortWithinPartitions("unit", "side").select("unit", "side", "h", "text").mapInArrow(_verify_tiles(threshold, hashes), "a long, b long")
+    more = units.join(texts, "h").repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_verify_tiles(threshold, most, shingled, hashes, all_hashes), "a long, b long")
     out = materialise(checked.unionByName(more), "line-links")
     discard(checked, texts, units)
     return out
 
 
-def _verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, shingled: Callable[[str], set]) -> DataFrame:
+def _verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, shingled: Callable[[str], set], all_hashes: Callable[[list[str]], tuple]) -> DataFrame:
     """The pairs ``(a, b)`` that are similar, written."""
     texts = materialise(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()), "line-texts")
     met = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("t")), "b")
-    checked = materialise(met.select("a", "b", "s", "t").sortWithinPartitions("a").mapInArrow(_verify(threshold, shingled), "a long, b long, ok boolean").where("ok").select("a", "b"), "line-checked")
+    checked = materialise(met.select("a", "b", "s", "t").sortWithinPartitions("a").mapInArrow(_verify(threshold, shingled, all_hashes), "a long, b long"), "line-checked")
     discard(texts)
     return checked
 
@@ -464,7 +571,7 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     discard(signed)
     roots = materialise(components(links).withColumnRenamed("node", "h"), "line-roots")
     discard(links)
-    lines = docs.select(*ROW_KEY, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "x")).where(F.trim("x", F.lit(BLANK)) != "")
+    lines = docs.select(*ROW_KEY, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "x")).where(F.ltrim("x", F.lit(BLANK)) != "")
     place = F.struct(F.col("doc_id").isNull().alias("last"), *ROW_KEY, "line")
     named = materialise(lines.select(F.xxhash64("x").alias("h"), place.alias("place")).join(roots, "h", "left").select(F.coalesce("root", "h").alias("root"), "place"), "line-places")
     kept = materialise(named.groupBy("root").agg(F.min("place").alias("kept"), F.count("*").alias("n")).where("n > 1").select("root", "kept"), "line-kept")
@@ -488,7 +595,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met = rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc_id"]) & (rows["k1"] == gone["k1"]) & (rows["k2"] == gone["k2"]), "left").select(*[rows[c] for c in rows.columns], gone["gone"])
     parts = F.split("text", "\n")
     left = F.array_join(F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: ~F.array_contains("gone", p["i"])), lambda p: p["x"]), "\n")
-    return met.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("n_gone", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).drop("gone", "k1", "k2")
+    return met.withColumn("n_lines", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")).withColumn("n_gone", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).drop("gone", "k1", "k2")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

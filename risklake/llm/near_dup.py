@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklake.llm.graph import components
-from risklake.llm.line_dedup import joined_bands, line_links, packed, sketches
+from risklake.llm.line_dedup import bytes_of, joined_bands, line_links, packed, sketches
 from risklake.llm.simhash import RADIUS, TILE, fingerprint, one_of_each
 from risklake.llm.simhash import _roots as fingerprint_roots
 from risklake.llm.tokens import Prefix, cut_words, word_hashes
@@ -52,6 +52,13 @@ def shingled(text: str) -> set[int]:
     return set(hashed(text).tolist())
 
 
+def _hashed_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of all texts one after the other, and where each text's begin."""
+    made = [hashed(text) for text in texts]
+    sizes = np.array([len(h) for h in made])
+    return np.concatenate(made), np.cumsum(sizes) - sizes
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, n, minima = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.int32), np.zeros((batch.num_rows, BANDS * ROWS), np.uint64)
@@ -63,7 +70,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = _hashes(joined)
             n[i] = len(h)
             minima[i] = [(h * m).min() for m in _MULTIPLIERS]
-        made = [pa.array(ids.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(n), packed(sketches(minima)), packed(joined_bands(minima, BANDS, ROWS))]
+        made = [pa.array(ids.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(n), bytes_of(sketches(minima)), packed(joined_bands(minima, BANDS, ROWS))]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc_id", "_sh_k1", "_sh_k2", "h", "fp", "n", "sketch", "bands"])
 
 
@@ -83,7 +90,7 @@ def near_keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     key = ["doc_id", "_sh_k1", "_sh_k2"]
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("_sh_k1", F.xxhash64(F.lit(1), text)).withColumn("_sh_k2", F.xxhash64(F.lit(2), text))
-    made = materialise(rows.select(*key, "text").mapInArrow(_signed, "doc_id long, _sh_k1 long, _sh_k2 long, h long, fp long, n int, sketch array<bigint>, bands array<bigint>"), "near-signed")
+    made = materialise(rows.select(*key, "text").mapInArrow(_signed, "doc_id long, _sh_k1 long, _sh_k2 long, h long, fp long, n int, sketch binary, bands array<bigint>"), "near-signed")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         # one row of each wanted text: ids first, texts only for those
@@ -91,7 +98,7 @@ def near_keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return rows.select("_sh_k1", "_sh_k2", "text").join(one, ["_sh_k1", "_sh_k2"]).select("h", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["h"])
 
     prints = materialise(_print_links(made), "near-prints")
-    links = line_links(made, BANDS * ROWS, texts_of, threshold, shingled, hashed)
+    links = line_links(made, BANDS * ROWS, texts_of, threshold, shingled, hashed, _hashed_all)
     roots = components(links.unionByName(prints)).withColumnRenamed("node", "h")
     times = made.groupBy(*key, "h").agg(F.count("*").alias("times"))
     out = one_of_each(docs, rows, times.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")))

@@ -199,6 +199,51 @@ def test_members_of_buckets_equal_all_pairs(tile):
     assert got == want
 
 
+def test_similar_pairs_equal_sets(monkeypatch):
+    monkeypatch.setattr(line_dedup, "PAIRED", 300)
+    rng = __import__("random").Random(11)
+    lines = ["", "a", "ab", "abc", "abcd", "abcde", "\0", "\0\0", "\ud800 alone", "naïve 🙂🙂🙂🙂 line"]
+    for _ in range(80):
+        w = fx.phrase(rng, rng.randrange(1, 25)).split()
+        lines.append(" ".join(w))
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(9)}"
+            lines.append(" ".join(w))
+    a, b = map(np.ravel, np.meshgrid(np.arange(len(lines)), np.arange(len(lines))))
+
+    def plain(x, y):
+        x, y = ({t[i : i + 4] for i in range(max(1, len(t) - 3))} for t in (x, y))
+        return 5 * len(x & y) >= 4 * len(x | y)
+
+    got = line_dedup.similar_pairs(lines, a, b, 0.8, line_dedup.shingles, line_dedup.hashed_all)
+    assert got.tolist() == [plain(lines[i], lines[j]) for i, j in zip(a, b)]
+
+
+def test_tiles_compare_lines_that_are_not_connected(monkeypatch):
+    lines = [f"the same line with a number at its end, {i}" for i in range(6)] + [f"another family of lines, number {i} of them" for i in range(4)]
+    signed = line_dedup._signatures(dict(enumerate(lines))).to_pylist()
+    compared = []
+
+    def counted(texts, a, b, *more, made=line_dedup.similar_pairs):
+        compared.extend(zip(a, b))
+        return made(texts, a, b, *more)
+
+    monkeypatch.setattr(line_dedup, "similar_pairs", counted)
+    roots = [0, 0, 0, 0, 0, 5, 6, 6, 6, 6]  # of the first family one is not connected yet
+    rows = [{"unit": 1, "side": 0, "h": r["h"], "root": roots[r["h"]], "n": r["n"], "sketch": r["sketch"], "text": lines[r["h"]]} for r in signed]
+    schema = line_dedup.pa.schema([("unit", "int64"), ("side", "int32"), ("h", "int64"), ("root", "int64"), ("n", "int32"), ("sketch", "binary"), ("text", "string")])
+    run = line_dedup._verify_tiles(0.8, line_dedup.most_different(80, 0.8), line_dedup.shingles, line_dedup.hashed, line_dedup.hashed_all)
+    links = [(r["a"], r["b"]) for b in run(iter([line_dedup.pa.RecordBatch.from_pylist(rows, schema)])) for r in b.to_pylist()]
+    assert sorted(links) == [(i, 0) for i in range(1, 6)]
+    assert 0 < len(compared) <= 5
+
+
+def test_lines_of_each_blank_and_their_number(spark):
+    docs = [(0, None), (1, ""), (2, "\n"), (3, " \t\x0b\n\r\x0c\na line with words"), (4, "\xa0\n\u2003 \na line with words\n\xa0")]
+    got = {r.doc_id: (r.n_lines, r.n_gone, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: (0, 0, None), 1: (1, 0, ""), 2: (2, 0, "\n"), 3: (3, 0, docs[3][1]), 4: (4, 2, "\xa0\n\u2003 ")}
+
+
 @pytest.mark.parametrize("call", [simhash.simhash_components, simhash.simhash_keep, substring.remove_repeats, line_dedup.dedup_lines])
 def test_empty_tables(spark, call):
     assert call(spark.createDataFrame([], fx.SCHEMA)).count() == 0
