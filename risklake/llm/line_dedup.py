@@ -36,8 +36,12 @@ TILE = 256
 FEW = 24  # lines of a tile up to which pairs are compared one by one
 SLICE = 4096  # shingles of a larger tile counted at a time
 CHUNK = 1 << 17  # characters hashed at a time
+PRODUCTS = 1 << 16  # products of shingles and a multiplier held at a time
 CHARACTERS = 1 << 19  # characters of pairs or tiles compared at a time
 PAIRED = 1 << 19  # shingles of pairs sorted at a time
+BITS = 4096  # of a line's bitmap, which excludes pairs before they are sorted
+LINES = 1024  # bitmaps made at a time
+COMPARED = 1 << 12  # pairs of bitmaps compared at a time
 AT_ONCE = 3  # bands shuffled at a time
 DEALT = 1 << 16  # lines a task deals out at a time
 PART = 200_000  # lines of buckets that a task compares
@@ -45,9 +49,8 @@ WHOLE = 4096  # lines of a bucket up to which numbers and sketches are compared
 MISS = 1e-6
 NIBBLES = 0x1111111111111111  # the lowest bit of each four
 SEEN = 1 << 20  # lines a task remembers to have signed before it starts afresh
-BROADCAST_LINES = 1 << 20  # candidate line ids (8 bytes each) up to which they go to every executor
+BROADCAST_LINES = 1 << 20  # candidate line ids (8 bytes each, 16 with a root) up to which they go to every executor
 ROW_KEY = ["doc_id", "k1", "k2"]
-SIGNED = "h long, n int, sketch binary, bands array<bigint>"
 MEMBERS = "band long, a long, h long, n int, sketch binary, near boolean"
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -107,14 +110,20 @@ def most_different(minima: int, threshold: float, miss: float = MISS) -> int:
 def signature(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Minima of each line (row), and the number of its different shingles."""
     h, first = shingle_hashes(points, lengths)
-    minima, product = np.empty((len(_MULTIPLIERS), len(first)), np.uint64), np.empty_like(h)
-    for m, least in zip(_MULTIPLIERS, minima):
-        np.minimum.reduceat(np.multiply(h, m, out=product), first, out=least)
+    size = np.diff(np.append(first, len(h)))
+    minima = np.empty((len(_MULTIPLIERS), len(first)), np.uint64)
+    for cut in _cuts(size, PRODUCTS):
+        lo, at = first[cut.start], first[cut] - first[cut.start]
+        part = h[lo : lo + size[cut].sum()]
+        product = np.empty_like(part)
+        for m, least in zip(_MULTIPLIERS, minima):
+            np.minimum.reduceat(np.multiply(part, m, out=product), at, out=least[cut])
     # sorted by line, then by 44 bits of the hash: a rare collision makes a number one too small, which candidates allow for
-    line = np.repeat(np.arange(len(lengths), dtype=np.uint64), np.diff(np.append(first, len(h))))
-    ordered = np.sort(line << np.uint64(44) | h >> np.uint64(20))
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    return minima.T, np.add.reduceat(new, first, dtype=np.int64)
+    ordered = np.repeat(np.arange(len(lengths), dtype=np.uint64) << np.uint64(44), size)
+    ordered |= h >> np.uint64(20)
+    ordered.sort()
+    new = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+    return minima.T, np.diff(np.searchsorted(new, np.append(first, len(h)))) + (first == 0)
 
 
 def line_id(line: str) -> int:
@@ -145,13 +154,18 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _signatures(lines: dict[int, str]) -> pa.RecordBatch:
     points = np.frombuffer("".join(lines.values()).encode("utf-32-le", "surrogatepass"), "<u4")
     minima, n = signature(points, np.array([len(x) for x in lines.values()]))
-    columns = [pa.array(list(lines), pa.int64()), pa.array(n, pa.int32()), bytes_of(sketches(minima)), packed(joined_bands(minima, BANDS, ROWS))]
+    columns = [pa.array(list(lines), pa.int64()), pa.array(n, pa.int32()), bytes_of(sketches(minima)), columns_of(joined_bands(minima, BANDS, ROWS))]
     return pa.RecordBatch.from_arrays(columns, ["h", "n", "sketch", "bands"])
 
 
-def packed(rows: np.ndarray) -> pa.ListArray:
-    offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
-    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rows).ravel().view(np.int64)))
+def columns_of(rows: np.ndarray) -> pa.StructArray:
+    """A struct of each row's numbers, so that a reader of some reads no others."""
+    columns = np.ascontiguousarray(rows.T).view(np.int64)
+    return pa.StructArray.from_arrays([pa.array(c) for c in columns], [f"b{i}" for i in range(len(columns))])
+
+
+def bands_type(bands: int) -> str:
+    return f"struct<{', '.join(f'b{i}: bigint' for i in range(bands))}>"
 
 
 def bytes_of(rows: np.ndarray) -> pa.Array:
@@ -192,35 +206,62 @@ def hashed_all(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def similar_pairs(lines: list[str], a: np.ndarray, b: np.ndarray, threshold: float, shingled: Callable[[str], set], all_hashes: Callable[[list[str]], tuple]) -> np.ndarray:
     """Which index pairs of ``lines`` are similar.
 
-    Hashes shared are counted by sorting, on 44 bits of each; a pair so near the threshold that two collisions of those could
-    decide it is compared by its sets.
+    Each line gets a bitmap of its hashes: bits that differ are at most the shingles that differ, so too many exclude a pair.
+    Hashes shared are then counted by sorting, on 44 bits of each; if those collide, a pair so near the threshold that two
+    collisions could decide it is compared by its sets.
     """
     out = np.zeros(len(a), bool)
     if not len(a):
         return out
     h, first = all_hashes(lines)
-    line = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(np.append(first, len(h))))
-    ordered = np.sort(line << np.uint64(44) | h >> np.uint64(20))
+    each = np.diff(np.append(first, len(h)))
+    ordered = np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(44), each)
+    ordered |= h >> np.uint64(20)
+    ordered.sort()
     ordered = ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
     size = np.bincount((ordered >> np.uint64(44)).astype(np.int64), minlength=len(lines))
     start = np.cumsum(size) - size
-    ordered &= np.uint64((1 << 44) - 1)
+    whole = np.sort(h)
+    whole = whole[np.concatenate([[True], whole[1:] != whole[:-1]])] >> np.uint64(20)
+    slack = 2 if (whole[1:] == whole[:-1]).any() else 0
     # numbers alone decide most of what is not similar
-    todo = np.flatnonzero(np.minimum(size[a], size[b]) + 2 >= threshold * np.maximum(size[a], size[b]))
+    todo = np.flatnonzero(np.minimum(size[a], size[b]) + slack >= threshold * np.maximum(size[a], size[b]))
+    bits = bitmaps(ordered, start, size)
+    most = (1 - threshold) / (1 + threshold) + 1e-9
+    for lo in range(0, len(todo), COMPARED):
+        at = todo[lo : lo + COMPARED]
+        differ = np.bitwise_count(bits[a[at]] ^ bits[b[at]]).sum(axis=1, dtype=np.int64)
+        todo[lo : lo + COMPARED] = np.where(differ <= (size[a[at]] + size[b[at]] + 2 * slack) * most, at, -1)
+    todo = todo[todo >= 0]
+    ordered &= np.uint64((1 << 44) - 1)
     for cut in _cuts(size[a[todo]] + size[b[todo]], PAIRED):
         at = todo[cut]
         ends = np.stack([a[at], b[at]], axis=1).ravel()
         long = size[ends]
         first = np.cumsum(long) - long
         value = ordered[np.repeat(start[ends] - first, long) + np.arange(int(long.sum()))]
-        value |= np.repeat(np.arange(len(ends), dtype=np.uint64) >> np.uint64(1), long) << np.uint64(44)
-        value = np.sort(value)
+        value |= np.repeat(np.arange(len(ends), dtype=np.uint64) >> np.uint64(1) << np.uint64(44), long)
+        value.sort()
         twice = value[1:][value[1:] == value[:-1]] >> np.uint64(44)
         both = np.bincount(twice.astype(np.int64), minlength=len(at))
         total = size[a[at]] + size[b[at]]
-        out[at] = (both - 2) / (total - both + 4) >= threshold
-        for i in at[~out[at] & ((both + 2) / np.maximum(total - both - 4, 1) >= threshold)]:
-            out[i] = similar(shingled(lines[a[i]]), shingled(lines[b[i]]), threshold)
+        out[at] = (both - slack) / (total - both + 2 * slack) >= threshold
+        if slack:
+            for i in at[~out[at] & ((both + 2) / np.maximum(total - both - 4, 1) >= threshold)]:
+                out[i] = similar(shingled(lines[a[i]]), shingled(lines[b[i]]), threshold)
+    return out
+
+
+def bitmaps(ordered: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A row of ``BITS`` bits for each line: those that some bits of its hashes (44 bits each, below the line's number) name."""
+    out = np.empty((len(size), BITS // 64), np.uint64)
+    bit = (ordered & np.uint64(BITS - 1)).astype(np.int64)
+    for lo in range(0, len(size), LINES):
+        n = min(LINES, len(size) - lo)
+        flat = np.zeros((n, BITS), bool)
+        cut = slice(start[lo], start[lo + n - 1] + size[lo + n - 1])
+        flat[np.repeat(np.arange(n), size[lo : lo + n]), bit[cut]] = True
+        out[lo : lo + n] = np.packbits(flat, axis=1).view(np.uint64)
     return out
 
 
@@ -405,7 +446,7 @@ def _hopeful(threshold: float, most: int):
 
 
 def _dealt(parts: int):
-    """Some bands of signed lines -> rows ``(part, body)``: of each part of the buckets, (band, id, number, sketch) as bytes."""
+    """Signed lines ``(h, n, sketch)`` and some of their bands -> rows ``(part, body)``: of each part of the buckets, (band, id, number, sketch) as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -423,8 +464,8 @@ def _dealt(parts: int):
 
 
 def _bodies(batches: list[pa.RecordBatch], parts: int) -> pa.RecordBatch:
-    h, n, sketch, bands = (pa.Table.from_batches(batches).column(c).combine_chunks() for c in ("h", "n", "sketch", "bands"))
-    band = bands.flatten().to_numpy().view(np.uint64).reshape(len(h), -1)
+    h, n, sketch, *bands = (c.combine_chunks() for c in pa.Table.from_batches(batches).columns)
+    band = np.column_stack([c.to_numpy().view(np.uint64) for c in bands])
     own = np.column_stack([h.to_numpy().view(np.uint64), n.to_numpy().astype(np.uint64), numbers(sketch)])
     part = (mix(band.ravel()) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)  # small ones are ordered by radix
     order = np.argsort(part, kind="stable")
@@ -497,12 +538,13 @@ def bucket_members(signed: DataFrame, threshold: float, most: int) -> list[DataF
     Numbers and sketches travel with the bands, so that chance meetings, which grow faster than the lines, end in the task
     that sees them. Bands go ``AT_ONCE`` at a time, each time freeing what was shuffled.
     """
-    kinds = signed.select(F.size("bands").alias("bands"), (F.octet_length("sketch") / 8).cast("int").alias("width")).first() or (1, 1)
+    bands = [f"bands.{c}" for c in signed.schema["bands"].dataType.names]
+    width = (signed.select((F.octet_length("sketch") / 8).cast("int")).first() or (1,))[0]
     parts = max(1, -(-signed.count() * AT_ONCE // PART))
     steps = []
-    for low in range(0, kinds[0], AT_ONCE):
-        dealt = signed.select("h", "n", "sketch", F.slice("bands", low + 1, AT_ONCE).alias("bands")).mapInArrow(_dealt(parts), "part int, body binary").repartition(parts, "part")
-        step = materialise(dealt.mapInArrow(_members(threshold, most, 3 + kinds[1], WHOLE), MEMBERS), "line-members")
+    for low in range(0, len(bands), AT_ONCE):
+        dealt = signed.select("h", "n", "sketch", *bands[low : low + AT_ONCE]).mapInArrow(_dealt(parts), "part int, body binary").repartition(parts, "part")
+        step = materialise(dealt.mapInArrow(_members(threshold, most, 3 + width, WHOLE), MEMBERS), "line-members")
         free_shuffles(signed.sparkSession)
         steps.append(step)
     return steps
@@ -519,12 +561,14 @@ def line_links(signed: DataFrame, minima: int, texts_of: Callable[[DataFrame], D
     for more in steps[1:]:
         members = members.unionByName(more)
     near = materialise(members.where("near").select("a", F.col("h").alias("b")).distinct(), "line-near")
-    checked = _verified(near, texts_of, threshold, shingled, all_hashes)
+    # whoever is not near the leader may yet be compared with another
+    texts = materialise(texts_of(members.select("h").distinct()), "line-texts")
+    checked = _verified(near, texts, threshold, shingled, all_hashes)
     # a bucket whose members are all connected by now is done; so is one of two members, compared already. Of buckets with the
     # same members one is enough
     roots = materialise(components(checked).withColumnRenamed("node", "h"), "line-roots")
     placed = materialise(members.drop("a", "near").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "line-placed")
-    discard(near, roots, *steps)
+    discard(near, checked, *steps)
     mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.bit_xor("h").alias("x"), F.bit_xor(F.xxhash64("h")).alias("y")).where("lo <> hi and n > 2")
     mixed = mixed.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band")
     open_ = materialise(placed.join(mixed, "band", "left_semi"), "line-rest")
@@ -532,27 +576,26 @@ def line_links(signed: DataFrame, minima: int, texts_of: Callable[[DataFrame], D
     # in a large bucket, lines of the root that most have need not meet each other, and lines of very different sizes none at all
     chief = open_.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("chief"), F.sum("c").alias("c")).where(F.col("c") > TILE).select("band", "chief")
     chief = materialise(chief, "line-chief")
-    rest = open_.join(chief, "band", "left").withColumn("joined", F.coalesce(F.col("root") == F.col("chief"), F.lit(False))).drop("chief")
+    large = materialise(open_.join(chief, "band").withColumn("joined", F.col("root") == F.col("chief")).drop("chief"), "line-large")
     # the number of shingles may be one too small: as if the ratio were a little lower
     size = F.floor(F.log(F.col("n") + 1.0) / -math.log(threshold * 0.98))
-    cut = tiled(rest, "band", F.xxhash64("h", F.lit(5)), size, 1, TILE, F.col("joined")).select("unit", "side", "h", "root", "n", "sketch")
+    columns = ["unit", "side", "h", "root", "n", "sketch"]
+    cut = tiled(large, "band", F.xxhash64("h", F.lit(5)), size, 1, TILE, F.col("joined")).select(*columns)
+    cut = cut.unionByName(open_.join(chief, "band", "left_anti").withColumn("unit", F.xxhash64("band")).withColumn("side", F.lit(0)).select(*columns))
     cut = cut.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_hopeful(threshold, most), "unit long, side int, h long, root long, n int, sketch binary")
     units = materialise(cut.distinct(), "line-units")
-    discard(open_, chief)
-    texts = materialise(texts_of(units.select("h").distinct()), "line-texts")
+    discard(open_, chief, large)
     more = units.join(texts, "h").repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_verify_tiles(threshold, most, shingled, hashes, all_hashes), "a long, b long")
-    out = materialise(checked.unionByName(more), "line-links")
-    discard(checked, texts, units)
+    # the roots of the first links stand for those
+    out = materialise(roots.where("h <> root").select(F.col("h").alias("a"), F.col("root").alias("b")).unionByName(more), "line-links")
+    discard(roots, texts, units)
     return out
 
 
-def _verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, shingled: Callable[[str], set], all_hashes: Callable[[list[str]], tuple]) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, shingled: Callable[[str], set], all_hashes: Callable[[list[str]], tuple]) -> DataFrame:
     """The pairs ``(a, b)`` that are similar, written."""
-    texts = materialise(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()), "line-texts")
     met = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("t")), "b")
-    checked = materialise(met.select("a", "b", "s", "t").sortWithinPartitions("a").mapInArrow(_verify(threshold, shingled, all_hashes), "a long, b long"), "line-checked")
-    discard(texts)
-    return checked
+    return materialise(met.select("a", "b", "s", "t").sortWithinPartitions("a").mapInArrow(_verify(threshold, shingled, all_hashes), "a long, b long"), "line-checked")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -566,14 +609,14 @@ def repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Of each component the line of the smallest (doc_id, text hash, line number) stays, null ids last. Rows with the same id and
     text are one document listed more than once: they keep and lose the same lines.
     """
-    signed = materialise(docs.select("text").mapInArrow(_signed, SIGNED), "lines-signed")
+    signed = materialise(docs.select("text").mapInArrow(_signed, f"h long, n int, sketch binary, bands {bands_type(BANDS)}"), "lines-signed")
     links = line_links(signed, BANDS * ROWS, texts_of_lines(docs), threshold)
     discard(signed)
     roots = materialise(components(links).withColumnRenamed("node", "h"), "line-roots")
     discard(links)
     lines = docs.select(*ROW_KEY, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "x")).where(F.ltrim("x", F.lit(BLANK)) != "")
     place = F.struct(F.col("doc_id").isNull().alias("last"), *ROW_KEY, "line")
-    named = materialise(lines.select(F.xxhash64("x").alias("h"), place.alias("place")).join(roots, "h", "left").select(F.coalesce("root", "h").alias("root"), "place"), "line-places")
+    named = materialise(lines.select(F.xxhash64("x").alias("h"), place.alias("place")).join(few(roots), "h", "left").select(F.coalesce("root", "h").alias("root"), "place"), "line-places")
     kept = materialise(named.groupBy("root").agg(F.min("place").alias("kept"), F.count("*").alias("n")).where("n > 1").select("root", "kept"), "line-kept")
     gone = named.join(kept, "root").where(F.col("place") != F.col("kept"))
     out = materialise(gone.groupBy(*[F.col(f"place.{k}").alias(k) for k in ROW_KEY]).agg(F.array_sort(F.collect_set("place.line")).alias("gone")), "line-gone")

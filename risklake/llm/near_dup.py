@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from risklake.llm.graph import components
-from risklake.llm.line_dedup import bytes_of, joined_bands, line_links, packed, sketches
+from risklake.llm.line_dedup import bands_type, bytes_of, columns_of, joined_bands, line_links, sketches
 from risklake.llm.simhash import RADIUS, TILE, fingerprint, one_of_each
 from risklake.llm.simhash import _roots as fingerprint_roots
 from risklake.llm.tokens import Prefix, cut_words, word_hashes
@@ -70,7 +70,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = _hashes(joined)
             n[i] = len(h)
             minima[i] = [(h * m).min() for m in _MULTIPLIERS]
-        made = [pa.array(ids.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(n), bytes_of(sketches(minima)), packed(joined_bands(minima, BANDS, ROWS))]
+        made = [pa.array(ids.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(n), bytes_of(sketches(minima)), columns_of(joined_bands(minima, BANDS, ROWS))]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], ["doc_id", "_sh_k1", "_sh_k2", "h", "fp", "n", "sketch", "bands"])
 
 
@@ -90,7 +90,7 @@ def near_keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     key = ["doc_id", "_sh_k1", "_sh_k2"]
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("_sh_k1", F.xxhash64(F.lit(1), text)).withColumn("_sh_k2", F.xxhash64(F.lit(2), text))
-    made = materialise(rows.select(*key, "text").mapInArrow(_signed, "doc_id long, _sh_k1 long, _sh_k2 long, h long, fp long, n int, sketch binary, bands array<bigint>"), "near-signed")
+    made = materialise(rows.select(*key, "text").mapInArrow(_signed, f"doc_id long, _sh_k1 long, _sh_k2 long, h long, fp long, n int, sketch binary, bands {bands_type(BANDS)}"), "near-signed")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         # one row of each wanted text: ids first, texts only for those

@@ -219,6 +219,44 @@ def test_similar_pairs_equal_sets(monkeypatch):
     assert got.tolist() == [plain(lines[i], lines[j]) for i, j in zip(a, b)]
 
 
+def test_pairs_that_cannot_be_similar_are_not_sorted(monkeypatch):
+    rng = __import__("random").Random(5)
+    lines = [" ".join(str(rng.randrange(10**6)) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    lines += [x[: len(x) * k // 10] for x in lines[:20] for k in (6, 7, 9)] + ["", "a"]
+    a, b = map(np.ravel, np.meshgrid(np.arange(len(lines)), np.arange(len(lines))))
+    sorted_, sets = [], []
+
+    def cuts(weights, limit, made=line_dedup._cuts):
+        sorted_.append(len(weights))
+        return made(weights, limit)
+
+    monkeypatch.setattr(line_dedup, "_cuts", cuts)
+    monkeypatch.setattr(line_dedup, "LINES", 7)
+    monkeypatch.setattr(line_dedup, "COMPARED", 100)
+    got = line_dedup.similar_pairs(lines, a, b, 0.8, lambda x: sets.append(x) or line_dedup.shingles(x), line_dedup.hashed_all)
+    every = [line_dedup.shingles(x) for x in lines]
+    want = [line_dedup.similar(every[i], every[j], 0.8) for i, j in zip(a, b)]
+    assert got.tolist() == want
+    assert sum(want) <= sorted_[0] < sum(want) * 1.5
+    assert not sets  # nothing collides, so none needs its sets
+
+
+def test_texts_of_candidates_are_fetched_once(spark):
+    docs = [(i, f"a line of a family, all the same but for what is at its end {i % 9}\nand {fx.phrase(__import__('random').Random(i % 5), 20)}") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    signed = line_dedup.materialise(df.select("text").mapInArrow(line_dedup._signed, f"h long, n int, sketch binary, bands {line_dedup.bands_type(line_dedup.BANDS)}"), "signed")
+    calls = []
+
+    def texts(wanted, made=line_dedup.texts_of_lines(df)):
+        calls.append(sorted(r.h for r in wanted.collect()))
+        return made(wanted)
+
+    links = line_dedup.line_links(signed, line_dedup.BANDS * line_dedup.ROWS, texts).collect()
+    assert len(calls) == 1 and len(calls[0]) == len(set(calls[0]))
+    ids = {line_dedup.line_id(x) for _, t in docs for x in t.split("\n") if x.startswith("a line")}
+    assert {r.a for r in links} | {r.b for r in links} >= ids
+
+
 def test_tiles_compare_lines_that_are_not_connected(monkeypatch):
     lines = [f"the same line with a number at its end, {i}" for i in range(6)] + [f"another family of lines, number {i} of them" for i in range(4)]
     signed = line_dedup._signatures(dict(enumerate(lines))).to_pylist()
