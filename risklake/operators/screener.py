@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from risklake.functions.scalar import canonical_symbol
-from risklake.session import materialise
+from risklake.session import free_shuffles, materialise
 
 # The numeric bounds a screen may set, and the column each one reads.
 BOUNDS = {"market_cap": "market_cap", "pe_ratio": "pe_ratio", "ev_to_ebitda": "ev_to_ebitda", "profit_margin": "profit_margin", "beta": "beta"}
 MOST_ITEMS = 1000
 LEVELS = 8
 CELLS = 1 << LEVELS  # cells of a metric
+GRID_WEIGHTS = 5  # weights of a book that choose its grid cell
+GRID_TOLERANCES = 3  # width of a cell
+FLAT_WEIGHTS = 16  # weights of a book that are columns; what wider books have beyond is compared as a list
 SCREEN_SCHEMA = "struct<" + ",".join(f"min_{b}:double,max_{b}:double" for b in BOUNDS) + ",sector_in:array<string>,type_in:array<string>>"
 
 
@@ -196,23 +199,37 @@ def matching_cached_results(requested: DataFrame, cached: DataFrame, tolerance:
     """(portfolio_id, cache_id) whose ticker sets agree and whose weights differ by at most 2%.
 
     ``requested`` (portfolio_id, symbol, weight) and ``cached`` (cache_id, symbol, weight) meet on the
-    ordered ticker set and on a grid cell of their first three weights. Weights within the tolerance
-    lie in the same or a neighbouring cell, so trying the neighbours misses nothing and popular ticker
-    sets never compare all their books with each other.
+    ordered ticker set and on a grid cell of their first weights. A cell is some tolerances wide and a
+    requested book is put into each one that its tolerance touches, so a pair meets once and nothing is
+    missed; popular ticker sets never compare all their books with each other. Weights are plain columns:
+    pairs that meet are compared in compiled code.
     """
     share = F.col("weight") / F.sum("weight").over(W.partitionBy("portfolio_id"))
-    req = _books(requested.withColumn("w", share), "portfolio_id", "a")
-    have = _books(cached.withColumn("w", F.col("weight")), "cache_id", "b")
-    width = tolerance * 1.000001  # cells a hair wider than the tolerance: an exact tie stays a neighbour
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    for k in range(3):
-        cell = lambda c, k=k: F.coalesce(F.floor(F.try_element_at(F.map_values(c), F.lit(k + 1)) / width), F.lit(0))
-        req = req.withColumn(f"_o{k}", F.explode(near)).withColumn(f"_c{k}", cell("a") + F.col(f"_o{k}")).drop(f"_o{k}")
-        have = have.withColumn(f"_c{k}", cell("b"))
-    j = req.join(have, ["book", "_c0", "_c1", "_c2"])
-    close = F.forall(F.map_entries("a"), lambda e: F.abs(e["value"] - F.element_at(F.col("b"), e["key"])) <= tolerance)
-    # books of fewer than three tickers meet in several cells
-    return j.where(close).select("portfolio_id", "cache_id").distinct()
+    named = lambda books, side: books.withColumn("book", F.to_json(F.map_keys(side)))  # noqa: E731  tells any two sets apart
+    req = materialise(named(_books(requested.withColumn("w", share), "portfolio_id", "a"), "a"), "requested-books")
+    have = materialise(named(_books(cached.withColumn("w", F.col("weight")), "cache_id", "b"), "b"), "cached-books")
+    free_shuffles(req.sparkSession)
+    widest = have.agg(F.max(F.size("b"))).first()[0] or 0
+    near, width = tolerance * 1.000001, GRID_TOLERANCES * tolerance  # a hair more than the tolerance: an exact tie is still met
+    at = lambda side, k: F.get(F.map_values(side), F.lit(k))
+    known = lambda side: ~F.exists(F.map_values(side), lambda w: w.isNull())  # noqa: E731  an unknown weight is not near any other
+    flat = min(widest, FLAT_WEIGHTS)
+    rest = lambda side: [F.map_values(side).alias(f"_{side}")] if widest > flat else []
+    req = req.where(known("a")).select("portfolio_id", "book", *[at("a", k).alias(f"a{k}") for k in range(flat)], *rest("a"))
+    have = have.where(known("b")).select("cache_id", "book", *[at("b", k).alias(f"b{k}") for k in range(flat)], *rest("b"))
+    cells = [f"_c{k}" for k in range(min(flat, GRID_WEIGHTS))]
+    for k, c in enumerate(cells):
+        low, high = (F.coalesce(F.floor((F.col(f"a{k}") + d) / width), F.lit(0)) for d in (-near, near))
+        req = req.withColumn(c, F.explode(F.sequence(low, high)))
+        have = have.withColumn(c, F.coalesce(F.floor(F.col(f"b{k}") / width), F.lit(0)))
+    keys = ["_key", *cells, "book"]  # the hash first, because rows are sorted by it
+    key = F.xxhash64(*cells, "book")
+    j = req.withColumn("_key", key).join(have.withColumn("_key", key), keys)
+    for k in range(flat):
+        j = j.where(F.col(f"b{k}").isNull() | (F.abs(F.col(f"a{k}") - F.col(f"b{k}")) <= tolerance))  # null: books of fewer tickers
+    if widest > flat:
+        j = j.where(F.forall(F.zip_with("_a", "_b", lambda x, y: F.abs(x - y) <= tolerance), lambda ok: ok))
+    return j.select("portfolio_id", "cache_id")
 
 
 def newest_cached_result(requested: DataFrame, cached: DataFrame, tolerance: float = 0.02) -> DataFrame:

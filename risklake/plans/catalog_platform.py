@@ -8,6 +8,7 @@ from risklake.functions import scalar as fn
 from risklake.operators import align, metrics as m, returns, screener as scr, simulate as sim
 from risklake.plans.catalog_metrics import LT
 from risklake.plans.registry import register
+from risklake.session import materialise
 from risklake.sources import holdings_csv, market, sinks
 from risklake.sources.testdata import Tables
 from risklake.streaming import telemetry as tel
@@ -367,12 +368,11 @@ def _(t: Tables):
     """WITH p AS (SELECT portfolio_id, symbol, weight AS w, count(*) OVER (PARTITION BY portfolio_id) AS n, CAST(floor(min(weight) OVER (PARTITION BY portfolio_id)/0.02) AS BIGINT) AS g FROM posc),
        c AS (SELECT portfolio_id AS cache_id, symbol, round_even(weight,2) AS w, count(*) OVER (PARTITION BY portfolio_id) AS n, CAST(floor(min(round_even(weight,2)) OVER (PARTITION BY portfolio_id)/0.02) AS BIGINT) AS g FROM posc)
        SELECT p.portfolio_id, c.cache_id FROM p JOIN c ON p.symbol=c.symbol AND p.n=c.n AND c.g BETWEEN p.g-2 AND p.g+2 GROUP BY 1,2,p.n HAVING count(*)=p.n AND bool_and(abs(p.w-c.w)<=0.02)""",
-    store="positions_by_customer",
 )
 def _(t: Tables):
-    p = t.positions_by_customer
+    p = materialise(t.positions_by_customer.select("portfolio_id", "symbol", "weight"), "positions")
     cached = p.select(F.col("portfolio_id").alias("cache_id"), "symbol", F.bround("weight", 2).alias("weight"))
-    return scr.matching_cached_results(p.select("portfolio_id", "symbol", "weight"), cached)
+    return scr.matching_cached_results(p, cached)
 
 
 @register(
